@@ -1,0 +1,2 @@
+"""Streaming: the traced tool is a batch tool with no stream input, so no
+streaming operator is part of the inventory. See the README."""
