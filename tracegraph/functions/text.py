@@ -94,58 +94,75 @@ def blob_hash(content) -> Column:
     return F.sha1(F.concat(F.encode(header, "UTF-8"), F.encode(c, "UTF-8")))
 
 
-def url_fault(url) -> Column:
-    """Reason why Go's ``url.Parse`` rejects a coverer URL, else NULL (row 28).
+def with_url_fault(df, url: str = "url", out: str = "url_fault"):
+    """Add ``out``: why Go's ``url.Parse`` rejects the URL, else NULL (row 28).
 
     Checks run in the parser's order: control bytes, empty scheme, colon in the
     first segment of a relative reference, authority (port, host characters,
     escapes, user info), path escapes, fragment escapes. Query strings and
-    opaque parts are not validated by the parser and are not checked here."""
-    u_full = col(url)
-    u = F.substring_index(u_full, "#", 1)
-    has_frag = u_full.contains("#")
-    frag = F.when(has_frag, F.regexp_extract(u_full, "(?s)^[^#]*#(.*)\\z", 1))
-    scheme_re = "^[a-zA-Z][a-zA-Z0-9+.-]*:"
-    has_scheme = u.rlike(scheme_re)
-    rest = F.when(has_scheme, F.regexp_replace(u, scheme_re, "")).otherwise(u)
-    rest_nq = F.substring_index(rest, "?", 1)
-    opaque = has_scheme & ~rest_nq.startswith("/")
-    has_auth = (has_scheme | ~rest_nq.startswith("///")) & rest_nq.startswith("//")
-    after = F.regexp_extract(rest_nq, "(?s)^//(.*)\\z", 1)
-    authority = F.regexp_extract(after, "^([^/]*)", 1)
-    path = F.when(has_auth, F.regexp_extract(after, "(?s)^[^/]*(.*)\\z", 1)).otherwise(rest_nq)
-    has_at = authority.contains("@")
-    host = F.substring_index(authority, "@", -1)
-    userinfo = F.regexp_extract(authority, "(?s)^(.*)@", 1)
+    opaque parts are not validated by the parser and are not checked here.
+    Written as a short projection chain so each step stays small for codegen."""
+    u_full = F.col(url)
     bad_esc = "%(?![0-9A-Fa-f]{2})"
+    scheme_re = "^[a-zA-Z][a-zA-Z0-9+.-]*:"
+    d = df.withColumn("_u", F.substring_index(u_full, "#", 1)).withColumn(
+        "_frag", F.when(u_full.contains("#"), F.regexp_extract(u_full, "(?s)^[^#]*#(.*)\\z", 1))
+    )
+    d = d.withColumn("_sch", F.col("_u").rlike(scheme_re))
+    d = d.withColumn("_rest", F.substring_index(F.when(F.col("_sch"), F.regexp_replace("_u", scheme_re, "")).otherwise(F.col("_u")), "?", 1))
+    rest = F.col("_rest")
+    d = d.withColumn("_opaque", F.col("_sch") & ~rest.startswith("/")).withColumn(
+        "_auth", (F.col("_sch") | ~rest.startswith("///")) & rest.startswith("//")
+    )
+    d = d.withColumn("_after", F.regexp_extract(rest, "(?s)^//(.*)\\z", 1))
+    d = d.withColumn("_authority", F.regexp_extract("_after", "^([^/]*)", 1)).withColumn(
+        "_path", F.when(F.col("_auth"), F.regexp_extract("_after", "(?s)^[^/]*(.*)\\z", 1)).otherwise(rest)
+    )
+    d = d.withColumn("_host", F.substring_index("_authority", "@", -1)).withColumn(
+        "_userinfo", F.when(F.col("_authority").contains("@"), F.regexp_extract("_authority", "(?s)^(.*)@", 1))
+    )
+    host = F.col("_host")
     bracket = host.startswith("[")
     after_bracket = F.substring_index(host, "]", -1)
-    port_bad = F.when(bracket, ~host.contains("]") | ~after_bracket.rlike("^(:[0-9]*)?\\z")).otherwise(
-        host.contains(":") & ~F.substring_index(host, ":", -1).rlike("^[0-9]*\\z")
-    )
-    port_text = F.when(bracket, after_bracket).otherwise(F.concat(F.lit(":"), F.substring_index(host, ":", -1)))
-    host_bad_char = F.regexp_extract(host, "([\\x00-\\x7f&&[^A-Za-z0-9\\-_.~!$&'()*+,;=:\\[\\]<>\"%]])", 1)
-    host_bad_esc = host.rlike(bad_esc) | host.rlike("%(?!25)[0-7][0-9A-Fa-f]")
-    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    first_bad = lambda c: F.regexp_extract(c, "(%.{0,2})", 1)
-    esc_in = lambda c: F.regexp_extract(c, "(" + bad_esc + ".{0,2})", 1)
+    last_colon = F.substring_index(host, ":", -1)
+    d = d.withColumn(
+        "_port_bad",
+        F.when(bracket, ~host.contains("]") | ~after_bracket.rlike("^(:[0-9]*)?\\z")).otherwise(
+            host.contains(":") & ~last_colon.rlike("^[0-9]*\\z")
+        ),
+    ).withColumn("_port_text", F.when(bracket, after_bracket).otherwise(F.concat(F.lit(":"), last_colon)))
+    d = d.withColumn(
+        "_host_char", F.regexp_extract(host, "([\\x00-\\x7f&&[^A-Za-z0-9\\-_.~!$&'()*+,;=:\\[\\]<>\"%]])", 1)
+    ).withColumn("_host_esc", host.rlike(bad_esc) | host.rlike("%(?!25)[0-7][0-9A-Fa-f]"))
+
+    def q(c):
+        return F.concat(F.lit('"'), c, F.lit('"'))
+
+    def esc_in(c):
+        return F.regexp_extract(c, "(" + bad_esc + ".{0,2})", 1)
+
+    auth = F.col("_auth")
+    frag_bad = F.coalesce(F.col("_frag").rlike(bad_esc), F.lit(False))
+    ui = F.col("_userinfo")
     reason = (
-        F.when(u.rlike("[\\x00-\\x1f\\x7f]"), F.lit("net/url: invalid control character in URL"))
-        .when(u.startswith(":"), F.lit("missing protocol scheme"))
-        .when(opaque & F.coalesce(frag.rlike(bad_esc), F.lit(False)), F.concat(F.lit("invalid URL escape "), q(esc_in(frag))))
-        .when(opaque, F.lit(None))
-        .when(~has_scheme & ~rest_nq.startswith("/") & F.substring_index(rest_nq, "/", 1).contains(":"),
+        F.when(F.col("_u").rlike("[\\x00-\\x1f\\x7f]"), F.lit("net/url: invalid control character in URL"))
+        .when(F.col("_u").startswith(":"), F.lit("missing protocol scheme"))
+        .when(F.col("_opaque") & frag_bad, F.concat(F.lit("invalid URL escape "), q(esc_in(F.col("_frag")))))
+        .when(F.col("_opaque"), F.lit(None))
+        .when(~F.col("_sch") & ~rest.startswith("/") & F.substring_index(rest, "/", 1).contains(":"),
               F.lit("first path segment in URL cannot contain colon"))
-        .when(has_auth & bracket & ~host.contains("]"), F.lit("missing ']' in host"))
-        .when(has_auth & port_bad, F.concat(F.lit("invalid port "), q(port_text), F.lit(" after host")))
-        .when(has_auth & host_bad_esc, F.concat(F.lit("invalid URL escape "), q(first_bad(host))))
-        .when(has_auth & (host_bad_char != ""), F.concat(F.lit("invalid character "), q(host_bad_char), F.lit(" in host name")))
-        .when(has_auth & has_at & userinfo.rlike("[^A-Za-z0-9\\-._:~!$&'()*+,;=%@]"), F.lit("net/url: invalid userinfo"))
-        .when(has_auth & has_at & userinfo.rlike(bad_esc), F.concat(F.lit("invalid URL escape "), q(esc_in(userinfo))))
-        .when(path.rlike(bad_esc), F.concat(F.lit("invalid URL escape "), q(esc_in(path))))
-        .when(F.coalesce(frag.rlike(bad_esc), F.lit(False)), F.concat(F.lit("invalid URL escape "), q(esc_in(frag))))
+        .when(auth & bracket & ~host.contains("]"), F.lit("missing ']' in host"))
+        .when(auth & F.col("_port_bad"), F.concat(F.lit("invalid port "), q(F.col("_port_text")), F.lit(" after host")))
+        .when(auth & F.col("_host_esc"), F.concat(F.lit("invalid URL escape "), q(F.regexp_extract(host, "(%.{0,2})", 1))))
+        .when(auth & (F.col("_host_char") != ""), F.concat(F.lit("invalid character "), q(F.col("_host_char")), F.lit(" in host name")))
+        .when(auth & ui.isNotNull() & ui.rlike("[^A-Za-z0-9\\-._:~!$&'()*+,;=%@]"), F.lit("net/url: invalid userinfo"))
+        .when(auth & ui.isNotNull() & ui.rlike(bad_esc), F.concat(F.lit("invalid URL escape "), q(esc_in(ui))))
+        .when(F.col("_path").rlike(bad_esc), F.concat(F.lit("invalid URL escape "), q(esc_in(F.col("_path")))))
+        .when(frag_bad, F.concat(F.lit("invalid URL escape "), q(esc_in(F.col("_frag")))))
     )
-    return reason
+    helpers = ["_u", "_frag", "_sch", "_rest", "_opaque", "_auth", "_after", "_authority", "_path", "_host",
+               "_userinfo", "_port_bad", "_port_text", "_host_char", "_host_esc"]
+    return d.withColumn(out, reason).drop(*helpers)
 
 
 @F.pandas_udf(StringType())

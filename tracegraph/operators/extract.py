@@ -102,14 +102,14 @@ def raw_coverers(fn_lines: DataFrame) -> DataFrame:
         F.regexp_extract_all("rest", F.lit(P.COVERER), 2).alias("url"),
     )
     ex = fn_lines.filter(F.col("rest") != "").select(*FILE_COLS, "line_no", F.posexplode(z).alias("cov_ord", "c"))
-    return ex.select(
+    ex = ex.select(
         *FILE_COLS,
         "line_no",
         (F.col("cov_ord") + 1).cast("int").alias("cov_ord"),
         F.col("c.label").alias("label"),
         F.col("c.url").alias("url"),
-        T.url_fault(F.col("c.url")).alias("url_fault"),
     )
+    return T.with_url_fault(ex, "url", "url_fault")
 
 
 def extract_coverers(raw: DataFrame) -> DataFrame:

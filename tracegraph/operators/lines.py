@@ -40,11 +40,11 @@ def _segments(files: DataFrame) -> DataFrame:
     )
 
 
-def read_errors(files: DataFrame) -> DataFrame:
+def read_errors(lines: DataFrame) -> DataFrame:
     """Row 32: a file holding a raw line of 64 KiB or more ends its scan with an
-    error of empty code and line 0 (lines before it are still used)."""
-    seg = _segments(files)
-    return seg.filter(F.col("_first_long") > 0).select(
+    error of empty code and line 0 (lines before it are still used). ``lines``
+    is the output of ``line_explode(..., keep_long=True)``."""
+    return lines.filter("is_long").select(
         F.lit("scan").alias("phase"),
         F.lit(P.ERR_READLINE).alias("code"),
         "root_ord",
@@ -54,30 +54,42 @@ def read_errors(files: DataFrame) -> DataFrame:
     )
 
 
-def line_explode(files: DataFrame, ignore_lines=()) -> DataFrame:
+def line_explode(files: DataFrame, ignore_lines=(), keep_long: bool = False) -> DataFrame:
     """Row 11 (+ row 12): numbered lines of each file.
 
     Split on LF, drop the empty segment after a final LF, cut one trailing CR,
     stop before an overlong line, then drop lines that match any ignore pattern
-    (they keep their numbers). ``files`` needs ``kind`` (see ``file_kind``)."""
+    (they keep their numbers). ``files`` needs ``kind`` (see ``file_kind``).
+    With ``keep_long`` the overlong line itself is kept, flagged ``is_long``, so
+    that one pass over the text also yields the read errors."""
     seg = _segments(files).withColumn("_n", F.size("_segs"))
     ex = seg.select(*FILE_COLS, "kind", "_n", "_first_long", F.posexplode("_segs").alias("_pos", "_seg"))
     ex = ex.filter(~((F.col("_pos") == F.col("_n") - 1) & (F.col("_seg") == "")))
-    ex = ex.filter((F.col("_first_long") == 0) | (F.col("_pos") + 1 < F.col("_first_long")))
+    is_long = F.col("_pos") + 1 == F.col("_first_long")
+    before_long = (F.col("_first_long") == 0) | (F.col("_pos") + 1 < F.col("_first_long"))
+    ex = ex.filter(before_long | is_long) if keep_long else ex.filter(before_long)
     line = F.when(F.col("_seg").endswith("\r"), F.expr("substring(_seg, 1, char_length(_seg) - 1)")).otherwise(F.col("_seg"))
-    out = ex.select(*FILE_COLS, "kind", (F.col("_pos") + 1).cast("int").alias("line_no"), line.alias("line"))
+    cols = [*FILE_COLS, "kind", (F.col("_pos") + 1).cast("int").alias("line_no"), line.alias("line")]
+    if keep_long:
+        cols.append(is_long.alias("is_long"))
+    out = ex.select(*cols)
+    if keep_long:
+        return out.filter(F.col("is_long") | ~_ignored(ignore_lines))
     return ignore(out, ignore_lines)
 
 
+def _ignored(ignore_lines=()):
+    hit = F.lit(False)
+    for p in list(ignore_lines or ()):
+        hit = hit | F.col("line").rlike(p)
+    return hit
+
+
 def ignore(lines: DataFrame, ignore_lines=()) -> DataFrame:
     """Row 12: drop lines that any pattern finds a match in (Java regex)."""
-    pats = list(ignore_lines or ())
-    if not pats:
+    if not list(ignore_lines or ()):
         return lines
-    hit = F.lit(False)
-    for p in pats:
-        hit = hit | F.col("line").rlike(p)
-    return lines.filter(~hit)
+    return lines.filter(~_ignored(ignore_lines))
 
 
 def candidate_flags(lines: DataFrame, header_key: str = P.DEFAULT_HEADER_KEY) -> DataFrame:
@@ -108,17 +120,17 @@ def markdown_state(md_cand: DataFrame) -> DataFrame:
 
     ``in_code`` is the state *before* the line (an opening fence line is still
     outside code, a closing one inside); ``in_header`` holds for lines after a
-    first line ``---`` up to the next ``---`` line."""
+    first line ``---`` up to (not including) the next ``---`` line."""
     w = Window.partitionBy(*FILE_KEY).orderBy("line_no")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fences_before = F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0))
-    dashes_before = F.coalesce(F.sum((F.col("is_dash") & (F.col("line_no") > 1)).cast("int")).over(before), F.lit(0))
+    dashes_upto = F.coalesce(F.sum((F.col("is_dash") & (F.col("line_no") > 1)).cast("int")).over(upto), F.lit(0))
     header_open = F.max((F.col("is_dash") & (F.col("line_no") == 1)).cast("int")).over(upto)
     return md_cand.select(
         "*",
         (fences_before % 2 == 1).alias("in_code"),
-        ((header_open == 1) & (dashes_before == 0) & (F.col("line_no") > 1)).alias("in_header"),
+        ((header_open == 1) & (dashes_upto == 0) & (F.col("line_no") > 1)).alias("in_header"),
     )
 
 

@@ -7,6 +7,12 @@ files ─ gates ─ lines ─┬─ source lines ─ tags (map-side)
 sites ─ identity by (package, name) ─ join tags by (package, name) (shuffle 2)
       ─ footnote match, ids, actions by file (shuffle 3) ─ rewrite
 
+Stages are cut with reliable checkpoints (``DataFrame.checkpoint`` into the
+shared ``spark.checkpoint.dir``): the raw text is read **once** into the small
+candidate-line table, and every later output reads the entity, coverage and
+action tables instead of re-reading the corpus. This also keeps each plan small
+for the optimizer and lets a lost executor recompute one stage, not the run.
+
 Phase gates (Q35) are eager one-row checks (``isEmpty``) evaluated when an
 analysis or rewrite output is first asked for.
 """
@@ -45,6 +51,11 @@ class TraceResult:
     repos: DataFrame
     tracked: DataFrame | None = None
     options: TraceOptions = field(default_factory=TraceOptions)
+    materialize: bool = True
+
+    def _stage(self, df: DataFrame) -> DataFrame:
+        """Cut the lineage at a stage boundary (reliable checkpoint)."""
+        return df.checkpoint(eager=True) if self.materialize else df
 
     # ---------------------------------------------------------------- scan
     @cached_property
@@ -67,13 +78,23 @@ class TraceResult:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """Row 11-12: numbered, non-ignored lines with candidate flags."""
+        """Row 11-12: numbered, non-ignored lines with candidate flags (lazy;
+        the trace itself only reads ``cand_lines``)."""
         return L.candidate_flags(L.line_explode(self.scanned, self.options.ignore_lines), self.options.header_key)
 
+    @cached_property
+    def cand_lines(self) -> DataFrame:
+        """Stage 1, the only pass over the text: candidate lines of every
+        scanned file plus overlong-line markers."""
+        ex = L.line_explode(self.scanned, self.options.ignore_lines, keep_long=True)
+        c = L.candidate_flags(ex, self.options.header_key)
+        return self._stage(c.filter(F.col("is_cand") | F.col("is_long")))
+
     @cached_property
     def md_state(self) -> DataFrame:
-        md = self.lines.filter((F.col("kind") == "md") & F.col("is_cand"))
-        return L.markdown_state(md)
+        """Stage 2: Markdown candidate lines with fence and header state."""
+        md = self.cand_lines.filter((F.col("kind") == "md") & ~F.col("is_long"))
+        return self._stage(L.markdown_state(md))
 
     @cached_property
     def pkg_lines(self) -> DataFrame:
@@ -93,7 +114,7 @@ class TraceResult:
     @cached_property
     def all_tags(self) -> DataFrame:
         """Row 18 over every scanned file (before retention)."""
-        src = self.lines.filter((F.col("kind") == "src") & F.col("is_cand"))
+        src = self.cand_lines.filter((F.col("kind") == "src") & ~F.col("is_long"))
         md = self.md_state.filter(~F.col("in_code"))
         cols = L.FILE_COLS + ["kind", "line_no", "line"]
         return X.extract_tags(src.select(*cols).unionByName(md.select(*cols)))
@@ -109,7 +130,7 @@ class TraceResult:
     @cached_property
     def sites(self) -> DataFrame:
         """Row 19, minus files with an ignored package."""
-        return self._not_ignored(X.extract_sites(self.site_cands))
+        return self._stage(self._not_ignored(X.extract_sites(self.site_cands)))
 
     @cached_property
     def fn_lines(self) -> DataFrame:
@@ -130,7 +151,7 @@ class TraceResult:
     @cached_property
     def tags(self) -> DataFrame:
         """Row 24 applied: tags of retained files (Q5), minus ignored files."""
-        return X.retained_tags(self._not_ignored(self.all_tags), self.sites)
+        return self._stage(X.retained_tags(self._not_ignored(self.all_tags), self.sites))
 
     @cached_property
     def types(self):
@@ -153,7 +174,7 @@ class TraceResult:
             V.err_reqtype(self.site_cands, types_df, idents),
         ]
         errs = V.drop_ignored(V.union_errors(parts), self.file_pkgs)
-        return errs.unionByName(self._not_ignored(L.read_errors(self.scanned)))
+        return self._stage(errs.unionByName(self._not_ignored(L.read_errors(self.cand_lines))))
 
     # ------------------------------------------------------------- analyze
     @cached_property
@@ -162,7 +183,7 @@ class TraceResult:
 
     @cached_property
     def ident(self) -> DataFrame:
-        return C.identify(self.sites_p)
+        return self._stage(C.identify(self.sites_p))
 
     @cached_property
     def registered(self) -> DataFrame:
@@ -174,11 +195,16 @@ class TraceResult:
 
     @cached_property
     def reg_m(self) -> DataFrame:
-        return self.registered.join(self.fmatch, C.SITE_KEY, "left")
+        return self._stage(self.registered.join(self.fmatch, C.SITE_KEY, "left"))
 
     @cached_property
     def new_coverers(self) -> DataFrame:
-        return C.new_coverers(self.registered, self.tags, self.repo_urls)
+        return self._stage(C.new_coverers(self.registered, self.tags, self.repo_urls))
+
+    @cached_property
+    def coverer_lists_all(self) -> DataFrame:
+        """Rows 40-41 for every registered requirement with coverers."""
+        return C.coverer_lists(self.new_coverers, self.registered)
 
     @cached_property
     def current_coverers(self) -> DataFrame:
@@ -195,16 +221,16 @@ class TraceResult:
             C.err_dupreqid(self.ident),
             C.err_pkgmismatch(self.reg_m, self.footnotes, self.file_pkgs),
         ]
-        return V.union_errors(parts)
+        return self._stage(V.union_errors(parts))
 
     @cached_property
     def coverage_all(self) -> DataFrame:
         """Coverage before the phase gate."""
-        return C.coverage(self.registered, self.fmatch, self.new_coverers, self.current_coverers, self.max_ids)
+        return self._stage(C.coverage(self.registered, self.fmatch, self.new_coverers, self.current_coverers, self.max_ids))
 
     @cached_property
     def actions_all(self) -> DataFrame:
-        return C.actions(self.coverage_all, self.new_coverers)
+        return self._stage(C.actions(self.coverage_all, self.new_coverers))
 
     # --------------------------------------------------------------- gates
     @cached_property
@@ -231,12 +257,12 @@ class TraceResult:
     @cached_property
     def docs(self) -> DataFrame:
         """Rewritten Markdown documents (rows 54-60); empty when gated."""
-        return R.apply_actions(self.scanned.select("path", "content"), self.actions)
+        return self._stage(R.apply_actions(self.scanned.select("path", "content"), self.actions))
 
 
 def trace(files: DataFrame, repos: DataFrame, *, tracked: DataFrame | None = None, extensions: str | None = None,
           ignore_lines=(), types: str | None = None, header_key: str = P.DEFAULT_HEADER_KEY,
-          max_bytes: int = P.MAX_FILE_BYTES) -> TraceResult:
+          max_bytes: int = P.MAX_FILE_BYTES, materialize: bool = True) -> TraceResult:
     """Trace requirements of a corpus.
 
     ``files``: ``(root_ord, repo_id, root_path, path, rel_path, length, content[, tracked])``;
@@ -245,4 +271,4 @@ def trace(files: DataFrame, repos: DataFrame, *, tracked: DataFrame | None = Non
     column, else every file is tracked)."""
     I.check_ignore_patterns(files.sparkSession, ignore_lines)
     opts = TraceOptions(extensions, tuple(ignore_lines or ()), types, header_key, max_bytes)
-    return TraceResult(files, repos, tracked, opts)
+    return TraceResult(files, repos, tracked, opts, materialize)
