@@ -7,8 +7,8 @@ files ─ gates ─ lines ─┬─ source lines ─ tags (map-side)
 sites ─ identity by (package, name) ─ join tags by (package, name) (shuffle 2)
       ─ footnote match, ids, actions by file (shuffle 3) ─ rewrite
 
-Stages are cut with reliable checkpoints (``DataFrame.checkpoint`` into the
-shared ``spark.checkpoint.dir``): the raw text is read **once** into the small
+Stages are cut with tables written into the shared ``spark.checkpoint.dir``
+(Parquet, one folder per run): the raw text is read **once** into the small
 candidate-line table, and every later output reads the entity, coverage and
 action tables instead of re-reading the corpus. This also keeps each plan small
 for the optimizer and lets a lost executor recompute one stage, not the run.
@@ -19,6 +19,7 @@ analysis or rewrite output is first asked for.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -31,6 +32,7 @@ from ..operators import extract as X
 from ..operators import lines as L
 from ..operators import rewrite as R
 from ..operators import validate as V
+from ..session import checkpoint_dir
 from ..sources import inventory as I
 
 
@@ -53,9 +55,24 @@ class TraceResult:
     options: TraceOptions = field(default_factory=TraceOptions)
     materialize: bool = True
 
-    def _stage(self, df: DataFrame) -> DataFrame:
-        """Cut the lineage at a stage boundary (reliable checkpoint)."""
-        return df.checkpoint(eager=True) if self.materialize else df
+    @cached_property
+    def _run_dir(self) -> str:
+        import uuid
+
+        return os.path.join(checkpoint_dir(self.files.sparkSession), "tracegraph", "run-" + uuid.uuid4().hex[:12])
+
+    def _stage(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        """Cut the lineage at a stage boundary: write the stage once as Parquet
+        into the shared checkpoint folder and read it back (one computation,
+        column pruning downstream, survives executor loss)."""
+        if not self.materialize:
+            return df
+        import inspect
+
+        name = name or inspect.stack()[1].function
+        path = os.path.join(self._run_dir, name)
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
 
     # ---------------------------------------------------------------- scan
     @cached_property
@@ -102,7 +119,7 @@ class TraceResult:
 
     @cached_property
     def file_pkgs(self) -> DataFrame:
-        return L.package_of_file(self.pkg_lines)
+        return self._stage(L.package_of_file(self.pkg_lines))
 
     @cached_property
     def ignored_files(self) -> DataFrame:
@@ -125,7 +142,7 @@ class TraceResult:
 
     @cached_property
     def site_cands(self) -> DataFrame:
-        return X.site_candidates(self.records)
+        return self._stage(X.site_candidates(self.records))
 
     @cached_property
     def sites(self) -> DataFrame:
@@ -138,11 +155,11 @@ class TraceResult:
 
     @cached_property
     def footnotes(self) -> DataFrame:
-        return X.extract_footnotes(self.fn_lines)
+        return self._stage(X.extract_footnotes(self.fn_lines))
 
     @cached_property
     def raw_coverers(self) -> DataFrame:
-        return X.raw_coverers(self.fn_lines)
+        return self._stage(X.raw_coverers(self.fn_lines))
 
     @cached_property
     def coverers(self) -> DataFrame:

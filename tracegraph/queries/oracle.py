@@ -173,7 +173,44 @@ o_newdoc AS (
   FROM o_actions a JOIN (SELECT path, max(line_no) AS last_line FROM o_docline GROUP BY path) b ON a.path = b.path
   WHERE a.line_no = 0),
 o_docs AS (
-  SELECT path, string_agg(text, chr(10) ORDER BY line_no) || chr(10) AS content FROM o_newdoc GROUP BY path)
+  SELECT path, string_agg(text, chr(10) ORDER BY line_no) || chr(10) AS content FROM o_newdoc GROUP BY path),
+o_fault AS (
+  SELECT r.*, r.p_size % 10 AS fk, CAST(5 + 2 * r.k + r.m + 8 AS BIGINT) AS at_line, CAST(r.p AS VARCHAR) AS ps
+  FROM o_reqn r WHERE r.rn = 1 AND r.p_size <> 50),
+o_synerr AS (
+  SELECT 'scan' AS phase, path, CAST(2 AS BIGINT) AS line_no, 'pkgident' AS code,
+    'PackageId shall be an identifier: 1' || package AS message FROM o_fault WHERE fk = 1
+  UNION ALL SELECT 'scan', path, at_line, 'reqident', 'RequirementName shall be an identifier' FROM o_fault WHERE fk = 2
+  UNION ALL SELECT 'scan', path, at_line, 'reqtype', 'requirement type must be one of [it cmp utest]: 1bad.p' || ps
+    FROM o_fault WHERE fk = 2
+  UNION ALL SELECT 'scan', path, at_line, 'covstatus', 'CoverageStatusWord shall be ''covered'' or ''uncvrd'': maybe'
+    FROM o_fault WHERE fk = 3
+  UNION ALL SELECT 'scan', path, at_line, 'covstatus', 'CoverageStatusWord shall be ''covered'' or ''uncvrd'': '
+    FROM o_fault WHERE fk = 4
+  UNION ALL SELECT 'scan', path, at_line, 'urlsyntax',
+    'the URL provided is invalid: parse "::a' || ps || '": missing protocol scheme: ::a' || ps FROM o_fault WHERE fk = 5
+  UNION ALL SELECT 'scan', path, at_line, 'urlsyntax',
+    'the URL provided is invalid: parse "http://h st/b' || ps || '": invalid character " " in host name: http://h st/b' || ps
+    FROM o_fault WHERE fk = 5
+  UNION ALL SELECT 'scan', path, at_line, 'multisites',
+    'only one RequirementSite is allowed per line: `~it.m' || ps || '~`,  `~it.n' || ps || '~`' FROM o_fault WHERE fk = 6
+  UNION ALL SELECT 'scan', path, at_line, 'unmatchedfence',
+    'opening code block fence at line ' || CAST(at_line AS VARCHAR) || ' has no matching closing fence' FROM o_fault WHERE fk = 7
+  UNION ALL SELECT 'scan', path, at_line, 'reqtype', 'requirement type must be one of [it cmp utest]: sys.t' || ps
+    FROM o_fault WHERE fk = 8
+  UNION ALL SELECT 'scan', path, CAST(0 AS BIGINT), '', 'Error reading file: token too long' FROM o_fault WHERE fk = 9),
+o_semerr AS (
+  SELECT 'analyze' AS phase, f.path, f.at_line AS line_no, 'pkgmismatch' AS code,
+    'CoverageFootnote package (other) is not consistent with PackageId in the header (' || f.package || ')' AS message
+  FROM o_fault f JOIN o_site s ON s.path = f.path WHERE f.fk IN (1, 2, 3) AND s.variant IN (0, 4)
+  UNION ALL
+  SELECT 'analyze', path, CAST(6 AS BIGINT), 'dupreqid',
+    'duplicate RequirementId detected:' || chr(10) || chr(9) || package || '/' || name || chr(10) || chr(9) || path || ':'
+      || CAST(at_line AS VARCHAR)
+  FROM o_fault WHERE fk IN (4, 5, 6)
+  UNION ALL
+  SELECT 'analyze', path, CAST(6 AS BIGINT), 'nopkgidreqs', 'markdown file with RequirementSites shall define {KEY}'
+  FROM o_fault WHERE fk IN (7, 8, 9))
 """
 
 
@@ -308,6 +345,34 @@ JOIN (SELECT path, max(line_no) AS last_line FROM o_docline GROUP BY path) b ON
 WHERE n.line_no > b.last_line"""),
     "final_newline": q("""
 SELECT path, CAST(strlen(content) AS BIGINT) AS length, md5(content) AS md5 FROM o_docs"""),
+    # --- 2.3 validation rules (faulted corpora) ---------------------------
+    **{
+        name: q(f"""
+SELECT path, line_no, code, message FROM {src} WHERE code = '{code}'""")
+        for name, src, code in [
+            ("err_pkgident", "o_synerr", "pkgident"),
+            ("err_reqident", "o_synerr", "reqident"),
+            ("err_covstatus", "o_synerr", "covstatus"),
+            ("err_urlsyntax", "o_synerr", "urlsyntax"),
+            ("err_multisites", "o_synerr", "multisites"),
+            ("err_unmatchedfence", "o_synerr", "unmatchedfence"),
+            ("err_reqtype", "o_synerr", "reqtype"),
+            ("err_readline", "o_synerr", ""),
+            ("err_dupreqid", "o_semerr", "dupreqid"),
+            ("err_nopkgidreqs", "o_semerr", "nopkgidreqs"),
+            ("err_pkgmismatch", "o_semerr", "pkgmismatch"),
+        ]
+    },
+    "error_report": q("""
+SELECT phase, path, line_no, code, path || ':' || CAST(line_no AS VARCHAR) || ': ' || code || ': ' || message AS text
+FROM (SELECT * FROM o_synerr UNION ALL SELECT * FROM o_semerr)"""),
+    "phase_gate": q("""
+SELECT 'clean' AS corpus, CAST(0 AS BIGINT) AS n_scan_errors, CAST(0 AS BIGINT) AS n_semantic_errors,
+  (SELECT CAST(count(*) AS BIGINT) FROM o_actions) AS n_actions
+UNION ALL
+SELECT 'syntax', (SELECT CAST(count(*) AS BIGINT) FROM o_synerr), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+UNION ALL
+SELECT 'semantic', CAST(0 AS BIGINT), (SELECT CAST(count(*) AS BIGINT) FROM o_semerr), CAST(0 AS BIGINT)"""),
     # --- 2.6 workload builder ---------------------------------------------
     "corpus_from_tables": q("""
 SELECT path, CAST(strlen(content) AS BIGINT) AS length, md5(content) AS md5 FROM o_files"""),

@@ -359,6 +359,58 @@ def apply_check(spark, sf_dir):
     return traced(spark, sf_dir).docs.filter(F.col("apply_error").isNotNull())
 
 
+# ------------------------------------------- 2.3 validation (faulted corpora)
+def _syntax(spark, sf_dir) -> TraceResult:
+    return traced(spark, sf_dir, "syntax", types=CO.FAULT_TYPES)
+
+
+def _semantic(spark, sf_dir) -> TraceResult:
+    return traced(spark, sf_dir, "semantic")
+
+
+def _err_query(code: str, semantic: bool):
+    @out("path", "line_no", "code", "message")
+    def q(spark, sf_dir):
+        r = _semantic(spark, sf_dir) if semantic else _syntax(spark, sf_dir)
+        return r.errors.filter(F.col("code") == code)
+
+    return q
+
+
+ERROR_QUERIES = {
+    "err_pkgident": _err_query(P.ERR_PKGIDENT, False),
+    "err_reqident": _err_query(P.ERR_REQIDENT, False),
+    "err_covstatus": _err_query(P.ERR_COVSTATUS, False),
+    "err_urlsyntax": _err_query(P.ERR_URLSYNTAX, False),
+    "err_multisites": _err_query(P.ERR_MULTISITES, False),
+    "err_unmatchedfence": _err_query(P.ERR_UNMATCHEDFENCE, False),
+    "err_reqtype": _err_query(P.ERR_REQTYPE, False),
+    "err_readline": _err_query(P.ERR_READLINE, False),
+    "err_dupreqid": _err_query(P.ERR_DUPREQID, True),
+    "err_nopkgidreqs": _err_query(P.ERR_NOPKGIDREQS, True),
+    "err_pkgmismatch": _err_query(P.ERR_PKGMISMATCH, True),
+}
+
+
+@out("phase", "path", "line_no", "code", "text")
+def error_report(spark, sf_dir):
+    """Row 36: both faulted corpora (syntax errors of one, semantic of the other)."""
+    from ..operators import validate as V
+
+    return V.error_report(_syntax(spark, sf_dir).errors).unionByName(V.error_report(_semantic(spark, sf_dir).errors))
+
+
+@out("corpus", "n_scan_errors", "n_semantic_errors", "n_actions")
+def phase_gate(spark, sf_dir):
+    """Row 37 (Q35): syntax errors stop analysis, semantic errors stop apply."""
+    rows = []
+    for label, r in (("clean", traced(spark, sf_dir)), ("syntax", _syntax(spark, sf_dir)), ("semantic", _semantic(spark, sf_dir))):
+        n_scan = r.scan_errors.count()
+        n_sem = r.semantic_errors.count() if r.scan_ok else 0
+        rows.append((label, n_scan, n_sem, r.actions.count()))
+    return spark.createDataFrame(rows, "corpus string, n_scan_errors bigint, n_semantic_errors bigint, n_actions bigint")
+
+
 # --------------------------------------------------------------- 2.6 corpus
 @out("path", "length", "md5")
 def corpus_from_tables(spark, sf_dir):
@@ -416,4 +468,7 @@ QUERIES = {
     "final_newline": final_newline,
     "apply_check": apply_check,
     "corpus_from_tables": corpus_from_tables,
+    **ERROR_QUERIES,
+    "error_report": error_report,
+    "phase_gate": phase_gate,
 }

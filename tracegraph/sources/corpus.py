@@ -69,8 +69,17 @@ SYNTAX_FAULTS = {
     8: "reqtype",
     9: "readline",
 }
-SEMANTIC_FAULTS = {1: "pkgmismatch", 2: "pkgmismatch", 3: "pkgmismatch", 4: "dupreqid", 5: "dupreqid", 6: "dupreqid",
-                   7: "nopkgidreqs", 8: "nopkgidreqs", 9: "nopkgidreqs"}
+SEMANTIC_FAULTS = {
+    1: "pkgmismatch",
+    2: "pkgmismatch",
+    3: "pkgmismatch",
+    4: "dupreqid",
+    5: "dupreqid",
+    6: "dupreqid",
+    7: "nopkgidreqs",
+    8: "nopkgidreqs",
+    9: "nopkgidreqs",
+}
 FAULT_TYPES = "it,cmp,utest"
 
 
@@ -186,8 +195,49 @@ def site_text(name, variant, rn) -> Column:
     return F.concat(F.lit("- `~"), name, F.lit("~`"), ann, F.lit(" shall hold."))
 
 
-def document_files(parts: DataFrame, covs: DataFrame, header_key: str = P.DEFAULT_HEADER_KEY) -> DataFrame:
+def fault_lines(faults: str | None, base: Column, p: Column, name: Column, pkg: Column, kind: Column, L) -> Column:
+    """Extra line(s) of a faulted document, appended after the decoys."""
+    empty = F.array().cast("array<struct<line_no:int,text:string>>")
+    if faults is None:
+        return empty
+    ps = _s(p)
+    at = base + 8
+    if faults == "syntax":
+        cases = {
+            2: F.concat(F.lit("- `~1bad.p"), ps, F.lit("~` is not an identifier.")),
+            3: F.concat(F.lit("- `~it.w"), ps, F.lit("~`maybe[^z]" + P.EMOJI_UNCVRD + " has an unknown word.")),
+            4: F.concat(F.lit("- `~it.r"), ps, F.lit("~`[^z] has no word.")),
+            5: F.concat(F.lit("[^u"), ps, F.lit("]: `[~"), pkg, F.lit("/it.u"), ps, F.lit("~impl]` [a:1:impl](::a"), ps,
+                        F.lit("), [b:2:impl](http://h st/b"), ps, F.lit(")")),
+            6: F.concat(F.lit("- `~it.m"), ps, F.lit("~` and `~it.n"), ps, F.lit("~` twice.")),
+            7: F.lit("```"),
+            8: F.concat(F.lit("- `~sys.t"), ps, F.lit("~` has an unknown type.")),
+            9: F.lit("x" * 70000),
+        }
+    else:
+        cases = {}
+        for k in (1, 2, 3):
+            cases[k] = F.concat(F.lit("[^f"), ps, F.lit("]: `[~other/it.f"), ps, F.lit("~impl]`"))
+        for k in (4, 5, 6):
+            cases[k] = F.concat(F.lit("- `~"), name, F.lit("~` again."))
+    text = None
+    for k, v in cases.items():
+        text = F.when(kind == k, v) if text is None else text.when(kind == k, v)
+    return F.when(text.isNotNull(), F.array(L(at, text))).otherwise(empty)
+
+
+def header_line(faults: str | None, header_key: str, pkg: Column, kind: Column) -> Column:
+    normal = F.concat(F.lit(header_key + ": "), pkg)
+    if faults == "syntax":
+        return F.when(kind == 1, F.concat(F.lit(header_key + ": 1"), pkg)).otherwise(normal)
+    if faults == "semantic":
+        return F.when(kind.isin(7, 8, 9), F.lit("trace.other: x")).otherwise(normal)
+    return normal
+
+
+def document_files(parts: DataFrame, covs: DataFrame, header_key: str = P.DEFAULT_HEADER_KEY, faults: str | None = None) -> DataFrame:
     d = parts.join(covs, "p", "left")
+    kind = F.col("p_size") % 10
     rn, k, j, m = F.col("rn"), F.col("k"), F.col("j"), F.col("m")
     v = F.col("variant")
     name, pkg = F.col("name"), F.col("package")
@@ -211,7 +261,7 @@ def document_files(parts: DataFrame, covs: DataFrame, header_key: str = P.DEFAUL
         rn == 1,
         F.array(
             L(F.lit(1), F.lit("---")),
-            L(F.lit(2), F.concat(F.lit(header_key + ": "), pkg)),
+            L(F.lit(2), header_line(faults, header_key, pkg, kind)),
             L(F.lit(3), F.lit("---")),
             L(F.lit(4), F.lit("")),
             L(5 + 2 * k, F.lit("")),
@@ -224,7 +274,10 @@ def document_files(parts: DataFrame, covs: DataFrame, header_key: str = P.DEFAUL
             L(base + 7, F.concat(F.lit("[~"), pkg, F.lit("/"), name, F.lit("~test] at column zero."))),
         ),
     ).otherwise(F.array().cast("array<struct<line_no:int,text:string>>"))
-    ex = d.select("rel_path", F.explode(F.concat(per_part, footnote, doc_lines)).alias("l"))
+    extra = F.when(rn == 1, fault_lines(faults, base, F.col("p"), name, pkg, kind, L)).otherwise(
+        F.array().cast("array<struct<line_no:int,text:string>>")
+    )
+    ex = d.select("rel_path", F.explode(F.concat(per_part, footnote, doc_lines, extra)).alias("l"))
     files = ex.groupBy("rel_path").agg(_join_lines(F.collect_list("l")).alias("content"))
     return _file_rows(files.withColumn("tracked", F.lit(True)), F.lit(GH[0]), "rel_path")
 
@@ -242,12 +295,15 @@ def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _file_rows(d, F.lit(GH[0]), "rel_path")
 
 
-def corpus_from_tables(spark: SparkSession, sf_dir: str, header_key: str = P.DEFAULT_HEADER_KEY) -> DataFrame:
-    """The ``files`` table of the rendered corpus (lazy plan)."""
+def corpus_from_tables(spark: SparkSession, sf_dir: str, header_key: str = P.DEFAULT_HEADER_KEY,
+                       faults: str | None = None) -> DataFrame:
+    """The ``files`` table of the rendered corpus (lazy plan). ``faults``:
+    ``'syntax'`` or ``'semantic'`` adds one fault per document, chosen by
+    ``p_size % 10`` (see ``SYNTAX_FAULTS`` / ``SEMANTIC_FAULTS``)."""
     tags = tag_rows(spark, sf_dir)
     parts = part_rows(spark, sf_dir, header_key)
     covs = true_coverers(tags, parts.filter(F.col("variant") == 2))
-    out = document_files(parts, covs, header_key).unionByName(source_files(tags)).unionByName(note_files(spark, sf_dir))
+    out = document_files(parts, covs, header_key, faults).unionByName(source_files(tags)).unionByName(note_files(spark, sf_dir))
     return out.select(*[f.name for f in FILES_SCHEMA.fields])
 
 
@@ -264,8 +320,6 @@ def corpus(spark: SparkSession, sf_dir: str, faults: str | None = None) -> DataF
     """Materialised corpus for ``sf_dir`` (clean, or with ``faults`` =
     ``'syntax'`` / ``'semantic'``)."""
     key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{faults}|{CORPUS_VERSION}".encode()).hexdigest()[:16]
-    if faults is None:
-        return materialize(spark, lambda: corpus_from_tables(spark, sf_dir), f"corpus-{key}")
-    from .faults import faulted_corpus
-
-    return materialize(spark, lambda: faulted_corpus(spark, sf_dir, faults), f"corpus-{faults}-{key}")
+    if faults not in (None, "syntax", "semantic"):
+        raise ValueError(f"unknown fault set: {faults}")
+    return materialize(spark, lambda: corpus_from_tables(spark, sf_dir, faults=faults), f"corpus-{faults}-{key}")
