@@ -254,5 +254,6 @@ def read_tree(spark: SparkSession, roots: list[tuple[str, str]], tracked: DataFr
                     texts.append(fh.read().decode("utf-8", errors="replace"))
             yield b.assign(content=pd.Series(texts, dtype=object), tracked=True)
 
-    schema = listing.schema.add("content", "string").add("tracked", "boolean")
+    schema = Ty.StructType(list(listing.schema.fields) + [
+        Ty.StructField("content", Ty.StringType()), Ty.StructField("tracked", Ty.BooleanType())])
     return listing.mapInPandas(read, schema)
