@@ -129,29 +129,42 @@ def current_coverers(reg_m: DataFrame, coverers: DataFrame) -> DataFrame:
     return s.join(coverers, FILE_KEY + ["line_no"]).select(*REQ_KEY, "label", "url")
 
 
-def coverage_diff(cur: DataFrame, new: DataFrame) -> DataFrame:
-    """Row 45 (Q21): requirements whose recorded and new URL lists differ as
-    multisets. Counts per ``(package, name, url)`` on both sides."""
+def requirement_stats(cur: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows 40, 43, 45 in one pass: per requirement the new and recorded coverer
+    counts and whether the two URL lists differ as multisets (Q21). Counts per
+    ``(package, name, url)`` on both sides (partial aggregation), a full outer
+    join of one row per key, and one aggregation per requirement."""
     c = cur.groupBy(*REQ_KEY, "url").agg(F.count("*").alias("n_cur"))
     n = new.groupBy(*REQ_KEY, "url").agg(F.count("*").alias("n_new"))
-    d = c.join(n, REQ_KEY + ["url"], "full_outer")
-    d = d.filter(F.coalesce("n_cur", F.lit(0)) != F.coalesce("n_new", F.lit(0)))
-    return d.select(*REQ_KEY).distinct().withColumn("changed", F.lit(True))
+    d = n.join(c, REQ_KEY + ["url"], "full_outer")
+    nn, nc = F.coalesce("n_new", F.lit(0)), F.coalesce("n_cur", F.lit(0))
+    return d.groupBy(*REQ_KEY).agg(
+        F.sum(nn).cast("bigint").alias("n_coverers"),
+        F.sum(nc).cast("bigint").alias("n_current"),
+        F.bool_or(nn != nc).alias("changed"),
+    )
 
 
-def coverage(reg: DataFrame, fm: DataFrame, new: DataFrame, cur: DataFrame, max_ids: DataFrame) -> DataFrame:
-    """Rows 44, 46, 47: one row per registered requirement with its status, the
-    new coverer count, the diff flag and the footnote id to write."""
-    counts = new.groupBy(*REQ_KEY).agg(F.count("*").alias("n_coverers"))
-    cur_n = cur.groupBy(*REQ_KEY).agg(F.count("*").alias("n_current"))
-    changed = coverage_diff(cur, new)
-    c = (
-        reg.join(fm, SITE_KEY, "left")
-        .join(counts, REQ_KEY, "left")
-        .join(cur_n, REQ_KEY, "left")
-        .join(changed, REQ_KEY, "left")
-        .join(max_ids, FILE_KEY, "left")
+def coverage_diff(cur: DataFrame, new: DataFrame) -> DataFrame:
+    """Row 45: requirements whose recorded and new URL lists differ."""
+    return requirement_stats(cur, new).filter("changed").select(*REQ_KEY, "changed")
+
+
+def max_footnote_ids(ident: DataFrame, footnotes: DataFrame) -> DataFrame:
+    """Row 46 (lean form): largest integer id per file over its sites and
+    footnotes; files without one get 0 where joined."""
+    ids = ident.filter(F.col("footnote_id") != "").select(*FILE_KEY, "footnote_id").unionByName(
+        footnotes.select(*FILE_KEY, "footnote_id")
     )
+    return ids.groupBy(*FILE_KEY).agg(F.greatest(F.coalesce(F.max(T.int_id("footnote_id")), F.lit(0)), F.lit(0)).alias("max_id"))
+
+
+def coverage(reg_m: DataFrame, new: DataFrame, cur: DataFrame, max_ids: DataFrame) -> DataFrame:
+    """Rows 44, 46, 47: one row per registered requirement with its status, the
+    coverer counts, the diff flag and the footnote id to write. ``reg_m`` is the
+    registered sites with their footnote match (row 42)."""
+    stats = requirement_stats(cur, new)
+    c = reg_m.join(stats, REQ_KEY, "left").join(max_ids, FILE_KEY, "left")
     c = c.select(
         *REQ_KEY,
         "root_ord",

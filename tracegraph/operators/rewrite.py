@@ -1,9 +1,12 @@
 """Rows 54-61: apply the actions to the Markdown text.
 
-Line edits are relational: the documents that have actions are exploded to
-lines, joined to their edits on ``(path, line_no)``, folded per line in action
-order (Q32: the later action on a line wins), and regrouped per path. Work is
-linear in the document size; a document is one group, bounded by the size gate.
+Per document, the actions are grouped once by path (edits pre-grouped per line,
+in action order) and joined to the document row: two shuffles in all. The edits
+are then applied inside the row: each edited line is folded over its actions
+(Q32: the later action on a line wins), and the new lines are spliced into the
+document with a sort-merge (``array_sort`` of original and edited lines, keep
+the edited one per line number), which is O((L + E) log(L + E)) per document.
+A document is one row, bounded by the size gate.
 """
 
 from __future__ import annotations
@@ -14,9 +17,6 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 
-BIG = 2**31 - 1
-
-
 def eol_detect_split(docs: DataFrame) -> DataFrame:
     """Row 54 (Q30): CRLF if the text holds any CRLF, else LF; split on it."""
     crlf = F.col("content").contains("\r\n")
@@ -57,82 +57,84 @@ def _fold_line(text, acts, path, line_no):
     return F.aggregate(acts, init, step)
 
 
+def action_lists(actions: DataFrame) -> DataFrame:
+    """Row 53: per path, the edits grouped by line (actions in seq order) and
+    the appended footnotes in seq order. One shuffle by path: the per-line
+    grouping runs on the same partitioning."""
+    a = actions.repartition("path")
+    per_line = a.groupBy("path", "line_no").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "type", "data"))).alias("acts"), F.min("seq").alias("first_seq")
+    )
+    return per_line.groupBy("path").agg(
+        F.array_sort(
+            F.collect_list(F.when(F.col("line_no") > 0, F.struct("line_no", "first_seq", "acts")))
+        ).alias("edits"),
+        F.flatten(F.collect_list(F.when(F.col("line_no") == 0, F.col("acts")))).alias("apps"),
+    )
+
+
 def apply_actions(files: DataFrame, actions: DataFrame) -> DataFrame:
     """Rows 56-60: rewritten documents ``(path, content, changed, apply_error)``.
 
     ``files`` holds ``(path, content)``; only files with actions are returned."""
-    docs = files.select("path", "content").join(actions.select("path").distinct(), "path", "left_semi")
+    lists = action_lists(actions)
+    docs = files.select("path", "content").join(lists, "path")
     docs = trim_trailing_blank(eol_detect_split(docs))
     mixed = F.col("content").contains("\r\n") & F.col("content").rlike("(?<!\r)\n")
-    bad_bytes = F.col("content").contains("�")
-    docs = docs.withColumn(
+    bad_bytes = F.col("content").contains("\ufffd")
+    d = docs.withColumn(
         "doc_error",
         F.when(mixed, F.concat(F.lit("mixed line endings in file "), F.col("path"))).when(
             bad_bytes, F.concat(F.lit("undecodable bytes in file "), F.col("path"))
         ),
+    ).withColumn("_lines", F.slice("parts", 1, F.col("n_keep")))
+    # Row 56/57: fold every edited line (a line past the kept lines is an error).
+    edits = F.col("edits")
+    in_range = lambda e: e["line_no"] <= F.size("_lines")
+    folded = F.transform(
+        F.filter(edits, in_range),
+        lambda e: F.struct(
+            e["line_no"].alias("line_no"),
+            F.lit(0).alias("pr"),
+            _fold_line(F.get(F.col("_lines"), e["line_no"] - 1), e["acts"], F.col("path"), e["line_no"]).alias("r"),
+        ),
     )
-
-    # Row 56/57: per-line edit lists, folded in action order.
-    edits = actions.filter(F.col("line_no") > 0).groupBy("path", "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "type", "data"))).alias("acts"),
-        F.min("seq").alias("first_seq"),
-    )
-    lines = docs.select("path", "n_keep", F.posexplode("parts").alias("pos", "text")).filter(F.col("pos") < F.col("n_keep"))
-    lines = lines.select("path", (F.col("pos") + 1).cast("int").alias("line_no"), "text")
-    j = lines.join(edits, ["path", "line_no"], "left")
-    folded = j.select(
-        "path",
-        "line_no",
-        F.when(F.col("acts").isNull(), F.struct(F.col("text").alias("text"), F.lit(None).cast("string").alias("err"), F.lit(None).cast("int").alias("err_seq")))
-        .otherwise(_fold_line(F.col("text"), F.col("acts"), F.col("path"), F.col("line_no")))
-        .alias("r"),
-    )
-    body = folded.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", F.col("r.text").alias("text")))).alias("body"),
-        F.min_by(F.col("r.err"), F.when(F.col("r.err").isNotNull(), F.col("r.err_seq"))).alias("edit_error"),
-        F.min(F.when(F.col("r.err").isNotNull(), F.col("r.err_seq"))).alias("edit_error_seq"),
-    )
-    # Edits pointing past the kept lines ("line doesn't exist").
-    missing = edits.join(docs.select("path", "n_keep"), "path").filter(F.col("line_no") > F.col("n_keep"))
-    missing = missing.groupBy("path").agg(
-        F.min_by(F.format_string("line %d doesn't exist in file %s", F.col("line_no"), F.col("path")), F.col("first_seq")).alias("miss_error"),
-        F.min("first_seq").alias("miss_seq"),
-    )
-    # Row 58: appended footnotes, in action order.
-    apps = actions.filter(F.col("line_no") == 0).groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "type", "data"))).alias("apps")
-    )
-    d = docs.join(body, "path", "left").join(missing, "path", "left").join(apps, "path", "left")
-    lines_arr = F.coalesce(F.transform("body", lambda b: b["text"]), F.array().cast("array<string>"))
-    d = d.withColumn("_lines", lines_arr)
-    app_data = F.coalesce(F.transform("apps", lambda a: a["data"]), F.array().cast("array<string>"))
-    bad_app = F.filter("apps", lambda a: a["type"] != P.ACTION_FOOTNOTE)
-    last = F.try_element_at("_lines", F.lit(-1))
-    need_sep = (F.size("_lines") > 0) & ~T.is_blank(last) & ~last.rlike(P.FOOTNOTE) & (F.size(app_data) > 0)
-    out = F.when(need_sep, F.concat("_lines", F.array(F.lit("")), app_data)).otherwise(F.concat("_lines", app_data))
-    d = d.withColumn("_out", out)
+    d = d.withColumn("_folded", folded)
+    orig = F.transform("_lines", lambda x, i: F.struct((i + 1).alias("line_no"), F.lit(1).alias("pr"), x.alias("t")))
+    new = F.transform("_folded", lambda f: F.struct(f["line_no"].alias("line_no"), f["pr"].alias("pr"), f["r"]["text"].alias("t")))
+    merged = F.array_sort(F.concat(new, orig))
+    d = d.withColumn("_merged", merged)
+    kept = F.filter("_merged", lambda x, i: (i == 0) | (F.get(F.col("_merged"), i - 1)["line_no"] != x["line_no"]))
+    d = d.withColumn("_body", F.transform(kept, lambda x: x["t"]))
+    # Row 58: appended footnotes with one separator line when needed.
+    apps = F.col("apps")
+    app_data = F.transform(apps, lambda a: a["data"])
+    last = F.try_element_at("_body", F.lit(-1))
+    need_sep = (F.size("_body") > 0) & ~T.is_blank(last) & ~last.rlike(P.FOOTNOTE) & (F.size(app_data) > 0)
+    d = d.withColumn("_out", F.when(need_sep, F.concat("_body", F.array(F.lit("")), app_data)).otherwise(F.concat("_body", app_data)))
     # Row 59: end with one (original) EOL.
-    fin = F.when((F.size("_out") > 0) & ~T.is_blank(F.try_element_at("_out", F.lit(-1))), F.concat("_out", F.array(F.lit("")))).otherwise(F.col("_out"))
-    d = d.withColumn("_final", fin)
-    app_err = F.when(
-        F.coalesce(F.size(bad_app), F.lit(0)) > 0, F.concat(F.lit("invalid action type for line=0 in file "), F.col("path"))
+    fin = F.when((F.size("_out") > 0) & ~T.is_blank(F.try_element_at("_out", F.lit(-1))), F.concat("_out", F.array(F.lit("")))).otherwise(
+        F.col("_out")
     )
-    app_err_seq = F.try_element_at(bad_app, F.lit(1))["seq"]
     # Row 60: the first failing action (in action order) wins.
-    errs = F.array_sort(
-        F.filter(
-            F.array(
-                F.struct(F.lit(0).alias("s"), F.col("doc_error").alias("e")),
-                F.struct(F.coalesce("edit_error_seq", F.lit(BIG)).alias("s"), F.col("edit_error").alias("e")),
-                F.struct(F.coalesce("miss_seq", F.lit(BIG)).alias("s"), F.col("miss_error").alias("e")),
-                F.struct(F.coalesce(app_err_seq, F.lit(BIG)).alias("s"), app_err.alias("e")),
-            ),
-            lambda x: x["e"].isNotNull(),
-        )
+    fold_errs = F.transform(
+        F.filter("_folded", lambda f: f["r"]["err"].isNotNull()), lambda f: F.struct(f["r"]["err_seq"].alias("s"), f["r"]["err"].alias("e"))
+    )
+    miss_errs = F.transform(
+        F.filter(edits, lambda e: ~in_range(e)),
+        lambda e: F.struct(
+            e["first_seq"].alias("s"), F.format_string("line %d doesn't exist in file %s", e["line_no"], F.col("path")).alias("e")
+        ),
+    )
+    app_errs = F.transform(
+        F.filter(apps, lambda a: a["type"] != P.ACTION_FOOTNOTE),
+        lambda a: F.struct(a["seq"].alias("s"), F.concat(F.lit("invalid action type for line=0 in file "), F.col("path")).alias("e")),
     )
-    return d.select(
+    doc_errs = F.filter(F.array(F.struct(F.lit(0).alias("s"), F.col("doc_error").alias("e"))), lambda x: x["e"].isNotNull())
+    errs = F.array_sort(F.concat(doc_errs, fold_errs, miss_errs, app_errs))
+    return d.withColumn("_fin", fin).select(
         "path",
-        F.expr("array_join(_final, eol)").alias("content"),
+        F.expr("array_join(_fin, eol)").alias("content"),
         F.lit(True).alias("changed"),
         F.try_element_at(errs, F.lit(1))["e"].alias("apply_error"),
     )

@@ -71,7 +71,12 @@ class TraceResult:
 
         name = name or inspect.stack()[1].function
         path = os.path.join(self._run_dir, name)
-        df.write.mode("overwrite").parquet(path)
+        sc = df.sparkSession.sparkContext
+        sc.setJobDescription(f"tracegraph stage {name}")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            sc.setJobDescription(None)
         return df.sparkSession.read.parquet(path)
 
     # ---------------------------------------------------------------- scan
@@ -243,7 +248,7 @@ class TraceResult:
     @cached_property
     def coverage_all(self) -> DataFrame:
         """Coverage before the phase gate."""
-        return self._stage(C.coverage(self.registered, self.fmatch, self.new_coverers, self.current_coverers, self.max_ids))
+        return self._stage(C.coverage(self.reg_m, self.new_coverers, self.current_coverers, C.max_footnote_ids(self.ident, self.footnotes)))
 
     @cached_property
     def actions_all(self) -> DataFrame:
