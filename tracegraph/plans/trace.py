@@ -20,6 +20,7 @@ analysis or rewrite output is first asked for.
 from __future__ import annotations
 
 import os
+import sys
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -67,9 +68,7 @@ class TraceResult:
         column pruning downstream, survives executor loss)."""
         if not self.materialize:
             return df
-        import inspect
-
-        name = name or inspect.stack()[1].function
+        name = name or sys._getframe(1).f_code.co_name
         path = os.path.join(self._run_dir, name)
         sc = df.sparkSession.sparkContext
         sc.setJobDescription(f"tracegraph stage {name}")
@@ -173,7 +172,9 @@ class TraceResult:
     @cached_property
     def tags(self) -> DataFrame:
         """Row 24 applied: tags of retained files (Q5), minus ignored files."""
-        return self._stage(X.retained_tags(self._not_ignored(self.all_tags), self.sites))
+        # sites already exclude ignored files, so the Markdown half needs no
+        # anti-join; ignored packages exist only in Markdown files
+        return self._stage(X.retained_tags(self.all_tags, self.sites))
 
     @cached_property
     def types(self):
