@@ -19,7 +19,6 @@ analysis or rewrite output is first asked for.
 
 from __future__ import annotations
 
-import os
 import sys
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -60,7 +59,7 @@ class TraceResult:
     def _run_dir(self) -> str:
         import uuid
 
-        return os.path.join(checkpoint_dir(self.files.sparkSession), "tracegraph", "run-" + uuid.uuid4().hex[:12])
+        return checkpoint_dir(self.files.sparkSession).rstrip("/") + "/tracegraph/run-" + uuid.uuid4().hex[:12]
 
     def _stage(self, df: DataFrame, name: str | None = None) -> DataFrame:
         """Cut the lineage at a stage boundary: write the stage once as Parquet
@@ -69,7 +68,7 @@ class TraceResult:
         if not self.materialize:
             return df
         name = name or sys._getframe(1).f_code.co_name
-        path = os.path.join(self._run_dir, name)
+        path = self._run_dir + "/" + name
         sc = df.sparkSession.sparkContext
         sc.setJobDescription(f"tracegraph stage {name}")
         try:

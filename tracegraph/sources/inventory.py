@@ -116,7 +116,7 @@ def gated_inventory(files: DataFrame, tracked: DataFrame | None, extensions: str
     processed count (Q1)."""
     f = dot_folder_prune(files)
     if tracked is not None:
-        t = tracked.select("repo_id", "rel_path").withColumn("_t", F.lit(True))
+        t = tracked.select("repo_id", "rel_path").dropDuplicates().withColumn("_t", F.lit(True))
         # the tracked list is a per-repository table: joined, never broadcast blindly
         f = f.join(t, ["repo_id", "rel_path"], "left").withColumn("is_tracked", F.coalesce("_t", F.lit(False))).drop("_t")
     elif "tracked" in files.columns:
