@@ -279,7 +279,8 @@ class TraceResult:
     @cached_property
     def docs(self) -> DataFrame:
         """Rewritten Markdown documents (rows 54-60); empty when gated."""
-        return self._stage(R.apply_actions(self.scanned.select("path", "content"), self.actions))
+        md = self.scanned.filter(F.col("kind") == "md").select("path", "content")
+        return self._stage(R.apply_actions(md, self.actions))
 
 
 def trace(files: DataFrame, repos: DataFrame, *, tracked: DataFrame | None = None, extensions: str | None = None,
