@@ -27,11 +27,6 @@ REQ_KEY = ["package", "name"]
 SITE_KEY = ["root_ord", "path", "line_no"]
 
 
-def sites_with_package(sites: DataFrame, file_pkgs: DataFrame) -> DataFrame:
-    pk = file_pkgs.select(*FILE_KEY, "package")
-    return sites.join(pk, FILE_KEY, "left").withColumn("package", F.coalesce("package", F.lit("")))
-
-
 def err_nopkgidreqs(sites_p: DataFrame, header_key: str) -> DataFrame:
     """Row 34: Markdown with sites but no package; line of the first site."""
     bad = sites_p.filter(F.col("package") == "").groupBy(*FILE_KEY).agg(F.min("line_no").alias("line_no"))
@@ -94,13 +89,13 @@ def footnote_match(reg: DataFrame, footnotes: DataFrame) -> DataFrame:
     )
 
 
-def err_pkgmismatch(reg_m: DataFrame, footnotes: DataFrame, file_pkgs: DataFrame) -> DataFrame:
+def err_pkgmismatch(reg_m: DataFrame, footnotes: DataFrame) -> DataFrame:
     """Row 35 (Q19): per registered site, every footnote of a different package
     that stands before the site's first matching footnote (all of them when
-    none matches). An equi-join on the file with a range condition."""
-    pk = file_pkgs.select(*FILE_KEY, F.col("package").alias("file_pkg"))
-    mism = footnotes.join(pk, FILE_KEY).filter(F.col("package") != F.col("file_pkg"))
-    mism = mism.select(*FILE_KEY, F.col("line_no").alias("f_line"), F.col("package").alias("f_pkg"), "file_pkg")
+    none matches). An equi-join on the file with a range condition; only
+    mismatching footnotes (an error condition) take part."""
+    mism = footnotes.filter(F.col("package") != F.col("file_package"))
+    mism = mism.select(*FILE_KEY, F.col("line_no").alias("f_line"), F.col("package").alias("f_pkg"), F.col("file_package").alias("file_pkg"))
     s = reg_m.select(*FILE_KEY, F.coalesce("match_line", F.lit(2**31 - 1)).alias("limit_line"))
     pairs = s.join(mism, FILE_KEY).filter(F.col("f_line") < F.col("limit_line"))
     msg = F.format_string(P.MSG_PKGMISMATCH, F.col("f_pkg"), F.col("file_pkg"))

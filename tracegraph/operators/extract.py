@@ -13,22 +13,25 @@ from ..functions import text as T
 from .lines import FILE_COLS, FILE_KEY
 
 
-def extract_tags(lines: DataFrame) -> DataFrame:
+def extract_tags(lines: DataFrame, extra=()) -> DataFrame:
     """Row 18: every coverage tag of a line (Q13: a tag needs one preceding
     character that is not a backtick; Q14: a name holding ``/`` gives the
-    empty id, which joins to nothing but still counts for retention)."""
+    empty id, which joins to nothing but still counts for retention).
+    ``extra`` columns of the line are carried along."""
+    extra = list(extra)
     cand = lines.filter(F.col("line").contains("[~"))
     z = F.arrays_zip(
         F.regexp_extract_all("line", F.lit(P.TAG), 1).alias("p"),
         F.regexp_extract_all("line", F.lit(P.TAG), 2).alias("n"),
         F.regexp_extract_all("line", F.lit(P.TAG), 3).alias("t"),
     )
-    ex = cand.select(*FILE_COLS, "kind", "line_no", F.posexplode(z).alias("tag_ord", "m"))
+    ex = cand.select(*FILE_COLS, "kind", "line_no", *extra, F.posexplode(z).alias("tag_ord", "m"))
     bad = F.col("m.n").contains("/")
     return ex.select(
         *FILE_COLS,
         "kind",
         "line_no",
+        *extra,
         (F.col("tag_ord") + 1).cast("int").alias("tag_ord"),
         F.when(bad, F.lit("")).otherwise(F.col("m.p")).alias("package"),
         F.when(bad, F.lit("")).otherwise(F.col("m.n")).alias("name"),
@@ -38,19 +41,20 @@ def extract_tags(lines: DataFrame) -> DataFrame:
 
 def record_lines(state: DataFrame) -> DataFrame:
     """Markdown lines that may hold sites and footnotes: outside code and
-    header, and neither a fence nor a ``---`` line."""
-    return state.filter(~F.col("in_code") & ~F.col("in_header") & ~F.col("is_fence") & ~F.col("is_dash"))
+    header, neither a fence nor a ``---`` line, in a file that is not ignored."""
+    return state.filter(F.col("is_record") & ~F.col("file_ignored"))
 
 
 def site_candidates(records: DataFrame) -> DataFrame:
     """Lines with site matches: the match count, the first two matches and the
     groups of the (only) match when there is exactly one."""
     c = records.filter(F.col("line").contains("`~"))
-    c = c.select(*FILE_COLS, "line_no", "line", F.regexp_extract_all("line", F.lit(P.SITE), 0).alias("_all"))
+    c = c.select(*FILE_COLS, "line_no", "line", "file_package", F.regexp_extract_all("line", F.lit(P.SITE), 0).alias("_all"))
     c = c.filter(F.size("_all") > 0)
     return c.select(
         *FILE_COLS,
         "line_no",
+        F.col("file_package").alias("package"),
         F.size("_all").alias("n_sites"),
         F.get("_all", 0).alias("first_match"),
         F.get("_all", 1).alias("second_match"),
@@ -69,6 +73,7 @@ def extract_sites(cands: DataFrame) -> DataFrame:
     return one.filter(ok).select(
         *FILE_COLS,
         "line_no",
+        "package",
         "name",
         "footnote_id",
         "status_word",
@@ -83,6 +88,7 @@ def footnote_lines(records: DataFrame) -> DataFrame:
     return f.select(
         *FILE_COLS,
         "line_no",
+        "file_package",
         F.regexp_extract("line", P.FOOTNOTE, 1).alias("footnote_id"),
         F.regexp_extract("line", P.FOOTNOTE, 2).alias("package"),
         F.regexp_extract("line", P.FOOTNOTE, 5).alias("rest"),
@@ -92,7 +98,7 @@ def footnote_lines(records: DataFrame) -> DataFrame:
 def extract_footnotes(fn_lines: DataFrame) -> DataFrame:
     """Row 20: footnote id and hint package (Q18: any footnote line counts; no
     hint gives the empty package)."""
-    return fn_lines.select(*FILE_COLS, "line_no", "footnote_id", "package")
+    return fn_lines.select(*FILE_COLS, "line_no", "footnote_id", "package", "file_package")
 
 
 def raw_coverers(fn_lines: DataFrame) -> DataFrame:
@@ -122,12 +128,12 @@ def retained_markdown(sites: DataFrame) -> DataFrame:
     return sites.select(*FILE_KEY).distinct()
 
 
-def retained_tags(tags: DataFrame, sites: DataFrame) -> DataFrame:
+def retained_tags(tags: DataFrame) -> DataFrame:
     """Row 24 applied to tags (Q5): a source tag always keeps its file; a
-    Markdown tag counts only when its file has a site."""
-    src = tags.filter(F.col("kind") == "src")
-    md = tags.filter(F.col("kind") == "md").join(retained_markdown(sites), FILE_KEY, "left_semi")
-    return src.unionByName(md)
+    Markdown tag counts only when its file has a site (and is not ignored).
+    ``tags`` carries the per-file flags of the Markdown state."""
+    keep = (F.col("kind") == "src") | (F.col("file_has_site") & ~F.col("file_ignored"))
+    return tags.filter(keep).drop("file_has_site", "file_ignored")
 
 
 def retained_files(files: DataFrame, tags: DataFrame, sites: DataFrame) -> DataFrame:

@@ -115,45 +115,62 @@ def candidate_flags(lines: DataFrame, header_key: str = P.DEFAULT_HEADER_KEY) ->
     )
 
 
-def markdown_state(md_cand: DataFrame) -> DataFrame:
-    """Rows 14-15: code-fence and header state of each Markdown candidate line.
+def markdown_state(md_cand: DataFrame, header_key: str = P.DEFAULT_HEADER_KEY) -> DataFrame:
+    """Rows 14-17: code-fence and header state of each Markdown candidate line,
+    plus per-file facts as whole-file window aggregates on the same partitioning
+    (one shuffle): the package (last header line wins), the ignored flag, whether
+    the file has a valid site (retention, Q5) and the unmatched-fence facts.
 
     ``in_code`` is the state *before* the line (an opening fence line is still
     outside code, a closing one inside); ``in_header`` holds for lines after a
-    first line ``---`` up to (not including) the next ``---`` line."""
+    first line ``---`` up to (not including) the next ``---`` line. Overlong-line
+    markers (``is_long``) ride along but never change state."""
+    live = ~F.col("is_long")
+    d = md_cand.withColumn("is_fence", F.col("is_fence") & live).withColumn("is_dash", F.col("is_dash") & live)
     w = Window.partitionBy(*FILE_KEY).orderBy("line_no")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fences_before = F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0))
     dashes_upto = F.coalesce(F.sum((F.col("is_dash") & (F.col("line_no") > 1)).cast("int")).over(upto), F.lit(0))
     header_open = F.max((F.col("is_dash") & (F.col("line_no") == 1)).cast("int")).over(upto)
-    return md_cand.select(
+    s = d.select(
         "*",
         (fences_before % 2 == 1).alias("in_code"),
         ((header_open == 1) & (dashes_upto == 0) & (F.col("line_no") > 1)).alias("in_header"),
     )
+    pat = P.header_pattern(header_key)
+    is_hdr = F.col("in_header") & ~F.col("is_fence") & ~F.col("is_dash") & live & F.col("line").rlike(pat)
+    s = s.withColumn("hdr_pkg", F.when(is_hdr, T.utrim(F.regexp_extract("line", pat, 1))))
+    rec = ~F.col("in_code") & ~F.col("in_header") & ~F.col("is_fence") & ~F.col("is_dash") & live
+    s = s.withColumn("is_record", rec)
+    one_site = rec & F.col("line").contains("`~") & (F.size(F.regexp_extract_all("line", F.lit(P.SITE), 0)) == 1)
+    word, fid = F.regexp_extract("line", P.SITE, 2), F.regexp_extract("line", P.SITE, 3)
+    valid_site = one_site & word.isin(*P.STATUS_WORDS) & ~((fid != "") & (word == ""))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return s.select(
+        "*",
+        F.coalesce(F.last("hdr_pkg", ignorenulls=True).over(whole), F.lit("")).alias("file_package"),
+        F.coalesce(F.max(F.col("hdr_pkg").startswith(P.IGNORED_PACKAGE_PREFIX).cast("int")).over(whole), F.lit(0)).cast("boolean").alias("file_ignored"),
+        F.coalesce(F.max(valid_site.cast("int")).over(whole), F.lit(0)).cast("boolean").alias("file_has_site"),
+        F.sum(F.col("is_fence").cast("int")).over(whole).alias("file_n_fences"),
+        F.max(F.when(F.col("is_fence") & ~F.col("in_code"), F.col("line_no"))).over(whole).alias("file_last_open"),
+    )
 
 
-def package_lines(state: DataFrame, header_key: str = P.DEFAULT_HEADER_KEY) -> DataFrame:
+def package_lines(state: DataFrame) -> DataFrame:
     """Header lines with the package key (row 16 input, row 25 input)."""
-    pat = P.header_pattern(header_key)
-    hdr = state.filter(F.col("in_header") & ~F.col("is_fence") & ~F.col("is_dash") & F.col("line").rlike(pat))
-    return hdr.select(*FILE_COLS, "line_no", T.utrim(F.regexp_extract("line", pat, 1)).alias("package"))
+    return state.filter(F.col("hdr_pkg").isNotNull()).select(*FILE_COLS, "line_no", F.col("hdr_pkg").alias("package"), "file_ignored")
 
 
-def package_of_file(pkg_lines: DataFrame) -> DataFrame:
-    """Row 16 + row 17: the last package line wins; a package starting with
-    ``ignoreme`` drops the whole file (with its errors)."""
-    return pkg_lines.groupBy(*FILE_KEY).agg(
-        F.max_by("package", "line_no").alias("package"),
-        F.bool_or(F.col("package").startswith(P.IGNORED_PACKAGE_PREFIX)).alias("ignored"),
-    )
+def package_of_file(state: DataFrame) -> DataFrame:
+    """Row 16 + row 17: per Markdown file with a package line, the package (the
+    last one wins) and whether it starts with ``ignoreme`` (Q12)."""
+    h = state.filter(F.col("hdr_pkg").isNotNull())
+    return h.groupBy(*FILE_KEY).agg(F.first("file_package").alias("package"), F.first("file_ignored").alias("ignored"))
 
 
 def unmatched_fences(state: DataFrame) -> DataFrame:
-    """Row 30 input: per Markdown file, fence count parity and last opener."""
-    f = state.filter("is_fence")
-    return f.groupBy(*FILE_KEY).agg(
-        F.count("*").alias("n_fences"),
-        F.max(F.when(~F.col("in_code"), F.col("line_no"))).alias("last_open"),
-    ).filter(F.col("n_fences") % 2 == 1)
+    """Row 30 input: the last opening fence of a file whose fences do not pair."""
+    return state.filter(
+        F.col("is_fence") & (F.col("line_no") == F.col("file_last_open")) & (F.col("file_n_fences") % 2 == 1)
+    ).select(*FILE_COLS, F.col("line_no").alias("last_open"), "file_ignored")

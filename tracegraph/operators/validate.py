@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from .lines import FILE_KEY
 
 ERROR_COLS = ["phase", "code", "root_ord", "path", "line_no", "message"]
 
@@ -28,7 +27,7 @@ def _err(df: DataFrame, phase: str, code: str, message, line="line_no") -> DataF
 
 def err_pkgident(pkg_lines: DataFrame) -> DataFrame:
     """Row 25: a header package that is not an identifier (still stored)."""
-    bad = pkg_lines.filter(~T.is_ident("package"))
+    bad = pkg_lines.filter(~F.col("file_ignored") & ~T.is_ident("package"))
     return _err(bad, "scan", P.ERR_PKGIDENT, F.concat(F.lit(P.MSG_PKGIDENT), F.col("package")))
 
 
@@ -66,7 +65,7 @@ def err_multisites(cands: DataFrame) -> DataFrame:
 def err_unmatchedfence(unmatched: DataFrame) -> DataFrame:
     """Row 30: a fence still open at the end of the file; line of the last opener."""
     msg = F.format_string(P.MSG_UNMATCHEDFENCE, F.col("last_open"))
-    return _err(unmatched, "scan", P.ERR_UNMATCHEDFENCE, msg, line="last_open")
+    return _err(unmatched.filter(~F.col("file_ignored")), "scan", P.ERR_UNMATCHEDFENCE, msg, line="last_open")
 
 
 def err_reqtype(cands: DataFrame, types: DataFrame | None, identifiers: list[str] | None) -> DataFrame | None:
@@ -82,12 +81,6 @@ def err_reqtype(cands: DataFrame, types: DataFrame | None, identifiers: list[str
     return _err(bad, "scan", P.ERR_REQTYPE, msg)
 
 
-def drop_ignored(errors: DataFrame, file_pkgs: DataFrame) -> DataFrame:
-    """Q12: a file whose package starts with ``ignoreme`` reports nothing."""
-    ignored = file_pkgs.filter("ignored").select(*FILE_KEY)
-    return errors.join(ignored, FILE_KEY, "left_anti")
-
-
 def union_errors(parts) -> DataFrame:
     parts = [p.select(*ERROR_COLS) for p in parts if p is not None]
     out = parts[0]

@@ -112,32 +112,33 @@ class TraceResult:
 
     @cached_property
     def md_state(self) -> DataFrame:
-        """Stage 2: Markdown candidate lines with fence and header state."""
-        md = self.cand_lines.filter((F.col("kind") == "md") & ~F.col("is_long"))
-        return self._stage(L.markdown_state(md))
+        """Stage 2: Markdown candidate lines with fence and header state and
+        the per-file facts (package, ignored, has a site, fence pairing)."""
+        md = self.cand_lines.filter(F.col("kind") == "md")
+        return self._stage(L.markdown_state(md, self.options.header_key))
 
     @cached_property
     def pkg_lines(self) -> DataFrame:
-        return L.package_lines(self.md_state, self.options.header_key)
+        return L.package_lines(self.md_state)
 
     @cached_property
     def file_pkgs(self) -> DataFrame:
-        return self._stage(L.package_of_file(self.pkg_lines))
+        """Rows 16-17: package and ignored flag of Markdown files with a package line."""
+        return L.package_of_file(self.md_state)
 
     @cached_property
     def ignored_files(self) -> DataFrame:
-        return self.file_pkgs.filter("ignored").select(*L.FILE_KEY)
-
-    def _not_ignored(self, df: DataFrame) -> DataFrame:
-        return df.join(self.ignored_files, L.FILE_KEY, "left_anti")
+        return self.md_state.filter("file_ignored").select(*L.FILE_KEY).distinct()
 
     @cached_property
     def all_tags(self) -> DataFrame:
-        """Row 18 over every scanned file (before retention)."""
+        """Row 18 over every scanned file (before retention), with the
+        per-file flags the retention rule needs."""
         src = self.cand_lines.filter((F.col("kind") == "src") & ~F.col("is_long"))
-        md = self.md_state.filter(~F.col("in_code"))
-        cols = L.FILE_COLS + ["kind", "line_no", "line"]
-        return X.extract_tags(src.select(*cols).unionByName(md.select(*cols)))
+        src = src.withColumn("file_has_site", F.lit(True)).withColumn("file_ignored", F.lit(False))
+        md = self.md_state.filter(~F.col("in_code") & ~F.col("is_long"))
+        cols = L.FILE_COLS + ["kind", "line_no", "line", "file_has_site", "file_ignored"]
+        return X.extract_tags(src.select(*cols).unionByName(md.select(*cols)), extra=("file_has_site", "file_ignored"))
 
     @cached_property
     def records(self) -> DataFrame:
@@ -149,12 +150,12 @@ class TraceResult:
 
     @cached_property
     def sites(self) -> DataFrame:
-        """Row 19, minus files with an ignored package."""
-        return self._stage(self._not_ignored(X.extract_sites(self.site_cands)))
+        """Row 19 (files with an ignored package are already left out)."""
+        return self._stage(X.extract_sites(self.site_cands))
 
     @cached_property
     def fn_lines(self) -> DataFrame:
-        return self._not_ignored(X.footnote_lines(self.records))
+        return X.footnote_lines(self.records)
 
     @cached_property
     def footnotes(self) -> DataFrame:
@@ -171,9 +172,7 @@ class TraceResult:
     @cached_property
     def tags(self) -> DataFrame:
         """Row 24 applied: tags of retained files (Q5), minus ignored files."""
-        # sites already exclude ignored files, so the Markdown half needs no
-        # anti-join; ignored packages exist only in Markdown files
-        return self._stage(X.retained_tags(self.all_tags, self.sites))
+        return self._stage(X.retained_tags(self.all_tags))
 
     @cached_property
     def types(self):
@@ -195,13 +194,16 @@ class TraceResult:
             V.err_unmatchedfence(L.unmatched_fences(self.md_state)),
             V.err_reqtype(self.site_cands, types_df, idents),
         ]
-        errs = V.drop_ignored(V.union_errors(parts), self.file_pkgs)
-        return self._stage(errs.unionByName(self._not_ignored(L.read_errors(self.cand_lines))))
+        src_long = self.cand_lines.filter(F.col("kind") == "src")
+        md_long = self.md_state.filter(~F.col("file_ignored"))
+        parts += [L.read_errors(src_long), L.read_errors(md_long)]
+        return self._stage(V.union_errors(parts))
 
     # ------------------------------------------------------------- analyze
     @cached_property
     def sites_p(self) -> DataFrame:
-        return C.sites_with_package(self.sites, self.file_pkgs)
+        """Sites with the package of their file (carried from the Markdown state)."""
+        return self.sites
 
     @cached_property
     def ident(self) -> DataFrame:
@@ -241,7 +243,7 @@ class TraceResult:
         parts = [
             C.err_nopkgidreqs(self.sites_p, self.options.header_key),
             C.err_dupreqid(self.ident),
-            C.err_pkgmismatch(self.reg_m, self.footnotes, self.file_pkgs),
+            C.err_pkgmismatch(self.reg_m, self.footnotes),
         ]
         return self._stage(V.union_errors(parts))
 
