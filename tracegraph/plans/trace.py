@@ -75,7 +75,7 @@ class TraceResult:
             df.write.mode("overwrite").parquet(path)
         finally:
             sc.setJobDescription(None)
-        return df.sparkSession.read.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
     # ---------------------------------------------------------------- scan
     @cached_property
