@@ -145,21 +145,13 @@ def coverage_diff(cur: DataFrame, new: DataFrame) -> DataFrame:
     return requirement_stats(cur, new).filter("changed").select(*REQ_KEY, "changed")
 
 
-def max_footnote_ids(ident: DataFrame, footnotes: DataFrame) -> DataFrame:
-    """Row 46 (lean form): largest integer id per file over its sites and
-    footnotes; files without one get 0 where joined."""
-    ids = ident.filter(F.col("footnote_id") != "").select(*FILE_KEY, "footnote_id").unionByName(
-        footnotes.select(*FILE_KEY, "footnote_id")
-    )
-    return ids.groupBy(*FILE_KEY).agg(F.greatest(F.coalesce(F.max(T.int_id("footnote_id")), F.lit(0)), F.lit(0)).alias("max_id"))
-
-
-def coverage(reg_m: DataFrame, new: DataFrame, cur: DataFrame, max_ids: DataFrame) -> DataFrame:
+def coverage(reg_m: DataFrame, new: DataFrame, cur: DataFrame) -> DataFrame:
     """Rows 44, 46, 47: one row per registered requirement with its status, the
     coverer counts, the diff flag and the footnote id to write. ``reg_m`` is the
-    registered sites with their footnote match (row 42)."""
+    registered sites with their footnote match (row 42) and the largest integer
+    id of their file (row 46, a window aggregate of the Markdown state)."""
     stats = requirement_stats(cur, new)
-    c = reg_m.join(stats, REQ_KEY, "left").join(max_ids, FILE_KEY, "left")
+    c = reg_m.join(stats, REQ_KEY, "left").withColumnRenamed("file_max_id", "max_id")
     c = c.select(
         *REQ_KEY,
         "root_ord",

@@ -49,12 +49,13 @@ def site_candidates(records: DataFrame) -> DataFrame:
     """Lines with site matches: the match count, the first two matches and the
     groups of the (only) match when there is exactly one."""
     c = records.filter(F.col("line").contains("`~"))
-    c = c.select(*FILE_COLS, "line_no", "line", "file_package", F.regexp_extract_all("line", F.lit(P.SITE), 0).alias("_all"))
+    c = c.select(*FILE_COLS, "line_no", "line", "file_package", "file_max_id", F.regexp_extract_all("line", F.lit(P.SITE), 0).alias("_all"))
     c = c.filter(F.size("_all") > 0)
     return c.select(
         *FILE_COLS,
         "line_no",
         F.col("file_package").alias("package"),
+        "file_max_id",
         F.size("_all").alias("n_sites"),
         F.get("_all", 0).alias("first_match"),
         F.get("_all", 1).alias("second_match"),
@@ -79,12 +80,13 @@ def extract_sites(cands: DataFrame) -> DataFrame:
         "status_word",
         "emoji",
         (F.col("footnote_id") != "").alias("annotated"),
+        "file_max_id",
     )
 
 
 def footnote_lines(records: DataFrame) -> DataFrame:
     """Lines that are coverage footnotes, with the rest text (group 5)."""
-    f = records.filter(F.col("line").contains("[^") & F.col("line").rlike(P.FOOTNOTE))
+    f = records.filter("is_foot")
     return f.select(
         *FILE_COLS,
         "line_no",

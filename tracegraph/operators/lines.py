@@ -146,9 +146,16 @@ def markdown_state(md_cand: DataFrame, header_key: str = P.DEFAULT_HEADER_KEY) -
     one_site = rec & F.col("line").contains("`~") & (F.size(F.regexp_extract_all("line", F.lit(P.SITE), 0)) == 1)
     word, fid = F.regexp_extract("line", P.SITE, 2), F.regexp_extract("line", P.SITE, 3)
     valid_site = one_site & word.isin(*P.STATUS_WORDS) & ~((fid != "") & (word == ""))
+    s = s.withColumn("is_foot", rec & F.col("line").contains("[^") & F.col("line").rlike(P.FOOTNOTE))
+    # Row 46: integer ids of the file's sites and footnotes, as strconv.Atoi reads them
+    row_id = F.greatest(
+        F.when(valid_site & (fid != ""), T.int_id(fid)),
+        F.when(F.col("is_foot"), T.int_id(F.regexp_extract("line", P.FOOTNOTE, 1))),
+    )
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return s.select(
         "*",
+        F.greatest(F.coalesce(F.max(row_id).over(whole), F.lit(0)), F.lit(0)).alias("file_max_id"),
         F.coalesce(F.last("hdr_pkg", ignorenulls=True).over(whole), F.lit("")).alias("file_package"),
         F.coalesce(F.max(F.col("hdr_pkg").startswith(P.IGNORED_PACKAGE_PREFIX).cast("int")).over(whole), F.lit(0)).cast("boolean").alias("file_ignored"),
         F.coalesce(F.max(valid_site.cast("int")).over(whole), F.lit(0)).cast("boolean").alias("file_has_site"),

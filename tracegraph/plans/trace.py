@@ -250,7 +250,7 @@ class TraceResult:
     @cached_property
     def coverage_all(self) -> DataFrame:
         """Coverage before the phase gate."""
-        return self._stage(C.coverage(self.reg_m, self.new_coverers, self.current_coverers, C.max_footnote_ids(self.ident, self.footnotes)))
+        return self._stage(C.coverage(self.reg_m, self.new_coverers, self.current_coverers))
 
     @cached_property
     def actions_all(self) -> DataFrame:
