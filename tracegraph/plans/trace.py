@@ -146,12 +146,13 @@ class TraceResult:
 
     @cached_property
     def site_cands(self) -> DataFrame:
-        return self._stage(X.site_candidates(self.records))
+        # map-only over the staged Markdown state: recomputed, not written
+        return X.site_candidates(self.records)
 
     @cached_property
     def sites(self) -> DataFrame:
         """Row 19 (files with an ignored package are already left out)."""
-        return self._stage(X.extract_sites(self.site_cands))
+        return X.extract_sites(self.site_cands)
 
     @cached_property
     def fn_lines(self) -> DataFrame:
@@ -159,7 +160,7 @@ class TraceResult:
 
     @cached_property
     def footnotes(self) -> DataFrame:
-        return self._stage(X.extract_footnotes(self.fn_lines))
+        return X.extract_footnotes(self.fn_lines)
 
     @cached_property
     def raw_coverers(self) -> DataFrame:
@@ -197,7 +198,8 @@ class TraceResult:
         src_long = self.cand_lines.filter(F.col("kind") == "src")
         md_long = self.md_state.filter(~F.col("file_ignored"))
         parts += [L.read_errors(src_long), L.read_errors(md_long)]
-        return self._stage(V.union_errors(parts))
+        # checked with a bounded isEmpty; only written out when reported
+        return V.union_errors(parts)
 
     # ------------------------------------------------------------- analyze
     @cached_property
@@ -245,7 +247,7 @@ class TraceResult:
             C.err_dupreqid(self.ident),
             C.err_pkgmismatch(self.reg_m, self.footnotes),
         ]
-        return self._stage(V.union_errors(parts))
+        return V.union_errors(parts)
 
     @cached_property
     def coverage_all(self) -> DataFrame:
