@@ -225,3 +225,30 @@ def test_types_registry(spark):
     assert not [e for e in errs if e[0] == "reqtype" and e[2] == 6]  # unknown word stops first (Q16)
     types_df, idents = r.types
     assert sorted(tuple(x) for x in types_df.collect()) == [("cmp", 2), ("it", 0)] and idents == ["it", "cmp"]
+
+
+def test_analyze_prepared_records(spark):
+    """Entry C: the analyser on hand-made records (no text), as in the
+    original tool's analyser tests: a bare site after ids 19 and 21 gets 22."""
+    from tracegraph.plans.trace import analyze
+
+    sites = spark.createDataFrame(
+        [
+            (0, "r1", "/w/shop/a.md", "a.md", 5, "p", "A", "21", "uncvrd", "❓", True),
+            (0, "r1", "/w/shop/a.md", "a.md", 6, "p", "B", "", "", "", False),
+        ],
+        "root_ord int, repo_id string, path string, rel_path string, line_no int, package string, name string, "
+        "footnote_id string, status_word string, emoji string, annotated boolean",
+    )
+    footnotes = spark.createDataFrame([(0, "/w/shop/a.md", 9, "19", "p")], "root_ord int, path string, line_no int, footnote_id string, package string")
+    coverers = spark.createDataFrame([], "root_ord int, path string, line_no int, cov_ord int, label string, url string")
+    tags = spark.createDataFrame(
+        [(0, "r1", "/w/shop/t.go", "t.go", 2, "p", "B", "impl")],
+        "root_ord int, repo_id string, path string, rel_path string, line_no int, package string, name string, cov_type string",
+    )
+    res = analyze(sites, footnotes, coverers, tags, make_repos(spark))
+    assert res.errors.count() == 0
+    acts = [(a.type, a.line_no, a.data) for a in res.actions.orderBy("seq").collect()]
+    assert acts[0] == ("Footnote", 0, "[^21]: `[~p/A~impl]`")  # A has no footnote 21 (Q25)
+    assert acts[1] == ("Site", 6, "`~B~`covrd[^22]✅")
+    assert acts[2][0:2] == ("Footnote", 0) and acts[2][2].startswith("[^22]: `[~p/B~impl]` [t.go:2:impl](")

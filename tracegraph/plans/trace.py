@@ -299,3 +299,36 @@ def trace(files: DataFrame, repos: DataFrame, *, tracked: DataFrame | None = Non
     I.check_ignore_patterns(files.sparkSession, ignore_lines)
     opts = TraceOptions(extensions, tuple(ignore_lines or ()), types, header_key, max_bytes)
     return TraceResult(files, repos, tracked, opts, materialize)
+
+
+@dataclass
+class AnalysisResult:
+    errors: DataFrame
+    coverage: DataFrame
+    actions: DataFrame
+
+
+def analyze(sites: DataFrame, footnotes: DataFrame, coverers: DataFrame, tags: DataFrame, repos: DataFrame) -> AnalysisResult:
+    """Entry C: analysis of prepared entity tables, without any text.
+
+    ``sites``: ``(root_ord, repo_id, path, rel_path, line_no, package, name,
+    footnote_id, status_word, emoji, annotated)`` (``package`` is the file's);
+    ``footnotes``: ``(root_ord, path, line_no, footnote_id, package)``;
+    ``coverers``: ``(root_ord, path, line_no, cov_ord, label, url)``;
+    ``tags``: ``(root_ord, repo_id, path, rel_path, line_no, package, name, cov_type)``.
+    Outputs are lazy; ``actions`` is empty when there are semantic errors."""
+    file_pkg = sites.select(*L.FILE_KEY, F.col("package").alias("file_package")).dropDuplicates(L.FILE_KEY)
+    fns = footnotes.join(file_pkg, L.FILE_KEY)
+    ident0 = C.identify(sites.withColumn("file_max_id", F.lit(0)))
+    max_ids = C.max_footnote_id(ident0, fns)
+    ident = C.identify(sites.join(max_ids.withColumnRenamed("max_id", "file_max_id"), L.FILE_KEY, "left"))
+    reg = ident.filter("is_first").drop("first", "is_first")
+    reg_m = reg.join(C.footnote_match(reg, fns), C.SITE_KEY, "left")
+    new = C.new_coverers(reg, tags, I.repo_root_url(repos))
+    cur = C.current_coverers(reg_m, coverers)
+    errors = V.union_errors(
+        [C.err_nopkgidreqs(sites, P.DEFAULT_HEADER_KEY), C.err_dupreqid(ident), C.err_pkgmismatch(reg_m, fns)]
+    )
+    cov = C.coverage(reg_m, new, cur)
+    acts = C.actions(cov, new)
+    return AnalysisResult(errors, cov, acts if not V.has_rows(errors) else acts.limit(0))
