@@ -39,7 +39,7 @@ def _bigints(df: DataFrame) -> DataFrame:
 
 def traced(spark: SparkSession, sf_dir: str, faults: str | None = None, **opts) -> TraceResult:
     """The trace of a rendered corpus, shared by all queries of a session."""
-    key = (id(spark), os.path.abspath(sf_dir), faults, tuple(sorted(opts.items())))
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), faults, tuple(sorted(opts.items())))
     if key not in _TRACES:
         files = CO.corpus(spark, sf_dir, faults)
         _TRACES[key] = trace(files, CO.repos(spark), **opts)
