@@ -252,3 +252,19 @@ def test_analyze_prepared_records(spark):
     assert acts[0] == ("Footnote", 0, "[^21]: `[~p/A~impl]`")  # A has no footnote 21 (Q25)
     assert acts[1] == ("Site", 6, "`~B~`covrd[^22]✅")
     assert acts[2][0:2] == ("Footnote", 0) and acts[2][2].startswith("[^22]: `[~p/B~impl]` [t.go:2:impl](")
+
+
+def test_outputs_do_not_depend_on_row_order_or_partitions(spark):
+    b_md = "---\ntrace.package: q\n---\n`~X~`\n`~Y~`uncvrd[^3]❓\n\n[^3]: `[~q/Y~impl]`\n"
+    docs = {"docs/a.md": F1_MD, "src/t.go": F1_GO, "docs/b.md": b_md, "src/u.go": "x [~q/X~impl]\nx [~q/Y~test]\n"}
+    files = make_files(spark, docs)
+    base = trace(files, make_repos(spark))
+    want = sorted(tuple(a) for a in base.actions.collect())
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        shuffled = files.orderBy(files.path.desc()).repartition(5)
+        got = sorted(tuple(a) for a in trace(shuffled, make_repos(spark)).actions.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == want and len(want) > 0
