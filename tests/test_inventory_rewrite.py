@@ -145,3 +145,19 @@ def test_docs_sink_writes_table(spark):
     r, _ = _doc(spark, "---\ntrace.package: p\n---\n`~A~`\n")
     n = docs_sink(r.docs, tempfile.mkdtemp(prefix="tg-sink-", dir="/tmp") + "/out")
     assert n == 1
+
+
+def test_read_tree_feeds_trace(spark):
+    root = tempfile.mkdtemp(prefix="tg-tree2-", dir="/tmp")
+    docs = {"docs/a.md": "---\ntrace.package: p\n---\n`~A~`\n", "src/t.go": "x [~p/A~impl]\n", "big.md": "y" * 200}
+    for rel, text in docs.items():
+        p = os.path.join(root, rel)
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        with open(p, "w") as fh:
+            fh.write(text)
+    files = I.read_tree(spark, [(root, "r1")], max_bytes=100)
+    assert files.filter(F.col("rel_path") == "big.md").first().content is None
+    r = trace(files, make_repos(spark), max_bytes=100)
+    assert r.stats.first().skipped_files == 1
+    acts = [(a.type, a.line_no) for a in r.actions.orderBy("seq").collect()]
+    assert acts == [("Site", 4), ("Footnote", 0)]

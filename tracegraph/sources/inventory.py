@@ -220,26 +220,56 @@ def action_report(actions: DataFrame) -> DataFrame:
     )
 
 
-def read_tree(spark: SparkSession, roots: list[tuple[str, str]], tracked: DataFrame | None = None) -> DataFrame:
+def read_tree(spark: SparkSession, roots: list[tuple[str, str]], max_bytes: int = P.MAX_FILE_BYTES) -> DataFrame:
     """Files under folder roots as a ``files`` table.
 
-    The listing (names and sizes only) walks each root in order and prunes dot
-    folders like the tool does; Spark's own file listing would also hide names
-    starting with ``_`` or ``.``. Contents are then read inside tasks, and only
-    for files within the size gate's reach (``length`` is kept for stats)."""
-    rows = []
+    The driver lists only the immediate entries of each root; the sub-trees are
+    walked inside tasks (dot folders pruned like the tool does, while Spark's
+    own listing would also hide ``_x`` and ``.x`` names), and contents are read
+    in tasks only for files within ``max_bytes`` (larger ones keep their length
+    for the statistics and are skipped by the size gate)."""
+    tops = []
     for i, (root, repo_id) in enumerate(roots):
         root = os.path.abspath(root)
         if not os.path.exists(root):
             raise FileNotFoundError(f"path does not exist: {root}")
         if os.path.basename(root).startswith("."):
             continue
-        for d, dirs, fs in os.walk(root):
-            dirs[:] = sorted(x for x in dirs if not x.startswith("."))
-            for f in sorted(fs):
-                p = os.path.join(d, f)
-                rows.append((i, repo_id, root, p, os.path.relpath(p, root), os.path.getsize(p)))
-    listing = spark.createDataFrame(rows, "root_ord int, repo_id string, root_path string, path string, rel_path string, length bigint")
+        for name in sorted(os.listdir(root)):
+            tops.append((i, repo_id, root, os.path.join(root, name)))
+    top_schema = "root_ord int, repo_id string, root_path string, top string"
+    tops_df = spark.createDataFrame(tops, top_schema)
+    tops_df = tops_df.repartition(max(1, min(len(tops), spark.sparkContext.defaultParallelism)))
+    listing_schema = Ty.StructType(
+        [
+            Ty.StructField("root_ord", Ty.IntegerType()),
+            Ty.StructField("repo_id", Ty.StringType()),
+            Ty.StructField("root_path", Ty.StringType()),
+            Ty.StructField("path", Ty.StringType()),
+            Ty.StructField("rel_path", Ty.StringType()),
+            Ty.StructField("length", Ty.LongType()),
+        ]
+    )
+
+    def walk(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for i, repo_id, root, top in zip(b["root_ord"], b["repo_id"], b["root_path"], b["top"]):
+                if os.path.isdir(top):
+                    if os.path.basename(top).startswith("."):
+                        continue
+                    for d, dirs, fs in os.walk(top):
+                        dirs[:] = sorted(x for x in dirs if not x.startswith("."))
+                        for f in sorted(fs):
+                            p = os.path.join(d, f)
+                            rows.append((i, repo_id, root, p, os.path.relpath(p, root), os.path.getsize(p)))
+                else:
+                    rows.append((i, repo_id, root, top, os.path.relpath(top, root), os.path.getsize(top)))
+            yield pd.DataFrame(rows, columns=[f.name for f in listing_schema.fields])
+
+    listing = tops_df.mapInPandas(walk, listing_schema)
 
     def read(batches):
         import pandas as pd
@@ -247,13 +277,13 @@ def read_tree(spark: SparkSession, roots: list[tuple[str, str]], tracked: DataFr
         for b in batches:
             texts = []
             for p, n in zip(b["path"], b["length"]):
-                if n > P.MAX_FILE_BYTES * 64:
+                if n > max_bytes:
                     texts.append(None)
                     continue
                 with open(p, "rb") as fh:
                     texts.append(fh.read().decode("utf-8", errors="replace"))
             yield b.assign(content=pd.Series(texts, dtype=object), tracked=True)
 
-    schema = Ty.StructType(list(listing.schema.fields) + [
+    schema = Ty.StructType(list(listing_schema.fields) + [
         Ty.StructField("content", Ty.StringType()), Ty.StructField("tracked", Ty.BooleanType())])
     return listing.mapInPandas(read, schema)
