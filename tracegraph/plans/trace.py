@@ -94,7 +94,9 @@ class TraceResult:
 
     @cached_property
     def repo_urls(self) -> DataFrame:
-        return I.repo_root_url(self.repos)
+        """Row 7: one row per repository, broadcast behind a row-count check so
+        that tags never shuffle by ``repo_id`` (few keys, huge groups)."""
+        return I.sized_broadcast(I.repo_root_url(self.repos))
 
     @cached_property
     def lines(self) -> DataFrame:

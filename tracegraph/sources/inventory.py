@@ -163,6 +163,17 @@ def repo_root_url(repos: DataFrame) -> DataFrame:
     return repos.select("repo_id", url.alias("root_url"), err.alias("url_error"))
 
 
+MAX_BROADCAST_ROWS = 100_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a dimension table only behind a checked bound: its row count
+    (one small job) must not exceed ``max_rows``; beyond it the table is
+    joined by shuffle like any other."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 def type_registry(spark: SparkSession, text: str):
     """Row 23 (Q37): ordered type list from option text, validated once in the
     driver (it is option text, not data). Returns ``(DataFrame, identifiers)``."""
