@@ -65,3 +65,22 @@ def test_plans_stay_jvm_side_and_prune(spark, tmp_path):
         p = _plan(df)
         assert "PythonUDF" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_tags_never_shuffle_by_repository(spark, tmp_path):
+    """Few repositories hold all tags: the repository table is broadcast
+    behind a row-count check instead of a shuffle on ``repo_id``."""
+    from conftest import make_files
+
+    from tracegraph import trace
+
+    files = make_files(spark, {"a.md": "---\ntrace.package: p\n---\n`~A~`\n", "t.go": "x [~p/A~impl]\n"})
+    r = trace(files, make_repos(spark), materialize=False)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        p = _plan(r.new_coverers)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert "hashpartitioning(repo_id" not in p
+    assert "BroadcastExchange" in p
