@@ -76,9 +76,12 @@ def action_lists(actions: DataFrame) -> DataFrame:
 def apply_actions(files: DataFrame, actions: DataFrame) -> DataFrame:
     """Rows 56-60: rewritten documents ``(path, content, changed, apply_error)``.
 
-    ``files`` holds ``(path, content)``; only files with actions are returned."""
+    ``files`` holds ``(path, content)`` plus any columns to carry along (for
+    example ``repo_id`` and ``rel_path`` for a partitioned sink); only files
+    with actions are returned."""
+    extra = [c for c in files.columns if c not in ("path", "content")]
     lists = action_lists(actions)
-    docs = files.select("path", "content").join(lists, "path")
+    docs = files.join(lists, "path")
     docs = trim_trailing_blank(eol_detect_split(docs))
     mixed = F.col("content").contains("\r\n") & F.col("content").rlike("(?<!\r)\n")
     bad_bytes = F.col("content").contains("\ufffd")
@@ -134,6 +137,7 @@ def apply_actions(files: DataFrame, actions: DataFrame) -> DataFrame:
     errs = F.array_sort(F.concat(doc_errs, fold_errs, miss_errs, app_errs))
     return d.withColumn("_fin", fin).select(
         "path",
+        *extra,
         F.expr("array_join(_fin, eol)").alias("content"),
         F.lit(True).alias("changed"),
         F.try_element_at(errs, F.lit(1))["e"].alias("apply_error"),

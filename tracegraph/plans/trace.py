@@ -285,7 +285,7 @@ class TraceResult:
     @cached_property
     def docs(self) -> DataFrame:
         """Rewritten Markdown documents (rows 54-60); empty when gated."""
-        md = self.scanned.filter(F.col("kind") == "md").select("path", "content")
+        md = self.scanned.filter(F.col("kind") == "md").select("path", "repo_id", "rel_path", "content")
         return self._stage(R.apply_actions(md, self.actions))
 
 

@@ -208,15 +208,20 @@ def check_ignore_patterns(spark: SparkSession, patterns) -> None:
 
 
 def docs_sink(docs: DataFrame, target: str, mode: str = "overwrite") -> int:
-    """Row 9: write the changed documents as a table (never in place). Refuses
-    to write anything when any document has an ``apply_error``. Returns the
-    number of documents written."""
+    """Row 9: write the changed documents as a table (never in place),
+    partitioned by repository when the documents carry ``repo_id``. Refuses to
+    write anything when any document has an ``apply_error``. Returns the number
+    of documents written."""
     bad = docs.filter(F.col("apply_error").isNotNull())
     if not bad.isEmpty():
         first = bad.select("apply_error").first()[0]
         raise RuntimeError(f"apply failed, nothing written: {first}")
-    out = docs.filter("changed").select("path", "content")
-    out.write.mode(mode).parquet(target)
+    cols = [c for c in ("path", "rel_path", "repo_id", "content") if c in docs.columns]
+    out = docs.filter("changed").select(*cols)
+    w = out.write.mode(mode)
+    if "repo_id" in cols:
+        w = w.partitionBy("repo_id")
+    w.parquet(target)
     return out.sparkSession.read.parquet(target).count()
 
 
