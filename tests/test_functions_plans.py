@@ -84,3 +84,17 @@ def test_tags_never_shuffle_by_repository(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", old)
     assert "hashpartitioning(repo_id" not in p
     assert "BroadcastExchange" in p
+
+
+def test_sized_broadcast_has_a_bound(spark):
+    from tracegraph.sources.inventory import sized_broadcast
+
+    big = spark.range(50).withColumnRenamed("id", "k")
+    probe = spark.range(1000).withColumnRenamed("id", "k")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "BroadcastHashJoin" in _plan(probe.join(sized_broadcast(big, max_rows=100), "k"))
+        assert "BroadcastHashJoin" not in _plan(probe.join(sized_broadcast(big, max_rows=10), "k"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
