@@ -98,3 +98,14 @@ def test_sized_broadcast_has_a_bound(spark):
         assert "BroadcastHashJoin" not in _plan(probe.join(sized_broadcast(big, max_rows=10), "k"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_invalid_ignore_pattern_fails_up_front(spark):
+    import pytest
+    from conftest import make_files
+
+    from tracegraph import trace
+
+    files = make_files(spark, {"a.md": "x\n"})
+    with pytest.raises(ValueError):
+        trace(files, make_repos(spark), ignore_lines=["(unclosed"])
