@@ -55,3 +55,28 @@ def components(nodes: DataFrame, links: DataFrame, tag: str = "cc") -> DataFrame
         e = nxt
     found = e.select(F.col("u").alias("id"), F.col("v").alias("_m"))
     return nodes.join(found, "id", "left").select("id", F.coalesce("_m", "id").alias("component"))
+
+
+def row_key(id_col: str, text_col: str):
+    """A 64-bit key of a row's id and text, to join derived rows back where ids may be
+    null or repeated; rows with equal key are equal in both columns."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def running(numbers, chunk: int = 256):
+    """Running totals of an array<bigint>, in two levels: appending to one array per
+    chunk keeps the work linear for texts with very many matches or lines."""
+    zero = F.lit(0).cast("bigint")
+
+    def sums(a):
+        start = F.struct(zero.alias("s"), F.array().cast("array<bigint>").alias("o"))
+        step = lambda acc, x: F.struct((acc.s + x).alias("s"), F.concat(acc.o, F.array(acc.s + x)).alias("o"))
+        return F.aggregate(a, start, step, lambda acc: acc.o)
+
+    parts = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(numbers) - 1) / chunk)).cast("int")),
+        lambda c: sums(F.slice(numbers, c * chunk + 1, F.lit(chunk))),
+    )
+    ends = F.transform(parts, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), zero))
+    offsets = F.concat(F.array(zero), sums(ends))
+    return F.flatten(F.zip_with(parts, F.slice(offsets, 1, F.size(parts)), lambda p, o: F.transform(p, lambda x: x + o)))

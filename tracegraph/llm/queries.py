@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from pyspark.sql import functions as F
+
+from . import exact_dedup, line_dedup, mixing, pii, warc
 from .common import table
 
 
+def op3_line_dedup(spark, sf_dir):
+    cleaned = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r.start, r.end)), ",")
+    return cleaned.select(
+        "doc_id",
+        F.size("removed").cast("bigint").alias("n_removed"),
+        spans.alias("removed"),
+        F.char_length("clean_text").cast("bigint").alias("clean_chars"),
+        F.sha2("clean_text", 256).alias("clean_sha256"),
+    )
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark, sf_dir):
+    return pii.report(pii.sanitise_spans(table(spark, sf_dir, "documents")))
+
+
+def op7_warc(spark, sf_dir):
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_mix_sources(spark, sf_dir):
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op9_mix_sources)}
-ORACLE = {"op4_exact_dedup": exact_dedup.ORACLE, "op9_mix_sources": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_exact_dedup, op5_pii, op7_warc, op9_mix_sources)}
+ORACLE = {
+    "op3_line_dedup": line_dedup.ORACLE,
+    "op4_exact_dedup": exact_dedup.ORACLE,
+    "op7_warc": warc.ORACLE,
+    "op9_mix_sources": mixing.ORACLE,
+}
