@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, pii, warc
+from . import exact_dedup, line_dedup, mixing, pii, sentencepiece_codec, toxicity, warc
 from .common import table
 
 
+def op1_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels))
+
+
 def op3_line_dedup(spark, sf_dir):
     cleaned = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r.start, r.end)), ",")
@@ -38,7 +43,18 @@ def op9_mix_sources(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_exact_dedup, op5_pii, op7_warc, op9_mix_sources)}
+def op10_sentencepiece(spark, sf_dir):
+    coded = sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "exact",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_line_dedup, op4_exact_dedup, op5_pii, op7_warc, op9_mix_sources, op10_sentencepiece)}
 ORACLE = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
