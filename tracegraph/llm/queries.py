@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, pii, sentencepiece_codec, toxicity, warc
+from . import exact_dedup, line_dedup, mixing, pii, sentencepiece_codec, topk, toxicity, warc
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_warc(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mix_sources(spark, sf_dir):
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -54,10 +58,11 @@ def op10_sentencepiece(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_line_dedup, op4_exact_dedup, op5_pii, op7_warc, op9_mix_sources, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_line_dedup, op4_exact_dedup, op5_pii, op7_warc, op8_top_k, op9_mix_sources, op10_sentencepiece)}
 ORACLE = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
+    "op8_top_k": topk.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
 }
