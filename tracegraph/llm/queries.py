@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, pii, sentencepiece_codec, topk, toxicity, warc
+from . import exact_dedup, line_dedup, mixing, ngram_join, pii, sentencepiece_codec, topk, toxicity, warc
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark, sf_dir):
     cleaned = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r.start, r.end)), ",")
@@ -58,7 +62,7 @@ def op10_sentencepiece(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_line_dedup, op4_exact_dedup, op5_pii, op7_warc, op8_top_k, op9_mix_sources, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_line_dedup, op4_exact_dedup, op5_pii, op7_warc, op8_top_k, op9_mix_sources, op10_sentencepiece)}
 ORACLE = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
