@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, pii, sentencepiece_codec, topk, toxicity, warc
+from . import exact_dedup, html_text, line_dedup, mixing, ngram_join, pii, sentencepiece_codec, topk, toxicity, warc
 from .common import table
 
 
@@ -37,6 +37,11 @@ def op5_pii(spark, sf_dir):
     return pii.report(pii.sanitise_spans(table(spark, sf_dir, "documents")))
 
 
+def op6_html_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 def op7_warc(spark, sf_dir):
     records = warc.round_trip(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -62,7 +67,7 @@ def op10_sentencepiece(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_line_dedup, op4_exact_dedup, op5_pii, op7_warc, op8_top_k, op9_mix_sources, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_line_dedup, op4_exact_dedup, op5_pii, op6_html_text, op7_warc, op8_top_k, op9_mix_sources, op10_sentencepiece)}
 ORACLE = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
