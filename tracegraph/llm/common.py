@@ -44,10 +44,11 @@ def components(nodes: DataFrame, links: DataFrame, tag: str = "cc") -> DataFrame
     )
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # staged: a join of two plain exchanges is one whose large keys the engine can split
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{tag}-m")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large.where("u <> v"), f"{tag}-l")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-n")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), f"{tag}-s")
         if e.exceptAll(nxt).isEmpty() and nxt.exceptAll(e).isEmpty():
@@ -80,3 +81,18 @@ def running(numbers, chunk: int = 256):
     ends = F.transform(parts, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), zero))
     offsets = F.concat(F.array(zero), sums(ends))
     return F.flatten(F.zip_with(parts, F.slice(offsets, 1, F.size(parts)), lambda p, o: F.transform(p, lambda x: x + o)))
+
+
+#: most keys that are broadcast to drop rows; beyond it an ordinary join does it
+BROADCAST_KEYS = 500_000
+
+
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``rows`` that match no row of ``keys`` in all of the columns of ``keys``
+    (null equals null). The keys, narrow numbers or digests, are broadcast when counted few:
+    then the rows, which may hold whole texts, are not shuffled."""
+    keys = staged(keys.distinct(), "keys")
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    k = keys.select([F.col(c).alias(f"_k_{c}") for c in keys.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys.columns]
+    return rows.join(F.broadcast(k) if few else k, same, "left_anti")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, without
 
 #: deleted before texts are compared
 WHITE = " \t\n\x0b\x0c\r"
@@ -59,6 +59,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return by_map.select(*cols).unionByName(by_shuffle.select(*cols))
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    dropped = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = docs.withColumns({"_id": F.col(id_col), "_sha": F.sha2(F.translate(text, WHITE, ""), 256)})
+    return without(marked, dropped).drop("_id", "_sha")
+
+
 ORACLE = r"""
 WITH r AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,

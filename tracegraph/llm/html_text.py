@@ -27,7 +27,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -373,17 +373,17 @@ def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id", url_col:
     """``(page_id, url, text, n_chars)``, one row per input row."""
     shared = pages.sparkSession.sparkContext.broadcast(model.p)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Labeller()
         m.p = shared.value
         for batch in batches:
             for at in range(0, len(batch), 512):
-                some = batch.iloc[at : at + 512]
-                cut = [blocks(h) for h in some["html"].fillna("")]
+                some = batch.slice(at, 512)
+                cut = [blocks(h or "") for h in some.column(2).to_pylist()]
                 kept = m.labels([vectors(c) for c in cut])
                 text = [" ".join(b.text for b, k in zip(c, ks, strict=True) if k) for c, ks in zip(cut, kept, strict=True)]
-                yield some[["page_id", "url"]].assign(text=text)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(text, type=pa.string())], names=["page_id", "url", "text"])
 
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    found = p.mapInPandas(run, f"page_id {dict(p.dtypes)['page_id']}, url string, text string")
+    found = p.mapInArrow(run, f"page_id {dict(p.dtypes)['page_id']}, url string, text string")
     return found.withColumn("n_chars", F.char_length("text").cast("bigint"))

@@ -119,6 +119,16 @@ def mix_sources(
     return done.withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
+    """The rows of ``docs``, each as many times as the mix takes it, with all their columns.
+    Rows equal in id, source and size are taken equally often."""
+    mixed = mix_sources(docs, id_col, text_col, source_col, **parameters).where("copies > 0")
+    mixed = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (word_count(F.col(text_col)) == F.col("_size"))
+    taken = docs.join(mixed, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+    return taken.select(*[taken[c] for c in docs.columns])
+
+
 ORACLE = r"""
 WITH RECURSIVE r AS (
   SELECT doc_id, source,

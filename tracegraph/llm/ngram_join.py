@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import components, staged, without
 from .shingles import shingle_sets
 
 NONE = np.uint32(0xFFFFFFFF)
@@ -372,3 +372,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = staged(classes.join(found, "rep").select("digest", "component"), "ngram-named")
     of = info.join(named, "digest", "left")
     return of.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their class, with all their columns."""
+    found = near_duplicates(docs, id_col, text_col).where("component_id <> doc_id")
+    return without(docs.withColumn("_id", F.col(id_col).cast("bigint")), found.select(F.col("doc_id").alias("_id"))).drop("_id")

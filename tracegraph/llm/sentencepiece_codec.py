@@ -31,7 +31,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -275,44 +275,49 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def _blocks(texts: list[str], most: int = 8_000_000):
-    """Runs of texts of about ``most`` characters (or one longer text), to bound memory."""
+def _blocks(batch: pa.RecordBatch, most: int = 8_000_000):
+    """(slice of the batch, its texts) of about ``most`` characters (or one longer text)."""
+    texts = [t or "" for t in batch.column(1).to_pylist()]
     start = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
-            yield texts[start:i]
+            yield batch.slice(start, i - start), texts[start:i]
             start, size = i, 0
         size += len(t)
-    yield texts[start:]
+    yield batch.slice(start), texts[start:]
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else [], type=pa.int32()))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """``(doc_id, ids array<int>)``, one row per input row."""
     blob = read_model(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(blob)
         for batch in batches:
-            at = 0
-            for texts in _blocks(batch["text"].fillna("").tolist()):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + len(texts)].to_numpy(), "ids": c.encode(texts)})
-                at += len(texts)
+            for part, texts in _blocks(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(c.encode(texts))], names=["doc_id", "ids"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInPandas(run, f"doc_id {dict(d.dtypes)['doc_id']}, ids array<int>")
+    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """``(doc_id, text)``, one row per input row; null ids give the empty text."""
     blob = read_model(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(blob)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": ["" if x is None else c.decode(x) for x in batch["ids"]]})
+            texts = ["" if x is None else c.decode(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], names=["doc_id", "text"])
 
     d = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
-    return d.mapInPandas(run, f"doc_id {dict(d.dtypes)['doc_id']}, text string")
+    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, text string")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -320,16 +325,15 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``exact`` tells whether decoding gave back the text."""
     blob = read_model(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(blob)
         for batch in batches:
-            at = 0
-            for texts in _blocks(batch["text"].fillna("").tolist()):
+            for part, texts in _blocks(batch):
                 ids = c.encode(texts)
                 back = [c.decode(x) for x in ids]
-                same = [a == b for a, b in zip(texts, back, strict=True)]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + len(texts)].to_numpy(), "ids": ids, "decoded": back, "exact": same})
-                at += len(texts)
+                same = pa.array([a == b for a, b in zip(texts, back, strict=True)], type=pa.bool_())
+                columns = [part.column(0), _lists(ids), pa.array(back, type=pa.string()), same]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded", "exact"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInPandas(run, f"doc_id {dict(d.dtypes)['doc_id']}, ids array<int>, decoded string, exact boolean")
+    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, ids array<int>, decoded string, exact boolean")

@@ -36,7 +36,7 @@ from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +47,7 @@ WINDOW, STRIDE = 24, 12
 #: of clean texts added per round; weight of the errors
 WITNESSES, RATIO, HARD, COST = 2, 5.0, 3000, 4000.0
 CACHE = 400_000
+THRESHOLD = 0.3
 TABLE = 32**3 + 32**4
 #: digits and signs read as the letters they look like
 LOOKALIKE = dict(zip("013457@$!|", "oieastasil", strict=True))
@@ -360,25 +361,49 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 _WORDS: dict = {}
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)``, one row per input row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _scorer(spark, model: Model):
+    """A function that scores the texts of a task, keeping what it learns of words in the worker."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list) -> np.ndarray:
         m = shared.value
-        key = (shared.id if hasattr(shared, "id") else 0, m.bias, m.slope)
+        key = (m.bias, m.slope, m.offset)
         if key not in _WORDS:
             _WORDS.clear()
             _WORDS[key] = Words(m.table)
-        for batch in batches:
-            texts, size, start = batch["text"].fillna("").tolist(), 0, 0
-            for end in range(1, len(texts) + 1):
-                size += len(texts[end - 1])
-                if size > 8_000_000 or end == len(texts):
-                    yield batch.iloc[start:end][["doc_id", "held_out"]].assign(score=m.score(texts[start:end], _WORDS[key]))
-                    start, size = end, 0
+        out, start, size = [], 0, 0
+        for end, t in enumerate(texts, 1):
+            size += len(t or "")
+            if size > 8_000_000 or end == len(texts):
+                out.append(m.score([t or "" for t in texts[start:end]], _WORDS[key]))
+                start, size = end, 0
+        return np.concatenate(out) if out else np.zeros(0)
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)``, one row per input row."""
+    scores = _scorer(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array(scores(b.column(2).to_pylist()), type=pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], names=["doc_id", "held_out", "score"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = dict(d.dtypes)["doc_id"]
-    scored = d.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double")
+    scored = d.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns, in one
+    pass without a join."""
+    scores = _scorer(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(scores(b.column(b.schema.get_field_index(text_col)).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
