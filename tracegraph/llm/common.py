@@ -87,12 +87,17 @@ def running(numbers, chunk: int = 256):
 BROADCAST_KEYS = 500_000
 
 
-def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``rows`` that match no row of ``keys`` in all of the columns of ``keys``
+def private(df: DataFrame) -> DataFrame:
+    """``df`` with column names that no input can have, to join it without clashes."""
+    mark = uuid.uuid4().hex
+    return df.select([F.col(c).alias(f"{c}_{mark}") for c in df.columns])
+
+
+def without(rows: DataFrame, on: list, keys: DataFrame) -> DataFrame:
+    """The rows of ``rows`` whose values ``on`` (column expressions) equal no row of ``keys``
     (null equals null). The keys, narrow numbers or digests, are broadcast when counted few:
     then the rows, which may hold whole texts, are not shuffled."""
-    keys = staged(keys.distinct(), "keys")
+    keys = private(staged(keys.distinct(), "keys"))
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    k = keys.select([F.col(c).alias(f"_k_{c}") for c in keys.columns])
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys.columns]
-    return rows.join(F.broadcast(k) if few else k, same, "left_anti")
+    same = [a.eqNullSafe(F.col(b)) for a, b in zip(on, keys.columns, strict=True)]
+    return rows.join(F.broadcast(keys) if few else keys, same, "left_anti")

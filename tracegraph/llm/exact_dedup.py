@@ -61,10 +61,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumns({"_id": F.col(id_col), "_sha": F.sha2(F.translate(text, WHITE, ""), 256)})
-    return without(marked, dropped).drop("_id", "_sha")
+    dropped = exact_dedup(docs, id_col, text_col).where("not kept").select("doc_id", "text_sha256")
+    digest = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), WHITE, ""), 256)
+    return without(docs, [F.col(id_col), digest], dropped)
 
 
 ORACLE = r"""

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, staged
+from .common import WS, private, staged
 
 STEP, LEVELS = 256, 3
 
@@ -123,10 +123,12 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """The rows of ``docs``, each as many times as the mix takes it, with all their columns.
     Rows equal in id, source and size are taken equally often."""
     mixed = mix_sources(docs, id_col, text_col, source_col, **parameters).where("copies > 0")
-    mixed = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (word_count(F.col(text_col)) == F.col("_size"))
-    taken = docs.join(mixed, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-    return taken.select(*[taken[c] for c in docs.columns])
+    mixed = private(mixed.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")))
+    own = [F.col(id_col), F.col(source_col), word_count(F.col(text_col))]
+    taken = docs.join(mixed, [a.eqNullSafe(F.col(b)) for a, b in zip(own, mixed.columns)])
+    copy = private(mixed.limit(0)).columns[-1]
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(mixed.columns[-1])))
+    return taken.withColumn(copy, again).select(docs.columns)
 
 
 ORACLE = r"""

@@ -376,5 +376,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their class, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col).where("component_id <> doc_id")
-    return without(docs.withColumn("_id", F.col(id_col).cast("bigint")), found.select(F.col("doc_id").alias("_id"))).drop("_id")
+    others = near_duplicates(docs, id_col, text_col).where("component_id <> doc_id").select("doc_id")
+    return without(docs, [F.col(id_col).cast("bigint")], others)

@@ -59,6 +59,34 @@ def _hash(word: str) -> int:
     return h
 
 
+class Sorted:
+    """Sorted 64-bit keys with a value each. A table of how many keys begin with each of the
+    2**18 highest bit patterns spares most probes of keys that are not there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, absent: int):
+        at = np.argsort(keys)
+        self.keys, self.values, self.absent = keys[at], values[at], absent
+        assert len(np.unique(self.keys)) == len(keys)
+        self.begin = np.searchsorted(self.keys >> np.uint64(46), np.arange(2**18 + 1, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.begin).max(initial=0))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), self.absent, dtype=np.int64)
+        top = (keys >> np.uint64(46)).astype(np.int64)
+        first, last = self.begin[top], self.begin[top + 1]
+        left = np.flatnonzero(first < last)
+        first, last, keys = first[left], last[left], keys[left]
+        for _ in range(self.most):
+            hit = self.keys[first] == keys
+            out[left[hit]] = self.values[first[hit]]
+            first = first + 1
+            more = ~hit & (first < last)
+            left, first, last, keys = left[more], first[more], last[more], keys[more]
+            if not len(left):
+                break
+        return out
+
+
 class Vocabulary:
     """Sorted piece keys, scores and (for BPE) what each piece was last merged from."""
 
@@ -73,7 +101,9 @@ class Vocabulary:
         self.byte_id = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], dtype=np.int32)
         byte_of = {int(i): b for b, i in enumerate(self.byte_id)}
         as_bytes = lambda i: bytes([byte_of[i]]) if i in byte_of else b"" if special[i] else self.pieces[i].replace(SPACE, " ").encode()
-        self.bytes = [as_bytes(i) for i in range(n)]
+        self.bytes = np.frombuffer(b"".join(as_bytes(i) for i in range(n)), dtype=np.uint8)
+        self.sizes = np.array([len(as_bytes(i)) for i in range(n)], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.unigram = unigram
         usable = [i for i in range(n) if not special[i]]
         ids = {self.pieces[i]: i for i in usable}
@@ -87,10 +117,7 @@ class Vocabulary:
         if not unigram:
             self._pairs(ids, order)
             usable = [i for i in usable if len(self.pieces[i]) == 1 or self.left[i] != i]
-        keys = np.array([_hash(self.pieces[i]) for i in usable], dtype=np.uint64)
-        at = np.argsort(keys)
-        self.keys, self.ids = keys[at], np.array(usable, dtype=np.int64)[at]
-        assert len(np.unique(self.keys)) == len(self.keys)
+        self.keys = Sorted(np.array([_hash(self.pieces[i]) for i in usable], dtype=np.uint64), np.array(usable, dtype=np.int64), -1)
 
     def _pairs(self, ids: dict[str, int], order: list[int]) -> None:
         """Merge table (pair of pieces -> rank of their union) and, for every piece that BPE
@@ -113,21 +140,11 @@ class Vocabulary:
                 if whole == i and len(parts) == 2:
                     self.left[i], self.right[i] = parts
                 parts[k : k + 2] = [whole]
-        n = len(self.pieces)
-        keys = np.array([a * n + b for a, b in merged], dtype=np.int64)
-        ranks = self.rank[list(merged.values())]
-        at = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[at], ranks[at]
+        pairs = np.array(list(merged), dtype=np.int64).reshape(-1, 2)
+        self.unions = Sorted(self._pair(pairs[:, 0], pairs[:, 1]), self.rank[list(merged.values())], NEVER)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Piece ids of hashes, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], -1)
-
-    def union_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a * len(self.pieces) + b
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NEVER)
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _spread((a * len(self.pieces) + b).astype(np.uint64))
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE keeps pieces ``a`` and ``b`` apart when they stand side by side.
@@ -141,7 +158,7 @@ class Vocabulary:
         live = np.flatnonzero((a < n) & (b < n) & (a >= 0))
         x, y, before = a[live], b[live], np.full(len(live), NEVER)
         while len(live):
-            joined = self.union_rank(x, y) < before
+            joined = self.unions.find(self._pair(x, y)) < before
             ok[live[joined]] = False
             rx, ry = self.rank[x], self.rank[y]
             going = ~joined & ((rx >= 0) | (ry >= 0))
@@ -151,21 +168,21 @@ class Vocabulary:
             x, y = np.where(undo_left, self.right[x], x), np.where(undo_left, y, self.left[y])
         return ok
 
-    def search(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, words of similar length searched together."""
-        out: list = [None] * len(words)
-        by_length = sorted(range(len(words)), key=lambda i: -len(words[i]))
-        start = 0
-        while start < len(by_length):
-            longest = len(words[by_length[start]])
-            stop = min(len(by_length), start + max(1, min(ROWS, 2_000_000 // longest)))
-            group = by_length[start:stop]
-            for i, ids in zip(group, self._advance([words[i] for i in group]), strict=True):
-                out[i] = ids
-            start = stop
-        return out
-
-    def _advance(self, words: list[str]) -> list[np.ndarray]:
+    def search(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and the start and number of those of each word; words of similar length
+        are searched together."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        by_length = np.argsort(-lengths, kind="stable")
+        starts, counts, flat, at, total = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64), [], 0, 0
+        while at < len(words):
+            group = by_length[at : at + max(1, min(ROWS, 2_000_000 // int(lengths[by_length[at]])))]
+            ids, n = self._advance([words[i] for i in group.tolist()])
+            starts[group], counts[group] = total + np.cumsum(n) - n, n
+            flat.append(ids)
+            at, total = at + len(group), total + len(ids)
+        return np.concatenate(flat), starts, counts
+
+    def _advance(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``words`` by falling length; step i moves all words of at least i characters."""
         n, lengths = len(self.pieces), np.array([len(w) for w in words])
         width = int(lengths[0])
@@ -187,7 +204,7 @@ class Vocabulary:
             todo = np.arange(active[i - 1])
             for size in range(min(i, self.longest), 0, -1):
                 j = i - size
-                piece = self.find(prefix[i, todo] - prefix[j, todo] * power[size - 1])
+                piece = self.keys.find(prefix[i, todo] - prefix[j, todo] * power[size - 1])
                 if size == 1:
                     piece = np.where(piece < 0, n + codes[todo, i - 1].astype(np.int64), piece)
                 hit = piece >= 0
@@ -215,14 +232,30 @@ class Vocabulary:
             steps.append((row, piece))
             at[row] = back[at[row], row]
             row = row[at[row] > 0]
-        found: list = [[] for _ in words]
-        for row, piece in reversed(steps):
-            for r, p in zip(row.tolist(), piece.tolist()):
-                if p < n:
-                    found[r].append(p)
-                else:
-                    found[r] += self.byte_id[list(chr(p - n).encode("utf-8", "surrogatepass"))].tolist()
-        return [np.array(f, dtype=np.int32) for f in found]
+        row, piece = (np.concatenate([s[k] for s in reversed(steps)]) for k in (0, 1))
+        order = np.argsort(row, kind="stable")
+        row, piece = row[order], piece[order]
+        unknown = np.flatnonzero(piece >= n)
+        if len(unknown):  # characters that are no pieces become their bytes
+            raw = [chr(p - n).encode("utf-8", "surrogatepass") for p in piece[unknown].tolist()]
+            size = np.ones(len(piece), dtype=np.int64)
+            size[unknown] = [len(r) for r in raw]
+            row, piece = np.repeat(row, size), np.repeat(piece, size)
+            piece[piece >= n] = self.byte_id[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        return piece.astype(np.int32), np.bincount(row, minlength=len(words))
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are met, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
 
 
 class Codec:
@@ -233,29 +266,36 @@ class Codec:
         self._clear()
 
     def _clear(self):
-        self.number: dict[str, int] = {}
-        self.starts, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.number = _Numbers()
+        self.starts, self.counts, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > CACHE:
             self._clear()
-        split = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.number))
+        met = []
+        for t in texts:
+            words = WORD.findall(SPACE + t.replace(" ", SPACE)) if t else []
+            met.append(np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words)))
+        new, self.number.new = self.number.new, []
         if new:
-            found = self.vocabulary.search(new)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            ends = self.starts[-1] + np.cumsum([len(f) for f in found])
-            self.starts, self.ids = np.concatenate([self.starts, ends]), np.concatenate([self.ids, *found])
+            ids, starts, counts = self.vocabulary.search(new)
+            self.starts, self.counts = np.concatenate([self.starts, starts + len(self.ids)]), np.concatenate([self.counts, counts])
+            self.ids = np.concatenate([self.ids, ids])
         out = []
-        for words in split:
-            at = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-            start, count = self.starts[at], self.starts[at + 1] - self.starts[at]
+        for at in met:
+            count = self.counts[at]
             ends = np.cumsum(count)
-            out.append(self.ids[np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)])
+            out.append(self.ids[np.repeat(self.starts[at] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)])
         return out
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.vocabulary.bytes.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
+        v, ids = self.vocabulary, np.asarray(ids, dtype=np.int64)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(v.sizes):
+            raise ValueError("not a piece id")
+        count = v.sizes[ids]
+        ends = np.cumsum(count)
+        raw = v.bytes[np.repeat(v.starts[ids] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+        text = raw.tobytes().decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -275,7 +315,7 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def _blocks(batch: pa.RecordBatch, most: int = 8_000_000):
+def _blocks(batch: pa.RecordBatch, most: int = 4_000_000):
     """(slice of the batch, its texts) of about ``most`` characters (or one longer text)."""
     texts = [t or "" for t in batch.column(1).to_pylist()]
     start = size = 0
