@@ -4,7 +4,7 @@
 Measured per run, on a fresh trace (checkpoints are not reused across runs):
 
 * ``extract_tags``   one pass over the text to the retained tag table;
-* ``site_tag_join``  identity, site/tag join and sorted coverer lists;
+* ``site_tag_join``  identity, site/tag join and coverers;
 * ``rewrite``        coverage, diff, ids, actions and rewritten documents;
 * ``trace_total``    the sum (the headline ``value``).
 
@@ -34,7 +34,7 @@ def one_run(spark, files, repos):
     t0 = time.time()
     r.tags.count()
     t1 = time.time()
-    r.coverer_lists_all.count()
+    r.new_coverers.count()
     t2 = time.time()
     assert r.scan_ok and r.analyze_ok
     r.docs.count()

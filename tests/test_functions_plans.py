@@ -1,10 +1,12 @@
 """Column helpers (URL check, numbering) and plan properties (section 4)."""
 
-from conftest import make_repos
+from conftest import make_files, make_repos
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracegraph import trace
 from tracegraph.functions import text as T
+from tracegraph.operators import coverage as C
 from tracegraph.operators.numbering import rank_within
 
 URLS = {
@@ -41,71 +43,95 @@ def test_rank_within_equals_window(spark):
     assert j.filter(F.col("r") != F.col("r2")).count() == 0 and j.count() == len(rows)
 
 
+MD = "---\ntrace.package: p\n---\n`~A~`\n"
+GO = "x [~p/A~impl]\n"
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_plans_stay_jvm_side_and_prune(spark, tmp_path):
-    from conftest import make_files
-
-    from tracegraph import trace
-
     md = "---\ntrace.package: p\n---\n`~A~`\n"
     files = make_files(spark, {"a.md": md, "t.go": "x [~p/A~impl]\n"})
     path = str(tmp_path / "files")
     files.write.parquet(path)
     files = spark.read.parquet(path)
-    r = trace(files, make_repos(spark))
-    # the size gate reaches the Parquet scan
+    r = trace(files, make_repos(spark), max_bytes=131072)
+    # the size gate, when given, reaches the Parquet scan
     scan = _plan(r.scanned)
     assert "PushedFilters" in scan and "LessThanOrEqual(length,131072)" in scan
     # the stats pass reads no content
     assert "content" not in _plan(r.stats).split("ReadSchema")[1].split("\n")[0]
-    for df in (r.cand_lines, r.md_state, r.tags, r.sites, r.coverage, r.actions, r.docs, r.scan_errors):
+    for df in (r.md_candidates, r.src_lines, r.md_state, r.tags, r.sites, r.coverage, r.actions, r.docs, r.scan_errors):
         p = _plan(df)
         assert "PythonUDF" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
 def test_tags_never_shuffle_by_repository(spark, tmp_path):
-    """Few repositories hold all tags: the repository table is broadcast
-    behind a row-count check instead of a shuffle on ``repo_id``."""
-    from conftest import make_files
-
-    from tracegraph import trace
-
+    """Few repositories hold all tags: the staged repository table is small enough to be
+    broadcast, so tags do not shuffle on ``repo_id``."""
     files = make_files(spark, {"a.md": "---\ntrace.package: p\n---\n`~A~`\n", "t.go": "x [~p/A~impl]\n"})
-    r = trace(files, make_repos(spark), materialize=False)
+    r = trace(files, make_repos(spark))
     old = spark.conf.get("spark.sql.adaptive.enabled")
     try:
         spark.conf.set("spark.sql.adaptive.enabled", "false")
-        p = _plan(r.new_coverers)
+        p = _plan(C.new_coverers(r.registered, r.tags, r.repo_urls))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
     assert "hashpartitioning(repo_id" not in p
     assert "BroadcastExchange" in p
 
 
-def test_sized_broadcast_has_a_bound(spark):
-    from tracegraph.sources.inventory import sized_broadcast
-
-    big = spark.range(50).withColumnRenamed("id", "k")
-    probe = spark.range(1000).withColumnRenamed("id", "k")
+def test_repository_table_is_broadcast_by_its_size_only(spark):
+    """Beyond the engine's broadcast threshold the table is joined like any other."""
+    r = trace(make_files(spark, {"a.md": MD, "src/a.go": GO}), make_repos(spark))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        assert "BroadcastHashJoin" in _plan(probe.join(sized_broadcast(big, max_rows=100), "k"))
-        assert "BroadcastHashJoin" not in _plan(probe.join(sized_broadcast(big, max_rows=10), "k"))
+        assert "BroadcastExchange" not in _plan(r.tags.join(r.repo_urls, "repo_id", "left"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastExchange" in _plan(r.tags.join(r.repo_urls, "repo_id", "left"))
 
 
-def test_invalid_ignore_pattern_fails_up_front(spark):
-    import pytest
-    from conftest import make_files
+def test_markdown_stage_reads_markdown_partitions_only(spark):
+    import tempfile
+
+    from tracegraph.operators.lines import file_kind
+
+    path = tempfile.mkdtemp(prefix="tg-kind-", dir="/tmp") + "/files"
+    file_kind(make_files(spark, {"a.md": MD, "src/a.go": GO})).write.partitionBy("kind").parquet(path)
+    r = trace(spark.read.parquet(path), make_repos(spark))
+    assert "PartitionFilters: [isnotnull(kind" in _plan(r.md_candidates) and "(kind#" in _plan(r.md_candidates)
+    assert r.docs.count() == 1 and r.tags.count() == 1
+
+
+def test_no_coverer_list_outside_written_footnotes(spark):
+    r = trace(make_files(spark, {"a.md": MD, "src/a.go": GO}), make_repos(spark), materialize=False)
+    for df in (r.coverage, r.ranked_coverers, r.new_coverers, r.semantic_errors):
+        assert "collect_list" not in _plan(df)
+    assert "collect_list" in _plan(r.actions)
 
-    from tracegraph import trace
 
+def test_requirement_with_a_third_of_all_tags(spark):
+    md = "---\ntrace.package: p\n---\n" + "".join(f"`~R{i}~`\n" for i in range(6))
+    go = {f"src/f{k}.go": "".join(f"x [~p/R{0 if i % 3 == 0 else 1 + i % 5}~impl]\n" for i in range(90)) for k in range(10)}
+    r = trace(make_files(spark, {"a.md": md, **go}), make_repos(spark))
+    got = {}
+    for c in r.ranked_coverers.collect():
+        got.setdefault(c.name, []).append((c.ord, c.label))
+    assert sum(map(len, got.values())) == 900 and len(got["R0"]) == 300
+    for rows in got.values():
+        rows.sort()
+        assert [o for o, _ in rows] == list(range(1, len(rows) + 1))
+        key = [(label.split(":")[0], int(label.split(":")[1])) for _, label in rows]
+        assert key == sorted(key)
+
+
+def test_invalid_ignore_pattern_fails_up_front(spark):
+    import pytest
     files = make_files(spark, {"a.md": "x\n"})
     with pytest.raises(ValueError):
         trace(files, make_repos(spark), ignore_lines=["(unclosed"])

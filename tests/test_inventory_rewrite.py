@@ -48,9 +48,14 @@ def test_size_extension_dot_tracked_gates(spark):
 def test_si_bytes_and_blob_hash(spark):
     from tracegraph.functions import text as T
 
-    df = spark.createDataFrame([(999,), (1000,), (274300,), (19000000,), (1250,), (1050,)], "b bigint")
+    df = spark.createDataFrame([(999,), (1000,), (274300,), (19000000,), (1250,), (1050,), (1150,), (1350,), (999950,), (0,), (10**18,), (1450000,), (2**62,)], "b bigint")
     got = [r.s for r in df.select(T.si_bytes("b").alias("s")).collect()]
-    assert got == ["999 B", "1.0 kB", "274.3 kB", "19.0 MB", "1.2 kB", "1.1 kB"]
+    assert got == ["999 B", "1.0 kB", "274.3 kB", "19.0 MB", "1.2 kB", "1.1 kB", "1.1 kB", "1.4 kB", "1000.0 kB", "0 B", "1.0 EB", "1.4 MB", "4.6 EB"]
+    rnd = [i * 7919 * (1 + i % 13) for i in range(1, 4000)] + [50 + 100 * i for i in range(10, 4000)]
+    many = spark.createDataFrame([(v,) for v in rnd], "b bigint")
+    for r in many.select("b", T.si_bytes("b").alias("s")).collect():
+        power = max(p for p in (0, 1, 2, 3) if r.b >= 1000**p)
+        assert r.s == (f"{r.b} B" if power == 0 else "%.1f %sB" % (r.b / 1000**power, "_kMG"[power]))
     h = spark.createDataFrame([("abc",)], "content string").select(T.blob_hash("content").alias("h")).first().h
     assert h == "f2ba8f84ab5c1bce84a7b441cb1959cfc7093b7f"  # git hash-object of "abc"
 
@@ -128,23 +133,62 @@ def test_literal_replacement_text(spark):
     assert d.content.split("\n")[3] == "`~A~`uncvrd[^a$1\\b]❓"
 
 
-def test_mixed_eol_is_an_apply_error(spark):
-    from tracegraph.sources.inventory import docs_sink
+def test_mixed_eol_misses_lines(spark):
+    """With one CRLF the lines are those between CRLFs: an action beyond them is an error."""
+    _, d = _doc(spark, "---\r\ntrace.package: p\n---\n`~A~`\n")
+    assert d.apply_error == "line 4 doesn't exist in file /w/shop/d.md"
+    _, d = _doc(spark, "---\r\ntrace.package: p\r\n---\r\n`~A~`\r\nlast\n")
+    assert d.apply_error is None and d.content.endswith("`~A~`uncvrd[^1]❓\r\nlast\n\r\n\r\n[^1]: `[~p/A~impl]`\r\n")
 
-    r, d = _doc(spark, "---\r\ntrace.package: p\n---\r\n`~A~`\n")
-    assert d.apply_error is not None
-    import pytest
 
-    with pytest.raises(RuntimeError):
-        docs_sink(r.docs, tempfile.mkdtemp(prefix="tg-sink-", dir="/tmp") + "/out")
+def test_replacement_character_is_ordinary_text(spark):
+    _, d = _doc(spark, "---\ntrace.package: p\n---\n`~A~` \ufffd\n")
+    assert d.apply_error is None and "❓ \ufffd\n" in d.content
 
 
-def test_docs_sink_writes_table(spark):
+def test_docs_sink_writes_good_documents_and_lists_the_others(spark):
     from tracegraph.sources.inventory import docs_sink
 
-    r, _ = _doc(spark, "---\ntrace.package: p\n---\n`~A~`\n")
-    n = docs_sink(r.docs, tempfile.mkdtemp(prefix="tg-sink-", dir="/tmp") + "/out")
-    assert n == 1
+    docs = {"d.md": "---\ntrace.package: p\n---\n`~A~`\n", "e.md": "---\r\ntrace.package: p\n---\n`~B~`\n"}
+    r = trace(make_files(spark, docs), make_repos(spark))
+    target = tempfile.mkdtemp(prefix="tg-sink-", dir="/tmp") + "/out"
+    for mode in ("overwrite", "append"):
+        report = docs_sink(r.docs, target, mode)
+        assert report.written == 1
+        assert [x.path for x in report.failed.collect()] == ["/w/shop/e.md"]
+    assert [x.path for x in spark.read.parquet(target).collect()] == ["/w/shop/d.md"] * 2
+
+
+def test_no_limit_by_default(spark):
+    long_line, big = "x" * 70_000, "y\n" * 70_000
+    md = "---\ntrace.package: p\n---\n" + long_line + "\n`~A~`\n" + big + "`~B~`\n"
+    files = {"a.md": md, "src/a.go": big + "x [~p/B~impl]\n"}
+    r = trace(make_files(spark, files), make_repos(spark))
+    assert {(c.name, c.status) for c in r.coverage.collect()} == {("A", "uncvrd"), ("B", "covrd")}
+    assert r.skipped.count() == 0 and r.scan_ok
+    limited = trace(make_files(spark, files), make_repos(spark), max_bytes=131072, max_line_bytes=65536)
+    assert sorted(x.path for x in limited.skipped.collect()) == ["/w/shop/a.md", "/w/shop/src/a.go"]
+    cut = trace(make_files(spark, files), make_repos(spark), max_line_bytes=65536)
+    assert [(e.path, e.line_no) for e in cut.errors.collect()] == [("/w/shop/a.md", 0)] and cut.actions.count() == 0
+
+
+def test_repository_errors_stop_the_run(spark):
+    files = make_files(spark, {"a.md": "---\ntrace.package: p\n---\n`~A~`\n", "src/t.go": "x [~p/A~impl]\n"})
+    cases = {
+        "unsupported git provider: https://host.example/a/b": [("r1", "/w/shop", "https://host.example/a/b", True, False)],
+        "neither main nor master branch exists": [("r1", "/w/shop", "https://github.com/a/b", False, False)],
+        "unknown repository: r1": [("other", "/o", "https://github.com/a/b", True, False)],
+    }
+    for message, rows in cases.items():
+        r = trace(files, make_repos(spark, rows))
+        assert [(e.phase, e.path, e.line_no, e.message) for e in r.errors.collect()] == [("scan", "/w/shop", 0, message)]
+        assert not r.scan_ok and r.actions.count() == 0 and r.docs.count() == 0
+
+
+def test_tracked_list_as_a_table(spark):
+    files = make_files(spark, {"a.md": "x\n", "b.md": "y\n"}).drop("tracked")
+    tracked = spark.createDataFrame([("r1", "b.md"), ("r1", "b.md"), ("r2", "a.md")], "repo_id string, rel_path string")
+    assert [r.rel_path for r in I.tracked_semi_join(files, tracked).collect()] == ["b.md"]
 
 
 def test_read_tree_feeds_trace(spark):

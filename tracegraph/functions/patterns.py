@@ -18,7 +18,7 @@ from __future__ import annotations
 # Fixed values (must equal the original tool's).
 # ---------------------------------------------------------------------------
 
-# Markdown header key; the original tool's literal is ``reqmd.package``.
+# Markdown header key (callers pass ``header_key`` to read files written with another)
 DEFAULT_HEADER_KEY = "trace.package"
 IGNORED_PACKAGE_PREFIX = "ignoreme"
 
@@ -38,6 +38,7 @@ DEFAULT_EXTENSIONS = (
     ".c,.cpp,.cs,.dart,.fs,.go,.h,.hpp,.java,.js,.jsx,.kt,.m,.md,.php,.py,"
     ".rb,.rs,.scala,.sql,.swift,.ts,.tsx,.vsql,.yaml,.yml"
 )
+# Limits of the original tool; here they are options, off unless given.
 MAX_FILE_BYTES = 128 * 1024  # files strictly larger are skipped
 MAX_LINE_BYTES = 64 * 1024  # a raw line this long (or longer) ends the scan of its file
 
@@ -68,6 +69,7 @@ ERR_MULTISITES = "multisites"
 ERR_UNMATCHEDFENCE = "unmatchedfence"
 ERR_REQTYPE = "reqtype"
 ERR_READLINE = ""  # read errors carry no code and line 0
+ERR_REPOSITORY = ""  # a repository without a usable URL: no code, line 0
 ERR_DUPREQID = "dupreqid"
 ERR_NOPKGIDREQS = "nopkgidreqs"
 ERR_PKGMISMATCH = "pkgmismatch"
@@ -81,6 +83,7 @@ MSG_MULTISITES_SEP = ",  "
 MSG_UNMATCHEDFENCE = "opening code block fence at line %d has no matching closing fence"
 MSG_REQTYPE = "requirement type must be one of [%s]: %s"
 MSG_READLINE = "Error reading file: token too long"
+MSG_UNKNOWNREPO = "unknown repository: "
 MSG_DUPREQID = "duplicate RequirementId detected:\n\t%s\n\t%s:%d"
 MSG_NOPKGIDREQS = "markdown file with RequirementSites shall define "
 MSG_PKGMISMATCH = "CoverageFootnote package (%s) is not consistent with PackageId in the header (%s)"

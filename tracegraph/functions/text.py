@@ -1,13 +1,10 @@
 """Column-level helpers: every function maps Columns to a Column and stays
-JVM-side (no Python UDF), except ``si_bytes`` which formats a handful of
-aggregate values with Python's correctly rounded ``%.1f``."""
+JVM-side (no Python UDF)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import patterns as P
 
@@ -179,25 +176,26 @@ def _with_url_fault(df, url: str = "url", out: str = "url_fault"):
     return d.withColumn(out, reason).drop(*helpers)
 
 
-@F.pandas_udf(StringType())
-def _si_text(b: pd.Series) -> pd.Series:
-    def one(v):
-        if v is None or pd.isna(v):
-            return None
-        v = int(v)
-        if v < 1000:
-            return "%d B" % v
-        div, exp, n = 1000, 0, v // 1000
-        while n >= 1000:
-            div *= 1000
-            exp += 1
-            n //= 1000
-        return "%.1f %sB" % (v / div, "kMGTPE"[exp])
-
-    return b.map(one)
+SI_UNITS = ("kB", "MB", "GB", "TB", "PB", "EB")
 
 
 def si_bytes(c) -> Column:
-    """Byte count in SI text (``999 B``, ``1.0 kB``, ``274.3 kB``): applied to
-    aggregate rows only, so the Python helper sees a few values."""
-    return _si_text(col(c))
+    """Byte count in SI text: whole bytes below 1000, else one decimal of the largest unit
+    that gives at least 1, rounded half to even on the binary quotient.
+
+    With x the quotient as a double and q the tenths cut off, the tenths go up when
+    20 x > 2 q + 1, or on equality when q is odd; (16 x - (2 q + 1)) + 4 x has the sign of
+    that difference without rounding."""
+    v = col(c).cast("bigint")
+    text = F.concat(v.cast("string"), F.lit(" B"))
+    for power, unit in enumerate(SI_UNITS, 1):
+        size = F.lit(1000**power).cast("bigint")
+        left = v % size
+        whole = ((v - left) / size).cast("bigint")
+        q = whole * 10 + F.floor(left / F.lit(1000**power // 10).cast("bigint"))
+        x = v.cast("double") / size
+        beyond = (16 * x - (2 * q + 1)) + 4 * x
+        tenths = q + F.when((beyond > 0) | ((beyond == 0) & (q % 2 == 1)), 1).otherwise(0)
+        shown = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" " + unit))
+        text = F.when(v >= size, shown).otherwise(text)
+    return text

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from .lines import FILE_KEY
+from .numbering import rank_within
 from .validate import _err
 
 REQ_KEY = ["package", "name"]
@@ -92,21 +93,32 @@ def footnote_match(reg: DataFrame, footnotes: DataFrame) -> DataFrame:
 def err_pkgmismatch(reg_m: DataFrame, footnotes: DataFrame) -> DataFrame:
     """Row 35 (Q19): per registered site, every footnote of a different package
     that stands before the site's first matching footnote (all of them when
-    none matches). An equi-join on the file with a range condition; only
-    mismatching footnotes (an error condition) take part."""
+    none matches). Each mismatching footnote counts the sites that stand beyond it, in one
+    window over the file's sites and footnotes; the rows per site come from that count.
+    Only files with mismatching footnotes (an error condition) take part."""
     mism = footnotes.filter(F.col("package") != F.col("file_package"))
     mism = mism.select(*FILE_KEY, F.col("line_no").alias("f_line"), F.col("package").alias("f_pkg"), F.col("file_package").alias("file_pkg"))
-    s = reg_m.select(*FILE_KEY, F.coalesce("match_line", F.lit(2**31 - 1)).alias("limit_line"))
-    pairs = s.join(mism, FILE_KEY).filter(F.col("f_line") < F.col("limit_line"))
+    s = reg_m.join(mism.select(*FILE_KEY).distinct(), FILE_KEY, "left_semi")
+    s = s.select(*FILE_KEY, F.coalesce("match_line", F.lit(2**31 - 1)).alias("f_line"), F.lit(1).alias("is_site"))
+    both = s.unionByName(mism.withColumn("is_site", F.lit(0)), allowMissingColumns=True)
+    beyond = Window.partitionBy(*FILE_KEY).orderBy(F.col("f_line").desc(), "is_site").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = both.withColumn("n_sites", F.sum("is_site").over(beyond)).filter((F.col("is_site") == 0) & (F.col("n_sites") > 0))
+    pairs = counted.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_sites"))))
     msg = F.format_string(P.MSG_PKGMISMATCH, F.col("f_pkg"), F.col("file_pkg"))
     return _err(pairs, "analyze", P.ERR_PKGMISMATCH, msg, line="f_line")
 
 
+def site_tag_join(reg: DataFrame, tags: DataFrame) -> DataFrame:
+    """Row 38: registered sites left-joined to tags on ``(package, name)``: tags without a
+    site vanish, a site without tags stays with nulls on the tag side."""
+    s = reg.select(*REQ_KEY, F.col("path").alias("site_path"), F.col("line_no").alias("site_line"))
+    t = tags.filter(F.col("name") != "").select(*REQ_KEY, "repo_id", F.col("path").alias("tag_path"), "rel_path", "line_no", "cov_type")
+    return s.join(t, REQ_KEY, "left")
+
+
 def new_coverers(reg: DataFrame, tags: DataFrame, repo_urls: DataFrame) -> DataFrame:
-    """Rows 38-39: sites joined to tags on ``(package, name)``; tags without a
-    site vanish. Each pair gives a coverer ``rel:line:type`` with its URL."""
-    keys = reg.select(*REQ_KEY)
-    t = tags.filter(F.col("name") != "").join(keys, REQ_KEY, "left_semi")
+    """Row 39: each pair of site and tag gives a coverer ``rel:line:type`` with its URL."""
+    t = site_tag_join(reg, tags).filter(F.col("cov_type").isNotNull())
     t = t.join(repo_urls.select("repo_id", "root_url"), "repo_id", "left")
     return t.select(
         *REQ_KEY,
@@ -140,9 +152,17 @@ def requirement_stats(cur: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def coverage_diff(cur: DataFrame, new: DataFrame) -> DataFrame:
-    """Row 45: requirements whose recorded and new URL lists differ."""
-    return requirement_stats(cur, new).filter("changed").select(*REQ_KEY, "changed")
+def ranked_coverers(new: DataFrame) -> DataFrame:
+    """Rows 40-41: the coverers of each requirement as rows numbered by type, file, line and
+    URL; numbered in two levels, so a requirement with very many tags is no hot task."""
+    order = ["cov_type", "file", "line_no", "url"]
+    ranked = rank_within(new, REQ_KEY, order, F.struct("cov_type", "file"), out="ord")
+    return ranked.select(*REQ_KEY, "ord", "label", "url")
+
+
+def positions(cov: DataFrame) -> DataFrame:
+    """Row 48: position of each site among the sites of its file."""
+    return cov.withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy("line_no")))
 
 
 def coverage(reg_m: DataFrame, new: DataFrame, cur: DataFrame) -> DataFrame:
@@ -197,19 +217,24 @@ def coverer_lists(new: DataFrame, reqs: DataFrame) -> DataFrame:
     return n.groupBy(*REQ_KEY).agg(T.sorted_coverers(F.collect_list(s)).alias("coverers"))
 
 
+def footnote_texts(cov: DataFrame, new: DataFrame) -> DataFrame:
+    """Row 52: the footnote text of the sites whose footnote is written (URLs changed, or no
+    footnote yet). Only these collect a coverer list: it is the text itself."""
+    need = cov.filter(F.col("changed") | ~F.col("has_footnote"))
+    a = need.join(coverer_lists(new, need), REQ_KEY, "left")
+    return a.withColumn("footnote_text", T.format_footnote("new_footnote_id", "package", "name", "coverers")).drop("coverers")
+
+
 def footnote_actions(cov: DataFrame, new: DataFrame) -> DataFrame:
     """Row 50 (Q20, Q25): rewrite or append the footnote when its URLs changed
     or when the site has no footnote."""
-    need = cov.filter(F.col("changed") | ~F.col("has_footnote"))
-    lists = coverer_lists(new, need)
-    a = need.join(lists, REQ_KEY, "left")
-    return a.select(
+    return footnote_texts(cov, new).select(
         "path",
         F.lit(P.ACTION_FOOTNOTE).alias("type"),
         F.col("line_no").alias("site_line"),
         F.coalesce(F.when(F.col("annotated"), F.col("any_line")), F.lit(0)).cast("int").alias("line_no"),
         "name",
-        T.format_footnote("new_footnote_id", "package", "name", "coverers").alias("data"),
+        F.col("footnote_text").alias("data"),
     )
 
 

@@ -20,11 +20,15 @@ def extract_tags(lines: DataFrame, extra=()) -> DataFrame:
     ``extra`` columns of the line are carried along."""
     extra = list(extra)
     cand = lines.filter(F.col("line").contains("[~"))
-    z = F.arrays_zip(
-        F.regexp_extract_all("line", F.lit(P.TAG), 1).alias("p"),
-        F.regexp_extract_all("line", F.lit(P.TAG), 2).alias("n"),
-        F.regexp_extract_all("line", F.lit(P.TAG), 3).alias("t"),
-    )
+    # one regex pass; a match is "x[~package/name~type]" with the first "/" and the next "~"
+    def parts(m):
+        body = F.substring(m, F.lit(4), F.char_length(m) - 4)
+        package = F.substring_index(body, "/", 1)
+        rest = F.substring(body, F.char_length(package) + 2, F.char_length(body))
+        name = F.substring_index(rest, "~", 1)
+        return F.struct(package.alias("p"), name.alias("n"), F.substring(rest, F.char_length(name) + 2, F.char_length(rest)).alias("t"))
+
+    z = F.transform(F.regexp_extract_all("line", F.lit(P.TAG), F.lit(0)), parts)
     ex = cand.select(*FILE_COLS, "kind", "line_no", *extra, F.posexplode(z).alias("tag_ord", "m"))
     bad = F.col("m.n").contains("/")
     return ex.select(

@@ -4,8 +4,8 @@ and header state, package of a Markdown file.
 Everything up to ``candidate_lines`` is narrow (map-side). ``markdown_state`` is
 the only shuffle of this stage: it moves Markdown *candidate* lines (fences,
 ``---`` lines and lines holding a marker) by file, so prose and code never leave
-the map side. Files are at most ``max_bytes`` long, so each window partition is
-small whatever the corpus size.
+the map side. A window partition holds the candidate lines of one file; files of any
+length are read, so its size is bounded by the longest document, not by the corpus.
 """
 
 from __future__ import annotations
@@ -21,27 +21,31 @@ FILE_COLS = ["root_ord", "repo_id", "path", "rel_path"]
 
 
 def file_kind(files: DataFrame) -> DataFrame:
-    """Row 13: ``md`` for a lower-cased ``.md`` extension, else ``src``."""
+    """Row 13: ``md`` for a lower-cased ``.md`` extension, else ``src``. A table that has the
+    column (say, as its partition column) keeps it: then filters on it prune the scan."""
+    if "kind" in files.columns:
+        return files
     ext = F.lower(F.regexp_extract(F.element_at(F.split(F.col("path"), "/"), -1), "(\\.[^.]*)\\z", 1))
     return files.withColumn("kind", F.when(ext == P.MARKDOWN_EXTENSION, "md").otherwise("src"))
 
 
-def _segments(files: DataFrame) -> DataFrame:
-    """One row per file with its LF segments and the position of the first
-    overlong raw line (0 when none)."""
+def _segments(files: DataFrame, max_line_bytes: int | None) -> DataFrame:
+    """One row per file with its LF segments and the position of the first raw line of
+    ``max_line_bytes`` or more (0 when there is none or no limit)."""
     segs = F.split(F.col("content"), "\n", -1)
+    too_long = F.transform("_segs", lambda s: F.octet_length(s) >= (max_line_bytes or 0))
     return files.select(
         *FILE_COLS,
         "kind",
         segs.alias("_segs"),
     ).withColumn(
         "_first_long",
-        F.array_position(F.transform("_segs", lambda s: F.octet_length(s) >= P.MAX_LINE_BYTES), True),
+        F.lit(0).cast("bigint") if max_line_bytes is None else F.array_position(too_long, True),
     )
 
 
 def read_errors(lines: DataFrame) -> DataFrame:
-    """Row 32: a file holding a raw line of 64 KiB or more ends its scan with an
+    """Row 32: under a line limit, a file holding a raw line that long ends its scan with an
     error of empty code and line 0 (lines before it are still used). ``lines``
     is the output of ``line_explode(..., keep_long=True)``."""
     return lines.filter("is_long").select(
@@ -54,15 +58,15 @@ def read_errors(lines: DataFrame) -> DataFrame:
     )
 
 
-def line_explode(files: DataFrame, ignore_lines=(), keep_long: bool = False) -> DataFrame:
+def line_explode(files: DataFrame, ignore_lines=(), keep_long: bool = False, max_line_bytes: int | None = None) -> DataFrame:
     """Row 11 (+ row 12): numbered lines of each file.
 
     Split on LF, drop the empty segment after a final LF, cut one trailing CR,
-    stop before an overlong line, then drop lines that match any ignore pattern
+    stop before the first line over ``max_line_bytes`` (no limit by default), then drop lines that match any ignore pattern
     (they keep their numbers). ``files`` needs ``kind`` (see ``file_kind``).
     With ``keep_long`` the overlong line itself is kept, flagged ``is_long``, so
     that one pass over the text also yields the read errors."""
-    seg = _segments(files).withColumn("_n", F.size("_segs"))
+    seg = _segments(files, max_line_bytes).withColumn("_n", F.size("_segs"))
     ex = seg.select(*FILE_COLS, "kind", "_n", "_first_long", F.posexplode("_segs").alias("_pos", "_seg"))
     ex = ex.filter(~((F.col("_pos") == F.col("_n") - 1) & (F.col("_seg") == "")))
     is_long = F.col("_pos") + 1 == F.col("_first_long")

@@ -6,7 +6,9 @@ are then applied inside the row: each edited line is folded over its actions
 (Q32: the later action on a line wins), and the new lines are spliced into the
 document with a sort-merge (``array_sort`` of original and edited lines, keep
 the edited one per line number), which is O((L + E) log(L + E)) per document.
-A document is one row, bounded by the size gate.
+A document is one row: text and edits of one file fit a task, whatever the corpus.
+With mixed line ends the lines are those between CRLFs, so an action may miss its line:
+that is an error of that document, listed beside the others.
 """
 
 from __future__ import annotations
@@ -79,17 +81,14 @@ def apply_actions(files: DataFrame, actions: DataFrame) -> DataFrame:
     ``files`` holds ``(path, content)`` plus any columns to carry along (for
     example ``repo_id`` and ``rel_path`` for a partitioned sink); only files
     with actions are returned."""
-    extra = [c for c in files.columns if c not in ("path", "content")]
+    extra = [c for c in files.columns if c not in ("path", "content", "decodable")]
     lists = action_lists(actions)
     docs = files.join(lists, "path")
     docs = trim_trailing_blank(eol_detect_split(docs))
-    mixed = F.col("content").contains("\r\n") & F.col("content").rlike("(?<!\r)\n")
-    bad_bytes = F.col("content").contains("\ufffd")
+    # only the reader knows whether bytes were lost in decoding; a text may hold U+FFFD itself
+    lost = ~F.col("decodable") if "decodable" in files.columns else F.lit(False)
     d = docs.withColumn(
-        "doc_error",
-        F.when(mixed, F.concat(F.lit("mixed line endings in file "), F.col("path"))).when(
-            bad_bytes, F.concat(F.lit("undecodable bytes in file "), F.col("path"))
-        ),
+        "doc_error", F.when(lost, F.concat(F.lit("undecodable bytes in file "), F.col("path")))
     ).withColumn("_lines", F.slice("parts", 1, F.col("n_keep")))
     # Row 56/57: fold every edited line (a line past the kept lines is an error).
     edits = F.col("edits")

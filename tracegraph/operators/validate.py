@@ -81,6 +81,15 @@ def err_reqtype(cands: DataFrame, types: DataFrame | None, identifiers: list[str
     return _err(bad, "scan", P.ERR_REQTYPE, msg)
 
 
+def err_repository(inventory: DataFrame, repo_urls: DataFrame) -> DataFrame:
+    """Row 7 gate: every repository that has files but no URL (unsupported host, no main or
+    master branch, not listed at all) fails the scan, as its coverers would have no link."""
+    used = inventory.groupBy("repo_id").agg(F.min("root_ord").alias("root_ord"), F.min("root_path").alias("path"))
+    bad = used.join(repo_urls, "repo_id", "left").filter(F.col("root_url").isNull()).withColumn("line_no", F.lit(0))
+    unknown = F.concat(F.lit(P.MSG_UNKNOWNREPO), F.coalesce("repo_id", F.lit("")))
+    return _err(bad, "scan", P.ERR_REPOSITORY, F.coalesce("url_error", unknown))
+
+
 def union_errors(parts) -> DataFrame:
     parts = [p.select(*ERROR_COLS) for p in parts if p is not None]
     out = parts[0]

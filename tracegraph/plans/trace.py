@@ -42,7 +42,8 @@ class TraceOptions:
     ignore_lines: tuple = ()
     types: str | None = None
     header_key: str = P.DEFAULT_HEADER_KEY
-    max_bytes: int = P.MAX_FILE_BYTES
+    max_bytes: int | None = None
+    max_line_bytes: int | None = None
 
 
 @dataclass
@@ -87,6 +88,11 @@ class TraceResult:
     def stats(self) -> DataFrame:
         return I.scan_stats(self.inventory)
 
+    @cached_property
+    def skipped(self) -> DataFrame:
+        """The files that a size limit left out; none without a limit."""
+        return self.inventory.filter(~F.col("processed")).select("path", "length")
+
     @cached_property
     def scanned(self) -> DataFrame:
         """Files that pass every gate, with their kind (rows 3-5, 13)."""
@@ -94,30 +100,39 @@ class TraceResult:
 
     @cached_property
     def repo_urls(self) -> DataFrame:
-        """Row 7: one row per repository, broadcast behind a row-count check so
-        that tags never shuffle by ``repo_id`` (few keys, huge groups)."""
-        return I.sized_broadcast(I.repo_root_url(self.repos))
+        """Row 7: one row per repository. Staged, so that its size in bytes is known where
+        it is joined: a small list is broadcast and tags do not move by ``repo_id``."""
+        return self._stage(I.repo_root_url(self.repos))
 
     @cached_property
     def lines(self) -> DataFrame:
         """Row 11-12: numbered, non-ignored lines with candidate flags (lazy;
         the trace itself only reads ``cand_lines``)."""
-        return L.candidate_flags(L.line_explode(self.scanned, self.options.ignore_lines), self.options.header_key)
+        return L.candidate_flags(self._exploded(self.scanned), self.options.header_key)
+
+    def _exploded(self, files: DataFrame, keep_long: bool = False) -> DataFrame:
+        return L.line_explode(files, self.options.ignore_lines, keep_long, self.options.max_line_bytes)
 
     @cached_property
-    def cand_lines(self) -> DataFrame:
-        """Stage 1, the only pass over the text: candidate lines of every
-        scanned file plus overlong-line markers."""
-        ex = L.line_explode(self.scanned, self.options.ignore_lines, keep_long=True)
+    def md_candidates(self) -> DataFrame:
+        """Candidate lines of the Markdown files plus overlong-line markers (one pass over
+        the Markdown text)."""
+        ex = self._exploded(self.scanned.filter(F.col("kind") == "md"), keep_long=True)
         c = L.candidate_flags(ex, self.options.header_key)
-        return self._stage(c.filter(F.col("is_cand") | F.col("is_long")))
+        return c.filter(F.col("is_cand") | F.col("is_long"))
+
+    @cached_property
+    def src_lines(self) -> DataFrame:
+        """Lines with tags of the source files (one pass over the source text); a file
+        without the opening of a tag is dropped whole before it is cut into lines."""
+        src = self.scanned.filter((F.col("kind") == "src") & F.col("content").contains("[~"))
+        return self._exploded(src).filter(F.col("line").contains("[~"))
 
     @cached_property
     def md_state(self) -> DataFrame:
         """Stage 2: Markdown candidate lines with fence and header state and
         the per-file facts (package, ignored, has a site, fence pairing)."""
-        md = self.cand_lines.filter(F.col("kind") == "md")
-        return self._stage(L.markdown_state(md, self.options.header_key))
+        return self._stage(L.markdown_state(self.md_candidates, self.options.header_key))
 
     @cached_property
     def pkg_lines(self) -> DataFrame:
@@ -136,8 +151,7 @@ class TraceResult:
     def all_tags(self) -> DataFrame:
         """Row 18 over every scanned file (before retention), with the
         per-file flags the retention rule needs."""
-        src = self.cand_lines.filter((F.col("kind") == "src") & ~F.col("is_long"))
-        src = src.withColumn("file_has_site", F.lit(True)).withColumn("file_ignored", F.lit(False))
+        src = self.src_lines.withColumn("file_has_site", F.lit(True)).withColumn("file_ignored", F.lit(False))
         md = self.md_state.filter(~F.col("in_code") & ~F.col("is_long"))
         cols = L.FILE_COLS + ["kind", "line_no", "line", "file_has_site", "file_ignored"]
         return X.extract_tags(src.select(*cols).unionByName(md.select(*cols)), extra=("file_has_site", "file_ignored"))
@@ -197,9 +211,10 @@ class TraceResult:
             V.err_unmatchedfence(L.unmatched_fences(self.md_state)),
             V.err_reqtype(self.site_cands, types_df, idents),
         ]
-        src_long = self.cand_lines.filter(F.col("kind") == "src")
-        md_long = self.md_state.filter(~F.col("file_ignored"))
-        parts += [L.read_errors(src_long), L.read_errors(md_long)]
+        if self.options.max_line_bytes is not None:
+            src = self._exploded(self.scanned.filter(F.col("kind") == "src"), keep_long=True)
+            parts += [L.read_errors(src), L.read_errors(self.md_state.filter(~F.col("file_ignored")))]
+        parts.append(V.err_repository(self.inventory, self.repo_urls))
         # checked with a bounded isEmpty; only written out when reported
         return V.union_errors(parts)
 
@@ -230,18 +245,14 @@ class TraceResult:
         return self._stage(C.new_coverers(self.registered, self.tags, self.repo_urls))
 
     @cached_property
-    def coverer_lists_all(self) -> DataFrame:
-        """Rows 40-41 for every registered requirement with coverers."""
-        return C.coverer_lists(self.new_coverers, self.registered)
+    def ranked_coverers(self) -> DataFrame:
+        """Rows 40-41: numbered coverer rows of every registered requirement."""
+        return C.ranked_coverers(self.new_coverers)
 
     @cached_property
     def current_coverers(self) -> DataFrame:
         return C.current_coverers(self.reg_m, self.coverers)
 
-    @cached_property
-    def max_ids(self) -> DataFrame:
-        return C.max_footnote_id(self.ident, self.footnotes)
-
     @cached_property
     def semantic_errors(self) -> DataFrame:
         parts = [
@@ -285,21 +296,24 @@ class TraceResult:
     @cached_property
     def docs(self) -> DataFrame:
         """Rewritten Markdown documents (rows 54-60); empty when gated."""
-        md = self.scanned.filter(F.col("kind") == "md").select("path", "repo_id", "rel_path", "content")
+        md = self.scanned.filter(F.col("kind") == "md").select(
+            "path", "repo_id", "rel_path", "content", *[c for c in ("decodable",) if c in self.files.columns]
+        )
         return self._stage(R.apply_actions(md, self.actions))
 
 
 def trace(files: DataFrame, repos: DataFrame, *, tracked: DataFrame | None = None, extensions: str | None = None,
           ignore_lines=(), types: str | None = None, header_key: str = P.DEFAULT_HEADER_KEY,
-          max_bytes: int = P.MAX_FILE_BYTES, materialize: bool = True) -> TraceResult:
+          max_bytes: int | None = None, max_line_bytes: int | None = None, materialize: bool = True) -> TraceResult:
     """Trace requirements of a corpus.
 
     ``files``: ``(root_ord, repo_id, root_path, path, rel_path, length, content[, tracked])``;
     ``repos``: ``(repo_id, root, remote_url, has_main, has_master)``;
     ``tracked``: optional ``(repo_id, rel_path)`` table (else the ``tracked``
-    column, else every file is tracked)."""
+    column, else every file is tracked). Whole files and lines are read; ``max_bytes``
+    and ``max_line_bytes`` set the original tool's limits when wanted."""
     I.check_ignore_patterns(files.sparkSession, ignore_lines)
-    opts = TraceOptions(extensions, tuple(ignore_lines or ()), types, header_key, max_bytes)
+    opts = TraceOptions(extensions, tuple(ignore_lines or ()), types, header_key, max_bytes, max_line_bytes)
     return TraceResult(files, repos, tracked, opts, materialize)
 
 
@@ -321,16 +335,16 @@ def analyze(sites: DataFrame, footnotes: DataFrame, coverers: DataFrame, tags: D
     Outputs are lazy; ``actions`` is empty when there are semantic errors."""
     file_pkg = sites.select(*L.FILE_KEY, F.col("package").alias("file_package")).dropDuplicates(L.FILE_KEY)
     fns = footnotes.join(file_pkg, L.FILE_KEY)
-    ident0 = C.identify(sites.withColumn("file_max_id", F.lit(0)))
-    max_ids = C.max_footnote_id(ident0, fns)
-    ident = C.identify(sites.join(max_ids.withColumnRenamed("max_id", "file_max_id"), L.FILE_KEY, "left"))
+    run = TraceResult(sites, repos)
+    max_ids = C.max_footnote_id(sites.filter(F.col("package") != ""), fns).withColumnRenamed("max_id", "file_max_id")
+    ident = run._stage(C.identify(sites.join(max_ids, L.FILE_KEY, "left")), "ident")
     reg = ident.filter("is_first").drop("first", "is_first")
-    reg_m = reg.join(C.footnote_match(reg, fns), C.SITE_KEY, "left")
-    new = C.new_coverers(reg, tags, I.repo_root_url(repos))
+    reg_m = run._stage(reg.join(C.footnote_match(reg, fns), C.SITE_KEY, "left"), "reg_m")
+    new = run._stage(C.new_coverers(reg, tags, run.repo_urls), "new_coverers")
     cur = C.current_coverers(reg_m, coverers)
     errors = V.union_errors(
-        [C.err_nopkgidreqs(sites, P.DEFAULT_HEADER_KEY), C.err_dupreqid(ident), C.err_pkgmismatch(reg_m, fns)]
+        [V.err_repository(tags.withColumn("root_path", F.col("repo_id")), run.repo_urls), C.err_nopkgidreqs(sites, P.DEFAULT_HEADER_KEY), C.err_dupreqid(ident), C.err_pkgmismatch(reg_m, fns)]
     )
-    cov = C.coverage(reg_m, new, cur)
+    cov = run._stage(C.coverage(reg_m, new, cur), "coverage")
     acts = C.actions(cov, new)
     return AnalysisResult(errors, cov, acts if not V.has_rows(errors) else acts.limit(0))

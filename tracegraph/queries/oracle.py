@@ -151,10 +151,10 @@ o_files AS (
   FROM o_note),
 o_scanned AS (
   SELECT *, CAST(strlen(content) AS BIGINT) AS length FROM o_files
-  WHERE NOT dotted AND strlen(content) <= 131072 AND ext_ok AND tracked),
+  WHERE NOT dotted AND ext_ok AND tracked),
 o_lines AS (
   SELECT path, rel_path, kind, CAST(i AS BIGINT) AS line_no, parts[i] AS line
-  FROM (SELECT path, rel_path, kind, string_split(content, chr(10)) AS parts FROM o_scanned),
+  FROM (SELECT path, rel_path, kind, string_split(content, chr(10)) AS parts FROM o_files),
        generate_series(1, len(parts)) t(i)
   WHERE NOT (i = len(parts) AND parts[i] = '')),
 o_newdoc AS (
@@ -221,7 +221,7 @@ def q(select: str) -> str:
 ORACLE = {
     # --- flagship --------------------------------------------------------
     "coverage_status": q("""
-SELECT package, name, status, n_cov AS n_coverers, cov_text AS coverers FROM o_stat"""),
+SELECT package, name, status, n_cov AS n_coverers FROM o_stat"""),
     # --- 2.1 sources, sinks, inventory ------------------------------------
     "file_inventory": q("""
 SELECT root_ord, path, CAST(strlen(content) AS BIGINT) AS length FROM o_files"""),
@@ -235,17 +235,34 @@ SELECT path, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) AS ext FROM o_files
 SELECT path, rel_path FROM o_files WHERE NOT dotted AND tracked"""),
     "content_blob_hash": q("""
 SELECT path, sha1(encode('blob ' || CAST(strlen(content) AS VARCHAR)) || '\\x00'::BLOB || encode(content)) AS blob_hash
-FROM o_scanned"""),
+FROM o_files"""),
     "repo_root_url": q(f"""
-SELECT path, CASE WHEN root_ord = 0 THEN '{GH_URL}' ELSE '{GL_URL}' END AS root_url FROM o_scanned"""),
+SELECT path, CASE WHEN root_ord = 0 THEN '{GH_URL}' ELSE '{GL_URL}' END AS root_url FROM o_files"""),
+    "err_repository": q("""
+SELECT DISTINCT CASE root_ord WHEN 0 THEN '/corpus/gh' ELSE '/corpus/gl' END AS path, CAST(0 AS BIGINT) AS line_no, '' AS code,
+  CASE root_ord WHEN 0 THEN 'unsupported git provider: https://codehost.example/tpch/supply'
+    ELSE 'neither main nor master branch exists' END AS message
+FROM o_files WHERE NOT dotted"""),
     "scan_stats": q("""
-SELECT CAST(count(*) FILTER (WHERE strlen(content) <= 131072) AS BIGINT) AS processed_files,
+SELECT *, CASE WHEN processed_bytes < 1000 THEN processed_bytes || ' B' WHEN processed_bytes < 1000000 THEN printf('%.1f kB', processed_bytes / 1e3)
+    WHEN processed_bytes < 1000000000 THEN printf('%.1f MB', processed_bytes / 1e6) ELSE printf('%.1f GB', processed_bytes / 1e9) END AS processed_size,
+  CASE WHEN skipped_bytes < 1000 THEN skipped_bytes || ' B' WHEN skipped_bytes < 1000000 THEN printf('%.1f kB', skipped_bytes / 1e3)
+    WHEN skipped_bytes < 1000000000 THEN printf('%.1f MB', skipped_bytes / 1e6) ELSE printf('%.1f GB', skipped_bytes / 1e9) END AS skipped_size
+FROM (SELECT CAST(count(*) FILTER (WHERE strlen(content) <= 131072) AS BIGINT) AS processed_files,
   CAST(coalesce(sum(strlen(content)) FILTER (WHERE strlen(content) <= 131072), 0) AS BIGINT) AS processed_bytes,
   CAST(count(*) FILTER (WHERE strlen(content) > 131072) AS BIGINT) AS skipped_files,
   CAST(coalesce(sum(strlen(content)) FILTER (WHERE strlen(content) > 131072), 0) AS BIGINT) AS skipped_bytes
-FROM o_files WHERE NOT dotted"""),
+FROM o_files WHERE NOT dotted)"""),
     "docs_sink": q("""
-SELECT path, CAST(strlen(content) AS BIGINT) AS length, md5(content) AS md5 FROM o_docs"""),
+SELECT path, CAST(strlen(c) AS BIGINT) AS length, md5(c) AS md5
+FROM (SELECT d.path, CASE WHEN r.p_size % 10 IN (1, 2) THEN replace(d.content, chr(10), chr(13) || chr(10)) ELSE d.content END AS c
+  FROM o_docs d JOIN o_reqn r ON r.path = d.path AND r.rn = 1 WHERE r.p_size % 10 NOT IN (3, 4)
+  UNION ALL
+  SELECT f.path, '---' || chr(13) || chr(10) || substr(f.content, 5) || repeat(chr(13) || chr(10), 2) || a.data || chr(13) || chr(10)
+  FROM o_files f JOIN o_reqn r ON r.path = f.path AND r.rn = 1
+  JOIN (SELECT path, max(line_no) AS edited, string_agg(data, chr(13) || chr(10) ORDER BY seq) AS data FROM o_actions GROUP BY path) a
+    ON a.path = f.path
+  WHERE r.p_size % 10 IN (3, 4) AND a.edited = 0)"""),
     "action_report": q("""
 SELECT path, seq, 'Action' || chr(10) || chr(9) || type || chr(10) || chr(9) || path || ':' || CAST(line_no AS VARCHAR)
   || chr(10) || chr(9) || 'Requirement: ' || name || chr(10) || chr(9) || 'Data: ' || data AS text
@@ -257,7 +274,7 @@ SELECT path, line_no, line FROM o_lines"""),
 SELECT path, CAST(count(*) AS BIGINT) AS n_kept FROM o_lines WHERE NOT regexp_matches(line, '^// order ')
 GROUP BY path"""),
     "file_kind": q("""
-SELECT path, kind FROM o_scanned"""),
+SELECT path, kind FROM o_files"""),
     "fence_state": q("""
 SELECT path, CAST(5 + 2 * k + m + d AS BIGINT) AS line_no FROM o_reqn, (VALUES (3), (4), (5)) v(d) WHERE rn = 1"""),
     "header_state": q("""
@@ -291,11 +308,14 @@ UNION ALL
 SELECT DISTINCT root_dir || rel_path, 'src' FROM o_tag"""),
     # --- 2.4 joins, aggregation, windows, diff ------------------------------
     "site_tag_join": q("""
-SELECT package, name, site_path, site_line, tag_path, line_no AS tag_line, cov_type FROM o_cov"""),
+SELECT s.package, s.name, s.path AS site_path, s.line_no AS site_line, c.tag_path, c.line_no AS tag_line, c.cov_type
+FROM o_site s LEFT JOIN o_cov c ON c.package = s.package AND c.name = s.name"""),
     "coverer_build": q("""
 SELECT package, name, label, url FROM o_cov"""),
     "new_coverer_list": q("""
-SELECT package, name, CAST(n AS BIGINT) AS n_coverers, cov_text AS coverers FROM o_covtext"""),
+SELECT package, name,
+  CAST(row_number() OVER (PARTITION BY package, name ORDER BY cov_type, file, line_no, url) AS BIGINT) AS ord, label, url
+FROM o_cov"""),
     "coverer_sort": q("""
 SELECT package, name,
   CAST(row_number() OVER (PARTITION BY package, name ORDER BY cov_type, file, line_no, url) AS BIGINT) AS ord, label
@@ -321,7 +341,7 @@ SELECT path, line_no, name, data FROM o_actions WHERE type = 'Footnote'"""),
     "format_site": q("""
 SELECT path, line_no, site_data AS site_text FROM o_fmt"""),
     "format_footnote": q("""
-SELECT package, name, fn_data AS footnote_text FROM o_fmt"""),
+SELECT package, name, fn_data AS footnote_text FROM o_fmt WHERE needs_fn"""),
     "actions_by_file": q("""
 SELECT path, seq, type, line_no, name, data FROM o_actions"""),
     "dry_run": q("""
@@ -343,9 +363,12 @@ SELECT path, line_no, data AS text FROM o_actions WHERE type = 'Footnote' AND li
 SELECT n.path, n.line_no, n.text FROM o_newdoc n
 JOIN (SELECT path, max(line_no) AS last_line FROM o_docline GROUP BY path) b ON n.path = b.path
 WHERE n.line_no > b.last_line"""),
-    # the clean corpus has no mixed line ends, undecodable bytes or missing lines
+    # the first action on a line of its own: with one CRLF, all that follows it is one line
     "apply_check": q("""
-SELECT path, CAST(NULL AS VARCHAR) AS apply_error FROM o_docs WHERE FALSE"""),
+SELECT a.path, 'line ' || a.line_no || ' doesn''t exist in file ' || a.path AS apply_error
+FROM o_actions a JOIN o_reqn r ON r.path = a.path AND r.rn = 1
+WHERE r.p_size % 10 IN (3, 4) AND a.line_no > 0
+QUALIFY row_number() OVER (PARTITION BY a.path ORDER BY a.seq) = 1"""),
     "final_newline": q("""
 SELECT path, CAST(strlen(content) AS BIGINT) AS length, md5(content) AS md5 FROM o_docs"""),
     # --- 2.3 validation rules (faulted corpora) ---------------------------
@@ -373,6 +396,8 @@ FROM (SELECT * FROM o_synerr UNION ALL SELECT * FROM o_semerr)"""),
 SELECT 'clean' AS corpus, CAST(0 AS BIGINT) AS n_scan_errors, CAST(0 AS BIGINT) AS n_semantic_errors,
   (SELECT CAST(count(*) AS BIGINT) FROM o_actions) AS n_actions
 UNION ALL
+SELECT 'repos', (SELECT CAST(count(DISTINCT root_ord) AS BIGINT) FROM o_files WHERE NOT dotted), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+UNION ALL
 SELECT 'syntax', (SELECT CAST(count(*) AS BIGINT) FROM o_synerr), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
 UNION ALL
 SELECT 'semantic', CAST(0 AS BIGINT), (SELECT CAST(count(*) AS BIGINT) FROM o_semerr), CAST(0 AS BIGINT)"""),

@@ -7,8 +7,7 @@ as BIGINT) so that it compares with the oracle SQL of the same name."""
 
 from __future__ import annotations
 
-import hashlib
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from pyspark.sql import types as Ty
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..operators import coverage as C
 from ..operators import extract as X
 from ..operators import lines as L
 from ..operators import rewrite as R
@@ -37,12 +37,12 @@ def _bigints(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def traced(spark: SparkSession, sf_dir: str, faults: str | None = None, **opts) -> TraceResult:
+def traced(spark: SparkSession, sf_dir: str, faults: str | None = None, bad_repos: bool = False, **opts) -> TraceResult:
     """The trace of a rendered corpus, shared by all queries of a session."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), faults, tuple(sorted(opts.items())))
+    key = (spark.sparkContext.applicationId, sf_dir, CO.input_identity(spark, sf_dir), faults, bad_repos, tuple(sorted(opts.items())))
     if key not in _TRACES:
         files = CO.corpus(spark, sf_dir, faults)
-        _TRACES[key] = trace(files, CO.repos(spark), **opts)
+        _TRACES[key] = trace(files, CO.repos(spark, bad_repos), **opts)
     return _TRACES[key]
 
 
@@ -59,13 +59,11 @@ def out(*cols):
 
 
 # ----------------------------------------------------------------- flagship
-@out("package", "name", "status", "n_coverers", "coverers")
+@out("package", "name", "status", "n_coverers")
 def coverage_status(spark, sf_dir):
-    """Rows 62 → 11-16, 18, 19, 38-41, 44: which requirements are covered, and by what."""
-    r = traced(spark, sf_dir)
-    lists = r.coverer_lists_all
-    c = r.coverage.join(lists, ["package", "name"], "left")
-    return c.select("package", "name", "status", "n_coverers", F.coalesce(T.coverers_text("coverers"), F.lit("")).alias("coverers"))
+    """Rows 62 → 11-16, 18, 19, 38-39, 44: which requirements are covered, and how often
+    (by what: ``new_coverer_list``)."""
+    return traced(spark, sf_dir).coverage
 
 
 # ---------------------------------------------------- 2.1 sources and sinks
@@ -95,31 +93,38 @@ def extension_filter(spark, sf_dir):
 
 @out("path", "rel_path")
 def tracked_semi_join(spark, sf_dir):
-    return I.tracked_semi_join(I.dot_folder_prune(CO.corpus(spark, sf_dir)))
+    files = I.dot_folder_prune(CO.corpus(spark, sf_dir))
+    return I.tracked_semi_join(files.drop("tracked"), CO.tracked_list(CO.corpus(spark, sf_dir)))
 
 
 @out("path", "blob_hash")
 def content_blob_hash(spark, sf_dir):
-    return I.content_blob_hash(traced(spark, sf_dir).scanned)
+    return I.content_blob_hash(CO.corpus(spark, sf_dir))
 
 
 @out("path", "root_url")
 def repo_root_url(spark, sf_dir):
-    r = traced(spark, sf_dir)
-    return r.scanned.join(r.repo_urls, "repo_id", "left")
+    return CO.corpus(spark, sf_dir).join(traced(spark, sf_dir).repo_urls, "repo_id", "left")
+
 
+@out("path", "line_no", "code", "message")
+def err_repository(spark, sf_dir):
+    """Row 7 gate: repositories without a usable URL are scan errors."""
+    return traced(spark, sf_dir, bad_repos=True).errors
 
-@out("processed_files", "processed_bytes", "skipped_files", "skipped_bytes")
+
+@out("processed_files", "processed_bytes", "processed_size", "skipped_files", "skipped_bytes", "skipped_size")
 def scan_stats(spark, sf_dir):
-    return traced(spark, sf_dir).stats
+    """Rows 3, 8 under the original tool's file size limit."""
+    return traced(spark, sf_dir, max_bytes=P.MAX_FILE_BYTES).stats
 
 
 @out("path", "length", "md5")
 def docs_sink(spark, sf_dir):
-    r = traced(spark, sf_dir)
-    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{CO.CORPUS_VERSION}".encode()).hexdigest()[:16]
-    target = checkpoint_dir(spark).rstrip("/") + f"/tracegraph/docs-{key}"
-    I.docs_sink(r.docs, target)
+    """Rows 9, 54, 55: the corpus with varied line ends; documents that cannot be edited are
+    left out (see ``apply_check``), the others are written."""
+    target = checkpoint_dir(spark).rstrip("/") + f"/tracegraph/docs-{uuid.uuid4().hex[:12]}"
+    I.docs_sink(traced(spark, sf_dir, "eol").docs, target)
     d = spark.read.parquet(target)
     return d.select("path", F.octet_length("content").alias("length"), F.md5("content").alias("md5"))
 
@@ -132,18 +137,18 @@ def action_report(spark, sf_dir):
 # ------------------------------------------------------------- 2.2 lines
 @out("path", "line_no", "line")
 def line_explode(spark, sf_dir):
-    return traced(spark, sf_dir).lines
+    return L.line_explode(CO.corpus(spark, sf_dir))
 
 
 @out("path", "n_kept")
 def ignore_lines(spark, sf_dir):
-    r = traced(spark, sf_dir, ignore_lines=("^// order ",))
-    return r.lines.groupBy("path").agg(F.count("*").alias("n_kept"))
+    lines = L.line_explode(CO.corpus(spark, sf_dir), ("^// order ",))
+    return lines.groupBy("path").agg(F.count("*").alias("n_kept"))
 
 
 @out("path", "kind")
 def file_kind(spark, sf_dir):
-    return traced(spark, sf_dir).scanned
+    return L.file_kind(CO.corpus(spark, sf_dir).drop("kind"))
 
 
 @out("path", "line_no")
@@ -209,9 +214,7 @@ def retained_files(spark, sf_dir):
 @out("package", "name", "site_path", "site_line", "tag_path", "tag_line", "cov_type")
 def site_tag_join(spark, sf_dir):
     r = traced(spark, sf_dir)
-    s = r.registered.select("package", "name", F.col("path").alias("site_path"), F.col("line_no").alias("site_line"))
-    t = r.tags.select("package", "name", F.col("path").alias("tag_path"), F.col("line_no").alias("tag_line"), "cov_type")
-    return s.join(t, ["package", "name"])
+    return C.site_tag_join(r.registered, r.tags).withColumnRenamed("line_no", "tag_line")
 
 
 @out("package", "name", "label", "url")
@@ -219,17 +222,14 @@ def coverer_build(spark, sf_dir):
     return traced(spark, sf_dir).new_coverers
 
 
-@out("package", "name", "n_coverers", "coverers")
+@out("package", "name", "ord", "label", "url")
 def new_coverer_list(spark, sf_dir):
-    c = traced(spark, sf_dir).coverer_lists_all
-    return c.select("package", "name", F.size("coverers").alias("n_coverers"), T.coverers_text("coverers").alias("coverers"))
+    return traced(spark, sf_dir).ranked_coverers
 
 
 @out("package", "name", "ord", "label")
 def coverer_sort(spark, sf_dir):
-    c = traced(spark, sf_dir).coverer_lists_all
-    e = c.select("package", "name", F.posexplode("coverers").alias("pos", "c"))
-    return e.select("package", "name", (F.col("pos") + 1).alias("ord"), F.col("c.label").alias("label"))
+    return traced(spark, sf_dir).ranked_coverers
 
 
 @out("path", "line_no", "match_line")
@@ -261,8 +261,7 @@ def next_footnote_id(spark, sf_dir):
 
 @out("path", "line_no", "pos")
 def position_order(spark, sf_dir):
-    w = Window.partitionBy("path").orderBy("line_no")
-    return traced(spark, sf_dir).coverage.withColumn("pos", F.row_number().over(w))
+    return C.positions(traced(spark, sf_dir).coverage)
 
 
 @out("path", "line_no", "name", "data")
@@ -284,8 +283,7 @@ def format_site(spark, sf_dir):
 @out("package", "name", "footnote_text")
 def format_footnote(spark, sf_dir):
     r = traced(spark, sf_dir)
-    c = r.coverage.join(r.coverer_lists_all, ["package", "name"], "left")
-    return c.withColumn("footnote_text", T.format_footnote("new_footnote_id", "package", "name", "coverers"))
+    return C.footnote_texts(r.coverage, r.new_coverers)
 
 
 @out("path", "seq", "type", "line_no", "name", "data")
@@ -357,12 +355,13 @@ def final_newline(spark, sf_dir):
 
 @out("path", "apply_error")
 def apply_check(spark, sf_dir):
-    return traced(spark, sf_dir).docs.filter(F.col("apply_error").isNotNull())
+    """Row 60: documents of the corpus with varied line ends that cannot be edited."""
+    return traced(spark, sf_dir, "eol").docs.filter(F.col("apply_error").isNotNull())
 
 
 # ------------------------------------------- 2.3 validation (faulted corpora)
 def _syntax(spark, sf_dir) -> TraceResult:
-    return traced(spark, sf_dir, "syntax", types=CO.FAULT_TYPES)
+    return traced(spark, sf_dir, "syntax", types=CO.FAULT_TYPES, max_line_bytes=P.MAX_LINE_BYTES)
 
 
 def _semantic(spark, sf_dir) -> TraceResult:
@@ -404,12 +403,25 @@ def error_report(spark, sf_dir):
 @out("corpus", "n_scan_errors", "n_semantic_errors", "n_actions")
 def phase_gate(spark, sf_dir):
     """Row 37 (Q35): syntax errors stop analysis, semantic errors stop apply."""
-    rows = []
-    for label, r in (("clean", traced(spark, sf_dir)), ("syntax", _syntax(spark, sf_dir)), ("semantic", _semantic(spark, sf_dir))):
-        n_scan = r.scan_errors.count()
-        n_sem = r.semantic_errors.count() if r.scan_ok else 0
-        rows.append((label, n_scan, n_sem, r.actions.count()))
-    return spark.createDataFrame(rows, "corpus string, n_scan_errors bigint, n_semantic_errors bigint, n_actions bigint")
+    runs = {
+        "clean": traced(spark, sf_dir),
+        "repos": traced(spark, sf_dir, bad_repos=True),
+        "syntax": _syntax(spark, sf_dir),
+        "semantic": _semantic(spark, sf_dir),
+    }
+    counts = None
+    for label, r in runs.items():
+        for what, df in (("scan", r.scan_errors), ("semantic", r.semantic_errors), ("actions", r.actions_all)):
+            n = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("corpus"), F.lit(what).alias("what"), "n")
+            counts = n if counts is None else counts.unionByName(n)
+    total = lambda what: F.sum(F.when(F.col("what") == what, F.col("n")))
+    g = counts.groupBy("corpus").agg(total("scan").alias("s"), total("semantic").alias("m"), total("actions").alias("a"))
+    return g.select(
+        "corpus",
+        F.col("s").alias("n_scan_errors"),
+        F.when(F.col("s") > 0, 0).otherwise(F.col("m")).cast("bigint").alias("n_semantic_errors"),
+        F.when(F.col("s") + F.col("m") > 0, 0).otherwise(F.col("a")).cast("bigint").alias("n_actions"),
+    )
 
 
 # --------------------------------------------------------------- 2.6 corpus
@@ -428,6 +440,7 @@ QUERIES = {
     "tracked_semi_join": tracked_semi_join,
     "content_blob_hash": content_blob_hash,
     "repo_root_url": repo_root_url,
+    "err_repository": err_repository,
     "scan_stats": scan_stats,
     "docs_sink": docs_sink,
     "action_report": action_report,

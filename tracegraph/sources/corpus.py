@@ -34,18 +34,19 @@ Rendering rules (all shared with the oracle SQL in ``queries/oracle.py``):
 from __future__ import annotations
 
 import hashlib
-import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..operators.lines import file_kind
 from ..operators.numbering import rank_within
 from ..session import checkpoint_dir
 from .inventory import FILES_SCHEMA, REPOS_SCHEMA
 
-CORPUS_VERSION = "4"
+CORPUS_VERSION = "5"
 REQ_TYPES = ("it", "cmp", "utest")
 DOC_CHUNK = 7000
 SRC_FILE_TAGS = 1000
@@ -81,6 +82,10 @@ SEMANTIC_FAULTS = {
     9: "nopkgidreqs",
 }
 FAULT_TYPES = "it,cmp,utest"
+# Line ends of the ``eol`` corpus, by p_size % 10: CRLF throughout; CRLF after the first line
+# only; two blank lines at the end.
+EOL_CRLF, EOL_MIXED, EOL_BLANK = (1, 2), (3, 4), (5, 6)
+FAULT_SETS = ("syntax", "semantic", "eol")
 
 
 def _s(c) -> Column:
@@ -91,8 +96,17 @@ def req_type(key: Column) -> Column:
     return F.when(key % 3 == 0, REQ_TYPES[0]).when(key % 3 == 1, REQ_TYPES[1]).otherwise(REQ_TYPES[2])
 
 
-def repos(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([GH, GL], REPOS_SCHEMA)
+#: the same repositories on an unsupported host and without a known branch
+BAD_REPOS = (("gh", GH[1], "https://codehost.example/tpch/supply", True, False), ("gl", GL[1], GL[2], False, False))
+
+
+def repos(spark: SparkSession, bad: bool = False) -> DataFrame:
+    return spark.createDataFrame(list(BAD_REPOS) if bad else [GH, GL], REPOS_SCHEMA)
+
+
+def tracked_list(files: DataFrame) -> DataFrame:
+    """The tracked files as a table of their own, ``(repo_id, rel_path)``."""
+    return files.filter("tracked").select("repo_id", "rel_path")
 
 
 def tag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +212,7 @@ def site_text(name, variant, rn) -> Column:
 def fault_lines(faults: str | None, base: Column, p: Column, name: Column, pkg: Column, kind: Column, L) -> Column:
     """Extra line(s) of a faulted document, appended after the decoys."""
     empty = F.array().cast("array<struct<line_no:int,text:string>>")
-    if faults is None:
+    if faults in (None, "eol"):
         return empty
     ps = _s(p)
     at = base + 8
@@ -277,8 +291,13 @@ def document_files(parts: DataFrame, covs: DataFrame, header_key: str = P.DEFAUL
     extra = F.when(rn == 1, fault_lines(faults, base, F.col("p"), name, pkg, kind, L)).otherwise(
         F.array().cast("array<struct<line_no:int,text:string>>")
     )
-    ex = d.select("rel_path", F.explode(F.concat(per_part, footnote, doc_lines, extra)).alias("l"))
-    files = ex.groupBy("rel_path").agg(_join_lines(F.collect_list("l")).alias("content"))
+    ex = d.select("rel_path", kind.alias("kind"), F.explode(F.concat(per_part, footnote, doc_lines, extra)).alias("l"))
+    files = ex.groupBy("rel_path").agg(_join_lines(F.collect_list("l")).alias("content"), F.first("kind").alias("kind"))
+    if faults == "eol":
+        c, kind = F.col("content"), F.col("kind")
+        ends = F.when(kind.isin(*EOL_CRLF), F.replace(c, F.lit("\n"), F.lit("\r\n")))
+        ends = ends.when(kind.isin(*EOL_MIXED), F.concat(F.lit("---\r\n"), F.substring(c, F.lit(5), F.char_length(c))))
+        files = files.withColumn("content", ends.when(kind.isin(*EOL_BLANK), F.concat(c, F.lit("\n\n"))).otherwise(c))
     return _file_rows(files.withColumn("tracked", F.lit(True)), F.lit(GH[0]), "rel_path")
 
 
@@ -299,7 +318,8 @@ def corpus_from_tables(spark: SparkSession, sf_dir: str, header_key: str = P.DEF
                        faults: str | None = None) -> DataFrame:
     """The ``files`` table of the rendered corpus (lazy plan). ``faults``:
     ``'syntax'`` or ``'semantic'`` adds one fault per document, chosen by
-    ``p_size % 10`` (see ``SYNTAX_FAULTS`` / ``SEMANTIC_FAULTS``)."""
+    ``p_size % 10`` (see ``SYNTAX_FAULTS`` / ``SEMANTIC_FAULTS``); ``'eol'`` varies the
+    line ends."""
     tags = tag_rows(spark, sf_dir)
     parts = part_rows(spark, sf_dir, header_key)
     covs = true_coverers(tags, parts.filter(F.col("variant") == 2))
@@ -307,27 +327,28 @@ def corpus_from_tables(spark: SparkSession, sf_dir: str, header_key: str = P.DEF
     return out.select(*[f.name for f in FILES_SCHEMA.fields])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through the Hadoop file system of the path (works for
-    local, HDFS and object-store checkpoint folders)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+TABLES = ("part", "lineitem", "documents", "labels")
+_BUILT: dict = {}
 
 
-def materialize(spark: SparkSession, df_fn, name: str) -> DataFrame:
-    """Write a derived table once into the shared checkpoint folder and read it
-    back (cuts lineage; survives executor loss)."""
-    d = checkpoint_dir(spark).rstrip("/") + "/tracegraph/" + name
-    if not _exists(spark, d + "/_SUCCESS"):
-        df_fn().write.mode("overwrite").parquet(d)
-    return spark.read.parquet(d)
+def input_identity(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of the input files' names, sizes and times: changed inputs are another corpus."""
+    rows = []
+    for t in TABLES:
+        m = spark.read.parquet(f"{sf_dir}/{t}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        rows += sorted(str(tuple(r)) for r in m.distinct().collect())
+    return hashlib.sha1("\n".join(rows).encode()).hexdigest()[:16]
 
 
 def corpus(spark: SparkSession, sf_dir: str, faults: str | None = None) -> DataFrame:
-    """Materialised corpus for ``sf_dir`` (clean, or with ``faults`` =
-    ``'syntax'`` / ``'semantic'``)."""
-    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{faults}|{CORPUS_VERSION}".encode()).hexdigest()[:16]
-    if faults not in (None, "syntax", "semantic"):
+    """Materialised corpus for ``sf_dir`` (clean, or with one of ``FAULT_SETS``): written once
+    per session to the shared checkpoint folder, partitioned by kind so that a stage that
+    needs Markdown only never reads source text."""
+    if faults is not None and faults not in FAULT_SETS:
         raise ValueError(f"unknown fault set: {faults}")
-    return materialize(spark, lambda: corpus_from_tables(spark, sf_dir, faults=faults), f"corpus-{faults}-{key}")
+    key = (spark.sparkContext.applicationId, sf_dir, input_identity(spark, sf_dir), faults)
+    if key not in _BUILT:
+        path = checkpoint_dir(spark).rstrip("/") + f"/tracegraph/corpus-{faults}-{uuid.uuid4().hex[:12]}"
+        file_kind(corpus_from_tables(spark, sf_dir, faults=faults)).write.partitionBy("kind").parquet(path)
+        _BUILT[key] = path
+    return spark.read.parquet(_BUILT[key])

@@ -10,6 +10,7 @@ on ``length`` and ``path`` without touching ``content``.
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ def dot_folder_prune(files: DataFrame) -> DataFrame:
     return files.filter(~in_dot_folder())
 
 
-def size_gate(files: DataFrame, max_bytes: int = P.MAX_FILE_BYTES) -> DataFrame:
+def size_gate(files: DataFrame, max_bytes: int) -> DataFrame:
     """Row 3 (Q1): keep files of at most ``max_bytes`` bytes (strictly larger
     ones are skipped). The predicate reaches the Parquet scan."""
     return files.filter(F.col("length") <= F.lit(max_bytes))
@@ -110,9 +111,9 @@ def content_blob_hash(files: DataFrame) -> DataFrame:
     return files.withColumn("blob_hash", T.blob_hash("content"))
 
 
-def gated_inventory(files: DataFrame, tracked: DataFrame | None, extensions: str | None, max_bytes: int) -> DataFrame:
+def gated_inventory(files: DataFrame, tracked: DataFrame | None, extensions: str | None, max_bytes: int | None) -> DataFrame:
     """Rows 2-5 as flags, in the tool's order: dot folders are never visited;
-    size decides skipped/processed; extension and tracking come after the
+    size (under a limit) decides skipped/processed; extension and tracking come after the
     processed count (Q1)."""
     f = dot_folder_prune(files)
     if tracked is not None:
@@ -123,7 +124,7 @@ def gated_inventory(files: DataFrame, tracked: DataFrame | None, extensions: str
         f = f.withColumn("is_tracked", F.coalesce(F.col("tracked"), F.lit(False)))
     else:
         f = f.withColumn("is_tracked", F.lit(True))
-    processed = F.col("length") <= F.lit(max_bytes)
+    processed = F.lit(True) if max_bytes is None else F.col("length") <= F.lit(max_bytes)
     return f.withColumn("processed", processed).withColumn(
         "scanned", processed & extension_ok(extensions) & F.col("is_tracked")
     )
@@ -163,17 +164,6 @@ def repo_root_url(repos: DataFrame) -> DataFrame:
     return repos.select("repo_id", url.alias("root_url"), err.alias("url_error"))
 
 
-MAX_BROADCAST_ROWS = 100_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a dimension table only behind a checked bound: its row count
-    (one small job) must not exceed ``max_rows``; beyond it the table is
-    joined by shuffle like any other."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def type_registry(spark: SparkSession, text: str):
     """Row 23 (Q37): ordered type list from option text, validated once in the
     driver (it is option text, not data). Returns ``(DataFrame, identifiers)``."""
@@ -199,30 +189,34 @@ def check_ignore_patterns(spark: SparkSession, patterns) -> None:
     """Invalid ignore patterns fail up front (Java regex dialect)."""
     if not patterns:
         return
-    jvm = spark.sparkContext._jvm
     for p in patterns:
         try:
-            jvm.java.util.regex.Pattern.compile(p)
-        except Exception as e:  # py4j wraps PatternSyntaxException
+            spark.range(1).select(F.lit("").rlike(p)).collect()
+        except Exception as e:  # the engine wraps the syntax error of the pattern
             raise ValueError(f"invalid pattern '{p}': {e}") from None
 
 
-def docs_sink(docs: DataFrame, target: str, mode: str = "overwrite") -> int:
-    """Row 9: write the changed documents as a table (never in place),
-    partitioned by repository when the documents carry ``repo_id``. Refuses to
-    write anything when any document has an ``apply_error``. Returns the number
-    of documents written."""
-    bad = docs.filter(F.col("apply_error").isNotNull())
-    if not bad.isEmpty():
-        first = bad.select("apply_error").first()[0]
-        raise RuntimeError(f"apply failed, nothing written: {first}")
+@dataclass
+class SinkReport:
+    """``written``: number of documents written; ``failed``: ``(path, apply_error)`` of the others."""
+
+    written: int
+    failed: DataFrame
+
+
+def docs_sink(docs: DataFrame, target: str, mode: str = "overwrite") -> SinkReport:
+    """Row 9: write the changed documents that could be edited as a table (never in
+    place), partitioned by repository when the documents carry ``repo_id``, and list the
+    ones with an ``apply_error``: one bad document does not hold up the others."""
+    failed = docs.filter(F.col("apply_error").isNotNull()).select("path", "apply_error")
     cols = [c for c in ("path", "rel_path", "repo_id", "content") if c in docs.columns]
-    out = docs.filter("changed").select(*cols)
+    out = docs.filter(F.col("changed") & F.col("apply_error").isNull()).select(*cols)
+    written = out.count()
     w = out.write.mode(mode)
     if "repo_id" in cols:
         w = w.partitionBy("repo_id")
     w.parquet(target)
-    return out.sparkSession.read.parquet(target).count()
+    return SinkReport(written, failed)
 
 
 def action_report(actions: DataFrame) -> DataFrame:
@@ -236,14 +230,15 @@ def action_report(actions: DataFrame) -> DataFrame:
     )
 
 
-def read_tree(spark: SparkSession, roots: list[tuple[str, str]], max_bytes: int = P.MAX_FILE_BYTES) -> DataFrame:
+def read_tree(spark: SparkSession, roots: list[tuple[str, str]], max_bytes: int | None = None) -> DataFrame:
     """Files under folder roots as a ``files`` table.
 
     The driver lists only the immediate entries of each root; the sub-trees are
     walked inside tasks (dot folders pruned like the tool does, while Spark's
     own listing would also hide ``_x`` and ``.x`` names), and contents are read
-    in tasks only for files within ``max_bytes`` (larger ones keep their length
-    for the statistics and are skipped by the size gate)."""
+    in tasks, under ``max_bytes`` only for files within it (larger ones keep their length
+    for the statistics and are skipped by the size gate). ``decodable`` is false where
+    bytes were no UTF-8 and had to be replaced."""
     tops = []
     for i, (root, repo_id) in enumerate(roots):
         root = os.path.abspath(root)
@@ -291,15 +286,19 @@ def read_tree(spark: SparkSession, roots: list[tuple[str, str]], max_bytes: int
         import pandas as pd
 
         for b in batches:
-            texts = []
+            texts, decodable = [], []
             for p, n in zip(b["path"], b["length"]):
-                if n > max_bytes:
+                if max_bytes is not None and n > max_bytes:
                     texts.append(None)
+                    decodable.append(True)
                     continue
                 with open(p, "rb") as fh:
-                    texts.append(fh.read().decode("utf-8", errors="replace"))
-            yield b.assign(content=pd.Series(texts, dtype=object), tracked=True)
+                    raw = fh.read()
+                texts.append(raw.decode("utf-8", errors="replace"))
+                decodable.append(texts[-1].encode("utf-8") == raw)
+            yield b.assign(content=pd.Series(texts, dtype=object), tracked=True, decodable=pd.Series(decodable, dtype=bool))
 
     schema = Ty.StructType(list(listing_schema.fields) + [
-        Ty.StructField("content", Ty.StringType()), Ty.StructField("tracked", Ty.BooleanType())])
+        Ty.StructField("content", Ty.StringType()), Ty.StructField("tracked", Ty.BooleanType()),
+        Ty.StructField("decodable", Ty.BooleanType())])
     return listing.mapInPandas(read, schema)
