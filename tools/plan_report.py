@@ -46,8 +46,8 @@ def main():
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     stages = {
-        "1 candidate lines (the only pass over the text)": L.candidate_flags(L.line_explode(r.scanned, (), keep_long=True)).filter("is_cand or is_long"),
-        "2 Markdown state (window by file)": L.markdown_state(r.cand_lines.filter(F.col("kind") == "md")),
+        "1 Markdown state (one pass over Markdown text, window by file)": L.markdown_state(r.md_candidates),
+        "2 tag lines of source files (one pass over source text)": r.src_lines,
         "3 tags (retention without joins)": X.retained_tags(r.all_tags),
         "4 identities (partial aggregation + join)": C.identify(r.sites_p),
         "5 footnote match": r.registered.join(C.footnote_match(r.registered, r.footnotes), C.SITE_KEY, "left"),

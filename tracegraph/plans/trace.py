@@ -8,9 +8,9 @@ sites ─ identity by (package, name) ─ join tags by (package, name) (shuffle
       ─ footnote match, ids, actions by file (shuffle 3) ─ rewrite
 
 Stages are cut with tables written into the shared ``spark.checkpoint.dir``
-(Parquet, one folder per run): the raw text is read **once** into the small
-candidate-line table, and every later output reads the entity, coverage and
-action tables instead of re-reading the corpus. This also keeps each plan small
+(Parquet, one folder per run): Markdown and source text are each read **once** into
+small tables, and every later output reads the entity, coverage and action tables
+instead of re-reading the corpus (the rewrite reads Markdown again). This also keeps each plan small
 for the optimizer and lets a lost executor recompute one stage, not the run.
 
 Phase gates (Q35) are eager one-row checks (``isEmpty``) evaluated when an
@@ -107,7 +107,7 @@ class TraceResult:
     @cached_property
     def lines(self) -> DataFrame:
         """Row 11-12: numbered, non-ignored lines with candidate flags (lazy;
-        the trace itself only reads ``cand_lines``)."""
+        the trace itself reads ``md_candidates`` and ``src_lines``)."""
         return L.candidate_flags(self._exploded(self.scanned), self.options.header_key)
 
     def _exploded(self, files: DataFrame, keep_long: bool = False) -> DataFrame:
