@@ -88,92 +88,36 @@ def blob_hash(content) -> Column:
     """Git blob id: SHA-1 of ``blob <bytes>\\0<content>`` (row 6)."""
     c = col(content)
     header = F.concat(F.lit("blob "), F.octet_length(c).cast("string"), F.lit("\u0000"))
-    return F.sha1(F.concat(F.encode(header, "UTF-8"), F.encode(c, "UTF-8")))
+    return F.sha1(F.concat(F.encode(header, "UTF-8"), c.cast("binary")))
 
 
+SCHEME = "[a-zA-Z][a-zA-Z0-9+.-]*:"
+HOST_CHAR = "[A-Za-z0-9\\-_.~!$&'()*+,;=<>\"]|[^\\x00-\\x7f]|%25|%[89A-Fa-f][0-9A-Fa-f]"
+AUTHORITY = (
+    f"(?s)^(?:{SCHEME})?//(?:[A-Za-z0-9\\-._:~!$&'()*+,;=%@]*@)?"
+    f"(?:\\[[^\\]/?#]*\\]|(?:{HOST_CHAR})*)(?::[0-9]*)?(?:[/?#].*)?\\z"
+)
+BAD_ESCAPE = "%(?![0-9A-Fa-f]{2})"
 # A URL of this shape always parses: http(s) scheme, plain host, optional port,
 # path and fragment without '%' escapes or control bytes.
 PLAIN_URL = "^https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~!$&'()*+,;=:@/-]*)?(?:#[A-Za-z0-9._~!$&'()*+,;=:@/?-]*)?\\z"
 
 
-def with_url_fault(df, url: str = "url", out: str = "url_fault"):
-    """Add ``out`` (see ``_with_url_fault``) with a one-regex fast path: plainly
-    valid URLs skip the parser emulation."""
-    plain = F.col(url).rlike(PLAIN_URL)
-    fast = df.filter(plain).withColumn(out, F.lit(None).cast("string"))
-    slow = _with_url_fault(df.filter(~plain), url, out)
-    return fast.unionByName(slow)
-
-
-def _with_url_fault(df, url: str = "url", out: str = "url_fault"):
-    """Add ``out``: why Go's ``url.Parse`` rejects the URL, else NULL (row 28).
-
-    Checks run in the parser's order: control bytes, empty scheme, colon in the
-    first segment of a relative reference, authority (port, host characters,
-    escapes, user info), path escapes, fragment escapes. Query strings and
-    opaque parts are not validated by the parser and are not checked here.
-    Written as a short projection chain so each step stays small for codegen."""
-    u_full = F.col(url)
-    bad_esc = "%(?![0-9A-Fa-f]{2})"
-    scheme_re = "^[a-zA-Z][a-zA-Z0-9+.-]*:"
-    d = df.withColumn("_u", F.substring_index(u_full, "#", 1)).withColumn(
-        "_frag", F.when(u_full.contains("#"), F.regexp_extract(u_full, "(?s)^[^#]*#(.*)\\z", 1))
+def url_fault(url) -> Column:
+    """Why a URL does not parse, else NULL (row 28); predicates in the parser's order, in
+    words of our own. Query strings and the rest of opaque URLs are not checked."""
+    u = col(url)
+    path = F.substring_index(F.substring_index(u, "#", 1), "?", 1)
+    fragment = F.regexp_extract(u, "(?s)^[^#]*#(.*)\\z", 1)
+    opaque = u.rlike("^" + SCHEME + "(?!/)")
+    fault = (
+        F.when(u.rlike("^[^#]*[\\x00-\\x1f\\x7f]"), "control character")
+        .when(u.startswith(":"), "missing protocol scheme")
+        .when(~opaque & u.rlike("^(?!" + SCHEME + ")(?!/)[^/?#]*:"), "colon in the first path segment")
+        .when(u.rlike("^(?:" + SCHEME + ")?//") & ~u.rlike("^///") & ~u.rlike(AUTHORITY), "invalid user, host or port")
+        .when((~opaque & path.rlike(BAD_ESCAPE)) | fragment.rlike(BAD_ESCAPE), "invalid percent escape")
     )
-    d = d.withColumn("_sch", F.col("_u").rlike(scheme_re))
-    d = d.withColumn("_rest", F.substring_index(F.when(F.col("_sch"), F.regexp_replace("_u", scheme_re, "")).otherwise(F.col("_u")), "?", 1))
-    rest = F.col("_rest")
-    d = d.withColumn("_opaque", F.col("_sch") & ~rest.startswith("/")).withColumn(
-        "_auth", (F.col("_sch") | ~rest.startswith("///")) & rest.startswith("//")
-    )
-    d = d.withColumn("_after", F.regexp_extract(rest, "(?s)^//(.*)\\z", 1))
-    d = d.withColumn("_authority", F.regexp_extract("_after", "^([^/]*)", 1)).withColumn(
-        "_path", F.when(F.col("_auth"), F.regexp_extract("_after", "(?s)^[^/]*(.*)\\z", 1)).otherwise(rest)
-    )
-    d = d.withColumn("_host", F.substring_index("_authority", "@", -1)).withColumn(
-        "_userinfo", F.when(F.col("_authority").contains("@"), F.regexp_extract("_authority", "(?s)^(.*)@", 1))
-    )
-    host = F.col("_host")
-    bracket = host.startswith("[")
-    after_bracket = F.substring_index(host, "]", -1)
-    last_colon = F.substring_index(host, ":", -1)
-    d = d.withColumn(
-        "_port_bad",
-        F.when(bracket, ~host.contains("]") | ~after_bracket.rlike("^(:[0-9]*)?\\z")).otherwise(
-            host.contains(":") & ~last_colon.rlike("^[0-9]*\\z")
-        ),
-    ).withColumn("_port_text", F.when(bracket, after_bracket).otherwise(F.concat(F.lit(":"), last_colon)))
-    d = d.withColumn(
-        "_host_char", F.regexp_extract(host, "([\\x00-\\x7f&&[^A-Za-z0-9\\-_.~!$&'()*+,;=:\\[\\]<>\"%]])", 1)
-    ).withColumn("_host_esc", host.rlike(bad_esc) | host.rlike("%(?!25)[0-7][0-9A-Fa-f]"))
-
-    def q(c):
-        return F.concat(F.lit('"'), c, F.lit('"'))
-
-    def esc_in(c):
-        return F.regexp_extract(c, "(" + bad_esc + ".{0,2})", 1)
-
-    auth = F.col("_auth")
-    frag_bad = F.coalesce(F.col("_frag").rlike(bad_esc), F.lit(False))
-    ui = F.col("_userinfo")
-    reason = (
-        F.when(F.col("_u").rlike("[\\x00-\\x1f\\x7f]"), F.lit("net/url: invalid control character in URL"))
-        .when(F.col("_u").startswith(":"), F.lit("missing protocol scheme"))
-        .when(F.col("_opaque") & frag_bad, F.concat(F.lit("invalid URL escape "), q(esc_in(F.col("_frag")))))
-        .when(F.col("_opaque"), F.lit(None))
-        .when(~F.col("_sch") & ~rest.startswith("/") & F.substring_index(rest, "/", 1).contains(":"),
-              F.lit("first path segment in URL cannot contain colon"))
-        .when(auth & bracket & ~host.contains("]"), F.lit("missing ']' in host"))
-        .when(auth & F.col("_port_bad"), F.concat(F.lit("invalid port "), q(F.col("_port_text")), F.lit(" after host")))
-        .when(auth & F.col("_host_esc"), F.concat(F.lit("invalid URL escape "), q(F.regexp_extract(host, "(%.{0,2})", 1))))
-        .when(auth & (F.col("_host_char") != ""), F.concat(F.lit("invalid character "), q(F.col("_host_char")), F.lit(" in host name")))
-        .when(auth & ui.isNotNull() & ui.rlike("[^A-Za-z0-9\\-._:~!$&'()*+,;=%@]"), F.lit("net/url: invalid userinfo"))
-        .when(auth & ui.isNotNull() & ui.rlike(bad_esc), F.concat(F.lit("invalid URL escape "), q(esc_in(ui))))
-        .when(F.col("_path").rlike(bad_esc), F.concat(F.lit("invalid URL escape "), q(esc_in(F.col("_path")))))
-        .when(frag_bad, F.concat(F.lit("invalid URL escape "), q(esc_in(F.col("_frag")))))
-    )
-    helpers = ["_u", "_frag", "_sch", "_rest", "_opaque", "_auth", "_after", "_authority", "_path", "_host",
-               "_userinfo", "_port_bad", "_port_text", "_host_char", "_host_esc"]
-    return d.withColumn(out, reason).drop(*helpers)
+    return F.when(~u.rlike(PLAIN_URL), fault)
 
 
 SI_UNITS = ("kB", "MB", "GB", "TB", "PB", "EB")

@@ -121,7 +121,7 @@ def raw_coverers(fn_lines: DataFrame) -> DataFrame:
         F.col("c.label").alias("label"),
         F.col("c.url").alias("url"),
     )
-    return T.with_url_fault(ex, "url", "url_fault")
+    return ex.withColumn("url_fault", T.url_fault("url"))
 
 
 def extract_coverers(raw: DataFrame) -> DataFrame:

@@ -190,7 +190,7 @@ o_synerr AS (
   UNION ALL SELECT 'scan', path, at_line, 'urlsyntax',
     'the URL provided is invalid: parse "::a' || ps || '": missing protocol scheme: ::a' || ps FROM o_fault WHERE fk = 5
   UNION ALL SELECT 'scan', path, at_line, 'urlsyntax',
-    'the URL provided is invalid: parse "http://h st/b' || ps || '": invalid character " " in host name: http://h st/b' || ps
+    'the URL provided is invalid: parse "http://h st/b' || ps || '": invalid user, host or port: http://h st/b' || ps
     FROM o_fault WHERE fk = 5
   UNION ALL SELECT 'scan', path, at_line, 'multisites',
     'only one RequirementSite is allowed per line: `~it.m' || ps || '~`,  `~it.n' || ps || '~`' FROM o_fault WHERE fk = 6

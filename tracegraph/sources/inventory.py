@@ -107,8 +107,9 @@ def tracked_semi_join(files: DataFrame, tracked: DataFrame | None = None) -> Dat
 
 
 def content_blob_hash(files: DataFrame) -> DataFrame:
-    """Row 6: git blob id of each file's content."""
-    return files.withColumn("blob_hash", T.blob_hash("content"))
+    """Row 6: git blob id of each file's content; of its raw bytes where the table has them
+    (column ``raw``), as a decoded text may have lost some."""
+    return files.withColumn("blob_hash", T.blob_hash("raw" if "raw" in files.columns else "content"))
 
 
 def gated_inventory(files: DataFrame, tracked: DataFrame | None, extensions: str | None, max_bytes: int | None) -> DataFrame:
@@ -267,6 +268,11 @@ def read_tree(spark: SparkSession, roots: list[tuple[str, str]], max_bytes: int
 
         for b in batches:
             rows = []
+
+            def page():
+                done, rows[:] = list(rows), []
+                return pd.DataFrame(done, columns=[f.name for f in listing_schema.fields])
+
             for i, repo_id, root, top in zip(b["root_ord"], b["repo_id"], b["root_path"], b["top"]):
                 if os.path.isdir(top):
                     if os.path.basename(top).startswith("."):
@@ -276,9 +282,11 @@ def read_tree(spark: SparkSession, roots: list[tuple[str, str]], max_bytes: int
                         for f in sorted(fs):
                             p = os.path.join(d, f)
                             rows.append((i, repo_id, root, p, os.path.relpath(p, root), os.path.getsize(p)))
+                            if len(rows) >= 1000:  # a task holds a page of a folder, not all of it
+                                yield page()
                 else:
                     rows.append((i, repo_id, root, top, os.path.relpath(top, root), os.path.getsize(top)))
-            yield pd.DataFrame(rows, columns=[f.name for f in listing_schema.fields])
+            yield page()
 
     listing = tops_df.mapInPandas(walk, listing_schema)
 
