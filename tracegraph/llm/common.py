@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,3 +103,16 @@ def without(rows: DataFrame, on: list, keys: DataFrame) -> DataFrame:
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     same = [a.eqNullSafe(F.col(b)) for a, b in zip(on, keys.columns, strict=True)]
     return rows.join(F.broadcast(keys) if few else keys, same, "left_anti")
+
+
+def give_back() -> None:
+    """Returns a task's freed memory to the system. Workers outlive their tasks and share an
+    executor's memory with its JVM and with the tasks of later stages; without this each
+    would hold on to the largest amount it ever used."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

@@ -18,8 +18,8 @@ white space is kept, so decoding gives back the text exactly; the only exception
 texts that hold U+2581 themselves, which decode with a blank in its place.
 
 Scale: documents are independent; each Arrow batch encodes the distinct words it has
-not met yet. The model (0.5 MB) goes to the tasks by value; the memory of words per
-worker is cleared at ``CACHE`` words.
+not met yet. The model (0.5 MB) goes to the tasks by value; words are remembered within a
+task, at most ``CACHE``.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; ids that
 are no pieces raise an error; null document ids and repeated rows are kept as they are.
@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 300_000
-#: words searched together
-ROWS = 20_000
+CACHE = 150_000
+#: words searched together, texts encoded together
+ROWS, TEXTS = 20_000, 300
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.iinfo(np.int64).max
@@ -269,6 +271,11 @@ class Codec:
         self.number = _Numbers()
         self.starts, self.counts, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
+    def forget(self) -> None:
+        """At the end of a task."""
+        self._clear()
+        give_back()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > CACHE:
             self._clear()
@@ -315,16 +322,11 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def _blocks(batch: pa.RecordBatch, most: int = 4_000_000):
-    """(slice of the batch, its texts) of about ``most`` characters (or one longer text)."""
-    texts = [t or "" for t in batch.column(1).to_pylist()]
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield batch.slice(start, i - start), texts[start:i]
-            start, size = i, 0
-        size += len(t)
-    yield batch.slice(start), texts[start:]
+def _blocks(batch: pa.RecordBatch):
+    """(slice of the batch, its texts): a bounded number of texts at a time."""
+    for at in range(0, len(batch), TEXTS):
+        part = batch.slice(at, TEXTS)
+        yield part, [t or "" for t in part.column(1).to_pylist()]
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:
@@ -341,6 +343,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         for batch in batches:
             for part, texts in _blocks(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(c.encode(texts))], names=["doc_id", "ids"])
+        c.forget()
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, ids array<int>")
@@ -374,6 +377,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 same = pa.array([a == b for a, b in zip(texts, back, strict=True)], type=pa.bool_())
                 columns = [part.column(0), _lists(ids), pa.array(back, type=pa.string()), same]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded", "exact"])
+        c.forget()
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, ids array<int>, decoded string, exact boolean")

@@ -11,7 +11,7 @@ import numpy as np
 
 WORDS = 5
 #: texts are hashed together up to about this many bytes, to bound memory
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 DIGITS = np.random.Generator(np.random.PCG64(12345)).integers(1, 2**64, 256, dtype=np.uint64)

@@ -14,7 +14,7 @@ finds, at least the best. A document scores the logistic calibration of its best
 
 Because kernel and SVM are linear in the subsequences of a word, the trained model folds
 into one weight per subsequence (a table of 4 MB): scoring a word is a gather over its
-subsequences, done once per distinct word and worker, and costs nothing per landmark.
+subsequences, done once per distinct word and task, and costs nothing per landmark.
 
 Words are lower-cased, accents stripped, look-alike digits and signs read as letters, and
 other signs dropped; runs of single letters (``i d i o t``) are read as one word; long
@@ -40,13 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 LENGTHS, SPAN, DECAY = (3, 4), 8, 0.8
 LANDMARKS, SAMPLE, SAMPLE_CHARS = 384, 1500, 20_000
 WINDOW, STRIDE = 24, 12
 #: witnesses of a toxic text, which must be this many times as frequent there; hardest words
 #: of clean texts added per round; weight of the errors
 WITNESSES, RATIO, HARD, COST = 2, 5.0, 3000, 4000.0
-CACHE = 400_000
+#: words a worker remembers, and texts it scores at a time: both bound its memory
+CACHE, ROWS = 200_000, 256
 THRESHOLD = 0.3
 TABLE = 32**3 + 32**4
 #: digits and signs read as the letters they look like
@@ -106,7 +109,7 @@ def subsequences(codes: np.ndarray):
     return np.concatenate(ids, axis=1), np.concatenate(weights)
 
 
-def by_length(units: list[np.ndarray], rows: int = 2_000):
+def by_length(units: list[np.ndarray], rows: int = 500):
     """(indices, matrix) of units of equal length, a bounded number at a time."""
     lengths = np.array([len(u) for u in units], dtype=np.int64)
     for n in np.unique(lengths):
@@ -361,23 +364,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 _WORDS: dict = {}
 
 
+def _forget() -> None:
+    _WORDS.clear()
+    give_back()
+
+
 def _scorer(spark, model: Model):
-    """A function that scores the texts of a task, keeping what it learns of words in the worker."""
+    """A function that scores the texts of a task, keeping what it learns of words until its end."""
     shared = spark.sparkContext.broadcast(model)
 
-    def run(texts: list) -> np.ndarray:
+    def run(texts: pa.Array) -> np.ndarray:
         m = shared.value
         key = (m.bias, m.slope, m.offset)
         if key not in _WORDS:
             _WORDS.clear()
             _WORDS[key] = Words(m.table)
-        out, start, size = [], 0, 0
-        for end, t in enumerate(texts, 1):
-            size += len(t or "")
-            if size > 8_000_000 or end == len(texts):
-                out.append(m.score([t or "" for t in texts[start:end]], _WORDS[key]))
-                start, size = end, 0
-        return np.concatenate(out) if out else np.zeros(0)
+        some = (texts.slice(at, ROWS).to_pylist() for at in range(0, len(texts), ROWS))
+        return np.concatenate([np.zeros(0), *(m.score([t or "" for t in part], _WORDS[key]) for part in some)])
 
     return run
 
@@ -388,8 +391,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array(scores(b.column(2).to_pylist()), type=pa.float64())
+            found = pa.array(scores(b.column(2)), type=pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], names=["doc_id", "held_out", "score"])
+        _forget()
 
     d = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = dict(d.dtypes)["doc_id"]
@@ -404,6 +408,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(scores(b.column(b.schema.get_field_index(text_col)).to_pylist()) < threshold))
+            yield b.filter(pa.array(scores(b.column(b.schema.get_field_index(text_col))) < threshold))
+        _forget()
 
     return docs.mapInArrow(run, docs.schema)
