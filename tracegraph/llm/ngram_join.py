@@ -38,15 +38,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged, without
-from .shingles import shingle_sets
+from .common import components, give_back, staged, without
+from .shingles import mix, shingle_sets
 
 NONE = np.uint32(0xFFFFFFFF)
 #: documents and bytes of sets per block of step 4; documents per part of step 3
-BLOCK_DOCS, BLOCK_BYTES, PART_DOCS = 512, 8 << 20, 2000
+BLOCK_DOCS, BLOCK_BYTES, PART_DOCS = 512, 4 << 20, 2000
+#: documents whose sets a task holds at a time in step 1
+PACK_DOCS = 2000
 #: most ids that are broadcast to pick texts (8 bytes each); beyond it an ordinary join does it
 BROADCAST_IDS = 500_000
 
@@ -71,15 +74,24 @@ def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-PACKED = "bucket int, tokens binary, owners binary, base long, ids binary, sizes binary, digests binary, known binary"
+PACKED = "bucket int, part int, tokens binary, owners binary, base long, ids binary, sizes binary, digests binary, known binary"
+COUNTED = "part int, ids binary, sizes binary, digests binary, known binary"
 
 
-def _packed(bucket, tokens=None, owners=None, base=None, ids=None, sizes=None, digests=None, known=None):
+def _packed(bucket, part=None, tokens=None, owners=None, base=None, ids=None, sizes=None, digests=None, known=None):
     raw = lambda a: None if a is None else a.tobytes()
-    return (bucket, raw(tokens), raw(owners), base, raw(ids), raw(sizes), digests, raw(known))
+    return (bucket, part, raw(tokens), raw(owners), base, raw(ids), raw(sizes), digests, raw(known))
 
 
-def _pack_batch(ids: np.ndarray, sets: list[np.ndarray], n_buckets: int) -> list[tuple]:
+def by_part(ids: np.ndarray, parts: int):
+    """(part, positions) of the ids, dealt by hash."""
+    part = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    met, at = np.unique(part[order], return_index=True)
+    return zip(met.tolist(), np.split(order, at[1:]), strict=True)
+
+
+def _pack_batch(ids: np.ndarray, sets: list[np.ndarray], n_buckets: int, parts: int) -> list[tuple]:
     """Rows of a batch: its documents (with the shingles already known to be shared inside
     the batch), and per hash range the prefix shingles, each once, with its document or,
     if several of the batch hold it, none."""
@@ -108,22 +120,22 @@ def _pack_batch(ids: np.ndarray, sets: list[np.ndarray], n_buckets: int) -> list
             if wide:
                 met = np.unique(own[own != NONE])
                 place = np.where(own == NONE, NONE, np.searchsorted(met, own).astype(np.uint32))
-                rows.append(_packed(b, tokens[lo:hi], place.astype(np.uint32), None, ids[met]))
+                rows.append(_packed(b, None, tokens[lo:hi], place.astype(np.uint32), None, ids[met]))
             else:
-                rows.append(_packed(b, tokens[lo:hi], own, base))
-    home = int(ids[0]) % n_buckets if len(ids) else 0
-    rows.append(_packed(home, None, None, None, ids, sizes, b"".join(_digest(s) for s in sets), known))
+                rows.append(_packed(b, None, tokens[lo:hi], own, base))
+    if len(ids):
+        for part, at in by_part(ids, parts):
+            rows.append(_packed(part, part, ids=ids[at], sizes=sizes[at], digests=b"".join(_digest(sets[i]) for i in at), known=known[at]))
     return rows
 
 
-def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one hash range: how many of a document's prefix shingles others hold, and the rows
-    of the documents themselves."""
+def _shared(rows: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """Of one hash range: how many of a document's prefix shingles others hold, packed by part
+    of the documents; the rows of the documents themselves pass."""
     out, tokens, owners, seen = [], [], [], []
-    for t, o, base, ids, sizes, digests, known in zip(*[rows[c] for c in ("tokens", "owners", "base", "ids", "sizes", "digests", "known")], strict=True):
+    for part, t, o, base, ids, sizes, digests, known in zip(*[rows[c] for c in ("part", "tokens", "owners", "base", "ids", "sizes", "digests", "known")], strict=True):
         if sizes is not None:
-            names = np.frombuffer(ids, dtype=np.int64)
-            out.append(pd.DataFrame({"doc_id": names, "n": np.frombuffer(sizes, dtype=np.int64), "digest": [digests[i * 16 : i * 16 + 16] for i in range(len(names))], "shared": np.frombuffer(known, dtype=np.int64)}))
+            out.append((int(part), ids, sizes, digests, known))
             continue
         own = np.frombuffer(o, dtype=np.uint32)
         has = own != NONE
@@ -139,26 +151,49 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
         first = np.concatenate([[True], t[1:] != t[:-1]])
         run = np.cumsum(first) - 1
         found, count = np.unique(o[s & (np.bincount(run)[run] > 1)], return_counts=True)
-        out.append(pd.DataFrame({"doc_id": found, "n": np.full(len(found), -1, dtype=np.int64), "digest": None, "shared": count}))
-    return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n": [], "digest": [], "shared": []}).astype({"doc_id": int, "n": int, "shared": int})
+        out += [(part, found[at].tobytes(), None, None, count[at].astype(np.int64).tobytes()) for part, at in by_part(found, parts)] if len(found) else []
+    return pd.DataFrame(out, columns=[c.split()[0] for c in COUNTED.split(", ")])
+
+
+def _documents(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one part: its documents with the counts of all hash ranges added up."""
+    whole = lambda column, pick: np.concatenate([np.frombuffer(x, dtype=np.int64) for x in column[pick]])
+    own = rows["sizes"].notna()
+    names, sizes = whole(rows["ids"], own), whole(rows["sizes"], own)
+    digests = b"".join(rows["digests"][own])
+    d = pd.DataFrame({"doc_id": names, "n": sizes, "digest": [digests[i * 16 : i * 16 + 16] for i in range(len(names))]})
+    d = d.sort_values(["doc_id", "n", "digest"]).drop_duplicates("doc_id", keep="last")
+    ids, counts = whole(rows["ids"], slice(None)), whole(rows["known"], slice(None))
+    shared = np.zeros(len(d), dtype=np.int64)
+    np.add.at(shared, np.searchsorted(d["doc_id"].to_numpy(), ids), counts)
+    return d.assign(shared=shared)
+
+
+def _tidy(result: pd.DataFrame) -> pd.DataFrame:
+    """The result of a large group, after the group's memory has been given back."""
+    give_back()
+    return result
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, n_buckets: int) -> DataFrame:
     """``(doc_id, n, digest, shared)`` per document (step 1)."""
+    # a part gathers counts from every range: fewer parts than ranges keep those rows long
+    parts = max(1, n_buckets // 16)
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [(c.split()[0], kinds[c.split()[1]]) for c in PACKED.split(", ")]
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in PACKED.split(", ")]
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _pack_batch(batch["doc_id"].to_numpy(dtype=np.int64), shingle_sets(batch["text"].tolist()), n_buckets)
-            yield pd.DataFrame(rows, columns=names).astype({"base": "Int64"})
+            for at in range(0, len(batch), PACK_DOCS):
+                some = batch.slice(at, PACK_DOCS)
+                rows = _pack_batch(some.column(0).to_numpy(), shingle_sets(some.column(1).to_pylist()), n_buckets, parts)
+                columns = [pa.array(c, type=kind) for c, (_, kind) in zip(zip(*rows), fields, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
+        give_back()
 
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    found = d.mapInPandas(pack, PACKED).groupBy("bucket").applyInPandas(lambda rows: _shared(rows), "doc_id long, n long, digest binary, shared long")
-    return found.groupBy("doc_id").agg(
-        F.max("n").alias("n"),
-        F.max(F.struct("n", "digest"))["digest"].alias("digest"),
-        F.sum("shared").alias("shared"),
-    )
+    counted = d.mapInArrow(pack, PACKED).groupBy("bucket").applyInPandas(lambda rows: _tidy(_shared(rows, parts)), COUNTED)
+    return counted.groupBy("part").applyInPandas(lambda rows: _tidy(_documents(rows)), "doc_id long, n long, digest binary, shared long")
 
 
 def _frequencies(rows: pd.DataFrame) -> pd.DataFrame:
@@ -215,9 +250,9 @@ def prefix_entries(sets: DataFrame, parts: int, n_buckets: int) -> DataFrame:
         return pd.DataFrame(out, columns=["bucket", "part", "tokens", "counts"])
 
     packed = sets.groupBy("part").applyInPandas(send, "bucket int, part int, tokens binary, counts binary")
-    common = packed.groupBy("bucket").applyInPandas(lambda r: _frequencies(r), "part int, tokens binary, counts binary")
+    common = packed.groupBy("bucket").applyInPandas(lambda r: _tidy(_frequencies(r)), "part int, tokens binary, counts binary")
     joined = sets.groupBy("part").cogroup(common.groupBy("part"))
-    return joined.applyInPandas(lambda s, c: _prefix_entries(s, c), "token long, doc_id long, n long")
+    return joined.applyInPandas(lambda s, c: _tidy(_prefix_entries(s, c)), "token long, doc_id long, n long")
 
 
 class PrefixTree:
@@ -352,18 +387,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_reps = classes.count()
     parts = max(1, -(-n_reps // PART_DOCS))
 
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                some = batch.iloc[at : at + 1000]
-                sets = shingle_sets(some["text"].tolist())
-                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(dtype=np.int64), "digest": [_digest(s) for s in sets], "tokens": [s.tobytes() for s in sets]})
+            for at in range(0, len(batch), 500):
+                some = batch.slice(at, 500)
+                sets = shingle_sets(some.column(1).to_pylist())
+                columns = [some.column(0), pa.array([_digest(s) for s in sets], type=pa.binary()), pa.array([s.tobytes() for s in sets], type=pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "tokens"])
+        give_back()
 
     reps = classes.select(F.col("rep").alias("doc_id"), "digest")
     wanted = reps.select("doc_id")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(wanted) if n_reps <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
-    sets = texts.mapInPandas(sets_of, "doc_id long, digest binary, tokens binary").join(reps, ["doc_id", "digest"], "left_semi")
+    sets = texts.mapInArrow(sets_of, "doc_id long, digest binary, tokens binary").join(reps, ["doc_id", "digest"], "left_semi")
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)).cast("int").alias("part")
     sets = staged(sets.select(part, "doc_id", "tokens"), "ngram-sets")
     entries = staged(prefix_entries(sets, parts, n_buckets), "ngram-entries")
