@@ -61,12 +61,15 @@ def brute_components(rows):
             x = comp[x]
         return x
 
+    links = dict.fromkeys(names, 0)
     for k, a in enumerate(names):
         for b in names[k + 1 :]:
             if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
                 x, y = root(a), root(b)
                 comp[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), root(i)) for i in names}
+    return {i: (len(sets[i]), root(i), links[i]) for i in names}
 
 
 def near_copies(seed, n=120):
@@ -87,7 +90,7 @@ def near_copies(seed, n=120):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ngram_join_equals_brute_force(spark, seed):
     rows = near_copies(seed)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(inputs.docs(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.near_duplicates(inputs.docs(spark, rows)).collect()}
     assert got == brute_components([r[:2] for r in rows])
 
 
@@ -97,14 +100,14 @@ def test_ngram_join_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PART_DOCS", 5)
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
     rows = near_copies(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(inputs.docs(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.near_duplicates(inputs.docs(spark, rows)).collect()}
     assert got == brute_components([r[:2] for r in rows])
 
 
 def test_ngram_join_edges(spark):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(inputs.docs(spark)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.near_duplicates(inputs.docs(spark)).collect()}
     expected = brute_components([(i, t) for i, t, *_ in inputs.ROWS if i is not None])
-    assert got == expected and got[4] == (0, 4) and got[9] == (1, 8)
+    assert got == expected and got[4] == (0, 4, 0) and got[9] == (1, 8, 1)
     one = ngram_join.one_of_each(inputs.docs(spark))
     assert sorted(r.doc_id for r in one.collect() if r.doc_id) == sorted(i for i, *_ in inputs.ROWS if i and expected[i][1] == i)
     assert one.columns == inputs.docs(spark).columns and one.where("doc_id IS NULL").count() == 1

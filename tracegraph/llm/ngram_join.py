@@ -348,19 +348,33 @@ def forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
+GROUP = "a long, b long, links long"
+
+
 def _group_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one group: pairs (a, b) that connect what its links connect, and per document with
+    links a row (a, null, number of documents it links to)."""
+    rows = rows.drop_duplicates("doc_id")  # input rows that repeat an id
     ids = rows["doc_id"].to_numpy()
     lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
     side = None if lo == hi else (rows["blk"].to_numpy() == hi).astype(np.int64)
-    if len(ids) < 2 or (side is not None and side.min() == side.max()):
-        return pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
-    tree = PrefixTree([np.frombuffer(t, dtype=np.uint64) for t in rows["tokens"]])
-    pairs = forest(tree.links(side), len(ids))
-    return pd.DataFrame({"a": ids[[a for a, _ in pairs]] if pairs else np.zeros(0, dtype=np.int64), "b": ids[[b for _, b in pairs]] if pairs else np.zeros(0, dtype=np.int64)})
+    none = np.zeros((0, 2), dtype=np.int64)
+    pairs = none
+    if len(ids) > 1 and (side is None or side.min() < side.max()):
+        tree = PrefixTree([np.frombuffer(t, dtype=np.uint64) for t in rows["tokens"]])
+        pairs = np.array(tree.links(side), dtype=np.int64).reshape(-1, 2)
+    kept = np.array(forest(pairs.tolist(), len(ids)), dtype=np.int64).reshape(-1, 2) if len(pairs) else none
+    copies, links = rows["copies"].to_numpy(), np.zeros(len(ids), dtype=np.int64)
+    for x, y in ((0, 1), (1, 0)):
+        np.add.at(links, pairs[:, x], copies[pairs[:, y]])
+    linked = np.flatnonzero(links)
+    found = pd.DataFrame({"a": ids[kept[:, 0]], "b": ids[kept[:, 1]]}, dtype="Int64")
+    return pd.concat([found, pd.DataFrame({"a": ids[linked], "links": links[linked]}, dtype="Int64")]).reindex(columns=["a", "b", "links"])
 
 
 def set_links(sets: DataFrame, entries: DataFrame) -> DataFrame:
-    """``(a, b)``: links of steps 4 and 5, a spanning forest per group of blocks."""
+    """Rows ``GROUP`` of steps 4 and 5: a spanning forest of the links of each group of blocks,
+    and the numbers of links. Two documents meet in one group only, so the numbers add up."""
     alive = entries.groupBy("doc_id").agg(F.max("n").alias("n")).agg(F.count(F.lit(1)).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
     blocks = max(1, -(-alive.d // BLOCK_DOCS), -(-alive.t * 8 // BLOCK_BYTES))
     e = entries.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
@@ -372,18 +386,19 @@ def set_links(sets: DataFrame, entries: DataFrame) -> DataFrame:
     near = staged(near.groupBy("token", "cls", "blk2").agg(F.sum("c").alias("c")), "ngram-near")
     met = e.join(near, ["token", "cls"]).where((F.col("blk") != F.col("blk2")) | (F.col("c") > 1))
     met = met.select(F.least("blk", "blk2").alias("lo"), F.greatest("blk", "blk2").alias("hi"), "doc_id", "blk").distinct()
-    groups = met.join(sets.select("doc_id", "tokens"), "doc_id")
-    return groups.groupBy("lo", "hi").applyInPandas(_group_links, "a long, b long")
+    groups = met.join(sets.select("doc_id", "copies", "tokens"), "doc_id")
+    return groups.groupBy("lo", "hi").applyInPandas(lambda rows: _group_links(rows), GROUP)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per document id."""
+    """``(doc_id, n_shingles, component_id, n_links)``, one row per document id; ``n_links``
+    counts the other documents it links to, copies included."""
     spark = docs.sparkSession
     n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     info = staged(document_sets(docs, id_col, text_col, n_buckets), "ngram-docs")
     c = F.floor((4 * F.col("n") + 4) / 5)
     passed = info.where((F.col("n") > 0) & (F.col("shared") >= F.floor(c / 5) + 1))
-    classes = staged(passed.groupBy("digest").agg(F.min("doc_id").alias("rep")), "ngram-classes")
+    classes = staged(passed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
     n_reps = classes.count()
     parts = max(1, -(-n_reps // PART_DOCS))
 
@@ -396,19 +411,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "tokens"])
         give_back()
 
-    reps = classes.select(F.col("rep").alias("doc_id"), "digest")
+    reps = classes.select(F.col("rep").alias("doc_id"), "digest", "copies")
     wanted = reps.select("doc_id")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(wanted) if n_reps <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(sets_of, "doc_id long, digest binary, tokens binary").join(reps, ["doc_id", "digest"], "left_semi")
+    sets = texts.mapInArrow(sets_of, "doc_id long, digest binary, tokens binary").join(reps, ["doc_id", "digest"])
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)).cast("int").alias("part")
-    sets = staged(sets.select(part, "doc_id", "tokens"), "ngram-sets")
-    entries = staged(prefix_entries(sets, parts, n_buckets), "ngram-entries")
-    links = set_links(sets, entries)
-    found = components(classes.select(F.col("rep").alias("id")), links, "ngram-cc").withColumnRenamed("id", "rep")
-    named = staged(classes.join(found, "rep").select("digest", "component"), "ngram-named")
+    sets = staged(sets.select(part, "doc_id", "copies", "tokens"), "ngram-sets")
+    entries = staged(prefix_entries(sets.select("part", "doc_id", "tokens"), parts, n_buckets), "ngram-entries")
+    links = staged(set_links(sets, entries), "ngram-links")
+    found = components(classes.select(F.col("rep").alias("id")), links.where("b IS NOT NULL").select("a", "b"), "ngram-cc")
+    number = links.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    named = classes.join(found.withColumnRenamed("id", "rep"), "rep").join(number, "rep", "left")
+    named = staged(named.select("digest", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "ngram-named")
     of = info.join(named, "digest", "left")
-    return of.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return of.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+    )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
