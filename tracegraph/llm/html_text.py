@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, row_key
+
 SAMPLE, SAMPLE_CHARS, VARIANTS, EPOCHS, HIDDEN = 160, 40_000, 4, 14, 16
 #: pages labelled together
 BATCH = 256
@@ -364,9 +366,11 @@ def train(pages: list[str], seed: int = 7) -> Labeller:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Labeller:
-    p = pages.where(F.char_length(html_col).between(1, sample_chars))
-    rows = p.orderBy(F.xxhash64(F.col(id_col), F.col(html_col)), F.col(id_col)).select(F.col(html_col).alias("html")).limit(sample)
-    return train([r.html for r in rows.collect()])
+    p = pages.where(F.char_length(html_col).between(1, sample_chars)).select(row_key(id_col, html_col).alias("key"), F.col(html_col).alias("html"))
+    # the keys are chosen first, so that tasks send numbers to the driver, not pages
+    chosen = p.select("key").distinct().orderBy("key").limit(sample)
+    rows = p.join(F.broadcast(chosen), "key").dropDuplicates(["key"]).orderBy("key").collect()
+    return train([r.html for r in rows])
 
 
 def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -383,6 +387,7 @@ def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id", url_col:
                 kept = m.labels([vectors(c) for c in cut])
                 text = [" ".join(b.text for b, k in zip(c, ks, strict=True) if k) for c, ks in zip(cut, kept, strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(text, type=pa.string())], names=["page_id", "url", "text"])
+        give_back()
 
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     found = p.mapInArrow(run, f"page_id {dict(p.dtypes)['page_id']}, url string, text string")
