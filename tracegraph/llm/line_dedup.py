@@ -37,7 +37,9 @@ def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     u = u.select("_key", "doc_id", "no", (F.col("end") - F.col("_n")).alias("start"), "end", F.unhex(F.sha2("_norm", 256)).alias("_digest"), rank.alias("_rank"))
     u = staged(u, "units")
     again = u.groupBy("_digest").agg(F.min("_rank").alias("_first"), F.max("_rank").alias("_last")).where("_first <> _last")
-    cut = u.join(again.drop("_last"), "_digest").where("_rank <> _first")
+    # staged: the join then has two plain sides, and the engine can split a very common line
+    again = staged(again.drop("_last"), "units-again")
+    cut = u.join(again, "_digest").where("_rank <> _first")
     return cut.select("_key", "doc_id", "no", "start", "end", F.col("_first.d").alias("first_doc"))
 
 
