@@ -31,19 +31,27 @@ def err_pkgident(pkg_lines: DataFrame) -> DataFrame:
     return _err(bad, "scan", P.ERR_PKGIDENT, F.concat(F.lit(P.MSG_PKGIDENT), F.col("package")))
 
 
-def err_reqident(cands: DataFrame) -> DataFrame:
-    """Row 26: requirement name is not an identifier (the site is kept)."""
-    bad = cands.filter((F.col("n_sites") == 1) & ~T.is_ident("name"))
-    return _err(bad, "scan", P.ERR_REQIDENT, F.lit(P.MSG_REQIDENT))
-
-
-def err_covstatus(cands: DataFrame) -> DataFrame:
-    """Row 27: unknown status word, or a footnote reference without a word."""
-    one = cands.filter(F.col("n_sites") == 1)
-    unknown = ~F.col("status_word").isin(*P.STATUS_WORDS)
-    no_word = (F.col("footnote_id") != "") & (F.col("status_word") == "")
-    bad = one.filter(unknown | no_word)
-    return _err(bad, "scan", P.ERR_COVSTATUS, F.concat(F.lit(P.MSG_COVSTATUS), F.col("status_word")))
+def site_errors(cands: DataFrame, identifiers: list[str] | None) -> DataFrame:
+    """Rows 26, 27, 29, 31 in one pass over the lines with sites: a requirement name that is
+    no identifier (the site is kept), an unknown status word or a footnote reference without
+    a word, more than one site on a line (the message quotes the first two), and, when a type
+    list is given, a requirement type that it lacks (after the status word, Q16)."""
+    one, word = F.col("n_sites") == 1, F.col("status_word")
+    known = word.isin(*P.STATUS_WORDS)
+    no_word = (F.col("footnote_id") != "") & (word == "")
+    several = F.concat(F.lit(P.MSG_MULTISITES), F.col("first_match"), F.lit(P.MSG_MULTISITES_SEP), F.col("second_match"))
+    rules = [
+        (P.ERR_REQIDENT, one & ~T.is_ident("name"), F.lit(P.MSG_REQIDENT)),
+        (P.ERR_COVSTATUS, one & (~known | no_word), F.concat(F.lit(P.MSG_COVSTATUS), word)),
+        (P.ERR_MULTISITES, F.col("n_sites") > 1, several),
+    ]
+    if identifiers is not None:
+        listed = T.requirement_type("name").isin(*identifiers) if identifiers else F.lit(False)
+        msg = F.format_string(P.MSG_REQTYPE, F.lit(" ".join(identifiers)), F.col("name"))
+        rules.append((P.ERR_REQTYPE, one & known & ~listed, msg))
+    broken = F.array(*[F.when(cond, F.struct(F.lit(code).alias("code"), msg.alias("message"))) for code, cond, msg in rules])
+    found = cands.select("root_ord", "path", "line_no", F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("e"))
+    return found.select(F.lit("scan").alias("phase"), "e.code", "root_ord", "path", F.col("line_no").cast("int").alias("line_no"), "e.message")
 
 
 def err_urlsyntax(raw_coverers: DataFrame) -> DataFrame:
@@ -55,32 +63,12 @@ def err_urlsyntax(raw_coverers: DataFrame) -> DataFrame:
     return _err(bad, "scan", P.ERR_URLSYNTAX, msg)
 
 
-def err_multisites(cands: DataFrame) -> DataFrame:
-    """Row 29: more than one site on a line; the message quotes the first two."""
-    bad = cands.filter(F.col("n_sites") > 1)
-    msg = F.concat(F.lit(P.MSG_MULTISITES), F.col("first_match"), F.lit(P.MSG_MULTISITES_SEP), F.col("second_match"))
-    return _err(bad, "scan", P.ERR_MULTISITES, msg)
-
-
 def err_unmatchedfence(unmatched: DataFrame) -> DataFrame:
     """Row 30: a fence still open at the end of the file; line of the last opener."""
     msg = F.format_string(P.MSG_UNMATCHEDFENCE, F.col("last_open"))
     return _err(unmatched.filter(~F.col("file_ignored")), "scan", P.ERR_UNMATCHEDFENCE, msg, line="last_open")
 
 
-def err_reqtype(cands: DataFrame, types: DataFrame | None, identifiers: list[str] | None) -> DataFrame | None:
-    """Row 31: a requirement type missing from the registry (only when a type
-    list is given). Unknown-word sites stop before this check (Q16)."""
-    if types is None:
-        return None
-    one = cands.filter((F.col("n_sites") == 1) & F.col("status_word").isin(*P.STATUS_WORDS))
-    one = one.withColumn("identifier", T.requirement_type("name"))
-    # the registry is a validated driver-side list, so its size is bounded by the option text
-    bad = one.join(F.broadcast(types.select("identifier")), "identifier", "left_anti")
-    msg = F.format_string(P.MSG_REQTYPE, F.lit(" ".join(identifiers or [])), F.col("name"))
-    return _err(bad, "scan", P.ERR_REQTYPE, msg)
-
-
 def err_repository(inventory: DataFrame, repo_urls: DataFrame) -> DataFrame:
     """Row 7 gate: every repository that has files but no URL (unsupported host, no main or
     master branch, not listed at all) fails the scan, as its coverers would have no link."""

@@ -201,15 +201,11 @@ class TraceResult:
     @cached_property
     def scan_errors(self) -> DataFrame:
         """Rows 25-32 minus files with an ignored package (Q12)."""
-        types_df, idents = self.types
         parts = [
             V.err_pkgident(self.pkg_lines),
-            V.err_reqident(self.site_cands),
-            V.err_covstatus(self.site_cands),
+            V.site_errors(self.site_cands, self.types[1]),
             V.err_urlsyntax(self.raw_coverers),
-            V.err_multisites(self.site_cands),
             V.err_unmatchedfence(L.unmatched_fences(self.md_state)),
-            V.err_reqtype(self.site_cands, types_df, idents),
         ]
         if self.options.max_line_bytes is not None:
             src = self._exploded(self.scanned.filter(F.col("kind") == "src"), keep_long=True)
