@@ -129,7 +129,7 @@ def test_toxicity_learns_and_tolerates_gaps():
     assert ((scores >= 0.3) == (truth == 1)).mean() >= 0.9 and scores[truth == 1].mean() > scores[truth == 0].mean() + 0.5
     clean, plain = model.score(["the hating and restou"], words)[0], model.score(["you blockhead"], words)[0]
     for spelling in ("b l o c k h e a d", "b.l.o.c.k.h.e.a.d", "BLOCKHEAD!!", "bl0ckhead", "block-head", "bloxckhead", "blockheeead", "x" * 50 + "blockhead" + "x" * 50):
-        assert model.score([f"you {spelling}"], words)[0] > (clean + plain) / 3, spelling
+        assert model.score([f"you {spelling}"], words)[0] > max(20 * clean, 0.05 * plain), spelling
 
 
 def test_toxicity_queries_and_edges(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +106,19 @@ def without(rows: DataFrame, on: list, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if few else keys, same, "left_anti")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of at most ``rows`` rows for what is computed inside: a batch of whole
+    texts is held by the JVM, outside its heap, and by the Python worker at the same time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def give_back() -> None:
     """Returns a task's freed memory to the system. Workers outlive their tasks and share an
     executor's memory with its JVM and with the tasks of later stages; without this each

@@ -42,14 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, give_back, staged, without
+from .common import components, give_back, small_batches, staged, without
 from .shingles import mix, shingle_sets
 
 NONE = np.uint32(0xFFFFFFFF)
 #: documents and bytes of sets per block of step 4; documents per part of step 3
 BLOCK_DOCS, BLOCK_BYTES, PART_DOCS = 512, 4 << 20, 2000
 #: documents whose sets a task holds at a time in step 1
-PACK_DOCS = 2000
+PACK_DOCS = 1000
 #: most ids that are broadcast to pick texts (8 bytes each); beyond it an ordinary join does it
 BROADCAST_IDS = 500_000
 
@@ -393,6 +393,11 @@ def set_links(sets: DataFrame, entries: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, n_links)``, one row per document id; ``n_links``
     counts the other documents it links to, copies included."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     info = staged(document_sets(docs, id_col, text_col, n_buckets), "ngram-docs")
@@ -404,8 +409,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.slice(at, 500)
+            for at in range(0, len(batch), 250):
+                some = batch.slice(at, 250)
                 sets = shingle_sets(some.column(1).to_pylist())
                 columns = [some.column(0), pa.array([_digest(s) for s in sets], type=pa.binary()), pa.array([s.tobytes() for s in sets], type=pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "tokens"])
