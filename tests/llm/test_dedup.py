@@ -169,3 +169,25 @@ def test_line_dedup_edges(spark):
     assert len(got[8]) == 2 and got[2][0].removed[0].first_doc == 1
     assert line_dedup.line_dedup(inputs.docs(spark, [])).collect() == []
     assert line_dedup.line_dedup(inputs.docs(spark)).count() == len(inputs.ROWS)
+
+
+def test_line_dedup_short_units(spark):
+    """With min_words=1 every unit but a blank one is grouped, and only what is removed goes."""
+    rows = [
+        (1, "yes\n\n \nyes\nno", "en", "s"),
+        (2, "own\n\nNO", "en", "s"),
+        (3, "\n\n", "en", "s"),
+        (4, "日本語の長い行です", "ja", "s"),
+        (5, "日本語の長い行です\n\nlast", "ja", "s"),
+    ]
+    d = inputs.docs(spark, rows)
+    got = {r.doc_id: r.clean_text for r in line_dedup.line_dedup(d, min_words=1).collect()}
+    assert got == {1: "yes\n\n \nno", 2: "own\n", 3: "\n\n", 4: rows[3][1], 5: "\nlast"}
+    assert {r.doc_id: r.clean_text for r in line_dedup.line_dedup(d).collect()} == {i: t for i, t, *_ in rows}
+
+
+def test_line_dedup_last_unit_keeps_blank_lines_before(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, passage, "en", "s"), (2, f"x\n\n{passage}", "en", "s")]
+    got = {r.doc_id: r.clean_text for r in line_dedup.line_dedup(inputs.docs(spark, rows)).collect()}
+    assert got == {1: passage, 2: "x\n"}

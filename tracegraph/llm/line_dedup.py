@@ -4,13 +4,14 @@ Units are the lines of a text. A unit is normalised (lower case, white space run
 one blank, trimmed) and hashed with SHA-256. Of all units of the corpus with one
 digest the earliest ranked stays (smallest id, then row, then line); the others are
 removed and reported with their offsets in the original text. Units of fewer than
-``min_words`` words are too short to be passages and are left alone.
+``min_words`` words are too short to be passages and are left alone; with 1 every unit
+but a blank one takes part.
 
 Scale: one narrow row per line is shuffled (digest, key, number, offsets), aggregated
 with a map-side combine; only digests that occur again are joined back, by an ordinary
 join that the engine may split for skew. Texts are shuffled once, to be cut.
 
-Defined cases: a null or empty text has one empty unit, too short to be removed; a null
+Defined cases: a null or empty text has one empty unit; blank units are never removed; a null
 id ranks last; rows equal in id and text are one document: its units never remove each
 other across such rows, and every such row is cut alike; a removed line goes with its
 line feed; a text all of whose lines go becomes empty.
@@ -32,7 +33,7 @@ def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     u = d.select("_key", "doc_id", F.posexplode(F.arrays_zip("_lines", "_ends")).alias("no", "_u"))
     norm = F.trim(F.regexp_replace(F.lower("_u._lines"), f"[{WS}]+", " "))
     u = u.select("_key", "doc_id", "no", (F.col("_u._ends") - 1).alias("end"), F.char_length("_u._lines").alias("_n"), norm.alias("_norm"))
-    u = u.where(F.size(F.split("_norm", " ")) >= min_words)
+    u = u.where((F.col("_norm") != "") & (F.size(F.split("_norm", " ")) >= min_words))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_key").alias("k"), F.col("no").alias("i"))
     u = u.select("_key", "doc_id", "no", (F.col("end") - F.col("_n")).alias("start"), "end", F.unhex(F.sha2("_norm", 256)).alias("_digest"), rank.alias("_rank"))
     u = staged(u, "units")
@@ -58,7 +59,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     clean = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(F.array_join(F.zip_with(froms, tos, piece), ""))
     # a removed last line leaves the line feed before it
     last_gone = (n > 0) & (F.element_at("removed", -1).end >= F.char_length("_text"))
-    clean = F.when(last_gone, F.regexp_replace(clean, "\n$", "")).otherwise(clean)
+    clean = F.when(last_gone, F.regexp_replace(clean, r"\n\z", "")).otherwise(clean)
     return d.select("doc_id", F.coalesce("removed", F.array()).alias("removed"), clean.alias("clean_text"))
 
 
