@@ -7,8 +7,8 @@ folder and read again as the next stage's ``docs``, so a lost executor costs at
 running stage. All stages but the last return the columns of ``documents``.
 
 Nulls, repeated rows and empty tables are handled as the operators' docstrings say: a null
-text is an empty text and passes the filters, rows without an id are never dropped as
-copies, and an empty table gives an empty result.
+text is an empty text and passes the filters, rows without an id are dropped as exact copies
+like any others but never as near copies, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -44,6 +44,21 @@ def test_exact_dedup_empty(spark):
     assert exact_dedup.exact_dedup(d).collect() == [] and exact_dedup.without_copies(d).collect() == []
 
 
+def test_exact_dedup_longest_row_without_id(spark):
+    """One row stays, by broadcast and by shuffle, when the longest of a group has no id."""
+    groups = {"a": 40, "b": 3}
+    rows = [(100 * k + i, f"{t} copy", "en", "s") for k, (t, n) in enumerate(groups.items(), 1) for i in range(n)]
+    rows += [(None, f"{t}  copy" + " " * j, "en", "s") for t in groups for j in range(3)] + [(None, x, "en", "s") for x in ("c", "c ", "d  ", "d")] + [(7, "d ", "en", "s")]
+    d = inputs.docs(spark, rows)
+    for heavy in (1, 256):
+        got = exact_dedup.exact_dedup(d, heavy=heavy, tracked=max(8, heavy)).collect()
+        assert len(got) == len(rows)
+        for t in (*[f"{t}copy" for t in groups], "c", "d"):
+            group = [r for r in got if r.text_sha256 == hashlib.sha256(t.encode()).hexdigest()]
+            assert [(r.doc_id, r.kept) for r in group if r.kept] == [(None, True)] and {r.keep_id for r in group} == {None}
+    assert sorted(r.text for r in exact_dedup.without_copies(d).collect()) == ["a  copy  ", "b  copy  ", "c ", "d  "]
+
+
 def brute_sets(text):
     words = [w for w in re.split("[ \t-\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
     if not words:
