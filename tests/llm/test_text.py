@@ -57,6 +57,20 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert text[10] == rows[4][1] and "boss@corp.example" not in text[0] and "Zorblax" not in text[0] and "[EMAIL]" in text[0]
 
 
+def test_pii_terms_of_entities_met_once(spark):
+    """An entity of one document has disclosing terms, wherever they stand in it; copies of it prove no more."""
+    common = "plain words of everybody about a case " * 10
+    rows = [(1, f"Zorblax {common}write to (one@corp.example) or two@corp.example, {common}Quuxley", "en", "s")]
+    rows += [(10 + i, common + f"number {i % 7} and nothing else", "en", "s") for i in range(200)]
+    once, copied = ({r.doc_id: r for r in pii.sanitise_spans(inputs.docs(spark, x)).collect()} for x in (rows, rows + [(2, *rows[0][1:])]))
+    for got in (once, copied):
+        assert all([rows[0][1][t.start : t.end] for t in got[k].terms] == ["Zorblax", "write", "to", "or", "Quuxley"] for k in got if k < 10)
+        assert not any(r.terms for k, r in got.items() if k >= 10)
+    assert all(0.9 <= t.degree < 0.97 for got in (once, copied) for t in got[1].terms)
+    text = {r.doc_id: r.sanitised for r in pii.sanitise(inputs.docs(spark, rows)).collect()}
+    assert text[1] == f"[WORD] {common}[WORD] [WORD] ([EMAIL]) [WORD] [EMAIL], {common}[WORD]" and text[10] == rows[1][1]
+
+
 def test_codec_equals_the_library(spark):
     import sentencepiece
 

@@ -1,19 +1,26 @@
 """Personal data by information-theoretic sanitisation (DataFrame functions only).
 
 Base entities are found by pattern: e-mail addresses, IP addresses, payment cards and
-telephone numbers. Terms near an entity may give it away: over the whole corpus, the
+telephone numbers. Terms of its documents may give an entity away: over the whole corpus, the
 pointwise mutual information PMI(e; t) = log2(n(e,t) N / (n(e) n(t))) of entity e and
 term t, counted in documents, is compared with the entity's information content
 IC(e) = log2(N / n(e)) (Sanchez, Batet and Viejo, 2013). A term discloses e to the
 degree PMI / IC; terms at or above ``disclose`` are added as spans (kind ``term``)
-wherever they stand within ``window`` code points of e. ``sanitise`` replaces base
-entities by their kind, generalises disclosing terms to their class and removes those
-at or above ``remove``. Evidence must repeat: a pair counts only when seen in
-``support`` different contexts, so copies of one text prove nothing.
+wherever they stand in a document of e. ``sanitise`` replaces base entities by their
+kind, generalises disclosing terms to their class and removes those at or above
+``remove``.
+
+A context is an entity's surroundings (``window`` code points on both sides), one a
+document. A pair seen in ``support`` different contexts is weighed as counted. With fewer
+(k), the share of t's documents that hold e, n(e,t) / n(t), is smoothed towards e's share
+of all documents, n(e) / N: k parts counted, ``PSEUDO`` parts of the latter for each context
+lacking. So an entity met once has disclosing terms, to a lower degree than one met
+again (1 - 0.585 / log2 N at most), and copies of one text prove no more than one of them.
 
 Scale: patterns run inside the scan; what is kept per document is its matches and the
-text around them. Pairs grow with the number of matches (a bounded window each), and
-are counted with map-side combines. Document counts of terms are taken over the whole
+text around them, and the text of documents with entities. Pairs are those of an entity
+and a term of one document that can reach ``disclose`` by n(e) and n(t) alone, and are
+counted with map-side combines. Document counts of terms are taken over the whole
 corpus, for the candidate terms only: their distinct words are broadcast when a count
 proves them few (``BROADCAST_TERMS``), else all terms are counted and joined.
 
@@ -24,7 +31,7 @@ document (IC = 0) discloses nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WS, row_key, running, staged
@@ -42,9 +49,8 @@ CARD_HINT = r"[0-9](?:[\x20-]?[0-9]){12}"
 IP_HINT = r"[0-9]\.[0-9]"
 OCTET = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 BROADCAST_TERMS = 20_000
-#: spans that can start within 80 code points: 16 e-mails of 5 or more, 11 IPs of 7, 6 cards of
-#: 13 and 7 telephone numbers of 11
-NEIGHBOURS_PER_80 = 41
+#: documents counted in place of each context that a pair lacks of its support
+PSEUDO = 0.5
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
@@ -87,8 +93,8 @@ def base_spans(text, kind: str):
 
 
 def find_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 80) -> DataFrame:
-    """``(_key, doc_id, base)``: ``base`` holds ``(kind, start, end, value, left, right)``, the
-    last two being the ``window`` code points before and after."""
+    """``(_key, doc_id, base, text)``: ``base`` holds ``(kind, start, end, value, left, right)``, the
+    last two being the ``window`` code points before and after; ``text`` is null without entities."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(row_key(id_col, text_col).alias("_key"), F.col(id_col).alias("doc_id"), text.alias("_text"))
     d = d.select("*", *[base_spans(F.col("_text"), k).alias(f"_{k}") for k in PATTERNS])
@@ -102,59 +108,74 @@ def find_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         return F.transform(f"_{kind}", one)
 
-    return d.select("_key", "doc_id", F.concat(*[around(k) for k in PATTERNS]).alias("base"))
-
-
-def disclosing_terms(docs: DataFrame, entities: DataFrame, text_col: str = "text", disclose: float = 0.9, support: int = 2, window: int = 80) -> DataFrame:
-    """``(_key, start, end, value, degree)`` of the terms that disclose an entity beside them."""
-    word, neighbours = f"[^{WS}]+", NEIGHBOURS_PER_80 * max(1, -(-window // 80))
-    # each entity with the spans next to it: no more than ``neighbours`` start in a window before or after
-    ordered = F.sort_array(F.transform("base", lambda b: F.struct(b.start.alias("start"), b.end.alias("end"), b.kind.alias("kind"), b.value.alias("value"), b.left.alias("left"), b.right.alias("right"))))
-    spans = F.transform("_o", lambda b: F.struct(b.start.alias("start"), b.end.alias("end")))
-    beside = lambda b, i: F.struct(b.alias("e"), F.slice("_s", F.greatest(F.lit(1), i + 1 - neighbours), F.lit(2 * neighbours + 1)).alias("beside"))
-    near = entities.dropDuplicates(["_key"]).select("_key", ordered.alias("_o")).select("_key", "_o", spans.alias("_s"))
-    near = near.select("_key", F.explode(F.transform("_o", beside)).alias("_x")).select("_key", F.col("_x.e").alias("_e"), F.col("_x.beside").alias("_beside"))
-    left = F.transform(matches(F.col("_e.left"), word), lambda m: F.struct((m.start + F.col("_e.start") - F.char_length("_e.left")).alias("start"), m.value.alias("value")))
-    right = F.transform(matches(F.col("_e.right"), word), lambda m: F.struct((m.start + F.col("_e.end")).alias("start"), m.value.alias("value")))
-    words = F.transform(F.concat(left, right), lambda w: F.struct(w.start.alias("start"), (w.start + F.char_length(w.value)).alias("end"), w.value.alias("value")))
-    # words cut by the window's edge, or touching an entity, are no terms
-    lo, hi = F.col("_e.start") - F.char_length("_e.left"), F.col("_e.end") + F.char_length("_e.right")
-    whole = lambda w: ((w.start > lo) | (w.start == 0)) & ((w.end < hi) | (F.char_length("_e.right") < window))
-    words = F.filter(words, lambda w: whole(w) & ~F.exists("_beside", lambda b: (b.start <= w.end) & (b.end >= w.start)))
-    entity = F.concat("_e.kind", F.lit(":"), F.lower("_e.value"))
-    rows = near.select("_key", entity.alias("entity"), F.xxhash64("_e.left", "_e.right").alias("_ctx"), F.explode(words).alias("_w"))
-    term = F.regexp_replace(F.lower("_w.value"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    rows = staged(rows.select("_key", "entity", "_ctx", term.alias("term"), "_w.start", "_w.end", "_w.value").where("term <> ''"), "pii-near")
+    some = F.concat(*[around(k) for k in PATTERNS])
+    any_found = F.greatest(*[F.size(f"_{k}") for k in PATTERNS]) > 0
+    return d.select("_key", "doc_id", some.alias("base"), F.when(any_found, F.col("_text")).alias("text"))
 
-    # distinct contexts and documents of a pair, in two map-side-combined steps
-    pairs = rows.groupBy("entity", "term", "_ctx").agg(F.count(F.lit(1)).alias("_n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_ctxs"))
-    both = rows.select("entity", "term", "_key").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_both"))
-    pairs = staged(pairs.where(F.col("_ctxs") >= support).join(both, ["entity", "term"]), "pii-pairs")
-    wanted = pairs.select("term").distinct()
+
+def disclosing_terms(docs: DataFrame, entities: DataFrame, text_col: str = "text", disclose: float = 0.9, support: int = 2) -> DataFrame:
+    """``(_key, start, end, value, degree)`` of the terms that disclose an entity of their document."""
+    found = entities.dropDuplicates(["_key"])
+    rows = staged(_terms(found), "pii-terms")
 
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     tokens = F.transform(F.split(text, f"[{WS}]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    seen = docs.select(F.explode(F.array_distinct(tokens)).alias("term"))
+    seen, wanted = docs.select(F.explode(F.array_distinct(tokens)).alias("term")), rows.select("term").distinct()
     few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     if few:
         seen = seen.join(F.broadcast(wanted), "term", "left_semi")
     per_term = seen.groupBy("term").agg(F.count(F.lit(1)).alias("_nt"))
-    per_entity = entities.dropDuplicates(["_key"]).select("_key", F.explode("base").alias("_e")).select("_key", entity.alias("entity")).distinct()
-    per_entity = per_entity.groupBy("entity").agg(F.count(F.lit(1)).alias("_ne"))
-    total = docs.count()
-    ic = F.log2(F.lit(float(max(total, 1))) / F.col("_ne"))
-    pmi = F.log2(F.col("_both") * float(max(total, 1)) / (F.col("_ne") * F.col("_nt")))
-    told = pairs.join(per_term, "term").join(per_entity, "entity")
-    told = told.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("degree")).where(F.col("degree") >= disclose)
-    hits = rows.join(told, ["entity", "term"])
-    return hits.groupBy("_key", "start", "end", "value").agg(F.max("degree").alias("degree"))
+    # an entity has one context a document, so that naming it twice in one is no second witness
+    entity = F.concat("_e.kind", F.lit(":"), F.lower("_e.value"))
+    held = found.select("_key", F.explode("base").alias("_e")).groupBy("_key", entity.alias("entity")).agg(F.min(F.xxhash64("_e.left", "_e.right")).alias("_ctx"))
+    held = staged(held, "pii-held")
+    per_entity = staged(held.groupBy("entity").agg(F.count(F.lit(1)).alias("_ne")), "pii-entities")
+    total, most = float(max(docs.count(), 1)), float(per_entity.agg(F.max("_ne")).first()[0] or 1)
+
+    def degree(ne, share):
+        """Of disclosure, when ``share`` of the documents of a term hold the entity."""
+        ic = F.log2(F.lit(total) / ne)
+        return F.when(ic > 0, F.log2(share * total / ne) / ic).otherwise(0.0)
+
+    # no pair can disclose more than when all documents of the rarer of the two hold both: what
+    # cannot reach ``disclose`` so is left out before pairs are built, first against the most frequent entity
+    bound = lambda ne: F.least(ne.cast("double"), F.col("_nt").cast("double")) / F.col("_nt")
+    reach = lambda ne: F.log2(bound(ne) * total / ne) >= disclose * F.log2(F.lit(total) / ne) - 1e-9
+    per_term = staged(per_term.where(reach(F.lit(most))), "pii-rare")
+    held = held.join(per_entity, "entity")
+    pairs = rows.select("_key", "term").distinct().join(per_term, "term").join(held, "_key").where(reach(F.col("_ne")))
+    pairs = staged(pairs.select("_key", "entity", "term", "_ctx", "_ne", "_nt"), "pii-pairs")
+
+    # documents and different contexts of a pair, in two map-side-combined steps
+    both = pairs.groupBy("entity", "term", "_ctx").agg(F.count(F.lit(1)).alias("_n"), F.max("_ne").alias("_ne"), F.max("_nt").alias("_nt"))
+    both = both.groupBy("entity", "term").agg(F.sum("_n").alias("_both"), F.count(F.lit(1)).alias("_ctxs"), F.max("_ne").alias("_ne"), F.max("_nt").alias("_nt"))
+    missing = F.greatest(F.lit(0), support - F.col("_ctxs")) * PSEUDO
+    share = (F.col("_ctxs") * F.col("_both") / F.col("_nt") + missing * F.col("_ne") / total) / (F.col("_ctxs") + missing)
+    told = staged(both.select("entity", "term", degree(F.col("_ne"), share).alias("degree")).where(F.col("degree") >= disclose), "pii-told")
+    hits = pairs.join(told, ["entity", "term"]).groupBy("_key", "term").agg(F.max("degree").alias("degree"))
+    return rows.join(hits, ["_key", "term"]).select("_key", "start", "end", "value", "degree")
+
+
+def _terms(found: DataFrame) -> DataFrame:
+    """``(_key, term, start, end, value)``: the words of the whole documents that overlap no entity."""
+    words = found.select("_key", F.explode(matches(F.col("text"), f"[^{WS}]+")).alias("_w")).select("_key", "_w.start", "_w.end", "_w.value")
+    spans = found.select("_key", F.explode("base").alias("_b")).select("_key", "_b.start", "_b.end", F.lit(None).cast("string").alias("value"))
+    # words do not overlap: a span that starts in a word is the row after it, one that started
+    # before it reaches into it if any end so far does; a window holds one document
+    order = Window.partitionBy("_key").orderBy("start", F.col("value").isNull())
+    ends = F.max(F.when(F.col("value").isNull(), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.when(F.lead("value").over(order).isNull(), F.lead("start").over(order))
+    both = words.unionByName(spans).withColumn("_ends", ends).withColumn("_after", after)
+    free = both.where("value IS NOT NULL AND coalesce(_ends <= start, true) AND coalesce(_after >= end, true)")
+    term = F.regexp_replace(F.lower("value"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return free.select("_key", term.alias("term"), "start", "end", "value").where("term <> ''")
 
 
 def sanitise_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclose: float = 0.9, support: int = 2, window: int = 80) -> DataFrame:
     """``(_key, doc_id, base, terms)``, one row per input row: the found entities and the
     disclosing terms ``(start, end, value, degree)`` in text order."""
     entities = staged(find_entities(docs, id_col, text_col, window), "pii-base")
-    terms = disclosing_terms(docs, entities.where(F.size("base") > 0), text_col, disclose, support, window)
+    terms = disclosing_terms(docs, entities.where(F.size("base") > 0), text_col, disclose, support)
     terms = terms.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "value", "degree"))).alias("terms"))
     return entities.join(terms, "_key", "left").select("_key", "doc_id", "base", F.coalesce("terms", F.array()).alias("terms"))
 
