@@ -3,14 +3,18 @@
 The kernel (Lodhi et al., 2002, with a bounded span) compares two words by the character
 subsequences of length 3 and 4 they share, each weighted by ``DECAY`` to the power of the
 stretch it spans, up to ``SPAN`` characters. An insult with inserted or missing characters
-still shares most of its subsequences. Sentences are compared by the sum over their words
-(a convolution kernel). Landmarks are words of the training sentences; with K their kernel
-matrix, a sentence S becomes K^(-1/2) [k(S, z_1) ... k(S, z_m)] (Nystrom), on which a
+still shares most of its subsequences. Landmarks are words of the training texts; with K their
+kernel matrix, a word u becomes K^(-1/2) [k(u, z_1) ... k(u, z_m)] (Nystrom), on which a
 linear SVM with squared hinge loss is trained.
 
-Labels are given for documents, so the toxic sentences of a toxic document are found by
-multiple-instance rounds: first all its sentences are positive, then those the last model
-finds, at least the best. A document scores the logistic calibration of its best sentence.
+Labels are given for documents, so the toxic words of a toxic document are found by
+multiple-instance rounds: first its words that speak most for toxic documents are positive,
+then those the last model finds. A document scores the logistic calibration of its best word.
+
+Not done: texts are not cut into sentences, and words are not summed. Landmarks and witnesses
+have at least ``LENGTHS[1]`` letters, and witnesses are at least ``RATIO`` times as frequent in
+toxic documents; so a text that is toxic by a phrase of ordinary words, or by words of up to
+three letters, gives no positive in training and is not known by that phrase in scoring.
 
 Because kernel and SVM are linear in the subsequences of a word, the trained model folds
 into one weight per subsequence (a table of 4 MB): scoring a word is a gather over its
@@ -22,7 +26,7 @@ words are read in overlapping windows, so whole texts count. Training uses at mo
 ``SAMPLE`` documents of each label, the ones smallest by a hash, of at most ``SAMPLE_CHARS``
 characters each; scoring reads every text whole.
 
-Defined cases: null, empty and wordless texts score as one empty sentence; without both
+Defined cases: null, empty and wordless texts score as a plain word; without both
 labels in the training part every score is the share of toxic labels (0 without labels);
 labels of unknown documents and null labels are ignored; a document labelled twice counts
 as toxic if any label says so; repeated rows score alike.
@@ -196,7 +200,7 @@ class Model:
         self.table, self.bias, self.slope, self.offset = table, bias, slope, offset
 
     def margins(self, texts: list[str], words: Words) -> np.ndarray:
-        """Of the best word of the best sentence; of a plain word for a text without any."""
+        """Of the best word; of a plain word for a text without any."""
         split = [t.split() for t in texts]
         words.add(split)
         best = np.full(len(texts), -np.inf)
