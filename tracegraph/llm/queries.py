@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, line_dedup, mixing, ngram_join, pii, sentencepiece_codec, topk, toxicity, warc
+from . import centroids, divergence, exact_dedup, html_text, line_dedup, mixing, ngram_join, phrases, pii, sentencepiece_codec, topk, toxicity, warc
 from .common import table
 
 
@@ -67,11 +67,27 @@ def op10_sentencepiece(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_line_dedup, op4_exact_dedup, op5_pii, op6_html_text, op7_warc, op8_top_k, op9_mix_sources, op10_sentencepiece)}
+def op11_phrases(spark, sf_dir):
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_divergence(spark, sf_dir):
+    judged = divergence.quality(table(spark, sf_dir, "documents"))
+    return judged.drop("class_distance", "word_distance")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_line_dedup, op4_exact_dedup, op5_pii, op6_html_text, op7_warc, op8_top_k, op9_mix_sources, op10_sentencepiece, op11_phrases, op12_centroids, op13_divergence)}
 ORACLE = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
     "op8_top_k": topk.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
+    "op11_phrases": phrases.ORACLE,
+    "op12_centroids": centroids.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
