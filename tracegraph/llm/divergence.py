@@ -49,8 +49,10 @@ CLASSES = {
 WIDTH, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: common words per language
 COMMON = 32
-#: least words and code points for a histogram to be judged, and the largest distances allowed
-MIN_WORDS, MIN_CHARS, WORD_LIMIT, CLASS_LIMIT = 50, 200, 0.75, 0.35
+#: least words and code points for a histogram to be judged, and the largest distances allowed.
+#: A sample of n from k classes lies about sqrt((k - 1) / (8 n ln 2)) from its own language: 0.24
+#: for 100 words, 0.07 for 200 code points; the limits stand well above that
+MIN_WORDS, MIN_CHARS, WORD_LIMIT, CLASS_LIMIT = 100, 200, 0.35, 0.32
 #: one sign per common word, to count them in a row's text of signs
 SIGNS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 PARTS = 1_000_000
@@ -135,14 +137,13 @@ def facts(docs: DataFrame, words_by_lang: DataFrame, id_col: str, text_col: str,
         "doc_id",
         "lang",
         "n_words",
-        (F.get("_left", 0) - F.get("_left", 1) + F.get("_left", 2)).cast("bigint").alias("_unused"),
         (F.get("_left", 0) - class_counts[1]).cast("bigint").alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
         F.array(*class_counts, F.get("_left", len(CLASSES)).cast("bigint")).alias("classes"),
         F.array(*[of_sign(k) for k in range(common)], F.col("n_words") - F.char_length("_signs")).alias("words"),
-    ).drop("_unused")
+    )
 
 
 def total(counts: Column) -> Column:
