@@ -174,7 +174,7 @@ def test_line_dedup_edges(spark):
         (8, "😀 " + passage + "\n" + passage, "en", "s"),
     ]
     got = {}
-    for r in line_dedup.line_dedup(inputs.docs(spark, rows)).collect():
+    for r in line_dedup.line_dedup(inputs.docs(spark, rows), min_words=10).collect():
         got.setdefault(r.doc_id, []).append(r)
         text = next(t for i, t, *_ in rows if i == r.doc_id) or ""
         for s in r.removed:  # offsets point to the removed unit in the original text
@@ -204,5 +204,28 @@ def test_line_dedup_short_units(spark):
 def test_line_dedup_last_unit_keeps_blank_lines_before(spark):
     passage = "one two three four five six seven eight nine ten eleven"
     rows = [(1, passage, "en", "s"), (2, f"x\n\n{passage}", "en", "s")]
-    got = {r.doc_id: r.clean_text for r in line_dedup.line_dedup(inputs.docs(spark, rows)).collect()}
+    got = {r.doc_id: r.clean_text for r in line_dedup.line_dedup(inputs.docs(spark, rows), min_words=10).collect()}
     assert got == {1: passage, 2: "x\n"}
+
+
+def test_line_dedup_passages_of_short_and_rewrapped_lines(spark):
+    words = [f"w{i}" for i in range(60)]
+    wrapped = "\n".join(" ".join(words[i : i + 6]) for i in range(0, 60, 6))
+    other = "\n".join(" ".join(words[i : i + 9]) for i in range(0, 60, 9))
+    rows = [
+        (1, f"start one\n\n{wrapped}\n\nend one", "en", "s"),
+        (2, f"start two\n{wrapped}\nend two", "en", "s"),  # the same lines
+        (3, f"start three\n\n{other}\n\nend three", "en", "s"),  # the same paragraph, wrapped elsewhere
+        (4, f"start four\n{words[0]} w1 w2 w3 w4 w5\nown\n{' '.join(words[6:12])}\nend four", "en", "s"),  # single short lines
+        (5, f"start five\n{wrapped.split(chr(10))[0]}\n\n" + "\n".join(wrapped.split("\n")[1:]) + "\nend", "en", "s"),
+    ]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(inputs.docs(spark, rows)).collect()}
+    assert got[1].clean_text == rows[0][1] and got[4].clean_text == rows[3][1]
+    assert got[2].clean_text == "start two\nend two" and {r.first_doc for r in got[2].removed} == {1}
+    assert got[3].clean_text == "start three\n\n\nend three" and {r.first_doc for r in got[3].removed} == {1}
+    assert got[5].clean_text == "start five\n\nend"
+    for i, t, *_ in rows:  # what is cut is what the offsets say
+        left, at = "", 0
+        for r in got[i].removed:
+            left, at = left + t[at : r.start], min(len(t), r.end + 1)
+        assert left + t[at:] == got[i].clean_text

@@ -78,7 +78,7 @@ def shard_cuts(ids: np.ndarray, size: int) -> list[int]:
             break
         at = int(gaps[nxt]) + 1
         cuts.append(at)
-    return cuts + [len(ids)]
+    return cuts if cuts and cuts[-1] == len(ids) else [*cuts, len(ids)]
 
 
 def _shard_rows(vocabulary: list[tuple[str, bytes]], ids: np.ndarray, size: int):
