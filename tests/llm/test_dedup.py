@@ -119,6 +119,27 @@ def test_ngram_join_small_blocks(spark, monkeypatch):
     assert got == brute_components([r[:2] for r in rows])
 
 
+@pytest.mark.parametrize("seed, block", [(4, 7), (5, 512), (6, 2)])
+def test_classes_without_counting_links(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+    rows = near_copies(seed)
+    got = ngram_join.near_duplicates(inputs.docs(spark, rows), count_links=False)
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == {i: x[:2] for i, x in brute_components([r[:2] for r in rows]).items()}
+
+
+def test_words_do_not_collide_by_construction():
+    for a, b in (("a", "b"), ("abcdefgh" * 3, "hgfedcba" * 3)):
+        for k in range(1, 13):  # Thue-Morse words: equal under any polynomial modulo a power of 2
+            one, two = a, b
+            for _ in range(k):
+                one, two = one + two, two + one
+            h, _ = shingles.word_hashes([f"{one} {two} {one.upper()}"])
+            assert h[0] != h[1] and h[0] == h[2]
+    h, n = shingles.word_hashes([" ".join("x" * i for i in range(1, 200)), "", "é"])
+    assert len(set(h.tolist())) == 200 and n.tolist() == [199, 0, 1]
+
+
 def test_ngram_join_edges(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.near_duplicates(inputs.docs(spark)).collect()}
     expected = brute_components([(i, t) for i, t, *_ in inputs.ROWS if i is not None])

@@ -164,3 +164,32 @@ def test_toxicity_queries_and_edges(spark):
     assert toxicity.score(empty, toxicity.fit(empty, labels.limit(0))).collect() == []
     none = toxicity.score(d, toxicity.fit(d, labels.limit(0))).collect()
     assert {r.predicted for r in none} == {0}
+
+
+def plain_kernel(a: str, b: str) -> float:
+    """The string kernel by its definition: every pair of equal subsequences of 3 and 4 letters
+    within a span of 8, each weighted by 0.8 to the power of the letters it spans."""
+    from itertools import combinations
+
+    def held(w):
+        out, norm = {}, 0.0
+        for n in (3, 4):
+            for at in combinations(range(len(w)), n):
+                span = at[-1] - at[0] + 1
+                if span <= 8:
+                    key = "".join(w[i] for i in at)
+                    out[key] = out.get(key, 0.0) + 0.8**span
+                    norm += 0.8 ** (2 * span)
+        return out, norm**0.5
+
+    (x, nx), (y, ny) = held(a), held(b)
+    return sum(v * y.get(k, 0.0) for k, v in x.items()) / (nx * ny)
+
+
+def test_string_kernel_equals_its_definition():
+    words = ["blockhead", "bloxckhead", "blokhead", "bxlxoxcxkxhxexaxd", "numskull", "abcabcabc", "the"]
+    codes = [toxicity.letters(w) for w in words]
+    got = toxicity.kernel(codes, codes)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            assert got[i, j] == pytest.approx(plain_kernel(a, b), abs=1e-5), (a, b)

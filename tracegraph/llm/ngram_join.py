@@ -25,6 +25,13 @@ Steps, all exact; with c(n) = ceil(0.8 n) and t(n) = floor(n / 5):
    leaves the group.
 6. Components by alternating large-star and small-star rounds.
 
+Where only the classes are asked for (``one_of_each``), links that connect nothing new are not
+looked for (``class_links``): two rounds first bring documents together by the entry that most
+of them share, so families of near copies meet in few blocks and become one component, then
+one document per component is left to meet others the same way. Step 4 then takes only
+entries whose holders are of several components, and brings a block together only with the
+blocks that hold other components; this is exact, as links inside a component are no news.
+
 Defined cases: null and empty texts and texts without words have an empty set, which
 links with nothing, not even another empty one; rows without an id are left out (they
 could not be named); rows repeating an id count as one document, the one with the most
@@ -48,8 +55,8 @@ from .shingles import mix, shingle_sets
 NONE = np.uint32(0xFFFFFFFF)
 #: documents and bytes of sets per block of step 4; documents per part of step 3
 BLOCK_DOCS, BLOCK_BYTES, PART_DOCS = 512, 4 << 20, 2000
-#: documents whose sets a task holds at a time in step 1
-PACK_DOCS = 1000
+#: documents whose sets a task holds at a time in step 1; bytes of text per hash range there
+PACK_DOCS, RANGE_BYTES = 1000, 16 << 20
 #: most ids that are broadcast to pick texts (8 bytes each); beyond it an ordinary join does it
 BROADCAST_IDS = 500_000
 
@@ -390,16 +397,76 @@ def set_links(sets: DataFrame, entries: DataFrame) -> DataFrame:
     return groups.groupBy("lo", "hi").applyInPandas(lambda rows: _group_links(rows), GROUP)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def blocks_for(docs: int, shingles: int) -> int:
+    return max(1, -(-docs // BLOCK_DOCS), -(-shingles * 8 // BLOCK_BYTES))
+
+
+def _gathered(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Links inside the groups ``members(lo, hi, blk, doc_id)``."""
+    groups = members.join(sets.select("doc_id", "copies", "tokens"), "doc_id")
+    found = groups.groupBy("lo", "hi").applyInPandas(lambda rows: _group_links(rows), GROUP)
+    return found.where("b IS NOT NULL").select("a", "b")
+
+
+def _dealt_by_entry(entries: DataFrame) -> DataFrame:
+    """``members``: every document in the block of the entry that most others share with it."""
+    often = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).where("c > 1")
+    pick = entries.join(often, "token").groupBy("doc_id").agg(F.max(F.struct("c", "token", "s")).alias("p"), F.max("n").alias("n"))
+    pick = staged(pick.select("doc_id", "n", "p.*"), "ngram-picked")
+    all_ = pick.agg(F.count(F.lit(1)).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
+    parts = F.greatest(F.ceil(F.col("c") / BLOCK_DOCS), F.ceil(F.col("s") * 8 / BLOCK_BYTES))
+    place = F.xxhash64("token", F.pmod(F.xxhash64("doc_id"), parts))
+    blk = F.pmod(place, F.lit(blocks_for(all_.d, all_.t))).cast("int")
+    return pick.select("doc_id", blk.alias("blk"), blk.alias("lo"), blk.alias("hi"))
+
+
+def class_links(sets: DataFrame, entries: DataFrame, rounds: int = 2) -> DataFrame:
+    """``(a, b)``: links with the same components as all links."""
+    nodes = staged(entries.select(F.col("doc_id").alias("id")).distinct(), "ngram-nodes")
+    heads, found = entries, None
+    for r in range(rounds):
+        new = staged(_gathered(sets, _dealt_by_entry(heads)), f"ngram-round{r}")
+        found = new if found is None else found.unionByName(new)
+        of = staged(components(nodes, found, f"ngram-cc{r}"), f"ngram-of{r}")
+        heads = entries.join(of.where("id = component").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    # what several components share
+    e = entries.join(of.withColumnRenamed("id", "doc_id"), "doc_id")
+    shared = e.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("token")
+    e = staged(e.join(shared, "token", "left_semi"), "ngram-shared")
+    size = e.groupBy("doc_id", "component").agg(F.max("n").alias("n")).groupBy("component").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("t"))
+    size = staged(size, "ngram-sizes")
+    all_ = size.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("d"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+    parts = F.greatest(F.ceil(F.col("d") / BLOCK_DOCS), F.ceil(F.col("t") * 8 / BLOCK_BYTES))
+    place = F.xxhash64("component", F.pmod(F.xxhash64("doc_id"), parts))
+    blk = F.pmod(place, F.lit(blocks_for(all_.d, all_.t))).cast("int").alias("blk")
+    cls = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int").alias("cls")
+    e = staged(e.join(size, "component").select("token", "doc_id", "component", blk, cls), "ngram-placed")
+    held = e.groupBy("token", "component", "blk", "cls").agg(F.count(F.lit(1)).alias("c"))
+    # a large component does not look for others: they come to it
+    main = held.groupBy("token", "component").agg(F.sum("c").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"))
+    held = staged(held.join(main.select("token", F.col("m.component").alias("main")), "token"), "ngram-holders")
+    near = F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls")
+    seek = held.where("component <> main").select("token", F.col("component").alias("c1"), F.col("blk").alias("b1"), near)
+    meet = seek.join(held.select("token", "cls", F.col("component").alias("c2"), F.col("blk").alias("b2")), ["token", "cls"]).where("c1 <> c2")
+    pairs = meet.select("token", F.least("b1", "b2").alias("lo"), F.greatest("b1", "b2").alias("hi")).distinct()
+    sides = pairs.select("*", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("blk"))
+    members = sides.join(e.select("token", "blk", "doc_id"), ["token", "blk"]).select("lo", "hi", "blk", "doc_id").distinct()
+    last = staged(_gathered(sets, staged(members, "ngram-members")), "ngram-last")
+    return found.unionByName(last)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """``(doc_id, n_shingles, component_id, n_links)``, one row per document id; ``n_links``
-    counts the other documents it links to, copies included."""
+    counts the other documents it links to, copies included, and is left out (with the work for
+    it) without ``count_links``."""
     with small_batches(docs.sparkSession):
-        return _near_duplicates(docs, id_col, text_col)
+        return _near_duplicates(docs, id_col, text_col, count_links)
 
 
-def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, count_links: bool) -> DataFrame:
     spark = docs.sparkSession
-    n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bytes_ = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n_buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // RANGE_BYTES))
     info = staged(document_sets(docs, id_col, text_col, n_buckets), "ngram-docs")
     c = F.floor((4 * F.col("n") + 4) / 5)
     passed = info.where((F.col("n") > 0) & (F.col("shared") >= F.floor(c / 5) + 1))
@@ -424,6 +491,10 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)).cast("int").alias("part")
     sets = staged(sets.select(part, "doc_id", "copies", "tokens"), "ngram-sets")
     entries = staged(prefix_entries(sets.select("part", "doc_id", "tokens"), parts, n_buckets), "ngram-entries")
+    if not count_links:
+        found = components(classes.select(F.col("rep").alias("id")), class_links(sets, entries), "ngram-cc")
+        named = staged(classes.join(found.withColumnRenamed("id", "rep"), "rep").select("digest", "component"), "ngram-named")
+        return info.join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     links = staged(set_links(sets, entries), "ngram-links")
     found = components(classes.select(F.col("rep").alias("id")), links.where("b IS NOT NULL").select("a", "b"), "ngram-cc")
     number = links.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
@@ -440,5 +511,5 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their class, with all their columns."""
-    others = near_duplicates(docs, id_col, text_col).where("component_id <> doc_id").select("doc_id")
+    others = near_duplicates(docs, id_col, text_col, count_links=False).where("component_id <> doc_id").select("doc_id")
     return without(docs, [F.col(id_col).cast("bigint")], others)

@@ -2,30 +2,24 @@
 
 Words are maximal runs of bytes other than ASCII white space, with A-Z lowered; a shingle
 is ``WORDS`` consecutive words; a text of fewer words has the whole sequence as its one
-shingle. Words and shingles are 64-bit hashes; a set is sorted and distinct.
+shingle. Words and shingles are 64-bit hashes; a set is sorted and distinct. A word is hashed
+8 bytes at a time, mixed after each step, so that no two words collide by their construction;
+a long one by BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 WORDS = 5
 #: texts are hashed together up to about this many bytes, to bound memory
 BLOCK_BYTES = 1_000_000
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 2**64)
-DIGITS = np.random.Generator(np.random.PCG64(12345)).integers(1, 2**64, 256, dtype=np.uint64)
+#: longest word that is hashed in steps, in bytes; start value
+STEPPED, START = 64, 0x9E3779B97F4A7C15
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 IS_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        _POWERS[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, dtype=np.uint64))]) for b in (BASE, INVERSE)]
-    return _POWERS[0], _POWERS[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,16 +41,28 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and the number of words of each text."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(r) + 1 for r in raw], dtype=np.int64)
-    data = LOWER[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)]
-    power, inverse = powers(len(data) + 1)
+    data = LOWER[np.frombuffer(b" ".join(raw) + b" " * 9, dtype=np.uint8)]
     inside = IS_WORD[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         edges = np.concatenate([[0], edges])
     start, end = edges[::2], edges[1::2]
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(DIGITS[data] * power[: len(data)], out=total[1:])
-    h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    # the 8 bytes from each position on, as one number
+    ahead = np.zeros(len(data) - 7, dtype=np.uint64)
+    for k in range(8):
+        ahead |= data[k : len(data) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
+    size = end - start
+    h = mix(size.astype(np.uint64) + np.uint64(START))
+    live = np.flatnonzero(size <= STEPPED)
+    for at in range(0, STEPPED, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        left = np.minimum(size[live] - at, 8).astype(np.uint64)
+        part = ahead[start[live] + at] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))
+        h[live] = mix(h[live] * np.uint64(0x165667B19E3779F9) + part)
+    for i in np.flatnonzero(size > STEPPED).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     return h, np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)])))
 
 

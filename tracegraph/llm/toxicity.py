@@ -22,7 +22,8 @@ subsequences, done once per distinct word and task, and costs nothing per landma
 
 Words are lower-cased, accents stripped, look-alike digits and signs read as letters, and
 other signs dropped; runs of single letters (``i d i o t``) are read as one word; long
-words are read in overlapping windows, so whole texts count. Training uses at most
+words are read in overlapping windows of two lengths, of which the best counts (the short ones
+find an insult between padding), so whole texts count. Training uses at most
 ``SAMPLE`` documents of each label, the ones smallest by a hash, of at most ``SAMPLE_CHARS``
 characters each; scoring reads every text whole.
 
@@ -48,7 +49,8 @@ from .common import give_back
 
 LENGTHS, SPAN, DECAY = (3, 4), 8, 0.8
 LANDMARKS, SAMPLE, SAMPLE_CHARS = 384, 1500, 20_000
-WINDOW, STRIDE = 24, 12
+#: letters and steps of the windows of a word longer than the first
+WINDOWS = ((24, 12), (12, 4))
 #: witnesses of a toxic text, which must be this many times as frequent there; hardest words
 #: of clean texts added per round; weight of the errors
 WITNESSES, RATIO, HARD, COST = 2, 5.0, 3000, 4000.0
@@ -83,9 +85,9 @@ def letters(word: str) -> np.ndarray:
 
 
 def windows(codes: np.ndarray) -> list[np.ndarray]:
-    if len(codes) <= WINDOW:
+    if len(codes) <= WINDOWS[0][0]:
         return [codes]
-    return [codes[i : i + WINDOW] for i in range(0, len(codes) - WINDOW + STRIDE, STRIDE)]
+    return [codes[i : i + n] for n, step in WINDOWS for i in range(0, len(codes) - n + step, step)]
 
 
 @cache
