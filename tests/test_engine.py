@@ -199,13 +199,14 @@ def test_f5_coverers_and_diff(spark):
 
 
 def test_coverer_order(spark):
-    from pyspark.sql import functions as F
-
     from tracegraph.functions import text as T
+    from tracegraph.operators import coverage as C
+    from tracegraph.operators.numbering import joined_text
 
     rows = [("impl", "m.go", 30, "u30", "m.go:30:impl"), ("impl", "m.go", 4, "u4", "m.go:4:impl"), ("test", "a.go", 9, "u9", "a.go:9:test")]
     df = spark.createDataFrame(rows, "cov_type string, file string, line_no int, url string, label string")
-    got = df.agg(T.coverers_text(T.sorted_coverers(F.collect_list(F.struct(*df.columns)))).alias("t")).first().t
+    ranked = C.ranked_coverers(df.selectExpr("'p' AS package", "'n' AS name", "*")).withColumn("item", T.coverer_link("label", "url"))
+    got = joined_text(ranked, ["package", "name"], "ord", "item", ", ").first().text
     assert got == "[m.go:4:impl](u4), [m.go:30:impl](u30), [a.go:9:test](u9)"
 
 
@@ -268,3 +269,46 @@ def test_outputs_do_not_depend_on_row_order_or_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert got == want and len(want) > 0
+
+
+def test_closed_gate_computes_no_stage(spark):
+    """A syntax error: neither analysis nor rewrite writes a stage; a semantic error: analysis only."""
+    import os
+
+    md = "---\ntrace.package: {}\n---\n`~A~`\n{}"
+    runs = {
+        "syntax": (trace(make_files(spark, {"d.md": md.format("1bad", "")}), make_repos(spark)), False),
+        "semantic": (trace(make_files(spark, {"d.md": md.format("p", "`~A~`\n")}), make_repos(spark)), True),
+        "clean": (trace(make_files(spark, {"d.md": md.format("p", "")}), make_repos(spark)), True),
+    }
+    for name, (r, analysed) in runs.items():
+        n = (r.errors.count(), r.coverage.count(), r.actions.count(), r.docs.count())
+        stages = set(os.listdir(r._run_dir))
+        assert n == {"syntax": (1, 0, 0, 0), "semantic": (1, 1, 0, 0), "clean": (0, 1, 2, 1)}[name]
+        assert ("coverage_all" in stages, "new_coverers" in stages) == (analysed, analysed)
+        assert ("actions_all" in stages, "docs" in stages) == (name == "clean", name == "clean")
+    # the empty relations have the schema of the stages they stand for
+    shut, opened = runs["syntax"][0], runs["clean"][0]
+    for what in ("coverage", "actions", "docs"):
+        assert getattr(shut, what).dtypes == getattr(opened, what).dtypes, what
+
+
+def test_edits_are_compare_and_set(spark):
+    """On mixed line ends a line number may be that of another site: nothing is edited then."""
+    from pyspark.sql import functions as F
+
+    lines = ["---", "trace.package: p", "---", "- `~it.a~` shall."]
+    lines += [f"- `~it.{c}~`uncvrd[^{i}]❓ shall." for i, c in enumerate("bcd", 2)]
+    lines += [""] + [f"[^{i}]: `[~p/it.{c}~impl]`" for i, c in enumerate("bcd", 2)]
+    text = "\n".join(lines[:4]) + "\r\n" + "\r\n".join(lines[4:]) + "\r\n"
+    r = trace(make_files(spark, {"mixed.md": text, "good.md": text.replace("\r\n", "\n").replace("it.", "cmp.")}), make_repos(spark))
+    docs = {d.path.split("/")[-1]: d for d in r.docs.collect()}
+    assert r.analyze_ok and r.actions.filter(F.col("line_no") == 4).count() == 2
+    assert docs["mixed.md"].apply_error == "line 4 of /w/shop/mixed.md is not the line that was scanned"
+    assert docs["good.md"].apply_error is None and "`~cmp.a~`uncvrd[^5]❓" in docs["good.md"].content
+    # the same for a document that changed after the scan
+    from tracegraph.operators import rewrite as R
+
+    later = make_files(spark, {"good.md": "\n".join(["new first line", *lines]).replace("it.", "cmp.")}).select("path", "content")
+    got = R.apply_actions(later, r.actions).collect()
+    assert [d.apply_error for d in got] == ["line 4 of /w/shop/good.md is not the line that was scanned"]

@@ -153,3 +153,13 @@ def test_invalid_ignore_pattern_fails_up_front(spark):
     files = make_files(spark, {"a.md": "x\n"})
     with pytest.raises(ValueError):
         trace(files, make_repos(spark), ignore_lines=["(unclosed"])
+
+
+def test_joined_text_in_buckets_equals_one_list(spark):
+    from tracegraph.operators.numbering import joined_text
+
+    rows = [(g, i, f"t{i}") for g, n in (("a", 50), ("b", 1), ("c", 16)) for i in range(n, 0, -1)]
+    df = spark.createDataFrame(rows, "g string, ord int, t string")
+    want = {g: ", ".join(f"t{i}" for i in range(1, n + 1)) for g, n in (("a", 50), ("b", 1), ("c", 16))}
+    for bucket in (1, 7, 16, 1024):
+        assert {r.g: r.text for r in joined_text(df, ["g"], "ord", "t", ", ", bucket=bucket).collect()} == want

@@ -73,8 +73,8 @@ def test_repo_root_url(spark):
     got = {r.repo_id: (r.root_url, r.url_error) for r in I.repo_root_url(repos).collect()}
     assert got["a"] == ("https://github.com/a/b/blob/main", None)
     assert got["b"] == ("https://gitlab.com/a/b.git/-/blob/master", None)
-    assert got["c"] == (None, "unsupported git provider: https://example.org/a/b")
-    assert got["d"] == (None, "neither main nor master branch exists")
+    assert got["c"] == (None, "no known provider hosts https://example.org/a/b")
+    assert got["d"] == (None, "no branch named main or master")
 
 
 def test_type_list_parsing(spark):
@@ -82,8 +82,8 @@ def test_type_list_parsing(spark):
 
     df, ids = I.type_registry(spark, "it, ,cmp")
     assert ids == ["it", "cmp"] and sorted(r.order_no for r in df.collect()) == [0, 2]
-    for bad in ("it,it", "1a"):
-        with pytest.raises(ValueError):
+    for bad, named in (("it,it", "it"), ("1a", "1a"), ("b,x y,b,ok", "b, x y")):
+        with pytest.raises(ValueError, match=named):
             I.type_registry(spark, bad)
     df, ids = I.type_registry(spark, ",")
     assert ids == [] and df.count() == 0
@@ -136,7 +136,7 @@ def test_literal_replacement_text(spark):
 def test_mixed_eol_misses_lines(spark):
     """With one CRLF the lines are those between CRLFs: an action beyond them is an error."""
     _, d = _doc(spark, "---\r\ntrace.package: p\n---\n`~A~`\n")
-    assert d.apply_error == "line 4 doesn't exist in file /w/shop/d.md"
+    assert d.apply_error == "line 4 lies beyond the end of /w/shop/d.md"
     _, d = _doc(spark, "---\r\ntrace.package: p\r\n---\r\n`~A~`\r\nlast\n")
     assert d.apply_error is None and d.content.endswith("`~A~`uncvrd[^1]❓\r\nlast\n\r\n\r\n[^1]: `[~p/A~impl]`\r\n")
 
@@ -175,8 +175,8 @@ def test_no_limit_by_default(spark):
 def test_repository_errors_stop_the_run(spark):
     files = make_files(spark, {"a.md": "---\ntrace.package: p\n---\n`~A~`\n", "src/t.go": "x [~p/A~impl]\n"})
     cases = {
-        "unsupported git provider: https://host.example/a/b": [("r1", "/w/shop", "https://host.example/a/b", True, False)],
-        "neither main nor master branch exists": [("r1", "/w/shop", "https://github.com/a/b", False, False)],
+        "no known provider hosts https://host.example/a/b": [("r1", "/w/shop", "https://host.example/a/b", True, False)],
+        "no branch named main or master": [("r1", "/w/shop", "https://github.com/a/b", False, False)],
         "unknown repository: r1": [("other", "/o", "https://github.com/a/b", True, False)],
     }
     for message, rows in cases.items():
@@ -205,3 +205,38 @@ def test_read_tree_feeds_trace(spark):
     assert r.stats.first().skipped_files == 1
     acts = [(a.type, a.line_no) for a in r.actions.orderBy("seq").collect()]
     assert acts == [("Site", 4), ("Footnote", 0)]
+
+
+def test_folder_source_plans_by_bytes_and_pushes_filters(spark):
+    from tracegraph.sources import tree as TR
+
+    root = tempfile.mkdtemp(prefix="tg-tree-", dir="/tmp") + "/shop"
+    os.makedirs(root + "/one/.git")
+    for i in range(60):  # one folder with all files
+        with open(f"{root}/one/f{i:02}.go", "wb") as fh:
+            fh.write(b"x" * 1000)
+    with open(root + "/one/big.go", "wb") as fh:
+        fh.write(b"y" * 50_000 + b"\xff")
+    with open(root + "/one/.git/config", "w") as fh:
+        fh.write("z")
+    files = TR.read_tree(spark, [(root, "r1"), (root + "/one", "r2")], split_bytes=10_000)
+    got = files.select("root_ord", "rel_path", "length", F.spark_partition_id().alias("p"), F.length("content").alias("n"), "decodable").collect()
+    assert len(got) == 122 and all(r.n == r.length for r in got)
+    assert {r.rel_path for r in got if r.root_ord == 1} == {r.rel_path[4:] for r in got if r.root_ord == 0}
+    assert [r.decodable for r in got if "big" in r.rel_path] == [False, False] and all(r.decodable for r in got if "big" not in r.rel_path)
+    parts = {}
+    for r in got:
+        parts.setdefault(r.p, []).append(r.length)
+    assert len(parts) >= 12 and all(sum(x) - max(x) <= 10_000 for x in parts.values())
+    small = files.filter((F.col("length") <= 1000) & F.col("path").endswith("7.go"))
+    assert small.count() == 12
+    reader = TR.FolderReader({"manifest": "x"})
+    from pyspark.sql.datasource import EqualTo, LessThanOrEqual, StringEndsWith
+
+    kept = list(reader.pushFilters([LessThanOrEqual(("length",), 1000), StringEndsWith(("path",), "7.go"), EqualTo(("repo_id",), "r1")]))
+    assert [type(f) for f in kept] == [EqualTo]
+    assert reader.wanted({"length": 1000, "path": "a7.go"}) and not reader.wanted({"length": 1001, "path": "a7.go"})
+    dots = TR.read_tree(spark, [(root, "r1")], dot_folders=True)
+    assert dots.filter(F.col("rel_path") == "one/.git/config").count() == 1
+    empty = tempfile.mkdtemp(prefix="tg-tree-", dir="/tmp")
+    assert TR.read_tree(spark, [(empty, "r1")]).count() == 0

@@ -88,6 +88,16 @@ MSG_DUPREQID = "duplicate RequirementId detected:\n\t%s\n\t%s:%d"
 MSG_NOPKGIDREQS = "markdown file with RequirementSites shall define "
 MSG_PKGMISMATCH = "CoverageFootnote package (%s) is not consistent with PackageId in the header (%s)"
 
+# Why a document or repository cannot be used: words of our own, free to change.
+MSG_LINE_MOVED = "line %d of %s is not the line that was scanned"
+MSG_LINE_OTHER = "line %d of %s holds nothing that this action could replace"
+MSG_LINE_MISSING = "line %d lies beyond the end of %s"
+MSG_NOT_APPENDED = "only footnotes can be appended to %s"
+MSG_UNDECODABLE = "%s holds bytes that are no UTF-8"
+MSG_NO_BRANCH = "no branch named main or master"
+MSG_NO_PROVIDER = "no known provider hosts "
+MSG_BAD_TYPES = "requirement types are no identifiers or are repeated: %s"
+
 # Git providers and branches, tested in this order.
 PROVIDERS = (("github.com", "/blob/"), ("gitlab.com", "/-/blob/"))
 BRANCHES = ("main", "master")

@@ -61,22 +61,15 @@ def coverer_url(root_url, rel_path, line_no) -> Column:
     return F.concat(col(root_url), F.lit("/"), col(rel_path), F.lit("#L"), col(line_no).cast("string"))
 
 
-def sorted_coverers(coverers) -> Column:
-    """Sort an ``array<struct<cov_type, file, line_no, url, label>>`` by type, file,
-    line number and URL (row 41): the struct field order is the sort order."""
-    return F.array_sort(col(coverers))
+def coverer_link(label, url) -> Column:
+    """``[label](url)``."""
+    return F.concat(F.lit("["), col(label), F.lit("]("), col(url), F.lit(")"))
 
 
-def coverers_text(sorted_array) -> Column:
-    """``[label](url), …`` of a sorted coverer array."""
-    return F.array_join(F.transform(col(sorted_array), lambda c: F.concat(F.lit("["), c["label"], F.lit("]("), c["url"], F.lit(")"))), ", ")
-
-
-def format_footnote(footnote_id, package, name, sorted_array) -> Column:
-    """``[^id]: `[~pkg/name~impl]` [label](url), …`` (row 52)."""
+def format_footnote(footnote_id, package, name, coverers) -> Column:
+    """``[^id]: `[~pkg/name~impl]` [label](url), …`` (row 52); ``coverers`` is the joined text."""
     head = F.concat(F.lit("[^"), col(footnote_id), F.lit("]: "), footnote_hint(package, name))
-    arr = col(sorted_array)
-    return F.when(F.coalesce(F.size(arr), F.lit(0)) > 0, F.concat(head, F.lit(" "), coverers_text(arr))).otherwise(head)
+    return F.when(F.coalesce(col(coverers), F.lit("")) != "", F.concat(head, F.lit(" "), col(coverers))).otherwise(head)
 
 
 def quote_replacement(c) -> Column:

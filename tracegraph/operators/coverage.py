@@ -9,8 +9,12 @@ Skew notes (a requirement, file or package may hold a large share of rows):
 * the coverage diff compares URL *multisets* through counts per
   ``(package, name, url)`` (partial aggregation on both sides, then a join of
   one row per key), so unchanged requirements never build a list;
-* only requirements that need a footnote rewrite collect their coverer list,
-  because that list *is* the output text.
+* only requirements that need a footnote rewrite assemble their coverer list: numbered
+  rows become text per bucket of ranks, buckets are joined in order, so what one task
+  brings together is a bucket or a list of bucket texts, never a list of coverer rows.
+
+Every edit carries the digest of the line that was scanned (``line_digest``), which the
+rewrite compares with the line in hand.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from .lines import FILE_KEY
-from .numbering import rank_within
+from .numbering import joined_text, rank_within
 from .validate import _err
 
 REQ_KEY = ["package", "name"]
@@ -77,15 +81,21 @@ def max_footnote_id(ident: DataFrame, footnotes: DataFrame) -> DataFrame:
     return m.select(*FILE_KEY, F.greatest(F.coalesce("_m", F.lit(0)), F.lit(0)).alias("max_id"))
 
 
+def digest_of(rows: DataFrame) -> F.Column:
+    """The digest of the scanned line; prepared records without text have none."""
+    return F.col("line_digest") if "line_digest" in rows.columns else F.lit(None).cast("string")
+
+
 def footnote_match(reg: DataFrame, footnotes: DataFrame) -> DataFrame:
     """Row 42: per registered site, the first footnote of its file with the
     same id and package (recorded coverers) and the first with the same id in
     any package (line of a footnote rewrite)."""
-    f = footnotes.select(*FILE_KEY, "footnote_id", F.col("line_no").alias("f_line"), F.col("package").alias("f_pkg"))
+    f = footnotes.select(*FILE_KEY, "footnote_id", F.col("line_no").alias("f_line"), F.col("package").alias("f_pkg"), digest_of(footnotes).alias("f_digest"))
     s = reg.filter(F.col("footnote_id") != "").select(*SITE_KEY, "footnote_id", "package")
     j = s.join(f, FILE_KEY + ["footnote_id"])
     return j.groupBy(*SITE_KEY).agg(
         F.min("f_line").alias("any_line"),
+        F.min_by("f_digest", "f_line").alias("any_digest"),
         F.min(F.when(F.col("f_pkg") == F.col("package"), F.col("f_line"))).alias("match_line"),
     )
 
@@ -133,7 +143,7 @@ def new_coverers(reg: DataFrame, tags: DataFrame, repo_urls: DataFrame) -> DataF
 def current_coverers(reg_m: DataFrame, coverers: DataFrame) -> DataFrame:
     """Row 43: coverers recorded in each site's matching footnote."""
     s = reg_m.filter(F.col("match_line").isNotNull()).select(*FILE_KEY, *REQ_KEY, F.col("match_line").alias("line_no"))
-    return s.join(coverers, FILE_KEY + ["line_no"]).select(*REQ_KEY, "label", "url")
+    return s.join(coverers, FILE_KEY + ["line_no"]).select(*REQ_KEY, "cov_ord", "label", "url")
 
 
 def requirement_stats(cur: DataFrame, new: DataFrame) -> DataFrame:
@@ -161,8 +171,8 @@ def ranked_coverers(new: DataFrame) -> DataFrame:
 
 
 def positions(cov: DataFrame) -> DataFrame:
-    """Row 48: position of each site among the sites of its file."""
-    return cov.withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy("line_no")))
+    """Row 48: position of each registered site among those of its file; the order of its actions."""
+    return cov.withColumn("pos", F.row_number().over(Window.partitionBy(*FILE_KEY).orderBy("line_no")))
 
 
 def coverage(reg_m: DataFrame, new: DataFrame, cur: DataFrame) -> DataFrame:
@@ -171,7 +181,7 @@ def coverage(reg_m: DataFrame, new: DataFrame, cur: DataFrame) -> DataFrame:
     registered sites with their footnote match (row 42) and the largest integer
     id of their file (row 46, a window aggregate of the Markdown state)."""
     stats = requirement_stats(cur, new)
-    c = reg_m.join(stats, REQ_KEY, "left").withColumnRenamed("file_max_id", "max_id")
+    c = reg_m.withColumn("line_digest", digest_of(reg_m)).join(stats, REQ_KEY, "left").withColumnRenamed("file_max_id", "max_id")
     c = c.select(
         *REQ_KEY,
         "root_ord",
@@ -185,6 +195,8 @@ def coverage(reg_m: DataFrame, new: DataFrame, cur: DataFrame) -> DataFrame:
         F.col("match_line").isNotNull().alias("has_footnote"),
         "match_line",
         "any_line",
+        "line_digest",
+        "any_digest",
         F.coalesce("n_coverers", F.lit(0)).cast("bigint").alias("n_coverers"),
         F.coalesce("n_current", F.lit(0)).cast("bigint").alias("n_current"),
         F.coalesce("changed", F.lit(False)).alias("changed"),
@@ -194,7 +206,7 @@ def coverage(reg_m: DataFrame, new: DataFrame, cur: DataFrame) -> DataFrame:
     # Row 47: bare sites take max_id + 1, + 2, ... in line order within their file.
     w = Window.partitionBy(*FILE_KEY, "annotated").orderBy("line_no")
     nxt = (F.col("max_id") + F.row_number().over(w)).cast("string")
-    return c.withColumn("new_footnote_id", F.when(F.col("annotated"), F.col("footnote_id")).otherwise(nxt))
+    return positions(c.withColumn("new_footnote_id", F.when(F.col("annotated"), F.col("footnote_id")).otherwise(nxt)))
 
 
 def site_actions(cov: DataFrame) -> DataFrame:
@@ -203,45 +215,55 @@ def site_actions(cov: DataFrame) -> DataFrame:
     return a.select(
         "path",
         F.lit(P.ACTION_SITE).alias("type"),
-        F.col("line_no").alias("site_line"),
+        "pos",
         F.col("line_no").cast("int").alias("line_no"),
         "name",
         T.format_site("name", "status", "new_footnote_id").alias("data"),
+        "line_digest",
     )
 
 
-def coverer_lists(new: DataFrame, reqs: DataFrame) -> DataFrame:
-    """Rows 40-41: sorted coverer list per requirement (only for ``reqs``)."""
-    n = new.join(reqs.select(*REQ_KEY), REQ_KEY, "left_semi")
-    s = F.struct("cov_type", "file", "line_no", "url", "label")
-    return n.groupBy(*REQ_KEY).agg(T.sorted_coverers(F.collect_list(s)).alias("coverers"))
+def coverer_texts(new: DataFrame, reqs: DataFrame) -> DataFrame:
+    """Rows 40-41: the text of the sorted coverer list of each of ``reqs`` that has coverers."""
+    ranked = ranked_coverers(new.join(reqs.select(*REQ_KEY), REQ_KEY, "left_semi"))
+    return joined_text(ranked.withColumn("item", T.coverer_link("label", "url")), REQ_KEY, "ord", "item", ", ", out="coverers")
 
 
 def footnote_texts(cov: DataFrame, new: DataFrame) -> DataFrame:
     """Row 52: the footnote text of the sites whose footnote is written (URLs changed, or no
-    footnote yet). Only these collect a coverer list: it is the text itself."""
+    footnote yet). Only these assemble a coverer list: it is the text itself."""
     need = cov.filter(F.col("changed") | ~F.col("has_footnote"))
-    a = need.join(coverer_lists(new, need), REQ_KEY, "left")
+    a = need.join(coverer_texts(new, need), REQ_KEY, "left")
     return a.withColumn("footnote_text", T.format_footnote("new_footnote_id", "package", "name", "coverers")).drop("coverers")
 
 
 def footnote_actions(cov: DataFrame, new: DataFrame) -> DataFrame:
     """Row 50 (Q20, Q25): rewrite or append the footnote when its URLs changed
     or when the site has no footnote."""
+    rewritten = F.col("annotated") & F.col("any_line").isNotNull()
     return footnote_texts(cov, new).select(
         "path",
         F.lit(P.ACTION_FOOTNOTE).alias("type"),
-        F.col("line_no").alias("site_line"),
-        F.coalesce(F.when(F.col("annotated"), F.col("any_line")), F.lit(0)).cast("int").alias("line_no"),
+        "pos",
+        F.when(rewritten, F.col("any_line")).otherwise(0).cast("int").alias("line_no"),
         "name",
         F.col("footnote_text").alias("data"),
+        F.when(rewritten, F.col("any_digest")).alias("line_digest"),
     )
 
 
+ACTIONS_SCHEMA = "path string, seq int, type string, line_no int, name string, data string, line_digest string"
+COVERAGE_SCHEMA = (
+    "package string, name string, root_ord int, repo_id string, path string, rel_path string, line_no int, status_word string, "
+    "footnote_id string, annotated boolean, has_footnote boolean, match_line int, any_line int, line_digest string, any_digest string, "
+    "n_coverers bigint, n_current bigint, changed boolean, max_id bigint, status string, new_footnote_id string, pos int"
+)
+
+
 def actions(cov: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows 48, 53: all actions, numbered per file in (site line, site-before-
+    """Rows 48, 53: all actions, numbered per file in (site position, site-before-
     footnote) order."""
     a = site_actions(cov).unionByName(footnote_actions(cov, new))
     order = F.when(F.col("type") == P.ACTION_SITE, 0).otherwise(1)
-    w = Window.partitionBy("path").orderBy("site_line", order)
-    return a.withColumn("seq", F.row_number().over(w).cast("int")).select("path", "seq", "type", "line_no", "name", "data")
+    w = Window.partitionBy("path").orderBy("pos", order)
+    return a.withColumn("seq", F.row_number().over(w).cast("int")).select("path", "seq", "type", "line_no", "name", "data", "line_digest")

@@ -53,13 +53,14 @@ def site_candidates(records: DataFrame) -> DataFrame:
     """Lines with site matches: the match count, the first two matches and the
     groups of the (only) match when there is exactly one."""
     c = records.filter(F.col("line").contains("`~"))
-    c = c.select(*FILE_COLS, "line_no", "line", "file_package", "file_max_id", F.regexp_extract_all("line", F.lit(P.SITE), 0).alias("_all"))
+    c = c.select(*FILE_COLS, "line_no", "line", "file_package", "file_max_id", F.md5("line").alias("line_digest"), F.regexp_extract_all("line", F.lit(P.SITE), 0).alias("_all"))
     c = c.filter(F.size("_all") > 0)
     return c.select(
         *FILE_COLS,
         "line_no",
         F.col("file_package").alias("package"),
         "file_max_id",
+        "line_digest",
         F.size("_all").alias("n_sites"),
         F.get("_all", 0).alias("first_match"),
         F.get("_all", 1).alias("second_match"),
@@ -85,6 +86,7 @@ def extract_sites(cands: DataFrame) -> DataFrame:
         "emoji",
         (F.col("footnote_id") != "").alias("annotated"),
         "file_max_id",
+        "line_digest",
     )
 
 
@@ -95,6 +97,7 @@ def footnote_lines(records: DataFrame) -> DataFrame:
         *FILE_COLS,
         "line_no",
         "file_package",
+        F.md5("line").alias("line_digest"),
         F.regexp_extract("line", P.FOOTNOTE, 1).alias("footnote_id"),
         F.regexp_extract("line", P.FOOTNOTE, 2).alias("package"),
         F.regexp_extract("line", P.FOOTNOTE, 5).alias("rest"),
@@ -104,7 +107,7 @@ def footnote_lines(records: DataFrame) -> DataFrame:
 def extract_footnotes(fn_lines: DataFrame) -> DataFrame:
     """Row 20: footnote id and hint package (Q18: any footnote line counts; no
     hint gives the empty package)."""
-    return fn_lines.select(*FILE_COLS, "line_no", "footnote_id", "package", "file_package")
+    return fn_lines.select(*FILE_COLS, "line_no", "footnote_id", "package", "file_package", "line_digest")
 
 
 def raw_coverers(fn_lines: DataFrame) -> DataFrame:

@@ -27,3 +27,22 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], buc
     local = b.withColumn("_loc", F.row_number().over(w_loc))
     j = local.join(offsets, group_cols + ["_bucket"])
     return j.withColumn(out, (F.col("_off") + F.col("_loc")).cast("bigint")).drop("_bucket", "_loc", "_off")
+
+
+#: items whose text is brought together at once
+TEXT_BUCKET = 1024
+
+
+def joined_text(df: DataFrame, group_cols: list[str], ord_col: str, text_col: str, sep: str, out: str = "text", bucket: int = TEXT_BUCKET) -> DataFrame:
+    """One text per group: its items in the order of ``ord_col`` (1, 2, ...), joined by ``sep``.
+
+    Two levels: the items of a bucket of ranks become one text, then the bucket texts of a
+    group are joined in order. A list in memory has at most ``bucket`` items, or one text
+    per bucket."""
+
+    def level(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+        listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+        return rows.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["t"]), sep).alias(out))
+
+    placed = df.withColumn("_bucket", F.floor((F.col(ord_col) - 1) / bucket))
+    return level(level(placed, [*group_cols, "_bucket"], ord_col, text_col), group_cols, "_bucket", out)

@@ -7,8 +7,10 @@ are then applied inside the row: each edited line is folded over its actions
 document with a sort-merge (``array_sort`` of original and edited lines, keep
 the edited one per line number), which is O((L + E) log(L + E)) per document.
 A document is one row: text and edits of one file fit a task, whatever the corpus.
-With mixed line ends the lines are those between CRLFs, so an action may miss its line:
-that is an error of that document, listed beside the others.
+With mixed line ends the lines are those between CRLFs, so an action's number may be that of
+another line. An edit is therefore compare-and-set: it carries the digest of the line that was
+scanned, and is applied only if the line in hand has it; else the document is listed with an
+error, beside the others, and is not written.
 """
 
 from __future__ import annotations
@@ -38,8 +40,13 @@ def trim_trailing_blank(docs: DataFrame) -> DataFrame:
 
 def _fold_line(text, acts, path, line_no):
     """Apply the sorted actions of one line to its text; the first failure
-    is kept as ``err``."""
-    init = F.struct(text.alias("text"), F.lit(None).cast("string").alias("err"), F.lit(None).cast("int").alias("err_seq"))
+    is kept as ``err``. Digests are those of the line before any of them."""
+    moved = F.filter(acts, lambda a: a["line_digest"] != F.md5(text))
+    init = F.struct(
+        text.alias("text"),
+        F.when(F.size(moved) > 0, F.format_string(P.MSG_LINE_MOVED, line_no, path)).alias("err"),
+        F.get(moved, F.lit(0))["seq"].alias("err_seq"),
+    )
 
     def step(acc, a):
         is_site = a["type"] == P.ACTION_SITE
@@ -48,7 +55,7 @@ def _fold_line(text, acts, path, line_no):
         replaced = F.when(is_site, F.regexp_replace(acc["text"], F.lit(P.SITE), rep)).otherwise(
             F.regexp_replace(acc["text"], F.lit(P.FOOTNOTE), rep)
         )
-        bad = F.format_string("line %d does not match requirement Id in file %s", line_no, path)
+        bad = F.format_string(P.MSG_LINE_OTHER, line_no, path)
         return F.when(acc["err"].isNotNull(), acc).otherwise(
             F.when(
                 matches,
@@ -65,7 +72,7 @@ def action_lists(actions: DataFrame) -> DataFrame:
     grouping runs on the same partitioning."""
     a = actions.repartition("path")
     per_line = a.groupBy("path", "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "type", "data"))).alias("acts"), F.min("seq").alias("first_seq")
+        F.array_sort(F.collect_list(F.struct("seq", "type", "data", "line_digest"))).alias("acts"), F.min("seq").alias("first_seq")
     )
     return per_line.groupBy("path").agg(
         F.array_sort(
@@ -88,7 +95,7 @@ def apply_actions(files: DataFrame, actions: DataFrame) -> DataFrame:
     # only the reader knows whether bytes were lost in decoding; a text may hold U+FFFD itself
     lost = ~F.col("decodable") if "decodable" in files.columns else F.lit(False)
     d = docs.withColumn(
-        "doc_error", F.when(lost, F.concat(F.lit("undecodable bytes in file "), F.col("path")))
+        "doc_error", F.when(lost, F.format_string(P.MSG_UNDECODABLE, F.col("path")))
     ).withColumn("_lines", F.slice("parts", 1, F.col("n_keep")))
     # Row 56/57: fold every edited line (a line past the kept lines is an error).
     edits = F.col("edits")
@@ -125,12 +132,12 @@ def apply_actions(files: DataFrame, actions: DataFrame) -> DataFrame:
     miss_errs = F.transform(
         F.filter(edits, lambda e: ~in_range(e)),
         lambda e: F.struct(
-            e["first_seq"].alias("s"), F.format_string("line %d doesn't exist in file %s", e["line_no"], F.col("path")).alias("e")
+            e["first_seq"].alias("s"), F.format_string(P.MSG_LINE_MISSING, e["line_no"], F.col("path")).alias("e")
         ),
     )
     app_errs = F.transform(
         F.filter(apps, lambda a: a["type"] != P.ACTION_FOOTNOTE),
-        lambda a: F.struct(a["seq"].alias("s"), F.concat(F.lit("invalid action type for line=0 in file "), F.col("path")).alias("e")),
+        lambda a: F.struct(a["seq"].alias("s"), F.format_string(P.MSG_NOT_APPENDED, F.col("path")).alias("e")),
     )
     doc_errs = F.filter(F.array(F.struct(F.lit(0).alias("s"), F.col("doc_error").alias("e"))), lambda x: x["e"].isNotNull())
     errs = F.array_sort(F.concat(doc_errs, fold_errs, miss_errs, app_errs))

@@ -13,8 +13,9 @@ small tables, and every later output reads the entity, coverage and action table
 instead of re-reading the corpus (the rewrite reads Markdown again). This also keeps each plan small
 for the optimizer and lets a lost executor recompute one stage, not the run.
 
-Phase gates (Q35) are eager one-row checks (``isEmpty``) evaluated when an
-analysis or rewrite output is first asked for.
+Phase gates (Q35) are eager one-row checks evaluated when an analysis or rewrite output is
+first asked for, before any of its stages: behind a closed gate stands an empty relation of
+the stage's schema, and nothing of the stage is computed or written.
 """
 
 from __future__ import annotations
@@ -281,17 +282,23 @@ class TraceResult:
         """Syntax errors if any, else semantic errors (Q35)."""
         return self.scan_errors if not self.scan_ok else self.semantic_errors
 
+    def _nothing(self, schema) -> DataFrame:
+        """A closed gate: the stage's schema without the stage."""
+        return self.files.sparkSession.createDataFrame([], schema)
+
     @cached_property
     def coverage(self) -> DataFrame:
-        return self.coverage_all if self.scan_ok else self.coverage_all.limit(0)
+        return self.coverage_all if self.scan_ok else self._nothing(C.COVERAGE_SCHEMA)
 
     @cached_property
     def actions(self) -> DataFrame:
-        return self.actions_all if self.analyze_ok else self.actions_all.limit(0)
+        return self.actions_all if self.analyze_ok else self._nothing(C.ACTIONS_SCHEMA)
 
     @cached_property
     def docs(self) -> DataFrame:
         """Rewritten Markdown documents (rows 54-60); empty when gated."""
+        if not self.analyze_ok:
+            return self._nothing("path string, repo_id string, rel_path string, content string, changed boolean, apply_error string")
         md = self.scanned.filter(F.col("kind") == "md").select(
             "path", "repo_id", "rel_path", "content", *[c for c in ("decodable",) if c in self.files.columns]
         )

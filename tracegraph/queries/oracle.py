@@ -240,8 +240,8 @@ FROM o_files"""),
 SELECT path, CASE WHEN root_ord = 0 THEN '{GH_URL}' ELSE '{GL_URL}' END AS root_url FROM o_files"""),
     "err_repository": q("""
 SELECT DISTINCT CASE root_ord WHEN 0 THEN '/corpus/gh' ELSE '/corpus/gl' END AS path, CAST(0 AS BIGINT) AS line_no, '' AS code,
-  CASE root_ord WHEN 0 THEN 'unsupported git provider: https://codehost.example/tpch/supply'
-    ELSE 'neither main nor master branch exists' END AS message
+  CASE root_ord WHEN 0 THEN 'no known provider hosts https://codehost.example/tpch/supply'
+    ELSE 'no branch named main or master' END AS message
 FROM o_files WHERE NOT dotted"""),
     "scan_stats": q("""
 SELECT *, CASE WHEN processed_bytes < 1000 THEN processed_bytes || ' B' WHEN processed_bytes < 1000000 THEN printf('%.1f kB', processed_bytes / 1e3)
@@ -256,13 +256,21 @@ FROM o_files WHERE NOT dotted)"""),
     "docs_sink": q("""
 SELECT path, CAST(strlen(c) AS BIGINT) AS length, md5(c) AS md5
 FROM (SELECT d.path, CASE WHEN r.p_size % 10 IN (1, 2) THEN replace(d.content, chr(10), chr(13) || chr(10)) ELSE d.content END AS c
-  FROM o_docs d JOIN o_reqn r ON r.path = d.path AND r.rn = 1 WHERE r.p_size % 10 NOT IN (3, 4)
+  FROM o_docs d JOIN o_reqn r ON r.path = d.path AND r.rn = 1 WHERE r.p_size % 10 NOT IN (3, 4, 7, 8)
   UNION ALL
   SELECT f.path, '---' || chr(13) || chr(10) || substr(f.content, 5) || repeat(chr(13) || chr(10), 2) || a.data || chr(13) || chr(10)
   FROM o_files f JOIN o_reqn r ON r.path = f.path AND r.rn = 1
   JOIN (SELECT path, max(line_no) AS edited, string_agg(data, chr(13) || chr(10) ORDER BY seq) AS data FROM o_actions GROUP BY path) a
     ON a.path = f.path
-  WHERE r.p_size % 10 IN (3, 4) AND a.edited = 0)"""),
+  WHERE r.p_size % 10 IN (3, 4) AND a.edited = 0
+  UNION ALL
+  SELECT f.path, l.head || replace(substr(f.content, length(l.head) + 1), chr(10), chr(13) || chr(10))
+    || chr(13) || chr(10) || a.data || chr(13) || chr(10)
+  FROM o_files f JOIN o_reqn r ON r.path = f.path AND r.rn = 1
+  JOIN (SELECT path, string_agg(text || chr(10), '' ORDER BY line_no) AS head FROM o_docline WHERE line_no <= 3 GROUP BY path) l ON l.path = f.path
+  JOIN (SELECT path, max(line_no) AS edited, string_agg(data, chr(13) || chr(10) ORDER BY seq) AS data FROM o_actions GROUP BY path) a
+    ON a.path = f.path
+  WHERE r.p_size % 10 IN (7, 8) AND a.edited = 0)"""),
     "action_report": q("""
 SELECT path, seq, 'Action' || chr(10) || chr(9) || type || chr(10) || chr(9) || path || ':' || CAST(line_no AS VARCHAR)
   || chr(10) || chr(9) || 'Requirement: ' || name || chr(10) || chr(9) || 'Data: ' || data AS text
@@ -322,10 +330,14 @@ SELECT package, name,
 FROM o_cov"""),
     "first_footnote_match": q("""
 SELECT path, line_no, fn_line AS match_line FROM o_site WHERE variant IN (1, 2, 3)"""),
-    "current_coverer_list": q("""
-SELECT path, line_no, variant IN (1, 2, 3) AS has_footnote,
-  CAST(CASE variant WHEN 2 THEN n_cov WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS n_current
-FROM o_stat"""),
+    "current_coverer_list": q(f"""
+SELECT s.path, s.line_no, s.variant IN (1, 2, 3) AS has_footnote,
+  CAST(CASE s.variant WHEN 2 THEN c.ord WHEN 3 THEN 1 END AS BIGINT) AS cov_ord,
+  CASE s.variant WHEN 2 THEN c.label WHEN 3 THEN 'docs/stale.md:1:impl' END AS label,
+  CASE s.variant WHEN 2 THEN c.url WHEN 3 THEN '{GH_URL}/docs/stale.md#L1' END AS url
+FROM o_stat s LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY package, name ORDER BY cov_type, file, line_no, url) AS ord FROM o_cov) c
+  ON s.variant = 2 AND c.package = s.package AND c.name = s.name"""),
     "coverage_diff": q("""
 SELECT package, name, (variant IN (0, 1, 4) AND n_cov > 0) OR variant = 3 AS changed FROM o_stat"""),
     "max_footnote_id": q("""
@@ -349,8 +361,11 @@ SELECT path, CAST(count(*) AS BIGINT) AS n_actions, CAST(count(*) FILTER (WHERE
   CAST(count(*) FILTER (WHERE type = 'Footnote') AS BIGINT) AS n_footnote
 FROM o_actions GROUP BY path"""),
     # --- 2.5 rewrite -------------------------------------------------------
+    # LF and CRLF throughout: one part per line; cut at CRLF: behind the first of mixed ends
     "eol_detect_split": q("""
-SELECT DISTINCT r.path, chr(10) AS eol, CAST(13 + 2 * r.k + r.m AS BIGINT) AS n_parts
+SELECT DISTINCT r.path, CASE WHEN r.p_size % 10 IN (1, 2, 3, 4, 7, 8) THEN chr(13) || chr(10) ELSE chr(10) END AS eol,
+  CAST(CASE WHEN r.p_size % 10 IN (3, 4) THEN 2 WHEN r.p_size % 10 IN (5, 6) THEN 15 + 2 * r.k + r.m
+    WHEN r.p_size % 10 IN (7, 8) THEN 10 + 2 * r.k + r.m ELSE 13 + 2 * r.k + r.m END AS BIGINT) AS n_parts
 FROM o_reqn r JOIN o_actions a ON r.path = a.path"""),
     "trim_trailing_blank": q("""
 SELECT DISTINCT r.path, CAST(12 + 2 * r.k + r.m AS BIGINT) AS n_keep
@@ -363,11 +378,13 @@ SELECT path, line_no, data AS text FROM o_actions WHERE type = 'Footnote' AND li
 SELECT n.path, n.line_no, n.text FROM o_newdoc n
 JOIN (SELECT path, max(line_no) AS last_line FROM o_docline GROUP BY path) b ON n.path = b.path
 WHERE n.line_no > b.last_line"""),
-    # the first action on a line of its own: with one CRLF, all that follows it is one line
+    # the first edit: cut at CRLF, all that follows the only one is one line, and behind three LF
+    # another line has the number of the one that was scanned, or none has
     "apply_check": q("""
-SELECT a.path, 'line ' || a.line_no || ' doesn''t exist in file ' || a.path AS apply_error
+SELECT a.path, CASE WHEN r.p_size % 10 IN (3, 4) OR a.line_no > 9 + 2 * r.k + r.m THEN 'line ' || a.line_no || ' lies beyond the end of ' || a.path
+  ELSE 'line ' || a.line_no || ' of ' || a.path || ' is not the line that was scanned' END AS apply_error
 FROM o_actions a JOIN o_reqn r ON r.path = a.path AND r.rn = 1
-WHERE r.p_size % 10 IN (3, 4) AND a.line_no > 0
+WHERE r.p_size % 10 IN (3, 4, 7, 8) AND a.line_no > 0
 QUALIFY row_number() OVER (PARTITION BY a.path ORDER BY a.seq) = 1"""),
     "final_newline": q("""
 SELECT path, CAST(strlen(content) AS BIGINT) AS length, md5(content) AS md5 FROM o_docs"""),
@@ -394,13 +411,15 @@ SELECT phase, path, line_no, code, path || ':' || CAST(line_no AS VARCHAR) || ':
 FROM (SELECT * FROM o_synerr UNION ALL SELECT * FROM o_semerr)"""),
     "phase_gate": q("""
 SELECT 'clean' AS corpus, CAST(0 AS BIGINT) AS n_scan_errors, CAST(0 AS BIGINT) AS n_semantic_errors,
-  (SELECT CAST(count(*) AS BIGINT) FROM o_actions) AS n_actions
+  (SELECT CAST(count(*) AS BIGINT) FROM o_stat) AS n_coverage, (SELECT CAST(count(*) AS BIGINT) FROM o_actions) AS n_actions,
+  (SELECT CAST(count(DISTINCT path) AS BIGINT) FROM o_actions) AS n_docs
 UNION ALL
-SELECT 'repos', (SELECT CAST(count(DISTINCT root_ord) AS BIGINT) FROM o_files WHERE NOT dotted), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+SELECT 'repos', (SELECT CAST(count(DISTINCT root_ord) AS BIGINT) FROM o_files WHERE NOT dotted), 0, 0, 0, 0
 UNION ALL
-SELECT 'syntax', (SELECT CAST(count(*) AS BIGINT) FROM o_synerr), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+SELECT 'syntax', (SELECT CAST(count(*) AS BIGINT) FROM o_synerr), 0, 0, 0, 0
 UNION ALL
-SELECT 'semantic', CAST(0 AS BIGINT), (SELECT CAST(count(*) AS BIGINT) FROM o_semerr), CAST(0 AS BIGINT)"""),
+SELECT 'semantic', 0, (SELECT CAST(count(*) AS BIGINT) FROM o_semerr),
+  (SELECT CAST(count(*) AS BIGINT) FROM o_site WHERE p_size % 10 NOT IN (7, 8, 9)), 0, 0"""),
     # --- 2.6 workload builder ---------------------------------------------
     "corpus_from_tables": q("""
 SELECT path, CAST(strlen(content) AS BIGINT) AS length, md5(content) AS md5 FROM o_files"""),

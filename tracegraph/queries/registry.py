@@ -23,6 +23,7 @@ from ..plans.trace import TraceResult, trace
 from ..session import checkpoint_dir
 from ..sources import corpus as CO
 from ..sources import inventory as I
+from ..sources import tree as TR
 
 _TRACES: dict = {}
 
@@ -69,10 +70,13 @@ def coverage_status(spark, sf_dir):
 # ---------------------------------------------------- 2.1 sources and sinks
 @out("root_ord", "path", "length")
 def file_inventory(spark, sf_dir):
-    files = CO.corpus(spark, sf_dir)
-    gh = files.filter(F.col("root_ord") == 0).drop("root_ord")
-    gl = files.filter(F.col("root_ord") == 1).drop("root_ord")
-    return I.file_inventory(gh, gl)
+    """Row 1: the corpus as folders of files, read through the folder source."""
+    target = checkpoint_dir(spark).rstrip("/") + f"/tracegraph/tree-{uuid.uuid4().hex[:12]}"
+    written = {r.root for r in TR.write_tree(CO.corpus(spark, sf_dir), target).collect()}
+    roots = {target + "/" + name: path for name, path in (("gh", CO.GH[1]), ("gl", CO.GL[1])) if name in written}
+    files = TR.read_tree(spark, [(root, root.rsplit("/", 1)[1]) for root in roots], dot_folders=True)
+    known = F.create_map(*[F.lit(x) for pair in roots.items() for x in pair])
+    return files.withColumn("path", F.concat(known[F.col("root_path")], F.lit("/"), "rel_path"))
 
 
 @out("path")
@@ -237,9 +241,13 @@ def first_footnote_match(spark, sf_dir):
     return traced(spark, sf_dir).reg_m.filter(F.col("match_line").isNotNull())
 
 
-@out("path", "line_no", "has_footnote", "n_current")
+@out("path", "line_no", "has_footnote", "cov_ord", "label", "url")
 def current_coverer_list(spark, sf_dir):
-    return traced(spark, sf_dir).coverage
+    """Row 43: per registered site the list recorded in its footnote, a row per coverer; one
+    with nulls for a site that has none recorded."""
+    r = traced(spark, sf_dir)
+    listed = r.current_coverers.select("package", "name", "cov_ord", "label", "url")
+    return r.coverage.join(listed, ["package", "name"], "left")
 
 
 @out("package", "name", "changed")
@@ -261,7 +269,7 @@ def next_footnote_id(spark, sf_dir):
 
 @out("path", "line_no", "pos")
 def position_order(spark, sf_dir):
-    return C.positions(traced(spark, sf_dir).coverage)
+    return traced(spark, sf_dir).coverage
 
 
 @out("path", "line_no", "name", "data")
@@ -308,7 +316,7 @@ def _docs_with_actions(r: TraceResult) -> DataFrame:
 
 @out("path", "eol", "n_parts")
 def eol_detect_split(spark, sf_dir):
-    d = R.eol_detect_split(_docs_with_actions(traced(spark, sf_dir)))
+    d = R.eol_detect_split(_docs_with_actions(traced(spark, sf_dir, "eol")))
     return d.withColumn("n_parts", F.size("parts"))
 
 
@@ -400,9 +408,10 @@ def error_report(spark, sf_dir):
     return V.error_report(_syntax(spark, sf_dir).errors).unionByName(V.error_report(_semantic(spark, sf_dir).errors))
 
 
-@out("corpus", "n_scan_errors", "n_semantic_errors", "n_actions")
+@out("corpus", "n_scan_errors", "n_semantic_errors", "n_coverage", "n_actions", "n_docs")
 def phase_gate(spark, sf_dir):
-    """Row 37 (Q35): syntax errors stop analysis, semantic errors stop apply."""
+    """Row 37 (Q35): syntax errors stop analysis, semantic errors stop apply. Counts of what the
+    engine gives out for a clean corpus and for three that a gate stops."""
     runs = {
         "clean": traced(spark, sf_dir),
         "repos": traced(spark, sf_dir, bad_repos=True),
@@ -411,17 +420,13 @@ def phase_gate(spark, sf_dir):
     }
     counts = None
     for label, r in runs.items():
-        for what, df in (("scan", r.scan_errors), ("semantic", r.semantic_errors), ("actions", r.actions_all)):
+        parts = [("n_scan_errors", r.errors.filter("phase = 'scan'")), ("n_semantic_errors", r.errors.filter("phase = 'analyze'"))]
+        parts += [("n_coverage", r.coverage), ("n_actions", r.actions), ("n_docs", r.docs)]
+        for what, df in parts:
             n = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("corpus"), F.lit(what).alias("what"), "n")
             counts = n if counts is None else counts.unionByName(n)
-    total = lambda what: F.sum(F.when(F.col("what") == what, F.col("n")))
-    g = counts.groupBy("corpus").agg(total("scan").alias("s"), total("semantic").alias("m"), total("actions").alias("a"))
-    return g.select(
-        "corpus",
-        F.col("s").alias("n_scan_errors"),
-        F.when(F.col("s") > 0, 0).otherwise(F.col("m")).cast("bigint").alias("n_semantic_errors"),
-        F.when(F.col("s") + F.col("m") > 0, 0).otherwise(F.col("a")).cast("bigint").alias("n_actions"),
-    )
+    names = ["n_scan_errors", "n_semantic_errors", "n_coverage", "n_actions", "n_docs"]
+    return counts.groupBy("corpus").agg(*[F.sum(F.when(F.col("what") == x, F.col("n"))).alias(x) for x in names])
 
 
 # --------------------------------------------------------------- 2.6 corpus

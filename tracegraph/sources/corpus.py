@@ -42,11 +42,11 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators.lines import file_kind
-from ..operators.numbering import rank_within
+from ..operators.numbering import joined_text, rank_within
 from ..session import checkpoint_dir
 from .inventory import FILES_SCHEMA, REPOS_SCHEMA
 
-CORPUS_VERSION = "5"
+CORPUS_VERSION = "6"
 REQ_TYPES = ("it", "cmp", "utest")
 DOC_CHUNK = 7000
 SRC_FILE_TAGS = 1000
@@ -83,8 +83,9 @@ SEMANTIC_FAULTS = {
 }
 FAULT_TYPES = "it,cmp,utest"
 # Line ends of the ``eol`` corpus, by p_size % 10: CRLF throughout; CRLF after the first line
-# only; two blank lines at the end.
-EOL_CRLF, EOL_MIXED, EOL_BLANK = (1, 2), (3, 4), (5, 6)
+# only; two blank lines at the end; LF after the first three lines, then CRLF (a tool that cuts
+# at CRLF counts three lines less, so a line number there is that of another site).
+EOL_CRLF, EOL_MIXED, EOL_BLANK, EOL_SHIFTED = (1, 2), (3, 4), (5, 6), (7, 8)
 FAULT_SETS = ("syntax", "semantic", "eol")
 
 
@@ -170,9 +171,11 @@ def true_coverers(tags: DataFrame, parts: DataFrame) -> DataFrame:
     """Sorted coverer text per part (for the ``covrd`` variant)."""
     t = tags.filter(F.col("tag_pkg") != "retired").join(parts.select(F.col("p").alias("l_partkey")), "l_partkey", "left_semi")
     url = T.coverer_url(F.when(F.col("repo_id") == GH[0], F.lit(GH_URL)).otherwise(F.lit(GL_URL)), "rel_path", "line_no")
-    s = F.struct(F.col("cov_type"), F.col("rel_path").alias("file"), F.col("line_no"), url.alias("url"),
-                 T.coverer_label("rel_path", "line_no", "cov_type").alias("label"))
-    return t.groupBy(F.col("l_partkey").alias("p")).agg(T.coverers_text(T.sorted_coverers(F.collect_list(s))).alias("cov_text"))
+    t = t.select(F.col("l_partkey").alias("p"), "cov_type", "rel_path", "line_no", url.alias("url"))
+    # numbered first, then joined in two levels: a part with very many tags is no list in one row
+    t = rank_within(t, ["p"], ["cov_type", "rel_path", "line_no", "url"], F.struct("cov_type", "rel_path"), out="ord")
+    item = T.coverer_link(T.coverer_label("rel_path", "line_no", "cov_type"), "url")
+    return joined_text(t.withColumn("item", item), ["p"], "ord", "item", ", ", out="cov_text")
 
 
 def part_rows(spark: SparkSession, sf_dir: str, header_key: str = P.DEFAULT_HEADER_KEY) -> DataFrame:
@@ -296,6 +299,10 @@ def document_files(parts: DataFrame, covs: DataFrame, header_key: str = P.DEFAUL
     if faults == "eol":
         c, kind = F.col("content"), F.col("kind")
         ends = F.when(kind.isin(*EOL_CRLF), F.replace(c, F.lit("\n"), F.lit("\r\n")))
+        # the header of four lines ("---", key, "---", "") stays on LF but for its last line
+        head = F.concat(F.substring_index(c, "\n", 3), F.lit("\n"))
+        rest = F.substring(c, F.char_length(head) + 1, F.char_length(c))
+        ends = ends.when(kind.isin(*EOL_SHIFTED), F.concat(head, F.replace(rest, F.lit("\n"), F.lit("\r\n"))))
         ends = ends.when(kind.isin(*EOL_MIXED), F.concat(F.lit("---\r\n"), F.substring(c, F.lit(5), F.char_length(c))))
         files = files.withColumn("content", ends.when(kind.isin(*EOL_BLANK), F.concat(c, F.lit("\n\n"))).otherwise(c))
     return _file_rows(files.withColumn("tracked", F.lit(True)), F.lit(GH[0]), "rel_path")

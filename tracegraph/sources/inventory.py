@@ -9,15 +9,15 @@ on ``length`` and ``path`` without touching ``content``.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from ..functions import patterns as P
 from ..functions import text as T
+from .tree import read_tree  # noqa: F401 (row 1: folders as a files table)
 
 FILES_SCHEMA = Ty.StructType(
     [
@@ -159,31 +159,24 @@ def repo_root_url(repos: DataFrame) -> DataFrame:
     url = F.when(branch.isNull(), F.lit(None)).when(remote.contains(gh), F.concat(remote, F.lit(gh_path), branch)).when(
         remote.contains(gl), F.concat(remote, F.lit(gl_path), branch)
     )
-    err = F.when(branch.isNull(), F.lit("neither main nor master branch exists")).when(
-        ~remote.contains(gh) & ~remote.contains(gl), F.concat(F.lit("unsupported git provider: "), remote)
+    err = F.when(branch.isNull(), F.lit(P.MSG_NO_BRANCH)).when(
+        ~remote.contains(gh) & ~remote.contains(gl), F.concat(F.lit(P.MSG_NO_PROVIDER), remote)
     )
     return repos.select("repo_id", url.alias("root_url"), err.alias("url_error"))
 
 
 def type_registry(spark: SparkSession, text: str):
-    """Row 23 (Q37): ordered type list from option text, validated once in the
-    driver (it is option text, not data). Returns ``(DataFrame, identifiers)``."""
-    import re
-
-    ident = re.compile(r"^[a-zA-Z][a-zA-Z0-9_]*(?:\.[a-zA-Z][a-zA-Z0-9_]*)*\Z")
-    rows, seen = [], set()
-    for i, t in enumerate(text.split(",")):
-        t = t.strip()
-        if t == "":
-            continue
-        if not ident.match(t):
-            raise ValueError(f"invalid type identifier: {t}")
-        if t in seen:
-            raise ValueError(f"duplicate type identifier: {t}")
-        seen.add(t)
-        rows.append((t, i))
-    schema = "identifier string, order_no int"
-    return spark.createDataFrame(rows, schema), [r[0] for r in rows]
+    """Row 23 (Q37): ``(identifier, order_no)`` per listed type, and the list. ``order_no`` is the
+    position in the option text. All unusable entries are reported at once."""
+    listed = spark.range(1).select(F.posexplode(F.split(F.lit(text), ",", -1)).alias("order_no", "entry"))
+    listed = listed.select(T.utrim("entry").alias("identifier"), "order_no").filter("identifier <> ''")
+    times = F.count(F.lit(1)).over(Window.partitionBy("identifier"))
+    # option text: as many rows as it has commas
+    rows = listed.select("*", (T.is_ident("identifier") & (times == 1)).alias("usable")).orderBy("order_no").collect()
+    bad = sorted({r.identifier for r in rows if not r.usable})
+    if bad:
+        raise ValueError(P.MSG_BAD_TYPES % ", ".join(bad))
+    return spark.createDataFrame([(r.identifier, r.order_no) for r in rows], "identifier string, order_no int"), [r.identifier for r in rows]
 
 
 def check_ignore_patterns(spark: SparkSession, patterns) -> None:
@@ -229,84 +222,3 @@ def action_report(actions: DataFrame) -> DataFrame:
             "text"
         ),
     )
-
-
-def read_tree(spark: SparkSession, roots: list[tuple[str, str]], max_bytes: int | None = None) -> DataFrame:
-    """Files under folder roots as a ``files`` table.
-
-    The driver lists only the immediate entries of each root; the sub-trees are
-    walked inside tasks (dot folders pruned like the tool does, while Spark's
-    own listing would also hide ``_x`` and ``.x`` names), and contents are read
-    in tasks, under ``max_bytes`` only for files within it (larger ones keep their length
-    for the statistics and are skipped by the size gate). ``decodable`` is false where
-    bytes were no UTF-8 and had to be replaced."""
-    tops = []
-    for i, (root, repo_id) in enumerate(roots):
-        root = os.path.abspath(root)
-        if not os.path.exists(root):
-            raise FileNotFoundError(f"path does not exist: {root}")
-        if os.path.basename(root).startswith("."):
-            continue
-        for name in sorted(os.listdir(root)):
-            tops.append((i, repo_id, root, os.path.join(root, name)))
-    top_schema = "root_ord int, repo_id string, root_path string, top string"
-    tops_df = spark.createDataFrame(tops, top_schema)
-    tops_df = tops_df.repartition(max(1, min(len(tops), spark.sparkContext.defaultParallelism)))
-    listing_schema = Ty.StructType(
-        [
-            Ty.StructField("root_ord", Ty.IntegerType()),
-            Ty.StructField("repo_id", Ty.StringType()),
-            Ty.StructField("root_path", Ty.StringType()),
-            Ty.StructField("path", Ty.StringType()),
-            Ty.StructField("rel_path", Ty.StringType()),
-            Ty.StructField("length", Ty.LongType()),
-        ]
-    )
-
-    def walk(batches):
-        import pandas as pd
-
-        for b in batches:
-            rows = []
-
-            def page():
-                done, rows[:] = list(rows), []
-                return pd.DataFrame(done, columns=[f.name for f in listing_schema.fields])
-
-            for i, repo_id, root, top in zip(b["root_ord"], b["repo_id"], b["root_path"], b["top"]):
-                if os.path.isdir(top):
-                    if os.path.basename(top).startswith("."):
-                        continue
-                    for d, dirs, fs in os.walk(top):
-                        dirs[:] = sorted(x for x in dirs if not x.startswith("."))
-                        for f in sorted(fs):
-                            p = os.path.join(d, f)
-                            rows.append((i, repo_id, root, p, os.path.relpath(p, root), os.path.getsize(p)))
-                            if len(rows) >= 1000:  # a task holds a page of a folder, not all of it
-                                yield page()
-                else:
-                    rows.append((i, repo_id, root, top, os.path.relpath(top, root), os.path.getsize(top)))
-            yield page()
-
-    listing = tops_df.mapInPandas(walk, listing_schema)
-
-    def read(batches):
-        import pandas as pd
-
-        for b in batches:
-            texts, decodable = [], []
-            for p, n in zip(b["path"], b["length"]):
-                if max_bytes is not None and n > max_bytes:
-                    texts.append(None)
-                    decodable.append(True)
-                    continue
-                with open(p, "rb") as fh:
-                    raw = fh.read()
-                texts.append(raw.decode("utf-8", errors="replace"))
-                decodable.append(texts[-1].encode("utf-8") == raw)
-            yield b.assign(content=pd.Series(texts, dtype=object), tracked=True, decodable=pd.Series(decodable, dtype=bool))
-
-    schema = Ty.StructType(list(listing_schema.fields) + [
-        Ty.StructField("content", Ty.StringType()), Ty.StructField("tracked", Ty.BooleanType()),
-        Ty.StructField("decodable", Ty.BooleanType())])
-    return listing.mapInPandas(read, schema)
