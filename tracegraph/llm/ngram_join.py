@@ -441,16 +441,21 @@ def class_links(sets: DataFrame, entries: DataFrame, rounds: int = 2) -> DataFra
     blk = F.pmod(place, F.lit(blocks_for(all_.d, all_.t))).cast("int").alias("blk")
     cls = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int").alias("cls")
     e = staged(e.join(size, "component").select("token", "doc_id", "component", blk, cls), "ngram-placed")
-    held = e.groupBy("token", "component", "blk", "cls").agg(F.count(F.lit(1)).alias("c"))
-    # a large component does not look for others: they come to it
-    main = held.groupBy("token", "component").agg(F.sum("c").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"))
-    held = staged(held.join(main.select("token", F.col("m.component").alias("main")), "token"), "ngram-holders")
+    # entries held in the same blocks (say, all those of one passage) are looked at together; a
+    # mark that two sets of blocks share by chance only brings more documents together
+    mark = lambda seed: F.bit_xor(F.xxhash64("blk", "cls", "component", F.lit(seed)))
+    marks = e.select("token", "blk", "cls", "component").distinct().groupBy("token").agg(F.struct(mark(1).alias("x"), mark(2).alias("y")).alias("mark"))
+    e = staged(e.join(marks, "token").select("mark", "doc_id", "component", "blk", "cls").distinct(), "ngram-marked")
+    held = e.groupBy("mark", "blk", "cls").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("c"))
+    # a block that holds nothing but the largest component does not look for others: they come to it
+    main = e.groupBy("mark", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("mark").agg(F.max(F.struct("c", "component")).alias("m"))
+    held = staged(held.join(main.select("mark", F.col("m.component").alias("main")), "mark"), "ngram-holders")
     near = F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls")
-    seek = held.where("component <> main").select("token", F.col("component").alias("c1"), F.col("blk").alias("b1"), near)
-    meet = seek.join(held.select("token", "cls", F.col("component").alias("c2"), F.col("blk").alias("b2")), ["token", "cls"]).where("c1 <> c2")
-    pairs = meet.select("token", F.least("b1", "b2").alias("lo"), F.greatest("b1", "b2").alias("hi")).distinct()
+    seek = held.where("a <> main OR b <> main").select("mark", F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("blk").alias("blk1"), near)
+    meet = seek.join(held.select("mark", "cls", "a", "b", "blk"), ["mark", "cls"]).where("NOT (a = b AND a1 = a AND b1 = b)")
+    pairs = meet.select("mark", F.least("blk", "blk1").alias("lo"), F.greatest("blk", "blk1").alias("hi")).distinct()
     sides = pairs.select("*", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("blk"))
-    members = sides.join(e.select("token", "blk", "doc_id"), ["token", "blk"]).select("lo", "hi", "blk", "doc_id").distinct()
+    members = sides.join(e.select("mark", "blk", "doc_id"), ["mark", "blk"]).select("lo", "hi", "blk", "doc_id").distinct()
     last = staged(_gathered(sets, staged(members, "ngram-members")), "ngram-last")
     return found.unionByName(last)
 
