@@ -20,26 +20,24 @@ def extract_tags(lines: DataFrame, extra=()) -> DataFrame:
     ``extra`` columns of the line are carried along."""
     extra = list(extra)
     cand = lines.filter(F.col("line").contains("[~"))
-    # one regex pass; a match is "x[~package/name~type]" with the first "/" and the next "~"
-    def parts(m):
-        body = F.substring(m, F.lit(4), F.char_length(m) - 4)
-        package = F.substring_index(body, "/", 1)
-        rest = F.substring(body, F.char_length(package) + 2, F.char_length(body))
-        name = F.substring_index(rest, "~", 1)
-        return F.struct(package.alias("p"), name.alias("n"), F.substring(rest, F.char_length(name) + 2, F.char_length(rest)).alias("t"))
-
-    z = F.transform(F.regexp_extract_all("line", F.lit(P.TAG), F.lit(0)), parts)
-    ex = cand.select(*FILE_COLS, "kind", "line_no", *extra, F.posexplode(z).alias("tag_ord", "m"))
-    bad = F.col("m.n").contains("/")
+    # one regex pass; a match is "x[~package/name~type]" with the first "/" and the next "~".
+    # Its parts are cut after the explode, where plain columns are compiled
+    found = F.regexp_extract_all("line", F.lit(P.TAG), F.lit(0))
+    ex = cand.select(*FILE_COLS, "kind", "line_no", *extra, F.posexplode(found).alias("tag_ord", "m"))
+    body = F.substring("m", F.lit(4), F.char_length("m") - 4)
+    ex = ex.withColumn("b", body).withColumn("p", F.substring_index("b", "/", 1))
+    ex = ex.withColumn("rest", F.substring("b", F.char_length("p") + 2, F.char_length("b"))).withColumn("n", F.substring_index("rest", "~", 1))
+    cov_type = F.substring("rest", F.char_length("n") + 2, F.char_length("rest"))
+    bad = F.col("n").contains("/")
     return ex.select(
         *FILE_COLS,
         "kind",
         "line_no",
         *extra,
         (F.col("tag_ord") + 1).cast("int").alias("tag_ord"),
-        F.when(bad, F.lit("")).otherwise(F.col("m.p")).alias("package"),
-        F.when(bad, F.lit("")).otherwise(F.col("m.n")).alias("name"),
-        F.col("m.t").alias("cov_type"),
+        F.when(bad, F.lit("")).otherwise(F.col("p")).alias("package"),
+        F.when(bad, F.lit("")).otherwise(F.col("n")).alias("name"),
+        cov_type.alias("cov_type"),
     )
 
 
