@@ -171,6 +171,43 @@ def labeller():
     return html_text.train(pq.read_table(f"{SF}/pages.parquet").column("html").to_pylist())
 
 
+def test_html_blocks_of_broken_pages_take_linear_time():
+    import time
+
+    def cost(page):
+        best = []
+        for _ in range(3):
+            begin = time.perf_counter()
+            found = html_text.blocks(page)
+            best.append(time.perf_counter() - begin)
+        return min(best), found
+
+    n = 20_000
+    for make in (
+        lambda n: '<svg"' * n,
+        lambda n: "<a " * n,
+        lambda n: '<a "x>"' * n + "'",
+        lambda n: "<div>x" * n,
+        lambda n: "<b>" * n + "<div>" + "<i>" * n + "</b>" * n,
+        lambda n: "<span>" * n + "<hr>x" * n,
+        lambda n: "<div>" * n + "</p>" * n,
+    ):
+        (small, _), (large, _) = cost(make(n)), cost(make(4 * n))
+        assert large < 8 * small + 0.2, make(2)
+    assert [b.text for b in cost("<div>x" * 50)[1]] == ["x"] * 50
+
+
+def test_html_blocks_of_odd_marks():
+    text = lambda page: [b.text for b in html_text.blocks(page)]
+    assert text('<p title="a > b">one</p>two') == ["one", "two"]
+    assert text("<p title='never closed>one</p><p>two") == ["one", "two"]
+    assert text("1 < 2 <p>3 <4> 5") == ["1 < 2", "3 <4> 5"]
+    assert text("a<!-- <p>b</p> -->c<script>if (a<b) '</p>'</script >d<svg/>e<svg><text>f</text></svg>g") == ["acdeg"]
+    assert text("a<script>b") == ["a"] and text("a<!-- b") == ["a"] and text("a<p") == ["a<p"]
+    linked = html_text.blocks("<p><a href=x>ab</a>cd")[0]
+    assert linked.linked == 0.5 and [p.tag for p in linked.around()] == ["p"]
+
+
 def test_html_text_equals_the_article(spark, labeller):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     wrong = 0

@@ -16,7 +16,9 @@ that kinds of boilerplate are known which the sample lacks. Labelling reads whol
 
 Defined cases: null and empty pages give the empty text; broken mark-up never fails (an
 unclosed comment, script or style reaches to the end, unknown closing tags are ignored,
-a ``<`` that opens no tag is text); without any page to learn from nothing is labelled.
+a ``<`` that opens no tag is text; a quote that is never closed does not hide the end of its
+tag); without any page to learn from nothing is labelled. Training takes at most 200,000 words
+for made blocks and pages of at most 400 blocks (``TRAIN_WORDS``, ``TRAIN_BLOCKS``).
 """
 
 from __future__ import annotations
@@ -34,14 +36,15 @@ from pyspark.sql import functions as F
 from .common import give_back, row_key
 
 SAMPLE, SAMPLE_CHARS, VARIANTS, EPOCHS, HIDDEN = 160, 40_000, 4, 14, 16
+#: bounds of the training data only
+TRAIN_WORDS, TRAIN_BLOCKS = 200_000, 400
 #: pages labelled together
 BATCH = 256
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|template|noscript|svg|title|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)>|<[!?/][^>]*+>",
-    re.S | re.I,
-)
+NAMED = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: elements whose content is no text of the page
+RAW = frozenset("script style template noscript svg title iframe object".split())
+RAW_END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in RAW}
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,8 +54,11 @@ TAGS = "html head body article main section div nav header footer aside form ul
 TAG_AT = {t: i for i, t in enumerate(TAGS)}
 #: what an opening tag closes: paragraphs end at any block, items at the next item
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {tag: (*tags, "p") for tag, tags in CLOSES.items()}
 WALLS = frozenset("html body article main section div nav header footer aside form ul ol dl table blockquote figure fieldset details td th".split())
 ATTRS, WORDS, NUMBERS = 128, 32, 6
+#: words whose bucket is remembered
+WORD_MEMORY = 200_000
 WIDTH = 2 * len(TAGS) + ATTRS + WORDS + NUMBERS
 
 
@@ -64,7 +70,7 @@ class _Buckets(dict):
         self.n = n
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > WORD_MEMORY:
             self.clear()
         self[word] = at = zlib.crc32(word.lower().encode("utf-8", "replace")) % self.n
         return at
@@ -73,17 +79,98 @@ class _Buckets(dict):
 ATTR_AT, WORD_AT = _Buckets(ATTRS), _Buckets(WORDS)
 
 
-class Block:
-    __slots__ = ("tags", "names", "text", "linked")
+class Path:
+    """An open element and, through ``up``, those around it. What a block's vector needs of its
+    path is kept as bit masks, so that a step costs the same at any depth."""
+
+    __slots__ = ("up", "tag", "names", "tag_bits", "name_bits", "last")
+
+    def __init__(self, up: Path | None, tag: str, names: tuple):
+        self.up, self.tag, self.names = up, tag, names
+        at = TAG_AT.get(tag)
+        self.tag_bits = (up.tag_bits if up else 0) | (0 if at is None else 1 << at)
+        self.last = (up.last if up else None) if at is None else at
+        self.name_bits = up.name_bits if up else 0
+        for n in names:
+            self.name_bits |= 1 << ATTR_AT[n]
 
-    def __init__(self, tags, names, text, linked):
-        self.tags, self.names, self.text, self.linked = tags, names, text, linked
+
+class Block:
+    __slots__ = ("path", "text", "linked")
+
+    def __init__(self, path: Path | None, text: str, linked: float):
+        self.path, self.text, self.linked = path, text, linked
+
+    def around(self) -> Iterator[Path]:
+        """The elements it stands in, innermost first."""
+        at = self.path
+        while at is not None:
+            yield at
+            at = at.up
+
+
+class TagEnds:
+    """Finds the ``>`` of a tag: the first one outside quotes or, if a quote is never closed,
+    the first one at all. Quotes from which no end was found are remembered, so that all
+    tags of a page together take time in proportion to its length."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.hopeless = page, page.rfind(">"), set()
+
+    def find(self, start: int) -> tuple[int, bool]:
+        """Position of the ``>`` (-1: there is none) and whether it is outside quotes."""
+        if start > self.last:
+            return -1, False
+        at, seen = start, []
+        while True:
+            m = STOP.search(self.page, at)
+            if m is not None and m[0] == ">":
+                return m.start(), True
+            if m is None or m.start() in self.hopeless:
+                break
+            seen.append(m.start())
+            at = self.page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self.hopeless.update(seen)
+        return self.page.find(">", start), False
+
+
+def tags_of(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """``(start, end, "/" of a closing tag, name, attributes)`` of all mark-up, in page order;
+    the name is empty for comments, declarations and elements without text."""
+    ends, at, size = TagEnds(page), page.find("<"), len(page)
+    while at >= 0:
+        end, slash, tag, inner = 0, "", "", ""
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            end = end if end > 2 else size
+        elif page[at : at + 9].upper() == "<![CDATA[":
+            end = page.find("]]>", at + 9) + 3
+            end = end if end > 2 else size
+        elif m := NAMED.match(page, at + 1):
+            close, whole = ends.find(m.end())
+            if close >= 0:
+                end, slash, tag, inner = close + 1, m[1], m[2].lower(), page[m.end() : close]
+                if whole and not slash and tag in RAW:
+                    if not (tag == "svg" and inner.endswith("/")):
+                        after = RAW_END[tag].search(page, end)
+                        end = after.end() if after else size
+                    tag = ""
+        elif page[at + 1 : at + 2] in ("!", "?", "/") and at < ends.last:
+            end = page.find(">", at) + 1
+        if end:
+            yield at, end, slash, tag, inner
+        at = page.find("<", end or at + 1)
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order, with decoded text and white space as single blanks."""
+    """Leaf blocks in page order, with decoded text and white space as single blanks. Time and
+    memory are in proportion to the page, however deep its elements are nested."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    stack: list[Path] = []
+    depths: dict[str, list[int]] = {}  # of every tag that is open
+    walls: list[int] = []  # depths of the open elements that end what is inside them
     parts: list[str] = []
     linked = at = 0
 
@@ -91,7 +178,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append(Block([t for t, _ in stack], [n for _, ns in stack for n in ns], text, linked / max(1, sum(map(len, parts)))))
+            out.append(Block(stack[-1] if stack else None, text, linked / max(1, sum(map(len, parts)))))
         parts.clear()
         linked = 0
 
@@ -99,51 +186,61 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if text:
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if depths.get("a"):
                 linked += len(text)
 
-    for m in TOKEN.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+    def close(depth: int):
+        while len(stack) > depth:
+            depths[stack.pop().tag].pop()
+        while walls and walls[-1] >= depth:
+            walls.pop()
+
+    def innermost(tag: str) -> int:
+        open_at = depths.get(tag)
+        return open_at[-1] if open_at else -1
+
+    for start, end, slash, tag, inner in tags_of(page):
+        say(page[at:start])
+        at = end
         if not tag:
             continue
-        if m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if tag not in INLINE:
-                cut()
-            if depth is not None and (tag not in INLINE or not any(t in WALLS for t, _ in stack[depth + 1 :])):
-                del stack[depth:]
-            continue
+        wall = walls[-1] if walls else -1
         if tag not in INLINE:
             cut()
-            ends = CLOSES.get(tag, frozenset()) | {"p"}
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] in WALLS and stack[i][0] not in ends:
-                    break
-        if tag not in VOID and not (m[4] or "").endswith("/"):
-            words = {w.lower() for g in ATTRIBUTE.findall(m[4] or "") for w in NAME.findall("".join(g))} if m[4] else ()
-            stack.append((tag, tuple(sorted(words))))
+        if slash:
+            depth = innermost(tag)
+            if depth >= 0 and (tag not in INLINE or wall <= depth):
+                close(depth)
+            continue
+        if tag not in INLINE:
+            depth = max(map(innermost, CLOSES[tag])) if tag in CLOSES else innermost("p")
+            if depth >= 0 and depth >= wall:
+                close(depth)
+        if tag not in VOID and not inner.endswith("/"):
+            words = {w.lower() for g in ATTRIBUTE.findall(inner) for w in NAME.findall("".join(g))} if inner else ()
+            depths.setdefault(tag, []).append(len(stack))
+            if tag in WALLS:
+                walls.append(len(stack))
+            stack.append(Path(stack[-1] if stack else None, tag, tuple(sorted(words))))
     say(page[at:])
     cut()
     return out
 
 
+def bits(mask: int) -> list[int]:
+    """Positions of the set bits."""
+    return [i for i in range(mask.bit_length()) if mask >> i & 1]
+
+
 def vectors(page: list[Block]) -> np.ndarray:
     x = np.zeros((len(page), WIDTH), dtype=np.float32)
     own, attrs, words, numbers = len(TAGS), 2 * len(TAGS), 2 * len(TAGS) + ATTRS, WIDTH - NUMBERS
     for row, b in zip(x, page, strict=True):
-        for t in b.tags:
-            if t in TAG_AT:
-                row[TAG_AT[t]] = 1.0
-        last = next((t for t in reversed(b.tags) if t in TAG_AT), None)
-        if last is not None:
-            row[own + TAG_AT[last]] = 1.0
-        for n in b.names:
-            row[attrs + ATTR_AT[n]] = 1.0
+        if b.path is not None:
+            row[bits(b.path.tag_bits)] = 1.0
+            if b.path.last is not None:
+                row[own + b.path.last] = 1.0
+            row[[attrs + i for i in bits(b.path.name_bits)]] = 1.0
         tokens = b.text.split()
         row[words:numbers] = np.bincount([WORD_AT[w] for w in tokens], minlength=WORDS)
         row[words:numbers] /= len(tokens)
@@ -287,8 +384,8 @@ CONTAINERS = ["<article>", '<main>', '<main id="main"><article class="post">', '
 
 def is_article(b: Block) -> bool:
     """The weak label of a block of a real page."""
-    inside = "article" in b.tags or "main" in b.tags
-    return inside and not {"nav", "aside", "footer", "form", "button", "select", "textarea"} & set(b.tags) and not BOILERPLATE & set(b.names)
+    tags, names = {p.tag for p in b.around()}, {n for p in b.around() for n in p.names}
+    return bool({"article", "main"} & tags) and not {"nav", "aside", "footer", "form", "button", "select", "textarea"} & tags and not BOILERPLATE & names
 
 
 def variants(page: str, words: list[str], rng: np.random.Generator, n: int):
@@ -349,7 +446,7 @@ def variants(page: str, words: list[str], rng: np.random.Generator, n: int):
 def train(pages: list[str], seed: int = 7) -> Labeller:
     rng, model = np.random.default_rng(seed), Labeller(seed)
     cut = [blocks(p) for p in pages]
-    words = [w for page in cut for b in page for w in b.text.split()][:200_000]
+    words = [w for page in cut for b in page for w in b.text.split()][:TRAIN_WORDS]
     if not words:
         return model
     xs, ys = [], []
@@ -361,7 +458,7 @@ def train(pages: list[str], seed: int = 7) -> Labeller:
         for made, known in variants(page, words, rng, VARIANTS):
             xs.append(vectors(made))
             ys.append(known)
-    keep = [i for i in range(len(xs)) if 0 < len(xs[i]) <= 400]
+    keep = [i for i in range(len(xs)) if 0 < len(xs[i]) <= TRAIN_BLOCKS]
     return model.fit([xs[i] for i in keep], [ys[i] for i in keep])
 
 
