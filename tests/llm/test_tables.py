@@ -3,8 +3,10 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import inputs
@@ -161,6 +163,16 @@ def test_warc_round_trip_and_seek_tables(spark):
         whole = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
         assert whole.startswith(b"WARC/1.1\r\n")
     assert warc.round_trip(pages.limit(0)).collect() == []
+    # tasks follow from the bytes of the archive, and frames are found by the seek tables alone
+    unpacked = sum(r["size"] for r in index.collect())
+    blind = index.withColumn("frame_start", F.lit(-1).cast("long")).withColumn("frame_size", F.lit(-1).cast("long"))
+    for task_bytes in (2000, 10_000):
+        again = warc.read_archive(blind, folder, task_bytes)
+        assert again.rdd.getNumPartitions() == -(-unpacked // task_bytes)
+        key = lambda r: (str(r.page_id), r.record_type, str(r.refers_to), r.payload_digest)
+        assert sorted(map(key, again.collect())) == sorted(map(key, got))
+    with pytest.raises(ValueError):
+        warc.frames_in(pa.BufferReader(b"no bundle at all"))
 
 
 # --- HTML -----------------------------------------------------------------------------

@@ -3,7 +3,8 @@
 Records are grouped into independent Zstandard frames; a bundle is a file of frames
 with a seek table at its end (a skippable frame in the layout of the published
 Zstandard seekable format), so any record can be read by fetching one frame. The
-index maps a record to its bundle, frame and place inside the frame.
+index maps a record to its bundle, the number of its frame and its place inside the frame;
+where a frame lies in the file is what the seek table says.
 
 Of records with equal payloads of at least ``min_bytes`` the one with the smallest
 page id carries the payload (``response``); the others are ``revisit`` records that
@@ -13,7 +14,8 @@ Scale and recovery: bundles are written inside tasks, in the partitioning of the
 a task holds one frame. A bundle's name is new for every attempt, and only the index
 (written by Spark's committer) makes it known, so an attempt that is lost or run
 twice leaves at most files nobody refers to. Equal payloads are found on digests, with
-a map-side combine. Reading goes frame by frame from the index.
+a map-side combine. Reading deals runs of ``RUN`` neighbouring frames to tasks of about
+``TASK_BYTES`` unpacked bytes, so their number grows with the archive; a task holds one frame.
 
 Defined cases: a null html is an empty payload; a null url is written without a target;
 rows without a page id are records too (never the one referred to, unless nothing else
@@ -24,6 +26,7 @@ responses; an empty table gives no bundle.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -33,10 +36,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, staged
+from .common import shared_path, small_batches, staged
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-INDEX = "page_id long, bundle string, frame_start long, frame_size long, start long, size long"
+#: reading: frames of a bundle that stay together, and unpacked bytes of a task
+RUN, TASK_BYTES = 16, 64 << 20
+INDEX = "page_id long, bundle string, frame int, frame_start long, frame_size long, start long, size long"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -98,6 +103,19 @@ def read_seek_table(tail: bytes) -> list[tuple[int, int, int]]:
     return [(*struct.unpack_from("<II", entries, i * width), struct.unpack_from("<I", entries, i * width + 8)[0] if flags & 0x80 else 0) for i in range(n)]
 
 
+def frames_in(file) -> list[tuple[int, int]]:
+    """(start, compressed size) of the frames of an open bundle, by its seek table."""
+    end = file.size()
+    file.seek(end - 9)
+    n, flags, magic = struct.unpack("<IBI", file.read(9))
+    table = 9 + n * (12 if flags & 0x80 else 8)
+    if magic != SEEKABLE or table > end:
+        raise ValueError("no seek table")
+    file.seek(end - table)
+    sizes = [packed for packed, _, _ in read_seek_table(file.read(table))]
+    return list(zip(itertools.accumulate(sizes, initial=0), sizes, strict=False))
+
+
 class Bundle:
     """A file under construction: records fill a frame, frames follow each other."""
 
@@ -127,7 +145,7 @@ class Bundle:
         data = bytes(self.buffer)
         packed = self.zstd.compress(data)
         self.out.write(packed)
-        rows = [(p, self.name, self.at, len(packed), s, n) for p, s, n in self.waiting]
+        rows = [(p, self.name, len(self.frames), self.at, len(packed), s, n) for p, s, n in self.waiting]
         self.frames.append((len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
         self.at += len(packed)
         self.buffer, self.waiting = bytearray(), []
@@ -170,7 +188,8 @@ def write_archive(pages: DataFrame, folder: str, id_col="page_id", url_col="url"
         if bundle:
             yield frame_of(bundle.close(), names)
 
-    return staged(p.mapInPandas(write, INDEX), "warc-index")
+    with small_batches(pages.sparkSession):
+        return staged(p.mapInPandas(write, INDEX), "warc-index")
 
 
 def frame_of(rows: list[tuple], names: list[str]) -> pd.DataFrame:
@@ -179,9 +198,15 @@ def frame_of(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return out
 
 
-def read_archive(index: DataFrame, folder: str) -> DataFrame:
-    """The records (``RECORD``) that ``index`` names, each frame fetched and unpacked once."""
-    frames = index.groupBy("bundle", "frame_start", "frame_size").agg(F.collect_list(F.struct("start", "size")).alias("records"))
+def read_archive(index: DataFrame, folder: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The records (``RECORD``) that ``index`` names, each frame fetched through the seek table
+    of its bundle and unpacked once. The number of tasks follows from the unpacked bytes."""
+    total = index.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    run = F.floor(F.col("frame") / RUN)
+    dealt = index.select("bundle", run.alias("run"), "frame", "start", "size").repartition(-(-total // task_bytes) or 1, "bundle", "run")
+    # a frame has a bounded number of records: its bytes are bounded, and a record has some hundred at least
+    frames = dealt.groupBy("bundle", "run", "frame").agg(F.collect_list(F.struct("start", "size")).alias("records"))
+    frames = frames.sortWithinPartitions("bundle", "frame")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -189,13 +214,23 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
 
         files, path = fs.FileSystem.from_uri(folder)
         unzstd, names = zstandard.ZstdDecompressor(), [x.split()[0] for x in RECORD.split(", ")]
-        for batch in batches:
-            for bundle, start, size, records in zip(batch["bundle"], batch["frame_start"], batch["frame_size"], batch["records"], strict=True):
-                with files.open_input_file(f"{path}/{bundle}") as f:
-                    f.seek(int(start))
-                    data = unzstd.decompress(f.read(int(size)))
-                out = pd.DataFrame([parse_record(data[r["start"] : r["start"] + r["size"]]) for r in records], columns=names)
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        name = file = places = None
+        try:
+            for batch in batches:
+                for bundle, frame, records in zip(batch["bundle"], batch["frame"], batch["records"], strict=True):
+                    if bundle != name:
+                        if file is not None:
+                            file.close()
+                        name, file = bundle, files.open_input_file(f"{path}/{bundle}")
+                        places = frames_in(file)
+                    start, size = places[frame]
+                    file.seek(start)
+                    data = unzstd.decompress(file.read(size))
+                    out = pd.DataFrame([parse_record(data[r["start"] : r["start"] + r["size"]]) for r in records], columns=names)
+                    yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        finally:
+            if file is not None:
+                file.close()
 
     return frames.mapInPandas(read, RECORD)
 
