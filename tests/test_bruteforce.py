@@ -85,3 +85,20 @@ def test_documents_built_from_known_blocks(spark):
             continue
         got = tags.get(name, set()), sites.get(name, set()), foots.get(name, set()), errs.get(name, set())
         assert got == want[1:], name
+
+
+def test_segmented_state_equals_the_window(spark):
+    """Files in chunks of 1, 3 and 1,000 lines, and only some of them in chunks."""
+    rng = random.Random(5)
+    built = {f"d{i}.md": build(rng)[0] for i in range(60)}
+    built |= {"empty.md": "", "dashes.md": "---\n---\n---\n```\n---\n`~A~`", "open.md": "---\n" * 1 + "x\n" * 40 + "trace.package: p\n---\n`~A~`\n```\n"}
+    files = make_files(spark, built)
+
+    def rows(**opts):
+        s = trace(files, make_repos(spark), **opts).md_state
+        return s.columns, sorted(map(str, s.select(*sorted(s.columns)).collect()))
+
+    columns, want = rows()
+    for opts in ({"chunk_lines": 1}, {"chunk_lines": 3}, {"chunk_lines": 1000}, {"chunk_lines": 3, "long_bytes": 150}):
+        got = rows(**{"long_bytes": 0, **opts})
+        assert sorted(got[0]) == sorted(columns) and got[1] == want, opts

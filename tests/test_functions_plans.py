@@ -163,3 +163,15 @@ def test_joined_text_in_buckets_equals_one_list(spark):
     want = {g: ", ".join(f"t{i}" for i in range(1, n + 1)) for g, n in (("a", 50), ("b", 1), ("c", 16))}
     for bucket in (1, 7, 16, 1024):
         assert {r.g: r.text for r in joined_text(df, ["g"], "ord", "t", ", ", bucket=bucket).collect()} == want
+
+
+def test_segmented_windows_hold_a_chunk(spark):
+    from tracegraph.operators import lines as L
+
+    files = L.file_kind(make_files(spark, {"a.md": "---\n```\n"}))
+    cand = L.candidate_flags(L.line_explode(files, keep_long=True))
+    plan = L.segmented_state(cand)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if " Window [" in x or x.lstrip("+-: ").startswith("Window [")]
+    assert windows
+    for w in windows:  # lines are windowed by chunk, files only over the summaries of chunks
+        assert "chunk" in w and ("line_no" not in w or "path" in w and "[root_ord" in w and ", chunk" in w.split("windowspecdefinition")[1])

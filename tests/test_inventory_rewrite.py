@@ -159,6 +159,48 @@ def test_docs_sink_writes_good_documents_and_lists_the_others(spark):
     assert [x.path for x in spark.read.parquet(target).collect()] == ["/w/shop/d.md"] * 2
 
 
+def test_incremental_sink_writes_what_changed(spark):
+    import glob
+    import os
+
+    from tracegraph.sources.inventory import docs_sink, sink_documents
+
+    schema = "path string, rel_path string, repo_id string, content string, changed boolean, apply_error string"
+
+    def docs(*rows):
+        return spark.createDataFrame([(f"/{repo}/{path}", path, repo, text, ok, error) for repo, path, text, ok, error in rows], schema)
+
+    def files():
+        return {f: os.stat(f).st_mtime_ns for f in glob.glob(target + "/repo_id=*/*.parquet")}
+
+    def stored():
+        return sorted(((r.repo_id, r.rel_path, r.content) for r in sink_documents(spark, target).collect()), key=str)
+
+    target = tempfile.mkdtemp(prefix="tg-sink-", dir="/tmp") + "/out"
+    one, two, none = ("1", "a.md", "A", True, None), ("2", "b.md", "B", True, None), (None, "n.md", "N", True, None)
+    start = docs(one, two, none, ("1", "bad.md", "x", True, "no"), ("2", "same.md", "x", False, None))
+    report = docs_sink(start, target, "incremental")
+    assert report.written == 3 and [r.path for r in report.failed.collect()] == ["/1/bad.md"]
+    assert stored() == [("1", "a.md", "A"), ("2", "b.md", "B"), (None, "n.md", "N")]
+    before = files()
+    assert docs_sink(start, target, "incremental").written == 0 and files() == before
+    # one repository changes: only its partition is written
+    assert docs_sink(docs(one, ("2", "b.md", "B2", True, None), none), target, "incremental").written == 1
+    after = files()
+    assert {f for f in before.keys() | after.keys() if before.get(f) != after.get(f)} == {f for f in before.keys() | after.keys() if "repo_id=2" in f}
+    # a repository without documents is not read any more, and comes back when it has some
+    assert docs_sink(docs(one, none), target, "incremental").written == 0
+    assert [r[0] for r in stored()] == ["1", None]
+    assert docs_sink(docs(one, two, none), target, "incremental").written == 1
+    assert ("2", "b.md", "B") in sink_documents(spark, target).select("repo_id", "rel_path", "content").collect()
+    # a run lost before its manifest row was closed is repeated
+    lost = spark.createDataFrame([("1", 1, "", 99)], "repo_id string, documents long, digest string, run long")
+    lost.write.mode("append").parquet(target + "/_manifest")
+    assert docs_sink(docs(one, two, none), target, "incremental").written == 1
+    empty = tempfile.mkdtemp(prefix="tg-sink-", dir="/tmp") + "/out"
+    assert docs_sink(docs(one).limit(0), empty, "incremental").written == 0
+
+
 def test_no_limit_by_default(spark):
     long_line, big = "x" * 70_000, "y\n" * 70_000
     md = "---\ntrace.package: p\n---\n" + long_line + "\n`~A~`\n" + big + "`~B~`\n"

@@ -4,8 +4,8 @@ and header state, package of a Markdown file.
 Everything up to ``candidate_lines`` is narrow (map-side). ``markdown_state`` is
 the only shuffle of this stage: it moves Markdown *candidate* lines (fences,
 ``---`` lines and lines holding a marker) by file, so prose and code never leave
-the map side. A window partition holds the candidate lines of one file; files of any
-length are read, so its size is bounded by the longest document, not by the corpus.
+the map side. A window partition holds the candidate lines of one file of at most
+``LONG_BYTES``; longer files take ``segmented_state``, whose windows hold a chunk of lines.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from ..functions import text as T
 
 FILE_KEY = ["root_ord", "path"]
 FILE_COLS = ["root_ord", "repo_id", "path", "rel_path"]
+#: files of more bytes have their state computed in chunks of this many lines
+LONG_BYTES, CHUNK_LINES = 16 << 20, 1 << 16
 
 
 def file_kind(files: DataFrame) -> DataFrame:
@@ -129,19 +131,59 @@ def markdown_state(md_cand: DataFrame, header_key: str = P.DEFAULT_HEADER_KEY) -
     outside code, a closing one inside); ``in_header`` holds for lines after a
     first line ``---`` up to (not including) the next ``---`` line. Overlong-line
     markers (``is_long``) ride along but never change state."""
+    none = F.lit(0)
+    s = _line_state(_live_marks(md_cand), FILE_KEY, (none, none, none), header_key)
+    whole = Window.partitionBy(*FILE_KEY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    facts = _file_facts(F.last("hdr_pkg", ignorenulls=True), over=whole)
+    return s.select("*", *facts).drop("row_id", "valid_site")
+
+
+def segmented_state(md_cand: DataFrame, header_key: str = P.DEFAULT_HEADER_KEY, chunk_lines: int = CHUNK_LINES, stage=lambda df, name: df) -> DataFrame:
+    """``markdown_state`` of files of any length, as a segmented scan: a chunk of lines is
+    summed up (fences, ``---`` lines, whether it opens a header), an exclusive prefix over a
+    file's summaries gives the state each chunk begins in, and windows over single chunks give
+    the states of lines. The facts of a file are partial aggregates joined back. No window
+    or group holds more than a chunk of lines or a file's summaries, one row per chunk.
+
+    ``stage(df, name)`` may write the line states, which are read twice."""
+    d = _live_marks(md_cand).withColumn("chunk", F.floor((F.col("line_no") - 1) / chunk_lines))
+    n = lambda c: F.sum(c.cast("int"))
+    sums = d.groupBy(*FILE_KEY, "chunk").agg(
+        n(F.col("is_fence")).alias("fences"),
+        n(F.col("is_dash") & (F.col("line_no") > 1)).alias("dashes"),
+        n(F.col("is_dash") & (F.col("line_no") == 1)).alias("opens"),
+    )
+    earlier = Window.partitionBy(*FILE_KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_in") for c in ("fences", "dashes", "opens")]
+    d = d.join(sums.select(*FILE_KEY, "chunk", *carried), [*FILE_KEY, "chunk"])
+    s = _line_state(d, [*FILE_KEY, "chunk"], (F.col("fences_in"), F.col("dashes_in"), F.col("opens_in")), header_key)
+    s = stage(s.drop("chunk", "fences_in", "dashes_in", "opens_in"), "md_segments")
+    last_pkg = F.max(F.when(F.col("hdr_pkg").isNotNull(), F.struct("line_no", "hdr_pkg")))["hdr_pkg"]
+    facts = s.groupBy(*FILE_KEY).agg(*_file_facts(last_pkg))
+    return s.join(facts, FILE_KEY).drop("row_id", "valid_site")
+
+
+def _live_marks(md_cand: DataFrame) -> DataFrame:
     live = ~F.col("is_long")
-    d = md_cand.withColumn("is_fence", F.col("is_fence") & live).withColumn("is_dash", F.col("is_dash") & live)
-    w = Window.partitionBy(*FILE_KEY).orderBy("line_no")
+    return md_cand.withColumn("is_fence", F.col("is_fence") & live).withColumn("is_dash", F.col("is_dash") & live)
+
+
+def _line_state(d: DataFrame, keys: list[str], carried: tuple, header_key: str) -> DataFrame:
+    """State and record flags of the lines of a window by ``keys``; ``carried``: the numbers of
+    fences, of later ``---`` lines and of a first line ``---`` that stand before the window."""
+    fences_in, dashes_in, opens_in = carried
+    w = Window.partitionBy(*keys).orderBy("line_no")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fences_before = F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0))
-    dashes_upto = F.coalesce(F.sum((F.col("is_dash") & (F.col("line_no") > 1)).cast("int")).over(upto), F.lit(0))
-    header_open = F.max((F.col("is_dash") & (F.col("line_no") == 1)).cast("int")).over(upto)
+    fences_before = fences_in + F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0))
+    dashes_upto = dashes_in + F.coalesce(F.sum((F.col("is_dash") & (F.col("line_no") > 1)).cast("int")).over(upto), F.lit(0))
+    header_open = opens_in + F.max((F.col("is_dash") & (F.col("line_no") == 1)).cast("int")).over(upto)
     s = d.select(
         "*",
         (fences_before % 2 == 1).alias("in_code"),
         ((header_open == 1) & (dashes_upto == 0) & (F.col("line_no") > 1)).alias("in_header"),
     )
+    live = ~F.col("is_long")
     pat = P.header_pattern(header_key)
     is_hdr = F.col("in_header") & ~F.col("is_fence") & ~F.col("is_dash") & live & F.col("line").rlike(pat)
     s = s.withColumn("hdr_pkg", F.when(is_hdr, T.utrim(F.regexp_extract("line", pat, 1))))
@@ -156,16 +198,20 @@ def markdown_state(md_cand: DataFrame, header_key: str = P.DEFAULT_HEADER_KEY) -
         F.when(valid_site & (fid != ""), T.int_id(fid)),
         F.when(F.col("is_foot"), T.int_id(F.regexp_extract("line", P.FOOTNOTE, 1))),
     )
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return s.select(
-        "*",
-        F.greatest(F.coalesce(F.max(row_id).over(whole), F.lit(0)), F.lit(0)).alias("file_max_id"),
-        F.coalesce(F.last("hdr_pkg", ignorenulls=True).over(whole), F.lit("")).alias("file_package"),
-        F.coalesce(F.max(F.col("hdr_pkg").startswith(P.IGNORED_PACKAGE_PREFIX).cast("int")).over(whole), F.lit(0)).cast("boolean").alias("file_ignored"),
-        F.coalesce(F.max(valid_site.cast("int")).over(whole), F.lit(0)).cast("boolean").alias("file_has_site"),
-        F.sum(F.col("is_fence").cast("int")).over(whole).alias("file_n_fences"),
-        F.max(F.when(F.col("is_fence") & ~F.col("in_code"), F.col("line_no"))).over(whole).alias("file_last_open"),
-    )
+    return s.withColumn("valid_site", valid_site).withColumn("row_id", row_id)
+
+
+def _file_facts(last_pkg, over=None) -> list:
+    """The per-file facts, as aggregates or as window functions."""
+    at = (lambda c: c) if over is None else (lambda c: c.over(over))
+    return [
+        F.greatest(F.coalesce(at(F.max("row_id")), F.lit(0)), F.lit(0)).alias("file_max_id"),
+        F.coalesce(at(last_pkg), F.lit("")).alias("file_package"),
+        F.coalesce(at(F.max(F.col("hdr_pkg").startswith(P.IGNORED_PACKAGE_PREFIX).cast("int"))), F.lit(0)).cast("boolean").alias("file_ignored"),
+        F.coalesce(at(F.max(F.col("valid_site").cast("int"))), F.lit(0)).cast("boolean").alias("file_has_site"),
+        at(F.sum(F.col("is_fence").cast("int"))).alias("file_n_fences"),
+        at(F.max(F.when(F.col("is_fence") & ~F.col("in_code"), F.col("line_no")))).alias("file_last_open"),
+    ]
 
 
 def package_lines(state: DataFrame) -> DataFrame:

@@ -45,6 +45,8 @@ class TraceOptions:
     header_key: str = P.DEFAULT_HEADER_KEY
     max_bytes: int | None = None
     max_line_bytes: int | None = None
+    long_bytes: int = L.LONG_BYTES
+    chunk_lines: int = L.CHUNK_LINES
 
 
 @dataclass
@@ -118,7 +120,14 @@ class TraceResult:
     def md_candidates(self) -> DataFrame:
         """Candidate lines of the Markdown files plus overlong-line markers (one pass over
         the Markdown text)."""
-        ex = self._exploded(self.scanned.filter(F.col("kind") == "md"), keep_long=True)
+        return self._candidates(self._markdown)
+
+    @cached_property
+    def _markdown(self) -> DataFrame:
+        return self.scanned.filter(F.col("kind") == "md")
+
+    def _candidates(self, files: DataFrame) -> DataFrame:
+        ex = self._exploded(files, keep_long=True)
         c = L.candidate_flags(ex, self.options.header_key)
         return c.filter(F.col("is_cand") | F.col("is_long"))
 
@@ -132,8 +141,14 @@ class TraceResult:
     @cached_property
     def md_state(self) -> DataFrame:
         """Stage 2: Markdown candidate lines with fence and header state and
-        the per-file facts (package, ignored, has a site, fence pairing)."""
-        return self._stage(L.markdown_state(self.md_candidates, self.options.header_key))
+        the per-file facts (package, ignored, has a site, fence pairing). Files of more than
+        ``long_bytes`` are computed in chunks of lines, if there are any."""
+        key, long = self.options.header_key, F.col("length") > self.options.long_bytes
+        if L.file_kind(self.files).filter((F.col("kind") == "md") & long).isEmpty():
+            return self._stage(L.markdown_state(self.md_candidates, key))
+        short = L.markdown_state(self._candidates(self._markdown.filter(~long | F.col("length").isNull())), key)
+        chunked = L.segmented_state(self._candidates(self._markdown.filter(long)), key, self.options.chunk_lines, self._stage)
+        return self._stage(short.unionByName(chunked), "md_state")
 
     @cached_property
     def pkg_lines(self) -> DataFrame:
@@ -307,16 +322,18 @@ class TraceResult:
 
 def trace(files: DataFrame, repos: DataFrame, *, tracked: DataFrame | None = None, extensions: str | None = None,
           ignore_lines=(), types: str | None = None, header_key: str = P.DEFAULT_HEADER_KEY,
-          max_bytes: int | None = None, max_line_bytes: int | None = None, materialize: bool = True) -> TraceResult:
+          max_bytes: int | None = None, max_line_bytes: int | None = None, long_bytes: int = L.LONG_BYTES,
+          chunk_lines: int = L.CHUNK_LINES, materialize: bool = True) -> TraceResult:
     """Trace requirements of a corpus.
 
     ``files``: ``(root_ord, repo_id, root_path, path, rel_path, length, content[, tracked])``;
     ``repos``: ``(repo_id, root, remote_url, has_main, has_master)``;
     ``tracked``: optional ``(repo_id, rel_path)`` table (else the ``tracked``
     column, else every file is tracked). Whole files and lines are read; ``max_bytes``
-    and ``max_line_bytes`` set the original tool's limits when wanted."""
+    and ``max_line_bytes`` set the original tool's limits when wanted. The state of Markdown
+    files of more than ``long_bytes`` is computed in chunks of ``chunk_lines`` lines."""
     I.check_ignore_patterns(files.sparkSession, ignore_lines)
-    opts = TraceOptions(extensions, tuple(ignore_lines or ()), types, header_key, max_bytes, max_line_bytes)
+    opts = TraceOptions(extensions, tuple(ignore_lines or ()), types, header_key, max_bytes, max_line_bytes, long_bytes, chunk_lines)
     return TraceResult(files, repos, tracked, opts, materialize)
 
 

@@ -424,3 +424,7 @@ SELECT 'semantic', 0, (SELECT CAST(count(*) AS BIGINT) FROM o_semerr),
     "corpus_from_tables": q("""
 SELECT path, CAST(strlen(content) AS BIGINT) AS length, md5(content) AS md5 FROM o_files"""),
 }
+# other ways to the same rows
+ORACLE["docs_sink_incremental"] = ORACLE["docs_sink"]
+for _name in ("fence_state", "header_state", "package_of_file"):
+    ORACLE[_name + "_segmented"] = ORACLE[_name]

@@ -133,6 +133,20 @@ def docs_sink(spark, sf_dir):
     return d.select("path", F.octet_length("content").alias("length"), F.md5("content").alias("md5"))
 
 
+@out("path", "length", "md5")
+def docs_sink_incremental(spark, sf_dir):
+    """Row 9: the documents of ``docs_sink`` by two incremental runs. The first sees other
+    contents in one repository, whose partition the second run replaces."""
+    target = checkpoint_dir(spark).rstrip("/") + f"/tracegraph/docs-{uuid.uuid4().hex[:12]}"
+    docs = traced(spark, sf_dir, "eol").docs
+    first = docs.agg(F.min("repo_id")).first()[0]
+    older = F.when(F.col("repo_id") == first, F.concat("content", F.lit("older"))).otherwise(F.col("content"))
+    I.docs_sink(docs.withColumn("content", older), target, "incremental")
+    I.docs_sink(docs, target, "incremental")
+    d = I.sink_documents(spark, target)
+    return d.select("path", F.octet_length("content").alias("length"), F.md5("content").alias("md5"))
+
+
 @out("path", "seq", "text")
 def action_report(spark, sf_dir):
     return I.action_report(traced(spark, sf_dir).actions)
@@ -165,6 +179,29 @@ def header_state(spark, sf_dir):
     return traced(spark, sf_dir).md_state.filter("in_header")
 
 
+def _segmented(spark, sf_dir) -> TraceResult:
+    """The trace with every Markdown file in chunks of four lines."""
+    return traced(spark, sf_dir, long_bytes=0, chunk_lines=4)
+
+
+@out("path", "line_no")
+def fence_state_segmented(spark, sf_dir):
+    """Row 14 by the segmented scan of long files."""
+    return _segmented(spark, sf_dir).md_state.filter("in_code")
+
+
+@out("path", "line_no")
+def header_state_segmented(spark, sf_dir):
+    """Row 15 by the segmented scan of long files."""
+    return _segmented(spark, sf_dir).md_state.filter("in_header")
+
+
+@out("path", "package", "ignored")
+def package_of_file_segmented(spark, sf_dir):
+    """Rows 16-17 from the facts of files in chunks."""
+    return _segmented(spark, sf_dir).file_pkgs
+
+
 @out("path", "package", "ignored")
 def package_of_file(spark, sf_dir):
     return traced(spark, sf_dir).file_pkgs
@@ -448,13 +485,17 @@ QUERIES = {
     "err_repository": err_repository,
     "scan_stats": scan_stats,
     "docs_sink": docs_sink,
+    "docs_sink_incremental": docs_sink_incremental,
     "action_report": action_report,
     "line_explode": line_explode,
     "ignore_lines": ignore_lines,
     "file_kind": file_kind,
     "fence_state": fence_state,
+    "fence_state_segmented": fence_state_segmented,
     "header_state": header_state,
+    "header_state_segmented": header_state_segmented,
     "package_of_file": package_of_file,
+    "package_of_file_segmented": package_of_file_segmented,
     "ignored_package_drop": ignored_package_drop,
     "extract_tags": extract_tags,
     "extract_sites": extract_sites,

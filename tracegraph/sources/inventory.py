@@ -9,14 +9,17 @@ on ``length`` and ``path`` without touching ``content``.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..session import checkpoint_dir
 from .tree import read_tree  # noqa: F401 (row 1: folders as a files table)
 
 FILES_SCHEMA = Ty.StructType(
@@ -198,13 +201,23 @@ class SinkReport:
     failed: DataFrame
 
 
+DOC_COLS = ("path", "rel_path", "repo_id", "content")
+MANIFEST_SCHEMA = "repo_id string, documents long, digest string, run long"
+
+
 def docs_sink(docs: DataFrame, target: str, mode: str = "overwrite") -> SinkReport:
     """Row 9: write the changed documents that could be edited as a table (never in
     place), partitioned by repository when the documents carry ``repo_id``, and list the
-    ones with an ``apply_error``: one bad document does not hold up the others."""
+    ones with an ``apply_error``: one bad document does not hold up the others.
+
+    ``mode="incremental"`` compares each repository with the manifest of earlier runs and
+    writes the partitions of those that differ; nothing, if none does. Read it by
+    ``sink_documents``. One run at a time may write to a target."""
     failed = docs.filter(F.col("apply_error").isNotNull()).select("path", "apply_error")
-    cols = [c for c in ("path", "rel_path", "repo_id", "content") if c in docs.columns]
+    cols = [c for c in DOC_COLS if c in docs.columns]
     out = docs.filter(F.col("changed") & F.col("apply_error").isNull()).select(*cols)
+    if mode == "incremental":
+        return SinkReport(_write_changes(out, target), failed)
     written = out.count()
     w = out.write.mode(mode)
     if "repo_id" in cols:
@@ -213,6 +226,65 @@ def docs_sink(docs: DataFrame, target: str, mode: str = "overwrite") -> SinkRepo
     return SinkReport(written, failed)
 
 
+def _manifest(spark: SparkSession, target: str) -> DataFrame:
+    """``(repo_id, documents, digest, run)`` of the last run that wrote each repository."""
+    try:
+        rows = spark.read.schema(MANIFEST_SCHEMA).parquet(target.rstrip("/") + "/_manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    last = rows.groupBy("repo_id").agg(F.max(F.struct("run", "documents", "digest")).alias("m"))
+    return last.select("repo_id", "m.documents", "m.digest", "m.run")
+
+
+def _write_changes(out: DataFrame, target: str) -> int:
+    """Writes the partitions of the repositories that differ from the manifest. Their rows in
+    it are opened (no digest) before and closed after, so that the next run repeats what a
+    lost run has left open.
+
+    A repository's digest is the sum of its documents' digests, so it needs no order and is
+    pre-aggregated in the tasks that read them."""
+    spark = out.sparkSession
+    if "repo_id" not in out.columns:
+        raise ValueError("the incremental sink is partitioned by repo_id")
+    md5 = F.md5(F.concat(F.octet_length("path").cast("string"), F.lit(":"), "path", F.coalesce("content", F.lit(""))))
+    half = lambda at: F.sum(F.conv(F.substring(md5, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    now = out.groupBy("repo_id").agg(F.count(F.lit(1)).alias("documents"), F.concat_ws("-", half(1), half(16)).alias("digest"))
+    known = _manifest(spark, target).select(F.col("repo_id").alias("_repo"), F.col("digest").alias("_digest"), "run")
+    both = now.join(known, F.col("repo_id").eqNullSafe(F.col("_repo")), "full_outer")
+    differs = both.filter(~F.coalesce("digest", F.lit("")).eqNullSafe(F.coalesce("_digest", F.lit(""))))
+    path = checkpoint_dir(spark).rstrip("/") + "/tracegraph/sink-" + uuid.uuid4().hex[:12]
+    # one row per repository that is written; a repository without documents now is only noted
+    differs.select(
+        F.coalesce("repo_id", "_repo").alias("repo_id"),
+        F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"),
+        F.coalesce("digest", F.lit("")).alias("digest"),
+        (F.coalesce("run", F.lit(0)) + 2).cast("bigint").alias("run"),
+    ).write.parquet(path)
+    changes = spark.read.schema(MANIFEST_SCHEMA).parquet(path)
+    total = changes.agg(F.count(F.lit(1)).alias("repos"), F.sum("documents").alias("documents")).first()
+    if not total["repos"]:
+        return 0
+    manifest = target.rstrip("/") + "/_manifest"
+    opened = changes.withColumn("digest", F.lit("")).withColumn("run", F.col("run") - 1)
+    opened.write.mode("append").parquet(manifest)
+    if total["documents"]:
+        due = changes.filter("documents > 0").select(F.col("repo_id").alias("_repo"))
+        rows = out.join(due, F.col("repo_id").eqNullSafe(F.col("_repo")), "left_semi")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(target)
+    changes.write.mode("append").parquet(manifest)
+    return total["documents"]
+
+
+def sink_documents(spark: SparkSession, target: str) -> DataFrame:
+    """The documents of an incremental sink: those of repositories that, by the manifest, have
+    any. (A repository that has none any more keeps its old partition, which nobody reads.)"""
+    rows = spark.read.schema("path string, rel_path string, content string, repo_id string").parquet(target)
+    live = _manifest(spark, target).filter("documents > 0").select(F.col("repo_id").alias("_repo"))
+    return rows.join(live, F.col("repo_id").eqNullSafe(F.col("_repo")), "left_semi")
+
+
 def action_report(actions: DataFrame) -> DataFrame:
     """Row 10 / 61: human-readable actions (dry run)."""
     return actions.select(
