@@ -7,6 +7,7 @@ from conftest import make_files, make_repos
 from pyspark.sql import functions as F
 
 from tracegraph import trace
+from tracegraph.operators import coverage as C
 from tracegraph.sources import inventory as I
 from tracegraph.sources.inventory import FILES_SCHEMA
 
@@ -282,3 +283,53 @@ def test_folder_source_plans_by_bytes_and_pushes_filters(spark):
     assert dots.filter(F.col("rel_path") == "one/.git/config").count() == 1
     empty = tempfile.mkdtemp(prefix="tg-tree-", dir="/tmp")
     assert TR.read_tree(spark, [(empty, "r1")]).count() == 0
+
+
+def test_chunked_rewrite_equals_the_whole(spark):
+    """Random line ends, blank ends, edits (some of moved or missing lines) and appended
+    footnotes: chunks of any size give the documents of one row, errors included."""
+    import hashlib
+    import random
+
+    from tracegraph.operators import rewrite as R
+
+    rnd = random.Random(5)
+    files, acts = [("empty.md", ""), ("ends.md", "\r\n"), ("plain.md", "a\n\r\nb")], []
+    for k in range(60):
+        ends = rnd.choice([["\n"], ["\r\n"], ["\n", "\r\n", "\r"]])
+        lines = [rnd.choice(["`~it.a~`", "- `~x~` é", "[^1]: `[~p/x~impl]`", "", " ", "text", "😀 �"]) for _ in range(rnd.randint(0, 12))]
+        files.append((f"{k}.md", "".join(x + rnd.choice(ends) for x in lines) + rnd.choice(["", "end", "`~z~`", "\n\n", "\r\n\r\n"])))
+    for path, text in files:
+        parts, seq = text.split("\r\n" if "\r\n" in text else "\n"), 0
+        for n, line in enumerate([*parts, "beyond"], 1):
+            if rnd.random() < (0.7 if "~`" in line or "[^1]: " in line else 0.03):
+                seq += 1
+                kind, data = ("Site", "`~it.a~`covrd[^1]✅") if "~`" in line else ("Footnote", "[^1]: `[~p/x~impl]` [$1](u)")
+                seen = line if rnd.random() < 0.95 else "other"
+                acts.append((path, seq, kind, n, "x", data, hashlib.md5(seen.encode()).hexdigest()))
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            seq += 1
+            acts.append((path, seq, "Footnote" if rnd.random() < 0.9 else "Site", 0, "x", f"[^{seq}]: `[~p/y~impl]`", None))
+    f = spark.createDataFrame([(p, t, p != "7.md", "r") for p, t in files], "path string, content string, decodable boolean, repo_id string")
+    a = spark.createDataFrame(acts, C.ACTIONS_SCHEMA)
+    rows = lambda d: sorted((r.path, r.repo_id, r.content, r.changed, r.apply_error or "") for r in d.collect())
+    want = rows(R.apply_actions(f, a))
+    assert len(want) > 40 and 5 < sum(bool(r[-1]) for r in want) < 40
+    for size in (1, 7, 1 << 20):
+        assert rows(R.apply_actions_chunked(f, a, size)) == want, size
+    for text in ("\r" * 5000 + "\r\n" * 3 + "x" * 50_000, "a\n" * 20_000):  # long lines do not recurse
+        got = R.text_chunks(spark.createDataFrame([("p", text)], "path string, content string"), 100).orderBy("chunk").collect()
+        assert got[0].eol.join(x for r in got for x in r._lines) == (text[:-1] if text.endswith("\n") else text)
+
+
+def test_chunked_rewrite_splits_no_whole_document(spark):
+    from tracegraph.operators import rewrite as R
+
+    f = spark.createDataFrame([("p", "a\n")], "path string, content string")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    a = spark.createDataFrame([], C.ACTIONS_SCHEMA)
+    assert "split(content" in plan(R.apply_actions(f, a))
+    chunked = plan(R.apply_actions_chunked(f, a))
+    assert "split(text" in chunked and "split(content" not in chunked and "UDF" not in chunked
+    windows = [x for x in chunked.splitlines() if x.lstrip("+-: ").startswith("Window [")]
+    assert windows and not any("_lines" in w or "content" in w for w in windows)

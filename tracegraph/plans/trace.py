@@ -47,6 +47,7 @@ class TraceOptions:
     max_line_bytes: int | None = None
     long_bytes: int = L.LONG_BYTES
     chunk_lines: int = L.CHUNK_LINES
+    chunk_chars: int = R.CHUNK_CHARS
 
 
 @dataclass
@@ -143,12 +144,21 @@ class TraceResult:
         """Stage 2: Markdown candidate lines with fence and header state and
         the per-file facts (package, ignored, has a site, fence pairing). Files of more than
         ``long_bytes`` are computed in chunks of lines, if there are any."""
-        key, long = self.options.header_key, F.col("length") > self.options.long_bytes
-        if L.file_kind(self.files).filter((F.col("kind") == "md") & long).isEmpty():
+        key = self.options.header_key
+        if not self._has_long:
             return self._stage(L.markdown_state(self.md_candidates, key))
-        short = L.markdown_state(self._candidates(self._markdown.filter(~long | F.col("length").isNull())), key)
-        chunked = L.segmented_state(self._candidates(self._markdown.filter(long)), key, self.options.chunk_lines, self._stage)
-        return self._stage(short.unionByName(chunked), "md_state")
+        short, long = (self._candidates(files) for files in self._by_length(self._markdown))
+        chunked = L.segmented_state(long, key, self.options.chunk_lines, self._stage)
+        return self._stage(L.markdown_state(short, key).unionByName(chunked), "md_state")
+
+    @cached_property
+    def _has_long(self) -> bool:
+        return not self._by_length(L.file_kind(self.files).filter(F.col("kind") == "md"))[1].isEmpty()
+
+    def _by_length(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The files of at most and of more than ``long_bytes``."""
+        long = F.coalesce(F.col("length") > self.options.long_bytes, F.lit(False))
+        return files.filter(~long), files.filter(long)
 
     @cached_property
     def pkg_lines(self) -> DataFrame:
@@ -314,16 +324,18 @@ class TraceResult:
         """Rewritten Markdown documents (rows 54-60); empty when gated."""
         if not self.analyze_ok:
             return self._nothing("path string, repo_id string, rel_path string, content string, changed boolean, apply_error string")
-        md = self.scanned.filter(F.col("kind") == "md").select(
-            "path", "repo_id", "rel_path", "content", *[c for c in ("decodable",) if c in self.files.columns]
-        )
-        return self._stage(R.apply_actions(md, self.actions))
+        cols = ["path", "repo_id", "rel_path", "content", *[c for c in ("decodable",) if c in self.files.columns]]
+        if not self._has_long:
+            return self._stage(R.apply_actions(self._markdown.select(*cols), self.actions))
+        short, long = (files.select(*cols) for files in self._by_length(self._markdown))
+        chunked = R.apply_actions_chunked(long, self.actions, self.options.chunk_chars, self._stage)
+        return self._stage(R.apply_actions(short, self.actions).unionByName(chunked), "docs")
 
 
 def trace(files: DataFrame, repos: DataFrame, *, tracked: DataFrame | None = None, extensions: str | None = None,
           ignore_lines=(), types: str | None = None, header_key: str = P.DEFAULT_HEADER_KEY,
           max_bytes: int | None = None, max_line_bytes: int | None = None, long_bytes: int = L.LONG_BYTES,
-          chunk_lines: int = L.CHUNK_LINES, materialize: bool = True) -> TraceResult:
+          chunk_lines: int = L.CHUNK_LINES, chunk_chars: int = R.CHUNK_CHARS, materialize: bool = True) -> TraceResult:
     """Trace requirements of a corpus.
 
     ``files``: ``(root_ord, repo_id, root_path, path, rel_path, length, content[, tracked])``;
@@ -331,9 +343,10 @@ def trace(files: DataFrame, repos: DataFrame, *, tracked: DataFrame | None = Non
     ``tracked``: optional ``(repo_id, rel_path)`` table (else the ``tracked``
     column, else every file is tracked). Whole files and lines are read; ``max_bytes``
     and ``max_line_bytes`` set the original tool's limits when wanted. The state of Markdown
-    files of more than ``long_bytes`` is computed in chunks of ``chunk_lines`` lines."""
+    files of more than ``long_bytes`` is computed in chunks of ``chunk_lines`` lines, and they are
+    rewritten in chunks of ``chunk_chars`` code points."""
     I.check_ignore_patterns(files.sparkSession, ignore_lines)
-    opts = TraceOptions(extensions, tuple(ignore_lines or ()), types, header_key, max_bytes, max_line_bytes, long_bytes, chunk_lines)
+    opts = TraceOptions(extensions, tuple(ignore_lines or ()), types, header_key, max_bytes, max_line_bytes, long_bytes, chunk_lines, chunk_chars)
     return TraceResult(files, repos, tracked, opts, materialize)
 
 

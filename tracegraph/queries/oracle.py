@@ -428,3 +428,5 @@ SELECT path, CAST(strlen(content) AS BIGINT) AS length, md5(content) AS md5 FROM
 ORACLE["docs_sink_incremental"] = ORACLE["docs_sink"]
 for _name in ("fence_state", "header_state", "package_of_file"):
     ORACLE[_name + "_segmented"] = ORACLE[_name]
+for _name in ("final_newline", "docs_sink", "apply_check"):
+    ORACLE[_name + "_chunked"] = ORACLE[_name]

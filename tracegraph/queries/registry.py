@@ -180,8 +180,7 @@ def header_state(spark, sf_dir):
 
 
 def _segmented(spark, sf_dir) -> TraceResult:
-    """The trace with every Markdown file in chunks of four lines."""
-    return traced(spark, sf_dir, long_bytes=0, chunk_lines=4)
+    return _chunked(spark, sf_dir)
 
 
 @out("path", "line_no")
@@ -404,6 +403,31 @@ def apply_check(spark, sf_dir):
     return traced(spark, sf_dir, "eol").docs.filter(F.col("apply_error").isNotNull())
 
 
+def _chunked(spark, sf_dir, faults=None) -> TraceResult:
+    """The trace with every Markdown file in chunks: of four lines, of 40 code points."""
+    return traced(spark, sf_dir, faults, long_bytes=0, chunk_lines=4, chunk_chars=40)
+
+
+@out("path", "length", "md5")
+def final_newline_chunked(spark, sf_dir):
+    """Rows 54-59 by chunks of long documents."""
+    d = _chunked(spark, sf_dir).docs
+    return d.select("path", F.octet_length("content").alias("length"), F.md5("content").alias("md5"))
+
+
+@out("path", "length", "md5")
+def docs_sink_chunked(spark, sf_dir):
+    """Rows 54-60 by chunks: what ``docs_sink`` writes of the corpus with varied line ends."""
+    d = _chunked(spark, sf_dir, "eol").docs.filter(F.col("apply_error").isNull())
+    return d.select("path", F.octet_length("content").alias("length"), F.md5("content").alias("md5"))
+
+
+@out("path", "apply_error")
+def apply_check_chunked(spark, sf_dir):
+    """Row 60 by chunks of long documents."""
+    return _chunked(spark, sf_dir, "eol").docs.filter(F.col("apply_error").isNotNull())
+
+
 # ------------------------------------------- 2.3 validation (faulted corpora)
 def _syntax(spark, sf_dir) -> TraceResult:
     return traced(spark, sf_dir, "syntax", types=CO.FAULT_TYPES, max_line_bytes=P.MAX_LINE_BYTES)
@@ -527,6 +551,9 @@ QUERIES = {
     "append_footnotes": append_footnotes,
     "final_newline": final_newline,
     "apply_check": apply_check,
+    "final_newline_chunked": final_newline_chunked,
+    "docs_sink_chunked": docs_sink_chunked,
+    "apply_check_chunked": apply_check_chunked,
     "corpus_from_tables": corpus_from_tables,
     **ERROR_QUERIES,
     "error_report": error_report,
