@@ -146,6 +146,34 @@ def test_toxicity_learns_and_tolerates_gaps():
         assert model.score([f"you {spelling}"], words)[0] > max(20 * clean, 0.05 * plain), spelling
 
 
+def test_toxicity_knows_misspelt_and_short_insults():
+    """Every spelling is predicted toxic; ordinary words that share letters with insults are not."""
+    rows = labelled(400)
+    model = toxicity.train([r[1] for r in rows[:300]], [r[2] for r in rows[:300]])
+    words = toxicity.Words(model.table)
+    hidden = ["bloxckhead", "blokhead", "blockheeead", "bxlxoxcxkxhxexaxd", "b l o c k h e a d", "b.l.o.c.k.h.e.a.d", "bl0ckhead", "block-head"]
+    hidden += ["xxxxxxblockheadxxxxxx", "x" * 50 + "blockhead" + "x" * 50, "numzskull", "dimwwit", "dmwit", "nzuzmzszkzuzlzl"]
+    for spelling in hidden:
+        assert model.score([f"you {spelling}"], words)[0] >= toxicity.THRESHOLD, spelling
+    for clean in ("the hating and restou", "overhead", "headless", "blocking the headline", "mamamamama", "x" * 100_000, ""):
+        assert model.score([clean], words)[0] < toxicity.THRESHOLD, clean
+    short = [(t.replace("blockhead", "oaf").replace("dimwit", "git"), y) for _, t, y in rows]
+    model = toxicity.train([t for t, _ in short[:300]], [y for _, y in short[:300]])
+    words = toxicity.Words(model.table)
+    assert all(model.score([f"you {w}"], words)[0] >= toxicity.THRESHOLD for w in ("oaf", "git", "o a f", "numskull"))
+    assert all(model.score([f"you {w}"], words)[0] < toxicity.THRESHOLD for w in ("the", "loaf", "digit"))
+
+
+def test_misspellings_of_a_word():
+    for word in ("oaf", "dimwit", "z" * 24):
+        codes = toxicity.letters(word)
+        found = toxicity.misspelt(codes)
+        assert found and all(3 <= len(v) <= 24 and v.dtype == np.uint8 and v.max() < 32 for v in found)
+        assert [v.tolist() for v in found] == [v.tolist() for v in toxicity.misspelt(codes)]
+    strange = {"".join(chr(97 + c) for c in v) for v in toxicity.misspelt(toxicity.letters("dimwit"))}
+    assert {"dmwit", "diwit", "dimit", "dimwt"} <= strange and sum(len(v) == 7 for v in strange) == 5
+
+
 def test_toxicity_queries_and_edges(spark):
     rows = [(i, t, "en", "s") for i, t, _ in labelled(200)]
     d = inputs.docs(spark, rows + [(1000 + (i or 500), t, a, b) for i, t, a, b in inputs.ROWS] + [(None, None, None, None)])

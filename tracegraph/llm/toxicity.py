@@ -10,20 +10,23 @@ linear SVM with squared hinge loss is trained.
 Labels are given for documents, so the toxic words of a toxic document are found by
 multiple-instance rounds: first its words that speak most for toxic documents are positive,
 then those the last model finds. A document scores the logistic calibration of its best word.
+Misspellings of the witnesses (``misspelt``) are trained on with them, as virtual examples: the
+boundary is to hold when letters are put in, left out or changed, not for the plain word alone.
 
 Not done: texts are not cut into sentences, and words are not summed. Landmarks and witnesses
-have at least ``LENGTHS[1]`` letters, and witnesses are at least ``RATIO`` times as frequent in
+have at least ``LENGTHS[0]`` letters, and witnesses are at least ``RATIO`` times as frequent in
 toxic documents; so a text that is toxic by a phrase of ordinary words, or by words of up to
-three letters, gives no positive in training and is not known by that phrase in scoring.
+two letters, gives no positive in training and is not known by that phrase in scoring.
 
 Because kernel and SVM are linear in the subsequences of a word, the trained model folds
 into one weight per subsequence (a table of 4 MB): scoring a word is a gather over its
 subsequences, done once per distinct word and task, and costs nothing per landmark.
 
 Words are lower-cased, accents stripped, look-alike digits and signs read as letters, and
-other signs dropped; runs of single letters (``i d i o t``) are read as one word; long
-words are read in overlapping windows of two lengths, of which the best counts (the short ones
-find an insult between padding), so whole texts count. Training uses at most
+other signs dropped; runs of single letters (``i d i o t``) are read as one word, and so are the
+letters between which one and the same stands; words of more than 12 letters are read in overlapping
+windows of two lengths, of which the best counts (the short ones find an insult between padding), so
+whole texts count. Training uses at most
 ``SAMPLE`` documents of each label, the ones smallest by a hash, of at most ``SAMPLE_CHARS``
 characters each; scoring reads every text whole.
 
@@ -49,13 +52,15 @@ from .common import give_back
 
 LENGTHS, SPAN, DECAY = (3, 4), 8, 0.8
 LANDMARKS, SAMPLE, SAMPLE_CHARS = 384, 1500, 20_000
-#: letters and steps of the windows of a word longer than the first
+#: letters and steps of the windows of a word longer than the second
 WINDOWS = ((24, 12), (12, 4))
 #: witnesses of a toxic text, which must be this many times as frequent there; hardest words
 #: of clean texts added per round; weight of the errors
 WITNESSES, RATIO, HARD, COST = 2, 5.0, 3000, 4000.0
 #: words a worker remembers, and texts it scores at a time: both bound its memory
 CACHE, ROWS = 200_000, 256
+#: witnesses whose misspellings are trained on, those of most toxic texts
+VARIED = 256
 THRESHOLD = 0.3
 TABLE = 32**3 + 32**4
 #: digits and signs read as the letters they look like
@@ -85,9 +90,29 @@ def letters(word: str) -> np.ndarray:
 
 
 def windows(codes: np.ndarray) -> list[np.ndarray]:
-    if len(codes) <= WINDOWS[0][0]:
-        return [codes]
-    return [codes[i : i + n] for n, step in WINDOWS for i in range(0, len(codes) - n + step, step)]
+    """The units of a word, the whole word (or its first long window) before the others."""
+    n = len(codes)
+    if n <= WINDOWS[1][0]:
+        found = [codes]
+    else:
+        found = [codes[i : i + size] for size, step in WINDOWS for i in range(0, max(1, n - size + step), step)]
+    # one letter between all others separates them, as a sign would
+    if n >= 2 * LENGTHS[1] - 1 and (codes[1::2] == codes[1]).all():
+        found += windows(codes[::2])
+    return found
+
+
+def misspelt(codes: np.ndarray) -> list[np.ndarray]:
+    """Spellings of a word that hide it: a letter put in, left out or changed at every place within
+    it, letters put between all of its own, and padding around it. The letters follow from the word."""
+    n, seed = len(codes), int(codes.astype(np.int64) @ (np.arange(len(codes)) + 7))
+    strange = lambda i: (seed + 11 * i) % 26
+    filled = lambda step: np.array([c for i, own in enumerate(codes) for c in (own, strange(i * step))][:-1], dtype=np.uint8)
+    pad = np.full(3, strange(0), dtype=np.uint8)
+    out = [np.insert(codes, i, strange(i)) for i in range(1, n)] + [np.delete(codes, i) for i in range(1, n - 1) if n > LENGTHS[1]]
+    out += [np.concatenate([codes[:i], [strange(i + 5)], codes[i + 1 :]]).astype(np.uint8) for i in range(1, n - 1)]
+    out += [filled(0), filled(1), np.concatenate([pad, codes, pad])]
+    return [v[: WINDOWS[0][0]] for v in out]
 
 
 @cache
@@ -291,7 +316,7 @@ def train(texts: list[str], labels: list[int], most: int = LANDMARKS, rounds: in
     a, b = counts[1] + 0.5, counts[0] + 0.5
     odds = np.log(a / (toxic.sum() - counts[1] + 0.5)) - np.log(b / ((~toxic).sum() - counts[0] + 0.5))
     sure = odds / np.sqrt(1 / a + 1 / b)
-    fit = np.array([len(u[0]) >= LENGTHS[1] for u in words.units])
+    fit = np.array([len(u[0]) >= LENGTHS[0] for u in words.units])
     clean = np.flatnonzero(counts[0] > 0)
     # landmarks: words whose presence speaks for toxic documents, and ordinary ones, frequent to rare
     bad = [i for i in np.argsort(-sure, kind="stable")[: 8 * most] if fit[i] and sure[i] > 1]
@@ -310,6 +335,7 @@ def train(texts: list[str], labels: list[int], most: int = LANDMARKS, rounds: in
     evidence = np.where(able, sure, -np.inf)
     hard = set(clean[:: max(1, len(clean) // HARD)].tolist()) | set(clean[np.argsort(-counts[0, clean], kind="stable")[:HARD]].tolist())
     rows: dict[int, np.ndarray] = {}
+    spelt: dict[int, np.ndarray] = {}
     table, bias = np.zeros(TABLE, dtype=np.float32), 0.0
     for _ in range(rounds):
         weight: dict[int, float] = {}
@@ -324,9 +350,14 @@ def train(texts: list[str], labels: list[int], most: int = LANDMARKS, rounds: in
         pos, neg = sorted(weight), sorted(hard)
         new = [i for i in {*pos, *neg} if i not in rows]
         rows.update(zip(new, kernel([words.units[i][0] for i in new], landmarks), strict=True))
-        x = np.stack([rows[i] for i in pos + neg]) @ root
-        ys = np.array([1.0] * len(pos) + [-1.0] * len(neg))
-        w_pos = np.array([weight[i] for i in pos])
+        # virtual examples: the misspellings of a witness share its weight among them
+        varied = sorted(pos, key=lambda i: (-weight[i], i))[:VARIED]
+        for i in varied:
+            if i not in spelt:
+                spelt[i] = kernel(misspelt(words.units[i][0]), landmarks)
+        x = np.concatenate([[rows[i] for i in pos], *(spelt[i] for i in varied), [rows[i] for i in neg]]) @ root
+        ys = np.concatenate([np.ones(len(x) - len(neg)), -np.ones(len(neg))])
+        w_pos = np.concatenate([[weight[i] for i in pos], *(np.full(len(spelt[i]), weight[i] / len(spelt[i])) for i in varied)])
         w_neg = np.minimum(counts[0, neg], 100.0)
         v, bias = svm(x, ys, np.concatenate([COST * w_pos / w_pos.sum(), COST * w_neg / w_neg.sum()]))
         folded = np.zeros(TABLE)
