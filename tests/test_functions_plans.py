@@ -175,3 +175,26 @@ def test_segmented_windows_hold_a_chunk(spark):
     assert windows
     for w in windows:  # lines are windowed by chunk, files only over the summaries of chunks
         assert "chunk" in w and ("line_no" not in w or "path" in w and "[root_ord" in w and ", chunk" in w.split("windowspecdefinition")[1])
+
+
+def test_ignore_patterns_read_as_in_their_dialect(spark):
+    """Against an engine of that dialect, line by line; what only Java has is refused."""
+    import duckdb
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tracegraph.functions.dialect import java_pattern
+
+    lines = ["", "abc", "a\x0bb", "a b", "ab\u2028", "tail\r", "x[y", "x]y", "a&&b", "é", "_k9", "A{,2}", "a{,2}", "ÀB", "Ω", "aab", "a.b", "a\\b", "\tq", "-", "^", "foo-bar", "aaaa"]
+    patterns = [r"a\sb", r"[\s]b", r"a[\S]b", r"b$", r"l.$", r"[[y]", r"[]y]", r"[^]a-z]", r"a[&&]+b", r"(?P<n>a)b", r"[[:alpha:]]9", r"[[:^alpha:]]", r"[[:word:]]{3}"]
+    patterns += [r"\bé", r"é\b", r"a\b", r"k\B9", r"a{,2}", r"(?i)àb", r"(?i:AB)c", r"\pL\pN", r"\p{Greek}", r"\p{^L}", r"\P{Lu}b", r"\Qa.b\E", r"\Qa.", r"\x61{2}b", r"\x{3a9}", r"\141\0*b", r"a{4}", r"a+?b", r"x|-", r"[\]\[]", r"[a^-]$", r"\v", r"\\b", r"}|q"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    got = df.select("i", *[F.col("line").rlike(java_pattern(p)).alias(f"p{k}") for k, p in enumerate(patterns)]).orderBy("i").collect()
+    con = duckdb.connect()
+    assert java_pattern(r"(?<n>a)b") == java_pattern(r"(?P<n>a)b")
+    for k, p in enumerate(patterns):
+        want = [con.execute("SELECT regexp_matches(?, ?)", [x, p]).fetchone()[0] for x in lines]
+        assert [r[f"p{k}"] for r in got] == want, p
+    for refused in (r"(?=a)", r"(?!a)", r"(?<=a)b", r"(?<!a)b", r"(?>a)", r"(a)\1", r"\k<n>", r"a++", r"a*+", r"a?+", r"a{2}+", r"a{2}{3}", r"a**", r"a\Z", r"\Ga", r"\R", r"\h", r"\cA", r"a{1001}", r"[[:alfa:]]", "[a", "a\\", r"(?U)a+"):
+        with pytest.raises(ValueError):
+            java_pattern(refused)

@@ -345,8 +345,7 @@ def trace(files: DataFrame, repos: DataFrame, *, tracked: DataFrame | None = Non
     and ``max_line_bytes`` set the original tool's limits when wanted. The state of Markdown
     files of more than ``long_bytes`` is computed in chunks of ``chunk_lines`` lines, and they are
     rewritten in chunks of ``chunk_chars`` code points."""
-    I.check_ignore_patterns(files.sparkSession, ignore_lines)
-    opts = TraceOptions(extensions, tuple(ignore_lines or ()), types, header_key, max_bytes, max_line_bytes, long_bytes, chunk_lines, chunk_chars)
+    opts = TraceOptions(extensions, I.ignore_patterns(files.sparkSession, ignore_lines), types, header_key, max_bytes, max_line_bytes, long_bytes, chunk_lines, chunk_chars)
     return TraceResult(files, repos, tracked, opts, materialize)
 
 

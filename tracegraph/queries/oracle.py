@@ -280,6 +280,10 @@ FROM o_actions"""),
 SELECT path, line_no, line FROM o_lines"""),
     "ignore_lines": q("""
 SELECT path, CAST(count(*) AS BIGINT) AS n_kept FROM o_lines WHERE NOT regexp_matches(line, '^// order ')
+GROUP BY path"""),
+    "ignore_lines_dialect": q(r"""
+SELECT path, CAST(count(*) AS BIGINT) AS n_kept FROM o_lines
+WHERE NOT regexp_matches(line, '(?P<head>^//[[:space:]]order )\d*[05[]\b|^---$|~[^[:^alpha:]]+\.{2}|a{,2}')
 GROUP BY path"""),
     "file_kind": q("""
 SELECT path, kind FROM o_files"""),

@@ -19,6 +19,7 @@ from pyspark.sql import types as Ty
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..functions.dialect import java_pattern
 from ..session import checkpoint_dir
 from .tree import read_tree  # noqa: F401 (row 1: folders as a files table)
 
@@ -182,15 +183,16 @@ def type_registry(spark: SparkSession, text: str):
     return spark.createDataFrame([(r.identifier, r.order_no) for r in rows], "identifier string, order_no int"), [r.identifier for r in rows]
 
 
-def check_ignore_patterns(spark: SparkSession, patterns) -> None:
-    """Invalid ignore patterns fail up front (Java regex dialect)."""
-    if not patterns:
-        return
-    for p in patterns:
+def ignore_patterns(spark: SparkSession, patterns) -> tuple[str, ...]:
+    """Ignore patterns as Java patterns; unusable ones fail up front."""
+    found = []
+    for p in patterns or ():
         try:
-            spark.range(1).select(F.lit("").rlike(p)).collect()
+            found.append(java_pattern(p))
+            spark.range(1).select(F.lit("").rlike(found[-1])).collect()
         except Exception as e:  # the engine wraps the syntax error of the pattern
             raise ValueError(f"invalid pattern '{p}': {e}") from None
+    return tuple(found)
 
 
 @dataclass
