@@ -198,3 +198,22 @@ def test_ignore_patterns_read_as_in_their_dialect(spark):
     for refused in (r"(?=a)", r"(?!a)", r"(?<=a)b", r"(?<!a)b", r"(?>a)", r"(a)\1", r"\k<n>", r"a++", r"a*+", r"a?+", r"a{2}+", r"a{2}{3}", r"a**", r"a\Z", r"\Ga", r"\R", r"\h", r"\cA", r"a{1001}", r"[[:alfa:]]", "[a", "a\\", r"(?U)a+"):
         with pytest.raises(ValueError):
             java_pattern(refused)
+
+
+def test_coverage_by_type_has_subtotals_in_registry_order(spark):
+    from tracegraph.operators import coverage as C
+    from tracegraph.sources import inventory as I
+
+    cov = spark.createDataFrame(
+        [("p", "it.a", "covrd", 2), ("p", "it.b", "uncvrd", 0), ("p", "cmp.a", "covrd", 1), ("q", "zz", "uncvrd", 0)],
+        "package string, name string, status string, n_coverers long",
+    )
+    rows = lambda types: {(r.package, r.req_type): tuple(r)[2:] for r in C.coverage_by_type(cov, types).collect()}
+    got = rows(I.type_registry(spark, "cmp,it")[0])
+    assert got == {
+        ("p", "cmp"): (0, 0, 1, 1, 1), ("p", "it"): (0, 1, 2, 1, 2), ("q", "zz"): (0, None, 1, 0, 0),
+        ("p", None): (1, None, 3, 2, 3), ("q", None): (1, None, 1, 0, 0), (None, None): (3, None, 4, 2, 3),
+    }
+    assert {k: v[2:] for k, v in rows(None).items()} == {k: v[2:] for k, v in got.items()}
+    plan = C.coverage_by_type(cov)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "Expand" in plan

@@ -209,6 +209,25 @@ def coverage(reg_m: DataFrame, new: DataFrame, cur: DataFrame) -> DataFrame:
     return positions(c.withColumn("new_footnote_id", F.when(F.col("annotated"), F.col("footnote_id")).otherwise(nxt)))
 
 
+def coverage_by_type(cov: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """Row 23: requirements and covered ones per package and type, with subtotals per package and in
+    all (``level`` 0, 1, 3). ``order_no`` is the type's place in the registry, null without one. One
+    rollup, pre-aggregated before its shuffle; the registry is option text, so it can be broadcast."""
+    c = cov.withColumn("req_type", T.requirement_type("name"))
+    if types is None:
+        c = c.withColumn("order_no", F.lit(None).cast("int"))
+    else:
+        c = c.join(F.broadcast(types.withColumnRenamed("identifier", "req_type")), "req_type", "left")
+    level = F.grouping_id()
+    return c.rollup("package", "req_type").agg(
+        level.cast("int").alias("level"),
+        F.when(level == 0, F.max("order_no")).alias("order_no"),
+        F.count("*").alias("n_requirements"),
+        F.count(F.when(F.col("status") == P.STATUS_COVRD, 1)).alias("n_covered"),
+        F.sum("n_coverers").cast("bigint").alias("n_coverers"),
+    )
+
+
 def site_actions(cov: DataFrame) -> DataFrame:
     """Row 49 (Q23): rewrite a site that is bare or whose word differs."""
     a = cov.filter(~F.col("annotated") | (F.col("status_word") != F.col("status")))

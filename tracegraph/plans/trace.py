@@ -315,6 +315,11 @@ class TraceResult:
     def coverage(self) -> DataFrame:
         return self.coverage_all if self.scan_ok else self._nothing(C.COVERAGE_SCHEMA)
 
+    @cached_property
+    def coverage_by_type(self) -> DataFrame:
+        """Row 23: rollup of the coverage by package and type, types in registry order."""
+        return C.coverage_by_type(self.coverage, self.types[0])
+
     @cached_property
     def actions(self) -> DataFrame:
         return self.actions_all if self.analyze_ok else self._nothing(C.ACTIONS_SCHEMA)

@@ -314,6 +314,13 @@ SELECT path, line_no, package, name, split_part(name, '.', 1) AS req_type FROM o
 SELECT path, line_no, split_part(name, '.', 1) AS req_type,
   CAST(CASE split_part(name, '.', 1) WHEN 'it' THEN 0 WHEN 'cmp' THEN 1 ELSE 2 END AS BIGINT) AS order_no
 FROM o_site"""),
+    "coverage_by_type": q("""
+SELECT package, req_type, CAST(grouping(package, req_type) AS BIGINT) AS level,
+  CAST(CASE WHEN grouping(package, req_type) = 0 THEN CASE req_type WHEN 'it' THEN 0 WHEN 'cmp' THEN 1 ELSE 2 END END AS BIGINT) AS order_no,
+  CAST(count(*) AS BIGINT) AS n_requirements, CAST(count(*) FILTER (WHERE status = 'covrd') AS BIGINT) AS n_covered,
+  CAST(sum(n_cov) AS BIGINT) AS n_coverers
+FROM (SELECT package, split_part(name, '.', 1) AS req_type, status, n_cov FROM o_stat)
+GROUP BY ROLLUP (package, req_type)"""),
     "retained_files": q("""
 SELECT DISTINCT path, 'md' AS kind FROM o_site
 UNION ALL

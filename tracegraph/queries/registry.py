@@ -255,6 +255,12 @@ def type_registry(spark, sf_dir):
     return s.join(F.broadcast(types_df), "identifier").withColumnRenamed("identifier", "req_type")
 
 
+@out("package", "req_type", "level", "order_no", "n_requirements", "n_covered", "n_coverers")
+def coverage_by_type(spark, sf_dir):
+    """Row 23: coverage per package and type in registry order, with subtotals."""
+    return traced(spark, sf_dir, types=CO.FAULT_TYPES).coverage_by_type
+
+
 @out("path", "kind")
 def retained_files(spark, sf_dir):
     r = traced(spark, sf_dir)
@@ -539,6 +545,7 @@ QUERIES = {
     "extract_coverers": extract_coverers,
     "requirement_type": requirement_type,
     "type_registry": type_registry,
+    "coverage_by_type": coverage_by_type,
     "retained_files": retained_files,
     "site_tag_join": site_tag_join,
     "coverer_build": coverer_build,
