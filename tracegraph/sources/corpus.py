@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators.lines import file_kind
-from ..operators.numbering import joined_text, rank_within
+from ..operators.numbering import rank_within
 from ..session import checkpoint_dir
 from .inventory import FILES_SCHEMA, REPOS_SCHEMA
 
@@ -110,32 +110,49 @@ def tracked_list(files: DataFrame) -> DataFrame:
     return files.filter("tracked").select("repo_id", "rel_path")
 
 
-def tag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One tag per lineitem, placed in its source file."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"
-    )
-    pk = F.col("l_partkey")
-    t = li.select(
+#: coverage types by code: in the order of their names, so that codes sort as the names do
+COV_TYPES = ("doc", "impl", "test")
+
+
+def numbered_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags numbered within their supplier (``r``), as numbers only: no text is shuffled."""
+    flag = F.col("l_returnflag")
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.col("l_suppkey").alias("supp"),
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
-        F.when(F.col("l_returnflag") == "A", "impl").when(F.col("l_returnflag") == "R", "test").otherwise("doc").alias("cov_type"),
-        F.when(pk % 4 == 0, F.lit("retired")).otherwise(F.concat(F.lit("pkg"), _s(pk % 7))).alias("tag_pkg"),
-        F.concat(req_type(pk), F.lit(".p"), _s(pk)).alias("tag_name"),
+        F.when(flag == "A", 1).when(flag == "R", 2).otherwise(0).cast("tinyint").alias("cov_code"),
     )
-    t = rank_within(t, ["supp"], ["l_orderkey", "l_linenumber", "l_partkey", "cov_type"],
-                    F.floor(F.col("l_orderkey") / RANK_BUCKET), out="r")
+    return rank_within(t, ["supp"], ["l_orderkey", "l_linenumber", "l_partkey", "cov_code"],
+                       F.floor(F.col("l_orderkey") / RANK_BUCKET), out="r")
+
+
+def tag_rows(numbered: DataFrame) -> DataFrame:
+    """One tag per lineitem, placed in its source file."""
+    pk = F.col("l_partkey")
     chunk = F.floor((F.col("r") - 1) / SRC_FILE_TAGS)
     pos = (F.col("r") - 1) % SRC_FILE_TAGS + 1
-    even = F.col("supp") % 2 == 0
-    return t.select(
-        "*",
-        F.when(even, F.lit(GH[0])).otherwise(F.lit(GL[0])).alias("repo_id"),
-        F.concat(F.lit("src/s"), _s("supp"), F.lit("/c"), _s(chunk), F.lit(".go")).alias("rel_path"),
+    cov_type = F.when(F.col("cov_code") == 1, COV_TYPES[1]).when(F.col("cov_code") == 2, COV_TYPES[2]).otherwise(COV_TYPES[0])
+    return numbered.select(
+        "supp",
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        cov_type.alias("cov_type"),
+        F.when(pk % 4 == 0, F.lit("retired")).otherwise(F.concat(F.lit("pkg"), _s(pk % 7))).alias("tag_pkg"),
+        F.concat(req_type(pk), F.lit(".p"), _s(pk)).alias("tag_name"),
+        chunk.alias("chunk"),
         (2 * pos).cast("int").alias("line_no"),
-    )
+    ).withColumns({"repo_id": _source_repo(), "rel_path": _source_path()})
+
+
+def _source_repo() -> Column:
+    return F.when(F.col("supp") % 2 == 0, F.lit(GH[0])).otherwise(F.lit(GL[0]))
+
+
+def _source_path() -> Column:
+    return F.concat(F.lit("src/s"), _s("supp"), F.lit("/c"), _s("chunk"), F.lit(".go"))
 
 
 def _file_rows(df: DataFrame, repo_col: Column, rel_col: str) -> DataFrame:
@@ -155,27 +172,37 @@ def _file_rows(df: DataFrame, repo_col: Column, rel_col: str) -> DataFrame:
 
 def _join_lines(lines: Column) -> Column:
     """Sorted (line_no, text) structs to file text with a final LF."""
-    return F.concat(F.array_join(F.transform(F.array_sort(lines), lambda x: x["text"]), "\n"), F.lit("\n"))
+    return F.concat(F.array_join(F.sort_array(lines)["text"], "\n"), F.lit("\n"))
 
 
 def source_files(tags: DataFrame) -> DataFrame:
-    pos = F.col("line_no")
-    filler = F.struct((pos - 1).alias("line_no"), F.concat(F.lit("// order "), _s("l_orderkey"), F.lit(" line "), _s("l_linenumber")).alias("text"))
-    tag = F.struct(pos.alias("line_no"), F.concat(F.lit("// covers [~"), F.col("tag_pkg"), F.lit("/"), F.col("tag_name"), F.lit("~"), F.col("cov_type"), F.lit("]")).alias("text"))
-    ex = tags.select("repo_id", "rel_path", F.explode(F.array(filler, tag)).alias("l"))
-    files = ex.groupBy("repo_id", "rel_path").agg(_join_lines(F.collect_list("l")).alias("content"))
-    return _file_rows(files.withColumn("tracked", F.lit(True)), F.col("repo_id"), "rel_path")
+    """A tag and its filler line are one row; a file is grouped by the numbers it is named after."""
+    filler = F.concat(F.lit("// order "), _s("l_orderkey"), F.lit(" line "), _s("l_linenumber"))
+    tag = F.concat(F.lit("// covers [~"), F.col("tag_pkg"), F.lit("/"), F.col("tag_name"), F.lit("~"), F.col("cov_type"), F.lit("]"))
+    # a line with a null is left out
+    text = F.when(filler.isNotNull() | tag.isNotNull(), F.concat_ws("\n", filler, tag))
+    files = tags.groupBy("supp", "chunk").agg(_join_lines(F.collect_list(F.struct("line_no", text.alias("text")))).alias("content"))
+    files = files.select(_source_repo().alias("repo_id"), _source_path().alias("rel_path"), "content", F.lit(True).alias("tracked"))
+    return _file_rows(files, F.col("repo_id"), "rel_path")
+
+
+def true_coverers(tags: DataFrame) -> DataFrame:
+    """Sorted coverer text per part key of the ``covrd`` variant.
+
+    What is brought together is (type, file, line) per coverer, less than the text it becomes;
+    tags of other variants are left out before the shuffle."""
+    t = tags.filter((F.col("tag_pkg") != "retired") & (variant_of(F.col("l_partkey")) == 2))
+    rows = t.groupBy(F.col("l_partkey").alias("p")).agg(F.sort_array(F.collect_list(F.struct("cov_type", "rel_path", "line_no", "repo_id"))).alias("tags"))
+
+    def link(x):
+        url = T.coverer_url(F.when(x["repo_id"] == GH[0], F.lit(GH_URL)).otherwise(F.lit(GL_URL)), x["rel_path"], x["line_no"])
+        return T.coverer_link(T.coverer_label(x["rel_path"], x["line_no"], x["cov_type"]), url)
 
+    return rows.select("p", F.array_join(F.transform("tags", link), ", ").alias("cov_text"))
 
-def true_coverers(tags: DataFrame, parts: DataFrame) -> DataFrame:
-    """Sorted coverer text per part (for the ``covrd`` variant)."""
-    t = tags.filter(F.col("tag_pkg") != "retired").join(parts.select(F.col("p").alias("l_partkey")), "l_partkey", "left_semi")
-    url = T.coverer_url(F.when(F.col("repo_id") == GH[0], F.lit(GH_URL)).otherwise(F.lit(GL_URL)), "rel_path", "line_no")
-    t = t.select(F.col("l_partkey").alias("p"), "cov_type", "rel_path", "line_no", url.alias("url"))
-    # numbered first, then joined in two levels: a part with very many tags is no list in one row
-    t = rank_within(t, ["p"], ["cov_type", "rel_path", "line_no", "url"], F.struct("cov_type", "rel_path"), out="ord")
-    item = T.coverer_link(T.coverer_label("rel_path", "line_no", "cov_type"), "url")
-    return joined_text(t.withColumn("item", item), ["p"], "ord", "item", ", ", out="cov_text")
+
+def variant_of(p: Column) -> Column:
+    return (F.floor(p / 21) % 5).cast("int")
 
 
 def part_rows(spark: SparkSession, sf_dir: str, header_key: str = P.DEFAULT_HEADER_KEY) -> DataFrame:
@@ -187,7 +214,7 @@ def part_rows(spark: SparkSession, sf_dir: str, header_key: str = P.DEFAULT_HEAD
         F.concat(req_type(p), F.lit(".p"), _s(p)).alias("name"),
         F.concat(F.when(F.col("p_size") == IGNORED_SIZE, F.lit(P.IGNORED_PACKAGE_PREFIX + ".pkg")).otherwise(F.lit("pkg")), _s(p % 7)).alias("package"),
         F.concat(F.lit("docs/pkg"), _s(p % 7), F.lit("/s"), _s("p_size"), F.lit("/c"), _s(F.floor(p / DOC_CHUNK)), F.lit(".md")).alias("rel_path"),
-        (F.floor(p / 21) % 5).cast("int").alias("variant"),
+        variant_of(p).alias("variant"),
     )
     w = Window.partitionBy("rel_path").orderBy("p")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -327,11 +354,15 @@ def corpus_from_tables(spark: SparkSession, sf_dir: str, header_key: str = P.DEF
     ``'syntax'`` or ``'semantic'`` adds one fault per document, chosen by
     ``p_size % 10`` (see ``SYNTAX_FAULTS`` / ``SEMANTIC_FAULTS``); ``'eol'`` varies the
     line ends."""
-    tags = tag_rows(spark, sf_dir)
-    parts = part_rows(spark, sf_dir, header_key)
-    covs = true_coverers(tags, parts.filter(F.col("variant") == 2))
-    out = document_files(parts, covs, header_key, faults).unionByName(source_files(tags)).unionByName(note_files(spark, sf_dir))
-    return out.select(*[f.name for f in FILES_SCHEMA.fields])
+    parts = corpus_parts(spark, sf_dir, tag_rows(numbered_tags(spark, sf_dir)), header_key, faults)
+    return parts["docs"].unionByName(parts["src"]).unionByName(parts["notes"])
+
+
+def corpus_parts(spark: SparkSession, sf_dir: str, tags: DataFrame, header_key: str = P.DEFAULT_HEADER_KEY, faults: str | None = None) -> dict:
+    """The requirement documents (all Markdown), source files (all ``.go``) and note files."""
+    docs = document_files(part_rows(spark, sf_dir, header_key), true_coverers(tags), header_key, faults)
+    cols = [f.name for f in FILES_SCHEMA.fields]
+    return {"docs": docs.select(*cols), "src": source_files(tags).select(*cols), "notes": note_files(spark, sf_dir).select(*cols)}
 
 
 TABLES = ("part", "lineitem", "documents", "labels")
@@ -356,6 +387,20 @@ def corpus(spark: SparkSession, sf_dir: str, faults: str | None = None) -> DataF
     key = (spark.sparkContext.applicationId, sf_dir, input_identity(spark, sf_dir), faults)
     if key not in _BUILT:
         path = checkpoint_dir(spark).rstrip("/") + f"/tracegraph/corpus-{faults}-{uuid.uuid4().hex[:12]}"
-        file_kind(corpus_from_tables(spark, sf_dir, faults=faults)).write.partitionBy("kind").parquet(path)
+        parts = corpus_parts(spark, sf_dir, tag_rows(_tags_once(spark, sf_dir, key[:3])), faults=faults)
+        # one folder per kind, written directly: writing by a partition column would sort whole texts
+        notes = file_kind(parts["notes"])
+        for kind, files in (("md", parts["docs"]), ("src", parts["src"])):
+            rows = files.unionByName(notes.filter(F.col("kind") == kind).drop("kind"))
+            rows.write.parquet(f"{path}/kind={kind}")
+        _BUILT[key] = path
+    return spark.read.parquet(_BUILT[key])
+
+
+def _tags_once(spark: SparkSession, sf_dir: str, key: tuple) -> DataFrame:
+    """The numbered tags, written once per session: every corpus of the same tables has the same."""
+    if key not in _BUILT:
+        path = checkpoint_dir(spark).rstrip("/") + f"/tracegraph/tags-{uuid.uuid4().hex[:12]}"
+        numbered_tags(spark, sf_dir).write.parquet(path)
         _BUILT[key] = path
     return spark.read.parquet(_BUILT[key])
