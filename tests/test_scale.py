@@ -1,7 +1,13 @@
 """Steps whose shuffles and stages must not hold texts that follow from numbers."""
 
+import glob
 import tempfile
 
+from conftest import make_files, make_repos
+from pyspark.sql import functions as F
+
+from tracegraph.operators import coverage as C
+from tracegraph.plans.trace import trace
 from tracegraph.sources import corpus as CO
 
 
@@ -44,3 +50,26 @@ def test_corpus_moves_tags_as_numbers(spark):
     lines = [x.split("](")[0] for x in foot[0].split(" [")[1:]]
     key = [(x.split(":")[2], x.split(":")[0], int(x.split(":")[1])) for x in lines]
     assert len(foot) == 2 and foot[0].split("]: ")[1] == foot[1].split("]: ")[1] and len(key) == 8 and key == sorted(key)
+
+
+def test_coverer_lists_are_brought_together_without_texts(spark):
+    rows = [("p", f"r{i % 3}", ("impl", "test")[i % 2], f"f{i % 4}", 100 - i, ("h", "h!")[i % 5 == 0]) for i in range(30)]
+    rows += [("p", "r0", "impl", "f0", 7, "h!"), ("p", "r0", "impl", "f0", 7, "h"), ("p", "r0", "impl", "f0", 7, "h")]
+    new = C.linked(spark.createDataFrame(rows, "package string, name string, cov_type string, file string, line_no int, root_url string"))
+    reqs = new.groupBy("package", "name").agg(F.count("*").alias("n_coverers"))
+    want = {}
+    for r in sorted(new.collect(), key=lambda r: (r.cov_type, r.file, r.line_no, r.url)):
+        want.setdefault(r.name, []).append(f"[{r.label}]({r.url})")
+    for listed in (0, 10, 1000):  # all numbered, some, none
+        got = {r.name: r.coverers for r in C.coverer_texts(new, reqs, listed).collect()}
+        assert got == {k: ", ".join(v) for k, v in want.items()}
+    plan = _plan(C.coverer_texts(new, reqs))
+    assert "Window" not in plan and plan.count("Aggregate [") <= 3
+
+
+def test_coverer_stage_holds_no_links(spark):
+    md = "---\ntrace.package: p\n---\n`~R1~`\n"
+    r = trace(make_files(spark, {"a.md": md, "src/a.go": "x [~p/R1~impl]\n"}), make_repos(spark))
+    assert r.new_coverers.first().url.endswith("/src/a.go#L1")
+    assert glob.glob(r._run_dir + "/new_coverers/*.parquet")
+    assert set(spark.read.parquet(r._run_dir + "/new_coverers").columns) == set(C.COVERER_COLS)

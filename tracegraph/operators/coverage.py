@@ -9,9 +9,9 @@ Skew notes (a requirement, file or package may hold a large share of rows):
 * the coverage diff compares URL *multisets* through counts per
   ``(package, name, url)`` (partial aggregation on both sides, then a join of
   one row per key), so unchanged requirements never build a list;
-* only requirements that need a footnote rewrite assemble their coverer list: numbered
-  rows become text per bucket of ranks, buckets are joined in order, so what one task
-  brings together is a bucket or a list of bucket texts, never a list of coverer rows.
+* only requirements that need a footnote rewrite assemble their coverer list. Beyond
+  ``LISTED`` coverers numbered rows become text per bucket of ranks and buckets are joined in
+  order; shorter lists are brought together as type, file, line and root, less than their text.
 
 Every edit carries the digest of the line that was scanned (``line_digest``), which the
 rewrite compares with the line in hand.
@@ -130,13 +130,19 @@ def new_coverers(reg: DataFrame, tags: DataFrame, repo_urls: DataFrame) -> DataF
     """Row 39: each pair of site and tag gives a coverer ``rel:line:type`` with its URL."""
     t = site_tag_join(reg, tags).filter(F.col("cov_type").isNotNull())
     t = t.join(repo_urls.select("repo_id", "root_url"), "repo_id", "left")
-    return t.select(
-        *REQ_KEY,
-        "cov_type",
-        F.col("rel_path").alias("file"),
-        "line_no",
-        T.coverer_url("root_url", "rel_path", "line_no").alias("url"),
-        T.coverer_label("rel_path", "line_no", "cov_type").alias("label"),
+    return linked(t.withColumnRenamed("rel_path", "file").select(*COVERER_COLS))
+
+
+#: what a coverer's URL and label are made of; stages and shuffles hold these, not the texts
+COVERER_COLS = [*REQ_KEY, "cov_type", "file", "line_no", "root_url"]
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """``COVERER_COLS`` with the URL and the label."""
+    return rows.select(
+        *COVERER_COLS,
+        T.coverer_url("root_url", "file", "line_no").alias("url"),
+        T.coverer_label("file", "line_no", "cov_type").alias("label"),
     )
 
 
@@ -242,10 +248,31 @@ def site_actions(cov: DataFrame) -> DataFrame:
     )
 
 
-def coverer_texts(new: DataFrame, reqs: DataFrame) -> DataFrame:
-    """Rows 40-41: the text of the sorted coverer list of each of ``reqs`` that has coverers."""
-    ranked = ranked_coverers(new.join(reqs.select(*REQ_KEY), REQ_KEY, "left_semi"))
-    return joined_text(ranked.withColumn("item", T.coverer_link("label", "url")), REQ_KEY, "ord", "item", ", ", out="coverers")
+#: coverers of a requirement that are listed at once; more take numbered buckets
+LISTED = 1 << 16
+
+
+def coverer_texts(new: DataFrame, reqs: DataFrame, listed: int = LISTED) -> DataFrame:
+    """Rows 40-41: the text of the sorted coverer list of each of ``reqs`` that has coverers.
+
+    A list of at most ``listed`` coverers is brought together as what its links are made of,
+    which is less than its text; only longer ones are numbered and joined in buckets."""
+    many = F.col("n_coverers") > listed
+    texts = _listed_texts(new.join(reqs.filter(~many).select(*REQ_KEY), REQ_KEY, "left_semi"))
+    if reqs.filter(many).isEmpty():
+        return texts
+    ranked = ranked_coverers(new.join(reqs.filter(many).select(*REQ_KEY), REQ_KEY, "left_semi"))
+    item = ranked.withColumn("item", T.coverer_link("label", "url"))
+    return texts.unionByName(joined_text(item, REQ_KEY, "ord", "item", ", ", out="coverers"))
+
+
+def _listed_texts(new: DataFrame) -> DataFrame:
+    parts = ["cov_type", "file", "line_no", "root_url"]
+    rows = new.select(*COVERER_COLS).groupBy(*REQ_KEY).agg(F.collect_list(F.struct(*parts)).alias("rows"))
+    order = lambda x: F.struct(x["cov_type"], x["file"], x["line_no"], T.coverer_url(x["root_url"], x["file"], x["line_no"]).alias("url"))
+    link = lambda x: T.coverer_link(T.coverer_label(x["file"], x["line_no"], x["cov_type"]), x["url"])
+    items = F.transform(F.sort_array(F.transform("rows", order)), link)
+    return rows.select(*REQ_KEY, F.array_join(items, ", ").alias("coverers"))
 
 
 def footnote_texts(cov: DataFrame, new: DataFrame) -> DataFrame:

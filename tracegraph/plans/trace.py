@@ -264,7 +264,9 @@ class TraceResult:
 
     @cached_property
     def new_coverers(self) -> DataFrame:
-        return self._stage(C.new_coverers(self.registered, self.tags, self.repo_urls))
+        # staged without the texts that follow from the other columns
+        rows = C.new_coverers(self.registered, self.tags, self.repo_urls).select(*C.COVERER_COLS)
+        return C.linked(self._stage(rows, "new_coverers"))
 
     @cached_property
     def ranked_coverers(self) -> DataFrame:
@@ -377,7 +379,7 @@ def analyze(sites: DataFrame, footnotes: DataFrame, coverers: DataFrame, tags: D
     ident = run._stage(C.identify(sites.join(max_ids, L.FILE_KEY, "left")), "ident")
     reg = ident.filter("is_first").drop("first", "is_first")
     reg_m = run._stage(reg.join(C.footnote_match(reg, fns), C.SITE_KEY, "left"), "reg_m")
-    new = run._stage(C.new_coverers(reg, tags, run.repo_urls), "new_coverers")
+    new = C.linked(run._stage(C.new_coverers(reg, tags, run.repo_urls).select(*C.COVERER_COLS), "new_coverers"))
     cur = C.current_coverers(reg_m, coverers)
     errors = V.union_errors(
         [V.err_repository(tags.withColumn("root_path", F.col("repo_id")), run.repo_urls), C.err_nopkgidreqs(sites, P.DEFAULT_HEADER_KEY), C.err_dupreqid(ident), C.err_pkgmismatch(reg_m, fns)]
