@@ -73,3 +73,17 @@ def test_coverer_stage_holds_no_links(spark):
     assert r.new_coverers.first().url.endswith("/src/a.go#L1")
     assert glob.glob(r._run_dir + "/new_coverers/*.parquet")
     assert set(spark.read.parquet(r._run_dir + "/new_coverers").columns) == set(C.COVERER_COLS)
+
+
+def test_rewrite_sorts_natively(spark):
+    """``array_sort`` runs a comparison function per pair of lines; ``sort_array`` orders rows."""
+    from tracegraph.operators import rewrite as R
+
+    md = "---\ntrace.package: p\n---\nb\n\na\n`~R1~`\n`~R0~`\n"
+    files = make_files(spark, {"a.md": md, "src/a.go": "x [~p/R1~impl]\n"})
+    r = trace(files, make_repos(spark))
+    want = r.docs.first()
+    assert [x[:4] for x in want.content.split("\n")] == ["---", "trac", "---", "b", "", "a", "`~R1", "`~R0", "", "[^1]", "[^2]", ""]
+    for df in (R.apply_actions(files, r.actions), R.apply_actions_chunked(files, r.actions, 5)):
+        assert df.first().content == want.content
+        assert "array_sort(" not in _plan(df) and "sort_array(" in _plan(df)

@@ -4,7 +4,7 @@ Per document, the actions are grouped once by path (edits pre-grouped per line,
 in action order) and joined to the document row: two shuffles in all. The edits
 are then applied inside the row: each edited line is folded over its actions
 (Q32: the later action on a line wins), and the new lines are spliced into the
-document with a sort-merge (``array_sort`` of original and edited lines, keep
+document with a sort-merge (``sort_array`` of original and edited lines, keep
 the edited one per line number), which is O((L + E) log(L + E)) per document.
 A document is one row: text and edits of one file fit a task, whatever the corpus. Long documents
 are cut into chunks of lines, which are edited each for itself (``apply_actions_chunked``).
@@ -77,10 +77,10 @@ def action_lists(actions: DataFrame) -> DataFrame:
     grouping runs on the same partitioning."""
     a = actions.repartition("path")
     per_line = a.groupBy("path", "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "type", "data", "line_digest"))).alias("acts"), F.min("seq").alias("first_seq")
+        F.sort_array(F.collect_list(F.struct("seq", "type", "data", "line_digest"))).alias("acts"), F.min("seq").alias("first_seq")
     )
     return per_line.groupBy("path").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.when(F.col("line_no") > 0, F.struct("line_no", "first_seq", "acts")))
         ).alias("edits"),
         F.flatten(F.collect_list(F.when(F.col("line_no") == 0, F.col("acts")))).alias("apps"),
@@ -104,7 +104,7 @@ def _spliced(d: DataFrame) -> DataFrame:
     d = d.withColumn("_folded", folded)
     orig = F.transform("_lines", lambda x, i: F.struct((i + 1).alias("at"), F.lit(1).alias("pr"), x.alias("t")))
     new = F.transform("_folded", lambda f: F.struct(f["at"].alias("at"), f["pr"].alias("pr"), f["r"]["text"].alias("t")))
-    d = d.withColumn("_merged", F.when(edits.isNotNull(), F.array_sort(F.concat(new, orig))))
+    d = d.withColumn("_merged", F.when(edits.isNotNull(), F.sort_array(F.concat(new, orig))))
     kept = F.filter("_merged", lambda x, i: (i == 0) | (F.get(F.col("_merged"), i - 1)["at"] != x["at"]))
     d = d.withColumn("_body", F.when(edits.isNull(), F.col("_lines")).otherwise(F.transform(kept, lambda x: x["t"])))
     fold_errs = F.transform(
@@ -116,7 +116,7 @@ def _spliced(d: DataFrame) -> DataFrame:
             e["first_seq"].alias("s"), F.format_string(P.MSG_LINE_MISSING, e["line_no"], F.col("path")).alias("e")
         ),
     )
-    return d.withColumn("_err", F.try_element_at(F.array_sort(F.concat(fold_errs, miss_errs)), F.lit(1))).drop("_folded", "_merged")
+    return d.withColumn("_err", F.try_element_at(F.sort_array(F.concat(fold_errs, miss_errs)), F.lit(1))).drop("_folded", "_merged")
 
 
 def _finished(d: DataFrame, extra: list[str]) -> DataFrame:
@@ -192,8 +192,8 @@ def chunk_edits(spans: DataFrame, actions: DataFrame) -> DataFrame:
     both = starts.unionByName(acts, allowMissingColumns=True)
     w = Window.partitionBy("path").orderBy("line_no", F.col("act").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = both.withColumn("chunk", F.last("chunk", ignorenulls=True).over(w)).filter(F.col("act").isNotNull())
-    per_line = placed.groupBy("path", "chunk", "line_no").agg(F.array_sort(F.collect_list("act")).alias("acts"), F.min("act.seq").alias("first_seq"))
-    return per_line.groupBy("path", "chunk").agg(F.array_sort(F.collect_list(F.struct("line_no", "first_seq", "acts"))).alias("edits"))
+    per_line = placed.groupBy("path", "chunk", "line_no").agg(F.sort_array(F.collect_list("act")).alias("acts"), F.min("act.seq").alias("first_seq"))
+    return per_line.groupBy("path", "chunk").agg(F.sort_array(F.collect_list(F.struct("line_no", "first_seq", "acts"))).alias("edits"))
 
 
 def apply_actions_chunked(files: DataFrame, actions: DataFrame, chunk_chars: int = CHUNK_CHARS, stage=lambda df, name: df) -> DataFrame:
@@ -209,13 +209,13 @@ def apply_actions_chunked(files: DataFrame, actions: DataFrame, chunk_chars: int
     d = chunks.join(spans, ["path", "chunk"]).join(chunk_edits(spans, acts), ["path", "chunk"], "left")
     s = _spliced(d.withColumn("_lines", F.slice("_lines", 1, F.col("n_keep"))))
     held = lambda **cols: F.when(F.size("_body") > 0, F.struct("chunk", *[c.alias(n) for n, c in cols.items()]))
-    texts = F.array_sort(F.collect_list(held(text=F.expr("array_join(_body, eol)"))))
+    texts = F.sort_array(F.collect_list(held(text=F.expr("array_join(_body, eol)"))))
     whole = s.groupBy("path").agg(
         F.first("eol").alias("eol"),
         F.transform(texts, lambda t: t["text"]).alias("_body"),
         F.max(held(line=F.try_element_at("_body", F.lit(-1))))["line"].alias("last"),
         F.min("_err").alias("_err"),
     )
-    apps = acts.filter("line_no = 0").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "type", "data", "line_digest"))).alias("apps"))
+    apps = acts.filter("line_no = 0").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seq", "type", "data", "line_digest"))).alias("apps"))
     docs = edited.drop("content").join(whole, "path").join(apps, "path", "left")
     return _finished(docs, _carried(files))
