@@ -87,3 +87,20 @@ def test_rewrite_sorts_natively(spark):
     for df in (R.apply_actions(files, r.actions), R.apply_actions_chunked(files, r.actions, 5)):
         assert df.first().content == want.content
         assert "array_sort(" not in _plan(df) and "sort_array(" in _plan(df)
+
+
+def test_phrase_index_rows_by_packed_keys():
+    """The order of rows equals that of one key per id, with few, many and too many bits."""
+    import numpy as np
+
+    from tracegraph.llm import phrases as PH
+
+    rng = np.random.default_rng(3)
+    for high in (1, 9000, 70_000, 2**31 - 1):
+        for depth in (2, 4):
+            ids = np.concatenate([[0], rng.integers(0, high + 1, 3000) // rng.choice([1, high], 3000), [0]])
+            ahead = [np.concatenate([ids[j:], np.zeros(j, dtype=ids.dtype)]) for j in range(depth)]
+            assert (PH.row_order(ids, depth) == np.lexsort(ahead[::-1])).all()
+            index = PH.Index(ids, depth)
+            by_id = np.argsort(index.bwt, kind="stable")
+            assert (index.places == index.bwt[by_id] * index.n + by_id).all()

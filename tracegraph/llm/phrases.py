@@ -105,10 +105,11 @@ def shards(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFram
         fields = [("shard", pa.int64()), ("tokens", pa.binary()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
 
         def flush():
-            by_id: list = [None] * sum(len(d) for d in ids.values())
+            by_id: list = [None] * sum(len(d) - 1 for d in ids.values())
             for lang, d in ids.items():
                 for w, i in d.items():
-                    by_id[i - 1] = (lang, w)
+                    if i:
+                        by_id[i - 1] = (lang, w)
             rows = [(next(number), *r) for r in _shard_rows(by_id, np.concatenate(held), size)]
             for row in rows:
                 yield pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, (_, t) in zip(row, fields, strict=True)], names=[n for n, _ in fields])
@@ -120,10 +121,10 @@ def shards(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFram
                 for lang, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     by_lang[lang].append(text or "")
                 for lang, texts in by_lang.items():
-                    d = ids.setdefault(lang, defaultdict(lambda: next(next_id)))
-                    words = tokens(texts)
-                    found = np.array([d[w] if w != b"." else 0 for w in words] + [0], dtype=np.int64)
-                    held.append(found)
+                    if lang not in ids:
+                        ids[lang] = defaultdict(next_id.__next__, {b".": 0})  # no word holds a dot
+                    held.append(np.fromiter(map(ids[lang].__getitem__, tokens(texts)), dtype=np.int64))
+                    held.append(np.zeros(1, dtype=np.int64))
                 if sum(map(len, held)) >= size:
                     yield from flush()
                     next_id, ids, held = count(1), {}, []
@@ -139,18 +140,37 @@ def shards(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFram
 # ---------------------------------------------------------------- FM-index
 
 
+def row_order(ids: np.ndarray, depth: int) -> np.ndarray:
+    """Positions in the order of the ``depth`` ids from there on (0 behind the end), then of the
+    positions. As many ids as 63 bits hold are one key, with the position too if it fits."""
+    n = len(ids)
+    bits = max(1, int(ids.max(initial=0)).bit_length())
+    per = max(1, min(depth, 63 // bits))
+    keys = []
+    for at in range(0, depth, per):
+        key = np.zeros(n, dtype=np.int64)
+        for j in range(at, min(at + per, depth)):
+            key <<= bits
+            key[: max(n - j, 0)] |= ids[j:].astype(np.int64)
+        keys.append(key)
+    if len(keys) > 1:
+        return np.lexsort(keys[::-1])
+    place = max(1, n.bit_length())
+    if bits * depth + place <= 63:
+        return np.sort(keys[0] << place | np.arange(n)) & ((1 << place) - 1)
+    return np.argsort(keys[0], kind="stable")
+
+
 class Index:
     """Truncated FM-index of ids that begin and end with 0."""
 
     def __init__(self, ids: np.ndarray, depth: int):
         n = len(ids)
-        ahead = [np.concatenate([ids[j:], np.zeros(j, dtype=ids.dtype)]) for j in range(depth)]
-        rows = np.lexsort(ahead[::-1])
+        rows = row_order(ids, depth)
         self.width = int(ids.max()) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=self.width))])
         self.bwt = ids[rows - 1]
-        by_id = np.argsort(self.bwt, kind="stable")
-        self.n, self.places = n + 1, self.bwt[by_id].astype(np.int64) * (n + 1) + by_id
+        self.n, self.places = n + 1, np.sort(self.bwt.astype(np.int64) * (n + 1) + np.arange(n))
 
     def rank(self, c: np.ndarray, row: np.ndarray) -> np.ndarray:
         """How often ``c`` stands in the transform before ``row``."""
@@ -302,7 +322,8 @@ def frequent_pairs(coded: DataFrame, least: int, ranges: int, wide: bool) -> Dat
         a, b = (np.concatenate([np.frombuffer(x, dtype=kind) for x in rows[c]]) for c in ("a", "b"))
         n = np.concatenate([np.frombuffer(x, dtype="<u4") for x in rows["n"]]).astype(np.int64)
         sender = np.repeat(np.arange(len(rows)), [len(x) // 4 for x in rows["n"]])
-        order = np.lexsort((b, a))
+        # pairs of numbers of 32 bits are one key
+        order = np.lexsort((b, a)) if wide else np.argsort(a.astype(np.uint64) << np.uint64(32) | b, kind="stable")
         first = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
         start = np.flatnonzero(first)
         total = np.add.reduceat(n[order], start)
