@@ -221,3 +221,25 @@ def test_string_kernel_equals_its_definition():
     for i, a in enumerate(words):
         for j, b in enumerate(words):
             assert got[i, j] == pytest.approx(plain_kernel(a, b), abs=1e-5), (a, b)
+
+
+def test_training_does_not_copy_its_matrix():
+    """The driver trains: a step of the SVM may hold blocks of its rows, not copies of them all."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 48))
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=len(x)) > 0.2, 1.0, -1.0)
+    weight = np.full(len(x), 0.01)
+    tracemalloc.start()
+    try:
+        w, b = toxicity.svm(x, y, weight)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < x.nbytes
+    # a minimum: the gradient of the squared hinge vanishes there
+    pull = 2 * weight * y * np.maximum(0, 1 - y * (x @ w + b))
+    assert np.abs(w - x.T @ pull).max() < 1e-3 and abs(pull.sum()) < 1e-3
+    parts = [x[:5].astype(np.float32), x[:3000].astype(np.float32), x[:0].astype(np.float32)]
+    assert np.array_equal(toxicity.projected(parts, np.eye(48)), np.concatenate(parts).astype(float))

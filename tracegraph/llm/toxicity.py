@@ -59,6 +59,8 @@ WINDOWS = ((24, 12), (12, 4))
 WITNESSES, RATIO, HARD, COST = 2, 5.0, 3000, 4000.0
 #: words a worker remembers, and texts it scores at a time: both bound its memory
 CACHE, ROWS = 200_000, 256
+#: rows of the training matrix that are widened or multiplied at a time: the driver trains
+BLOCK = 1024
 #: witnesses whose misspellings are trained on, those of most toxic texts
 VARIED = 256
 THRESHOLD = 0.3
@@ -246,18 +248,24 @@ def logistic(x):
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 30):
-    """Squared-hinge linear SVM with an intercept, by Newton steps on its active set."""
-    x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    ridge = np.ones(x1.shape[1])
+    """Squared-hinge linear SVM with an intercept, by Newton steps on its active set. The second
+    derivatives are summed over ``BLOCK`` rows at a time: ``x`` is never copied."""
+    d = x.shape[1]
+    ridge = np.ones(d + 1)
     ridge[-1] = 1e-6
-    v = np.zeros(x1.shape[1])
-    loss = lambda v: 0.5 * (ridge * v * v).sum() + (weight * np.maximum(0, 1 - y * (x1 @ v)) ** 2).sum()
+    v = np.zeros(d + 1)
+    slack_of = lambda v: 1 - y * (x @ v[:-1] + v[-1])
+    loss = lambda v: 0.5 * (ridge * v * v).sum() + (weight * np.maximum(0, slack_of(v)) ** 2).sum()
     for _ in range(steps):
-        slack = 1 - y * (x1 @ v)
-        on = slack > 0
-        xa, wa = x1[on], 2 * weight[on]
-        grad = ridge * v - xa.T @ (wa * y[on] * slack[on])
-        hess = np.diag(ridge) + xa.T @ (xa * wa[:, None])
+        slack = slack_of(v)
+        on = np.flatnonzero(slack > 0)
+        pull = np.where(slack > 0, 2 * weight * y * slack, 0.0)
+        grad = ridge * v - np.append(x.T @ pull, pull.sum())
+        hess = np.diag(ridge)
+        for i in range(0, len(on), BLOCK):
+            at = on[i : i + BLOCK]
+            xa, wa = np.concatenate([x[at], np.ones((len(at), 1))], axis=1), 2 * weight[at]
+            hess += xa.T @ (xa * wa[:, None])
         step, rate, now = np.linalg.solve(hess, grad), 1.0, loss(v)
         while loss(v - rate * step) > now and rate > 1e-4:
             rate /= 2
@@ -267,6 +275,17 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 30):
     return v[:-1], v[-1]
 
 
+def projected(parts: list[np.ndarray], root: np.ndarray) -> np.ndarray:
+    """The rows of ``parts``, one below the other, times ``root``: ``BLOCK`` rows are widened at a time."""
+    out, at = np.empty((sum(len(p) for p in parts), root.shape[1])), 0
+    for p in parts:
+        for i in range(0, len(p), BLOCK):
+            some = p[i : i + BLOCK]
+            out[at : at + len(some)] = some @ root
+            at += len(some)
+    return out
+
+
 def calibrate(margin: np.ndarray, y: np.ndarray):
     """Platt's logistic fit with his smoothed targets."""
     pos, neg = (y > 0).sum(), (y <= 0).sum()
@@ -296,6 +315,11 @@ def spread(order, units, most: int, near: float = 0.8) -> list[int]:
     return chosen
 
 
+def batches(texts: list[str]):
+    """``ROWS`` texts at a time: the tokens of more are never held."""
+    return (texts[i : i + ROWS] for i in range(0, len(texts), ROWS))
+
+
 def train(texts: list[str], labels: list[int], most: int = LANDMARKS, rounds: int = 4) -> Model:
     y = np.where(np.array(labels, dtype=float) > 0, 1.0, -1.0)
     share = float((y > 0).mean()) if len(y) else 0.0
@@ -305,9 +329,11 @@ def train(texts: list[str], labels: list[int], most: int = LANDMARKS, rounds: in
     # every fourth document of each label is kept for the calibration
     turn = np.where(y > 0, np.cumsum(y > 0), np.cumsum(y <= 0))
     own = (turn % 4 != 0) | (len(y) < 40)
-    split, words = [t.split() for t in texts], Words()
-    words.add([t for t, o in zip(split, own, strict=True) if o])
-    docs = [np.unique(words.read(t)[0]) for t, o in zip(split, own, strict=True) if o]
+    words, docs = Words(), []
+    for some in batches([t for t, o in zip(texts, own, strict=True) if o]):
+        split = [t.split() for t in some]
+        words.add(split)
+        docs += [np.unique(words.read(t)[0]) for t in split]
     toxic = y[own] > 0
     n = len(words.number)
     counts = np.zeros((2, n))
@@ -352,10 +378,11 @@ def train(texts: list[str], labels: list[int], most: int = LANDMARKS, rounds: in
         rows.update(zip(new, kernel([words.units[i][0] for i in new], landmarks), strict=True))
         # virtual examples: the misspellings of a witness share its weight among them
         varied = sorted(pos, key=lambda i: (-weight[i], i))[:VARIED]
-        for i in varied:
-            if i not in spelt:
-                spelt[i] = kernel(misspelt(words.units[i][0]), landmarks)
-        x = np.concatenate([[rows[i] for i in pos], *(spelt[i] for i in varied), [rows[i] for i in neg]]) @ root
+        spellings = {i: misspelt(words.units[i][0]) for i in varied if i not in spelt}
+        if spellings:
+            ends = np.cumsum([len(s) for s in spellings.values()])
+            spelt.update(zip(spellings, np.split(kernel([u for s in spellings.values() for u in s], landmarks), ends[:-1]), strict=True))
+        x = projected([np.stack([rows[i] for i in pos]), *(spelt[i] for i in varied), np.stack([rows[i] for i in neg])], root)
         ys = np.concatenate([np.ones(len(x) - len(neg)), -np.ones(len(neg))])
         w_pos = np.concatenate([[weight[i] for i in pos], *(np.full(len(spelt[i]), weight[i] / len(spelt[i])) for i in varied)])
         w_neg = np.minimum(counts[0, neg], 100.0)
@@ -371,7 +398,8 @@ def train(texts: list[str], labels: list[int], most: int = LANDMARKS, rounds: in
         hard |= set(worst[margin[worst] > -1].tolist())
     model = Model(table, float(bias), 1.0, 0.0)
     held = ~own if (~own & (y > 0)).any() and (~own & (y <= 0)).any() else own
-    margin = model.margins([t for t, h in zip(texts, held, strict=True) if h], Words(table))
+    known = Words(table)
+    margin = np.concatenate([model.margins(some, known) for some in batches([t for t, h in zip(texts, held, strict=True) if h])])
     model.slope, model.offset = calibrate(margin, y[held])
     return model
 
@@ -395,7 +423,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     rows = training_sample(docs, labels, id_col, text_col, label_col, sample, sample_chars)
-    return train(rows["_text"].tolist(), rows["_y"].tolist())
+    texts, marks = rows["_text"].tolist(), rows["_y"].tolist()
+    del rows
+    model = train(texts, marks)
+    del texts, marks
+    give_back()
+    return model
 
 
 _WORDS: dict = {}
