@@ -106,3 +106,22 @@ def test_phrase_index_rows_by_packed_keys():
             index = PH.Index(ids, depth)
             by_id = np.argsort(index.bwt, kind="stable")
             assert (index.places == index.bwt[by_id] * index.n + by_id).all()
+
+
+def test_source_files_are_grouped_behind_the_shuffle(spark, monkeypatch):
+    """Numbers are dealt out, as many tags to a task at any scale; nothing is listed before."""
+    rows = [(1, 7, 1, 5, 1, 2), (1, 3, 2, 8, 0, 1), (2, 4, None, 9, 2, 1), (2, 5, 1, None, 2, 2), (3, None, 1, None, 0, 1), (4, 1, 1, 1, 1, 1001)]
+    tags = CO.tag_rows(spark.createDataFrame(rows, "supp long, l_orderkey long, l_linenumber int, l_partkey long, cov_code byte, r long"))
+    files = CO.source_files(tags, 3)
+    got = {r.rel_path: r.content for r in files.collect()}
+    assert got == {
+        "src/s1/c0.go": "// order 3 line 2\n// covers [~retired/utest.p8~doc]\n// order 7 line 1\n// covers [~pkg5/utest.p5~impl]\n",
+        "src/s2/c0.go": "// covers [~pkg2/it.p9~test]\n// order 5 line 1\n",
+        "src/s3/c0.go": "\n",
+        "src/s4/c1.go": "// order 1 line 1\n// covers [~pkg1/cmp.p1~impl]\n",
+    }
+    below = _plan(files).split("RepartitionByExpression")
+    assert len(below) == 2 and "collect_list" not in below[1] and "order " not in below[1]
+    assert CO.tag_tasks(tags) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(CO, "TASK_TAGS", 1)
+    assert CO.tag_tasks(tags.unionByName(tags).unionByName(tags)) == max(spark.sparkContext.defaultParallelism, 18)

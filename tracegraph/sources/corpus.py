@@ -50,6 +50,7 @@ CORPUS_VERSION = "6"
 REQ_TYPES = ("it", "cmp", "utest")
 DOC_CHUNK = 7000
 SRC_FILE_TAGS = 1000
+TASK_TAGS = 500_000  # tags that a task brings together into files: bounds its memory
 RANK_BUCKET = 1 << 20  # order keys per numbering bucket: bounds both window levels
 IGNORED_SIZE = 50
 GH = ("gh", "/corpus/gh", "https://github.com/tpch/supply", True, False)
@@ -133,20 +134,32 @@ def tag_rows(numbered: DataFrame) -> DataFrame:
     pk = F.col("l_partkey")
     chunk = F.floor((F.col("r") - 1) / SRC_FILE_TAGS)
     pos = (F.col("r") - 1) % SRC_FILE_TAGS + 1
-    cov_type = F.when(F.col("cov_code") == 1, COV_TYPES[1]).when(F.col("cov_code") == 2, COV_TYPES[2]).otherwise(COV_TYPES[0])
     return numbered.select(
         "supp",
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
-        cov_type.alias("cov_type"),
-        F.when(pk % 4 == 0, F.lit("retired")).otherwise(F.concat(F.lit("pkg"), _s(pk % 7))).alias("tag_pkg"),
-        F.concat(req_type(pk), F.lit(".p"), _s(pk)).alias("tag_name"),
+        "cov_code",
+        _cov_type(F.col("cov_code")).alias("cov_type"),
+        _tag_package(pk).alias("tag_pkg"),
+        _req_name(pk).alias("tag_name"),
         chunk.alias("chunk"),
         (2 * pos).cast("int").alias("line_no"),
     ).withColumns({"repo_id": _source_repo(), "rel_path": _source_path()})
 
 
+def _cov_type(code: Column) -> Column:
+    return F.when(code == 1, COV_TYPES[1]).when(code == 2, COV_TYPES[2]).otherwise(COV_TYPES[0])
+
+
+def _tag_package(pk: Column) -> Column:
+    return F.when(pk % 4 == 0, F.lit("retired")).otherwise(F.concat(F.lit("pkg"), _s(pk % 7)))
+
+
+def _req_name(pk: Column) -> Column:
+    return F.concat(req_type(pk), F.lit(".p"), _s(pk))
+
+
 def _source_repo() -> Column:
     return F.when(F.col("supp") % 2 == 0, F.lit(GH[0])).otherwise(F.lit(GL[0]))
 
@@ -175,17 +188,35 @@ def _join_lines(lines: Column) -> Column:
     return F.concat(F.array_join(F.sort_array(lines)["text"], "\n"), F.lit("\n"))
 
 
-def source_files(tags: DataFrame) -> DataFrame:
-    """A tag and its filler line are one row; a file is grouped by the numbers it is named after."""
-    filler = F.concat(F.lit("// order "), _s("l_orderkey"), F.lit(" line "), _s("l_linenumber"))
-    tag = F.concat(F.lit("// covers [~"), F.col("tag_pkg"), F.lit("/"), F.col("tag_name"), F.lit("~"), F.col("cov_type"), F.lit("]"))
-    # a line with a null is left out
-    text = F.when(filler.isNotNull() | tag.isNotNull(), F.concat_ws("\n", filler, tag))
-    files = tags.groupBy("supp", "chunk").agg(_join_lines(F.collect_list(F.struct("line_no", text.alias("text")))).alias("content"))
-    files = files.select(_source_repo().alias("repo_id"), _source_path().alias("rel_path"), "content", F.lit(True).alias("tracked"))
+def source_files(tags: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The tags of a file are brought together as numbers, by the numbers it is named after, and
+    become text there. They are dealt out before they are grouped: lists of single tags built
+    on the side they come from would only be sorted and moved again. ``tasks``: to how many
+    tasks (see ``tag_tasks``); otherwise as many as the session has it."""
+    numbers = ["line_no", "l_orderkey", "l_linenumber", "l_partkey", "cov_code"]
+    keys = ["supp", "chunk"]
+    some = tags.select(*keys, *numbers)
+    dealt = some.repartition(tasks, *keys) if tasks else some.repartition(*keys)
+
+    def lines(x):
+        filler = F.concat(F.lit("// order "), _s(x["l_orderkey"]), F.lit(" line "), _s(x["l_linenumber"]))
+        tag = F.concat(F.lit("// covers [~"), _tag_package(x["l_partkey"]), F.lit("/"), _req_name(x["l_partkey"]), F.lit("~"), _cov_type(x["cov_code"]), F.lit("]"))
+        # a line with a null is left out
+        return F.when(filler.isNotNull() | tag.isNotNull(), F.concat_ws("\n", filler, tag))
+
+    files = dealt.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*numbers))).alias("tags"))
+    text = F.concat(F.array_join(F.transform("tags", lines), "\n"), F.lit("\n"))
+    files = files.select(_source_repo().alias("repo_id"), _source_path().alias("rel_path"), text.alias("content"), F.lit(True).alias("tracked"))
     return _file_rows(files, F.col("repo_id"), "rel_path")
 
 
+def tag_tasks(tags: DataFrame) -> int:
+    """Tasks for ``source_files`` of staged tags (counted from the footers of their files): a task
+    groups about ``TASK_TAGS`` tags at any scale, where the engine would cut tasks by their
+    compressed bytes, a small part of what a group takes in memory."""
+    return max(tags.sparkSession.sparkContext.defaultParallelism, -(-tags.count() // TASK_TAGS))
+
+
 def true_coverers(tags: DataFrame) -> DataFrame:
     """Sorted coverer text per part key of the ``covrd`` variant.
 
@@ -358,11 +389,12 @@ def corpus_from_tables(spark: SparkSession, sf_dir: str, header_key: str = P.DEF
     return parts["docs"].unionByName(parts["src"]).unionByName(parts["notes"])
 
 
-def corpus_parts(spark: SparkSession, sf_dir: str, tags: DataFrame, header_key: str = P.DEFAULT_HEADER_KEY, faults: str | None = None) -> dict:
+def corpus_parts(spark: SparkSession, sf_dir: str, tags: DataFrame, header_key: str = P.DEFAULT_HEADER_KEY, faults: str | None = None,
+                 tasks: int | None = None) -> dict:
     """The requirement documents (all Markdown), source files (all ``.go``) and note files."""
     docs = document_files(part_rows(spark, sf_dir, header_key), true_coverers(tags), header_key, faults)
     cols = [f.name for f in FILES_SCHEMA.fields]
-    return {"docs": docs.select(*cols), "src": source_files(tags).select(*cols), "notes": note_files(spark, sf_dir).select(*cols)}
+    return {"docs": docs.select(*cols), "src": source_files(tags, tasks).select(*cols), "notes": note_files(spark, sf_dir).select(*cols)}
 
 
 TABLES = ("part", "lineitem", "documents", "labels")
@@ -387,7 +419,8 @@ def corpus(spark: SparkSession, sf_dir: str, faults: str | None = None) -> DataF
     key = (spark.sparkContext.applicationId, sf_dir, input_identity(spark, sf_dir), faults)
     if key not in _BUILT:
         path = checkpoint_dir(spark).rstrip("/") + f"/tracegraph/corpus-{faults}-{uuid.uuid4().hex[:12]}"
-        parts = corpus_parts(spark, sf_dir, tag_rows(_tags_once(spark, sf_dir, key[:3])), faults=faults)
+        tags = _tags_once(spark, sf_dir, key[:3])
+        parts = corpus_parts(spark, sf_dir, tag_rows(tags), faults=faults, tasks=tag_tasks(tags))
         # one folder per kind, written directly: writing by a partition column would sort whole texts
         notes = file_kind(parts["notes"])
         for kind, files in (("md", parts["docs"]), ("src", parts["src"])):
