@@ -128,6 +128,23 @@ def test_classes_without_counting_links(spark, monkeypatch, seed, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == {i: x[:2] for i, x in brute_components([r[:2] for r in rows]).items()}
 
 
+@pytest.mark.parametrize("families, size", [(20, 6), (2, 40)])
+def test_what_shares_entries_meets_in_few_blocks(spark, monkeypatch, families, size):
+    """Documents that share a passage without being near copies: a family of at most a block is one
+    group, and the rows brought together follow the documents, not the pairs of blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 12)
+    kept, staged = {}, ngram_join.staged
+    monkeypatch.setattr(ngram_join, "staged", lambda df, tag: kept.setdefault(tag, staged(df, tag)))
+    passage = lambda f: " ".join(f"f{f}w{k}" for k in range(40))
+    rows = [(100 * f + i, passage(f) + "".join(f" d{f}i{i}k{k}" for k in range(5)), "en", "s") for f in range(families) for i in range(size)]
+    got = ngram_join.near_duplicates(inputs.docs(spark, rows), count_links=False)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == {i: (41, i) for i, *_ in rows}
+    members = kept["ngram-members"]
+    assert members.select("doc_id").distinct().count() == len(rows)
+    # a family of 40 takes 4 blocks of its own, each meets the others at most
+    assert members.count() <= len(rows) * (1 if size <= 12 else 4)
+
+
 def test_words_do_not_collide_by_construction():
     for a, b in (("a", "b"), ("abcdefgh" * 3, "hgfedcba" * 3)):
         for k in range(1, 13):  # Thue-Morse words: equal under any polynomial modulo a power of 2

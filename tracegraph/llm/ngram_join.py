@@ -414,12 +414,42 @@ def _dealt_by_entry(entries: DataFrame) -> DataFrame:
     pick = entries.join(often, "token").groupBy("doc_id").agg(F.max(F.struct("c", "token", "s")).alias("p"), F.max("n").alias("n"))
     pick = staged(pick.select("doc_id", "n", "p.*"), "ngram-picked")
     all_ = pick.agg(F.count(F.lit(1)).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
-    parts = F.greatest(F.ceil(F.col("c") / BLOCK_DOCS), F.ceil(F.col("s") * 8 / BLOCK_BYTES))
-    place = F.xxhash64("token", F.pmod(F.xxhash64("doc_id"), parts))
+    place = F.xxhash64("token", F.pmod(F.xxhash64("doc_id"), _parts("c", "s")))
     blk = F.pmod(place, F.lit(blocks_for(all_.d, all_.t))).cast("int")
     return pick.select("doc_id", blk.alias("blk"), blk.alias("lo"), blk.alias("hi"))
 
 
+def _parts(docs: str, shingles: str):
+    """In how many blocks so many documents with so many shingles are dealt."""
+    return F.greatest(F.ceil(F.col(docs) / BLOCK_DOCS), F.ceil(F.col(shingles) * 8 / BLOCK_BYTES))
+
+
+def _dealt_by_family(e: DataFrame) -> tuple[DataFrame, int]:
+    """``(component, own_parts, key, alone, parts)``: by what key, and in how many parts of it, the
+    documents of a component are dealt, and the number of blocks.
+
+    Components that share entries, however indirectly, are a family: only they can have links.
+    A family of at most a block meets in one block. In a larger one components go together by the
+    entry that most of its documents hold, so an entry's holders are in few blocks here too."""
+    size = e.groupBy("doc_id", "component").agg(F.max("n").alias("n")).groupBy("component").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("t"))
+    links = e.select(F.col("component").alias("a"), F.col("first").alias("b"))
+    family = components(size.select(F.col("component").alias("id")), links, "ngram-family").select(F.col("id").alias("component"), F.col("component").alias("family"))
+    size = staged(size.join(family, "component"), "ngram-sizes")
+    families = size.groupBy("family").agg(F.sum("d").alias("d"), F.sum("t").alias("t"))
+    families = staged(families, "ngram-families")
+    all_ = families.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("d"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+    large = families.where(_parts("d", "t") > 1).select("family")
+    alone = size.join(large, "family", "left_anti").select("component", _parts("d", "t").alias("own_parts"), F.col("family").alias("key"), F.lit(True).alias("alone"), F.lit(1).cast("bigint").alias("parts"))
+    inner = size.join(large, "family")
+    held = staged(e.join(inner.select("component"), "component", "left_semi").select("token", "component"), "ngram-large")
+    often = staged(held.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "ngram-often")
+    pick = held.join(often, "token").groupBy("component").agg(F.max(F.struct("c", "token")).alias("p"))
+    pick = staged(inner.join(pick.select("component", F.col("p.token").alias("key")), "component"), "ngram-pick")
+    load = pick.groupBy("key").agg(F.sum("d").alias("all_d"), F.sum("t").alias("all_t"))
+    inside = pick.join(load, "key").select("component", _parts("d", "t").alias("own_parts"), "key", F.lit(False).alias("alone"), _parts("all_d", "all_t").alias("parts"))
+    return staged(alone.unionByName(inside), "ngram-dealt"), blocks_for(all_.d, all_.t)
+
+
 def class_links(sets: DataFrame, entries: DataFrame, rounds: int = 2) -> DataFrame:
     """``(a, b)``: links with the same components as all links."""
     nodes = staged(entries.select(F.col("doc_id").alias("id")).distinct(), "ngram-nodes")
@@ -429,18 +459,15 @@ def class_links(sets: DataFrame, entries: DataFrame, rounds: int = 2) -> DataFra
         found = new if found is None else found.unionByName(new)
         of = staged(components(nodes, found, f"ngram-cc{r}"), f"ngram-of{r}")
         heads = entries.join(of.where("id = component").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    # what several components share
+    # what several components share, and the smallest of them
     e = entries.join(of.withColumnRenamed("id", "doc_id"), "doc_id")
-    shared = e.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("token")
-    e = staged(e.join(shared, "token", "left_semi"), "ngram-shared")
-    size = e.groupBy("doc_id", "component").agg(F.max("n").alias("n")).groupBy("component").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("t"))
-    size = staged(size, "ngram-sizes")
-    all_ = size.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("d"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-    parts = F.greatest(F.ceil(F.col("d") / BLOCK_DOCS), F.ceil(F.col("t") * 8 / BLOCK_BYTES))
-    place = F.xxhash64("component", F.pmod(F.xxhash64("doc_id"), parts))
-    blk = F.pmod(place, F.lit(blocks_for(all_.d, all_.t))).cast("int").alias("blk")
+    shared = e.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("_b")).where("first <> _b").drop("_b")
+    e = staged(e.join(shared, "token"), "ngram-shared")
+    dealt, blocks = _dealt_by_family(e)
+    place = F.xxhash64("key", "alone", F.pmod(F.xxhash64("component", F.pmod(F.xxhash64("doc_id"), "own_parts")), "parts"))
+    blk = F.pmod(place, F.lit(blocks)).cast("int").alias("blk")
     cls = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int").alias("cls")
-    e = staged(e.join(size, "component").select("token", "doc_id", "component", blk, cls), "ngram-placed")
+    e = staged(e.join(dealt, "component").select("token", "doc_id", "component", blk, cls), "ngram-placed")
     # entries held in the same blocks (say, all those of one passage) are looked at together; a
     # mark that two sets of blocks share by chance only brings more documents together
     mark = lambda seed: F.bit_xor(F.xxhash64("blk", "cls", "component", F.lit(seed)))
