@@ -31,6 +31,7 @@ of them share, so families of near copies meet in few blocks and become one comp
 one document per component is left to meet others the same way. Step 4 then takes only
 entries whose holders are of several components, and brings a block together only with the
 blocks that hold other components; this is exact, as links inside a component are no news.
+Here blocks are dealt by family: components that share entries, directly or through others.
 
 Defined cases: null and empty texts and texts without words have an empty set, which
 links with nothing, not even another empty one; rows without an id are left out (they
@@ -429,8 +430,8 @@ def _dealt_by_family(e: DataFrame) -> tuple[DataFrame, int]:
     documents of a component are dealt, and the number of blocks.
 
     Components that share entries, however indirectly, are a family: only they can have links.
-    A family of at most a block meets in one block. In a larger one components go together by the
-    entry that most of its documents hold, so an entry's holders are in few blocks here too."""
+    A family of at most a block meets in one block. In a larger one each component goes by the
+    entry of its own that most documents hold, so an entry's holders are in few blocks here too."""
     size = e.groupBy("doc_id", "component").agg(F.max("n").alias("n")).groupBy("component").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("t"))
     links = e.select(F.col("component").alias("a"), F.col("first").alias("b"))
     family = components(size.select(F.col("component").alias("id")), links, "ngram-family").select(F.col("id").alias("component"), F.col("component").alias("family"))
