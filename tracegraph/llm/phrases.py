@@ -29,7 +29,10 @@ frequent, then so is the phrase one word longer between them.
 
 Scale: text is read once; after that only ids move: shards of bounded size, and pairs by hash
 range, with as many ranges as words need. Nothing is gathered per language: the last ranking
-takes the first ``top`` of hash parts, then of these.
+takes the first ``top`` of hash parts, then of these. What belongs to a shard is brought to it
+by a sort, which can spill, and its rows pass a task one shard at a time; the tables of shards
+are written in row groups of a few shards; a shard's phrases are extended ``SLICE`` rows at a
+time. So a task's memory depends on a shard, not on how many of them a table has.
 
 Defined cases: null texts are empty; a null language is ``und``; ids play no part and
 repeated rows count again; a language or table without candidates gives no rows; a shard is
@@ -43,16 +46,20 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, small_batches, staged
 
 LEAST, TOP, INSIDE, SCALE = 30, 2000, 80, 2_000_000
-#: words per shard, longest phrase, ids per hash range of pairs, texts cut at a time
-SHARD, DEPTH, RANGE, TEXTS = 1 << 20, 4, 2_000_000, 200
+#: words per shard, longest phrase, ids per hash range of pairs, code points cut at a time
+SHARD, DEPTH, RANGE, CHARS = 1 << 20, 4, 2_000_000, 1 << 18
+#: index rows extended at a time, most rows with pairs of shards per Arrow batch
+SLICE, ROWS = 1 << 17, 64
+#: a row is a shard of some MB: without this a writer looks at its size every 100 rows only
+ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TO_DOT = bytes(46 if b in BREAKS else b for b in range(256))
 GRAM = [f"w{i}" for i in range(1, DEPTH + 1)]
@@ -87,11 +94,27 @@ def _shard_rows(vocabulary: list[tuple[str, bytes]], ids: np.ndarray, size: int)
     for end in shard_cuts(ids, size):
         own = ids[start:end]
         start = end
-        met, local, often = np.unique(np.concatenate([[0], own]), return_inverse=True, return_counts=True)
-        if len(met) > 1:
-            named = [vocabulary[i - 1] for i in met[1:].tolist()]
+        often = np.bincount(own)
+        met = np.flatnonzero(often[1:]) + 1
+        if len(met):
+            named = [vocabulary[i - 1] for i in met.tolist()]
             langs, words = zip(*[(lang, w.decode("utf-8", "replace")) for lang, w in named], strict=True)
-            yield local[1:].astype("<u4").tobytes(), list(langs), list(words), often[1:].tolist()
+            local = np.zeros(len(often), dtype="<u4")
+            local[met] = np.arange(1, len(met) + 1)
+            yield local[own].tobytes(), list(langs), list(words), often[met].tolist()
+
+
+def portions(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """The texts in order, in lists of at least ``chars`` code points but for the last."""
+    some, n = [], 0
+    for text in texts:
+        some.append(text)
+        n += len(text)
+        if n >= chars:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
 
 
 def shards(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFrame:
@@ -101,7 +124,7 @@ def shards(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFram
         from pyspark import TaskContext
 
         number = count(TaskContext.get().partitionId() << 32)
-        next_id, ids, held = count(1), {}, []
+        next_id, ids, held, n_held = count(1), {}, [], 0
         fields = [("shard", pa.int64()), ("tokens", pa.binary()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
 
         def flush():
@@ -110,24 +133,24 @@ def shards(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFram
                 for w, i in d.items():
                     if i:
                         by_id[i - 1] = (lang, w)
-            rows = [(next(number), *r) for r in _shard_rows(by_id, np.concatenate(held), size)]
-            for row in rows:
+            for r in _shard_rows(by_id, np.concatenate(held), size):
+                row = (next(number), *r)
                 yield pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, (_, t) in zip(row, fields, strict=True)], names=[n for n, _ in fields])
 
         for batch in batches:
-            for at in range(0, len(batch), TEXTS):
-                some = batch.slice(at, TEXTS)
-                by_lang = defaultdict(list)
-                for lang, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    by_lang[lang].append(text or "")
-                for lang, texts in by_lang.items():
+            by_lang = defaultdict(list)
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_lang[lang].append(text or "")
+            for lang, texts in by_lang.items():
+                for some in portions(texts, CHARS):
                     if lang not in ids:
                         ids[lang] = defaultdict(next_id.__next__, {b".": 0})  # no word holds a dot
-                    held.append(np.fromiter(map(ids[lang].__getitem__, tokens(texts)), dtype=np.int64))
-                    held.append(np.zeros(1, dtype=np.int64))
-                if sum(map(len, held)) >= size:
-                    yield from flush()
-                    next_id, ids, held = count(1), {}, []
+                    held.append(np.fromiter(map(ids[lang].__getitem__, tokens(some)), dtype=np.uint32))
+                    held.append(np.zeros(1, dtype=np.uint32))
+                    n_held += len(held[-2]) + 1
+                    if n_held >= size:
+                        yield from flush()
+                        next_id, ids, held, n_held = count(1), {}, [], 0
         if held:
             yield from flush()
         del held, ids
@@ -219,25 +242,54 @@ class Bidirectional:
         return Phrases(np.column_stack([c, p.words[owner]]), size, low, p.backward[owner] + smaller)
 
 
-def enclosed(low: np.ndarray, outer_low: np.ndarray, outer_size: np.ndarray) -> np.ndarray:
-    """Whether rows ``low`` lie in one of the disjoint outer intervals."""
-    if not len(outer_low):
+def enclosed(low: np.ndarray, outer: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether rows ``low`` lie in one of the disjoint outer intervals (see ``bounds``)."""
+    starts, ends = outer
+    if not len(starts):
         return np.zeros(len(low), dtype=bool)
-    order = np.argsort(outer_low)
-    at = np.searchsorted(outer_low[order], low, side="right") - 1
-    return (at >= 0) & (low < outer_low[order][at] + outer_size[order][at])
+    at = np.searchsorted(starts, low, side="right") - 1
+    return (at >= 0) & (low < ends[at])
+
 
+def bounds(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows of intervals in order, and the rows behind their last."""
+    order = np.argsort(low)
+    return low[order], (low + size)[order]
 
-def longer(ids: np.ndarray, frequent: np.ndarray) -> list[Phrases]:
-    """Triples and quadruples all of whose pairs are in ``frequent`` (rows of two ids)."""
+
+def slices(p: Phrases, rows: int) -> Iterator[Phrases]:
+    """The phrases in order, as many at a time as have ``rows`` rows together, one at least."""
+    ends = np.cumsum(p.size)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - p.size[at] + rows, side="right")))
+        yield p.only(slice(at, to))
+        at = to
+
+
+def longer(ids: np.ndarray, frequent: np.ndarray, rows: int = SLICE) -> Iterator[Phrases]:
+    """Triples and quadruples all of whose pairs are in ``frequent`` (rows of two ids), from
+    ``rows`` index rows at a time."""
     index = Bidirectional(ids, DEPTH)
-    pairs = index.right(index.words())
     width = index.ahead.width
-    pairs = pairs.only(np.isin(pairs.words[:, 0] * width + pairs.words[:, 1], frequent[:, 0] * width + frequent[:, 1]))
-    triples = index.right(pairs)
-    triples = triples.only(enclosed(triples.backward, pairs.backward, pairs.size))
-    four = index.left(triples)
-    return [triples, four.only(enclosed(four.forward, pairs.forward, pairs.size))]
+    wanted = np.unique(frequent[:, 0] * width + frequent[:, 1])
+    found = []
+    for words in slices(index.words(), rows):
+        two = index.right(words)
+        key = two.words[:, 0] * width + two.words[:, 1]
+        at = np.searchsorted(wanted, key)
+        found.append(two.only((at < len(wanted)) & (np.append(wanted, -1)[at] == key)))
+    if not found:
+        return
+    pairs = Phrases(*(np.concatenate([getattr(p, c) for p in found]) for c in ("words", "size", "forward", "backward")))
+    del found, wanted
+    behind, before = bounds(pairs.backward, pairs.size), bounds(pairs.forward, pairs.size)
+    for some in slices(pairs, rows):
+        triples = index.right(some)
+        triples = triples.only(enclosed(triples.backward, behind))
+        four = index.left(triples)
+        yield triples
+        yield four.only(enclosed(four.forward, before))
 
 
 # ------------------------------------------------------------------ levels
@@ -267,23 +319,25 @@ def with_numbers(cut: DataFrame, words: DataFrame) -> DataFrame:
     ends of pieces, runs of 0 made one); ``ids[token - 1]`` is the number of the word."""
     rows = cut.select("shard", F.posexplode(F.arrays_zip("langs", "words")).alias("at", "x"))
     own = rows.select("shard", "at", F.col("x.langs").alias("lang"), F.col("x.words").alias("word")).join(words.select("lang", "word", "id"), ["lang", "word"])
-    own = own.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("own"))
-    own = own.select("shard", F.transform("own", lambda x: x["at"]).alias("at"), F.transform("own", lambda x: x["id"]).alias("id"))
 
-    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                old = np.frombuffer(batch.column(1)[i].as_py(), dtype="<u4")
-                at, ids = (batch.column(k)[i].values.to_numpy() for k in (2, 3))
-                new = np.zeros(int(max(old.max(initial=0), at.max() + 1)) + 1, dtype=np.uint32)
-                new[at + 1] = np.arange(1, len(at) + 1)
-                t = np.concatenate([[0], new[old], [0]]).astype("<u4")
-                t = t[np.concatenate([[True], (t[1:] > 0) | (t[:-1] > 0)])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([t.tobytes()], type=pa.binary()), pa.array([ids.astype("<i8").tobytes()], type=pa.binary())], names=["shard", "tokens", "ids"])
+    def renumber(cut: pa.Table, own: pa.Table) -> pa.Table:
+        kept = []
+        if len(own):
+            old = np.frombuffer(cut["tokens"][0].as_py(), dtype="<u4")
+            at, ids = (own[c].to_numpy() for c in ("at", "id"))
+            order = np.argsort(at)
+            at, ids = at[order], ids[order]
+            new = np.zeros(int(max(old.max(initial=0), at.max() + 1)) + 1, dtype="<u4")
+            new[at + 1] = np.arange(1, len(at) + 1)
+            t = np.concatenate([new[:1], new[old], new[:1]])
+            t = t[np.concatenate([[True], (t[1:] > 0) | (t[:-1] > 0)])]
+            kept.append((cut["shard"][0].as_py(), t.tobytes(), ids.astype("<i8").tobytes()))
         give_back()
+        names, types = ("shard", "tokens", "ids"), (pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[k] for r in kept], type=t) for k, t in enumerate(types)], names=names)
 
-    joined = cut.select("shard", "tokens").join(own, "shard").select("shard", "tokens", "at", "id")
-    return joined.mapInArrow(renumber, "shard long, tokens binary, ids binary")
+    shard = cut.select("shard", "tokens").groupBy("shard")
+    return shard.cogroup(own.select(F.col("shard").alias("_shard"), "at", "id").groupBy("_shard")).applyInArrow(renumber, "shard long, tokens binary, ids binary")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -292,10 +346,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _opened(row, *columns):
-    return [np.frombuffer(row[c].as_py(), dtype="<i8" if c == "ids" else "<u4") for c in columns]
-
-
 def frequent_pairs(coded: DataFrame, least: int, ranges: int, wide: bool) -> DataFrame:
     """``(shard, a, b, f)``, packed: per shard its frequent pairs of word numbers, and, with a
     null shard, all of them once with their counts."""
@@ -305,9 +355,12 @@ def frequent_pairs(coded: DataFrame, least: int, ranges: int, wide: bool) -> Dat
         for batch in batches:
             for i in range(len(batch)):
                 ids = np.frombuffer(batch.column(2)[i].as_py(), dtype="<i8")
-                index = Bidirectional(np.frombuffer(batch.column(1)[i].as_py(), dtype="<u4").astype(np.int64), 2)
-                pairs = index.right(index.words())
-                a, b, n = ids[pairs.words[:, 0] - 1], ids[pairs.words[:, 1] - 1], pairs.size
+                index = Bidirectional(np.frombuffer(batch.column(1)[i].as_py(), dtype="<u4").astype(np.int32), 2)
+                pairs = [(p.words, p.size) for p in map(index.right, slices(index.words(), SLICE))]
+                del index
+                words, n = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                a, b = ids[words[:, 0] - 1], ids[words[:, 1] - 1]
+                del pairs, words
                 place = (_mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
                 order = np.lexsort((b, a, place))
                 a, b, n, place = a[order], b[order], n[order], place[order]
@@ -318,31 +371,39 @@ def frequent_pairs(coded: DataFrame, least: int, ranges: int, wide: bool) -> Dat
                 yield pa.RecordBatch.from_arrays(columns, names=["place", "shard", "a", "b", "n"])
         give_back()
 
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.concatenate([np.frombuffer(x, dtype=kind) for x in rows[c]]) for c in ("a", "b"))
-        n = np.concatenate([np.frombuffer(x, dtype="<u4") for x in rows["n"]]).astype(np.int64)
-        sender = np.repeat(np.arange(len(rows)), [len(x) // 4 for x in rows["n"]])
+    def answer(rows: pa.Table) -> pa.Table:
+        a, b, n = (np.frombuffer(b"".join(rows[c].to_pylist()), dtype=k) for c, k in (("a", kind), ("b", kind), ("n", "<u4")))
+        shard, held = rows["shard"].to_numpy(), pc.binary_length(rows["n"]).to_numpy() // 4
         # pairs of numbers of 32 bits are one key
-        order = np.lexsort((b, a)) if wide else np.argsort(a.astype(np.uint64) << np.uint64(32) | b, kind="stable")
-        first = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+        key = None if wide else a.astype(np.uint64) << np.uint64(32) | b
+        order = np.lexsort((b, a)) if wide else np.argsort(key, kind="stable")
+        first = np.ones(len(a), dtype=bool)
+        first[1:] = False
+        for x in (a, b) if wide else (key,):
+            x = x[order]
+            first[1:] |= x[1:] != x[:-1]
+        del x, key
         start = np.flatnonzero(first)
-        total = np.add.reduceat(n[order], start)
+        total = np.add.reduceat(n[order], start, dtype=np.int64)
+        keep = total >= least
         often = np.zeros(len(a), dtype=bool)
-        often[order] = (total >= least)[np.cumsum(first) - 1]
-        out, shard = [], rows["shard"].to_numpy()
-        keep = order[start[total >= least]]
-        if len(keep):
-            out.append((None, a[keep].tobytes(), b[keep].tobytes(), total[total >= least].astype("<i8").tobytes()))
-        met, at = np.unique(sender[often], return_index=True)
-        if len(met):
-            split = [np.split(x[often], at[1:]) for x in (a, b)]
-            out += [(int(shard[s]), x.tobytes(), y.tobytes(), None) for s, x, y in zip(met, *split, strict=True)]
-        del a, b, n, sender, order
+        often[order] = np.repeat(keep, np.diff(start, append=len(a)))
+        out, some = [], order[start[keep]]
+        del order, first, n
+        if len(some):
+            out.append((None, a[some].tobytes(), b[some].tobytes(), total[keep].astype("<i8").tobytes()))
+        a, b = a[often], b[often]
+        ends = np.cumsum(np.add.reduceat(often, np.cumsum(held) - held, dtype=np.int64))
+        for s, at, to in zip(shard.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            if to > at:
+                out.append((s, a[at:to].tobytes(), b[at:to].tobytes(), None))
+        del a, b, often
+        table = pa.table([pa.array([r[k] for r in out], type=t) for k, t in enumerate((pa.int64(), *[pa.binary()] * 3))], names=["shard", "a", "b", "f"])
         give_back()
-        return pd.DataFrame({"shard": pd.array([r[0] for r in out], dtype="Int64"), **{c: [r[i] for r in out] for i, c in ((1, "a"), (2, "b"), (3, "f"))}})
+        return table
 
     sent = coded.mapInArrow(send, "place long, shard long, a binary, b binary, n binary")
-    return sent.groupBy("place").applyInPandas(answer, "shard long, a binary, b binary, f binary")
+    return sent.groupBy("place").applyInArrow(answer, "shard long, a binary, b binary, f binary")
 
 
 def pair_counts(pairs: DataFrame, wide: bool) -> DataFrame:
@@ -360,27 +421,40 @@ def pair_counts(pairs: DataFrame, wide: bool) -> DataFrame:
 def longer_counts(coded: DataFrame, pairs: DataFrame, least: int, wide: bool) -> DataFrame:
     """``(w1, w2, w3, w4, f)`` of the frequent triples (``w4`` 0) and quadruples."""
     kind = "<u8" if wide else "<u4"
-    own = pairs.where("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("p"))
-    joined = coded.join(own, "shard").select("tokens", "ids", F.transform("p", lambda x: x["a"]).alias("a"), F.transform("p", lambda x: x["b"]).alias("b"))
+    none = F.lit(None).cast("binary")
+    own = pairs.where("shard IS NOT NULL").select("shard", none.alias("tokens"), none.alias("ids"), "a", "b")
+    rows = coded.select("shard", "tokens", "ids", none.alias("a"), none.alias("b")).unionByName(own)
+    # a shard's ids, then the parts of its frequent pairs
+    joined = rows.repartition("shard").sortWithinPartitions("shard", F.col("tokens").isNull())
+
+    def found(t: np.ndarray, ids: np.ndarray, both: list) -> Iterator[pa.RecordBatch]:
+        if not both:
+            return
+        # the shard's words are numbered in the order of its vocabulary, not of ids
+        order = np.argsort(ids)
+        local = [order[np.searchsorted(ids, np.frombuffer(b"".join(x), dtype=kind).astype(np.int64), sorter=order)] + 1 for x in zip(*both, strict=True)]
+        both.clear()
+        for p in longer(t, np.column_stack(local)):
+            w = ids[p.words - 1]
+            columns = [w[:, k] if k < w.shape[1] else np.zeros(len(w), dtype=np.int64) for k in range(DEPTH)]
+            for at in range(0, len(w), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in (*columns, p.size)], names=[*GRAM, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, ids, both = None, None, []
         for batch in batches:
-            for i in range(len(batch)):
-                t = np.frombuffer(batch.column(0)[i].as_py(), dtype="<u4").astype(np.int64)
-                ids = np.frombuffer(batch.column(1)[i].as_py(), dtype="<i8")
-                both = [np.frombuffer(b"".join(batch.column(c)[i].as_py()), dtype=kind).astype(np.int64) for c in (2, 3)]
-                # the shard's words are numbered in the order of its vocabulary, not of ids
-                order = np.argsort(ids)
-                local = [order[np.searchsorted(ids[order], x)] + 1 for x in both]
-                for found in longer(t, np.column_stack(local)):
-                    w = ids[found.words - 1]
-                    columns = [w[:, k] if k < w.shape[1] else np.zeros(len(w), dtype=np.int64) for k in range(DEPTH)]
-                    for at in range(0, len(w), 50_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in (*columns, found.size)], names=[*GRAM, "n"])
+            for tokens_, ids_, a, b in zip(*(batch.column(k) for k in range(1, 5)), strict=True):
+                if tokens_.is_valid:
+                    yield from found(t, ids, both)
+                    t = np.frombuffer(tokens_.as_py(), dtype="<u4").astype(np.int32)
+                    ids, both = np.frombuffer(ids_.as_py(), dtype="<i8"), []
+                else:
+                    both.append((a.as_py(), b.as_py()))
+        yield from found(t, ids, both)
         give_back()
 
-    rows = joined.mapInArrow(run, ", ".join(f"{c} long" for c in (*GRAM, "n")))
-    return rows.groupBy(*GRAM).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    grams = joined.mapInArrow(run, ", ".join(f"{c} long" for c in (*GRAM, "n")))
+    return grams.groupBy(*GRAM).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
 
 
 def scored(grams: DataFrame) -> DataFrame:
@@ -411,20 +485,22 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     """``(lang, rank, phrase, a, l, r, n, score)``."""
     spark = docs.sparkSession
     with small_batches(spark):
-        cut = staged(shards(docs, text_col, lang_col, shard_words), "phrase-shards")
+        cut = staged(shards(docs, text_col, lang_col, shard_words), "phrase-shards", ROW_GROUPS)
     sizes = cut.select(F.explode(F.arrays_zip("langs", "counts")).alias("x"))
     n_words = staged(sizes.groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.counts").alias("n")), "phrase-sizes")
     words = frequent_words(cut, least)
     words = staged(words, "phrase-frequent")
+    coded = staged(with_numbers(cut, words), "phrase-coded", ROW_GROUPS)
+    seen = coded.agg(F.coalesce(F.sum(F.length("tokens")), F.lit(0)).alias("bytes")).first()
+    wide = words.agg(F.max("id")).first()[0] or 0
+    wide = wide >= 1 << 32
+    ranges = max(1, -(-seen.bytes // 4 // RANGE))
     # a shard is one row of some MB: few rows per Arrow batch
     with small_batches(spark, 1):
-        coded = staged(with_numbers(cut, words), "phrase-coded")
-        seen = coded.agg(F.coalesce(F.sum(F.length("tokens")), F.lit(0)).alias("bytes")).first()
-        wide = words.agg(F.max("id")).first()[0] or 0
-        wide = wide >= 1 << 32
-        pairs = staged(frequent_pairs(coded, least, max(1, -(-seen.bytes // 4 // RANGE)), wide), "phrase-pairs")
-        many = staged(longer_counts(coded, pairs, least, wide), "phrase-longer")
+        pairs = staged(frequent_pairs(coded, least, ranges, wide), "phrase-pairs")
         two = staged(pair_counts(pairs, wide), "phrase-two")
+    with small_batches(spark, min(ranges, ROWS)):  # of a shard there are as many rows with pairs as ranges
+        many = staged(longer_counts(coded, pairs, least, wide), "phrase-longer")
     none = F.lit(0).cast("long")
     one = words.select(F.col("id").alias("w1"), *[none.alias(w) for w in GRAM[1:]], "f")
     grams = one.unionByName(two.select("w1", "w2", none.alias("w3"), none.alias("w4"), "f")).unionByName(many)
