@@ -7,8 +7,8 @@ Skew notes (a requirement, file or package may hold a large share of rows):
 * duplicate detection is a partial aggregation per ``(package, name)`` joined
   back (no window over a hot key);
 * the coverage diff compares URL *multisets* through counts per
-  ``(package, name, url)`` (partial aggregation on both sides, then a join of
-  one row per key), so unchanged requirements never build a list;
+  ``(package, name, url)`` (one partial aggregation of both sides), so unchanged
+  requirements never build a list;
 * only requirements that need a footnote rewrite assemble their coverer list. Beyond
   ``LISTED`` coverers numbered rows become text per bucket of ranks and buckets are joined in
   order; shorter lists are brought together as type, file, line and root, less than their text.
@@ -154,13 +154,16 @@ def current_coverers(reg_m: DataFrame, coverers: DataFrame) -> DataFrame:
 
 def requirement_stats(cur: DataFrame, new: DataFrame) -> DataFrame:
     """Rows 40, 43, 45 in one pass: per requirement the new and recorded coverer
-    counts and whether the two URL lists differ as multisets (Q21). Counts per
-    ``(package, name, url)`` on both sides (partial aggregation), a full outer
-    join of one row per key, and one aggregation per requirement."""
-    c = cur.groupBy(*REQ_KEY, "url").agg(F.count("*").alias("n_cur"))
-    n = new.groupBy(*REQ_KEY, "url").agg(F.count("*").alias("n_new"))
-    d = n.join(c, REQ_KEY + ["url"], "full_outer")
-    nn, nc = F.coalesce("n_new", F.lit(0)), F.coalesce("n_cur", F.lit(0))
+    counts and whether the two URL lists differ as multisets (Q21). Both sides are counted
+    per ``(package, name, url)`` in one aggregation (partial before its shuffle; no sort of
+    the URLs), and one aggregation per requirement follows. A null equals nothing on the
+    other side, so rows with one are counted by side."""
+    key = [*REQ_KEY, "url"]
+    odd = F.col("package").isNull() | F.col("name").isNull() | F.col("url").isNull()
+    side = lambda rows, is_new: rows.select(*key, F.lit(is_new).alias("_new"), F.when(odd, F.lit(is_new)).alias("_odd"))
+    both = side(new, True).unionByName(side(cur, False))
+    nn, nc = F.col("n_new"), F.col("n_cur")
+    d = both.groupBy(*key, "_odd").agg(F.count(F.when(F.col("_new"), 1)).alias("n_new"), F.count(F.when(~F.col("_new"), 1)).alias("n_cur"))
     return d.groupBy(*REQ_KEY).agg(
         F.sum(nn).cast("bigint").alias("n_coverers"),
         F.sum(nc).cast("bigint").alias("n_current"),

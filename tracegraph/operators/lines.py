@@ -49,7 +49,7 @@ def _segments(files: DataFrame, max_line_bytes: int | None) -> DataFrame:
 def read_errors(lines: DataFrame) -> DataFrame:
     """Row 32: under a line limit, a file holding a raw line that long ends its scan with an
     error of empty code and line 0 (lines before it are still used). ``lines``
-    is the output of ``line_explode(..., keep_long=True)``."""
+    is the output of ``line_explode(..., keep_long=True)``, or ``long_lines``."""
     return lines.filter("is_long").select(
         F.lit("scan").alias("phase"),
         F.lit(P.ERR_READLINE).alias("code"),
@@ -60,6 +60,14 @@ def read_errors(lines: DataFrame) -> DataFrame:
     )
 
 
+def long_lines(files: DataFrame, max_line_bytes: int) -> DataFrame:
+    """The overlong lines (``is_long``) that ``line_explode(..., keep_long=True)`` gives, one per
+    file at most, without a row for each of the other lines. A shorter file is not split."""
+    seg = _segments(files.filter(F.octet_length("content") >= max_line_bytes), max_line_bytes).withColumn("_n", F.size("_segs"))
+    last = (F.col("_first_long") == F.col("_n")) & (F.element_at("_segs", -1) == "")
+    return seg.filter((F.col("_first_long") > 0) & ~last).select(*FILE_COLS, "kind", F.lit(True).alias("is_long"))
+
+
 def line_explode(files: DataFrame, ignore_lines=(), keep_long: bool = False, max_line_bytes: int | None = None) -> DataFrame:
     """Row 11 (+ row 12): numbered lines of each file.
 

@@ -59,6 +59,10 @@ class TraceResult:
     tracked: DataFrame | None = None
     options: TraceOptions = field(default_factory=TraceOptions)
     materialize: bool = True
+    #: stages shared by traces under equal options: of the same files (with other repositories),
+    #: and of the same source files (with other Markdown)
+    of_files: dict = field(default_factory=dict)
+    of_sources: dict = field(default_factory=dict)
 
     @cached_property
     def _run_dir(self) -> str:
@@ -82,6 +86,11 @@ class TraceResult:
             sc.setJobDescription(None)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    def _shared(self, stages: dict, name: str, make) -> DataFrame:
+        if name not in stages:
+            stages[name] = make()
+        return stages[name]
+
     # ---------------------------------------------------------------- scan
     @cached_property
     def inventory(self) -> DataFrame:
@@ -144,9 +153,12 @@ class TraceResult:
         """Stage 2: Markdown candidate lines with fence and header state and
         the per-file facts (package, ignored, has a site, fence pairing). Files of more than
         ``long_bytes`` are computed in chunks of lines, if there are any."""
+        return self._shared(self.of_files, "md_state", self._md_state)
+
+    def _md_state(self) -> DataFrame:
         key = self.options.header_key
         if not self._has_long:
-            return self._stage(L.markdown_state(self.md_candidates, key))
+            return self._stage(L.markdown_state(self.md_candidates, key), "md_state")
         short, long = (self._candidates(files) for files in self._by_length(self._markdown))
         chunked = L.segmented_state(long, key, self.options.chunk_lines, self._stage)
         return self._stage(L.markdown_state(short, key).unionByName(chunked), "md_state")
@@ -178,9 +190,14 @@ class TraceResult:
         """Row 18 over every scanned file (before retention), with the
         per-file flags the retention rule needs."""
         src = self.src_lines.withColumn("file_has_site", F.lit(True)).withColumn("file_ignored", F.lit(False))
-        md = self.md_state.filter(~F.col("in_code") & ~F.col("is_long"))
-        cols = L.FILE_COLS + ["kind", "line_no", "line", "file_has_site", "file_ignored"]
-        return X.extract_tags(src.select(*cols).unionByName(md.select(*cols)), extra=("file_has_site", "file_ignored"))
+        cols = L.FILE_COLS + ["kind", "line_no", "line", *self._FLAGS]
+        return X.extract_tags(src.select(*cols).unionByName(self._md_lines.select(*cols)), extra=self._FLAGS)
+
+    _FLAGS = ("file_has_site", "file_ignored")
+
+    @property
+    def _md_lines(self) -> DataFrame:
+        return self.md_state.filter(~F.col("in_code") & ~F.col("is_long"))
 
     @cached_property
     def records(self) -> DataFrame:
@@ -206,7 +223,7 @@ class TraceResult:
 
     @cached_property
     def raw_coverers(self) -> DataFrame:
-        return self._stage(X.raw_coverers(self.fn_lines))
+        return self._shared(self.of_files, "raw_coverers", lambda: self._stage(X.raw_coverers(self.fn_lines), "raw_coverers"))
 
     @cached_property
     def coverers(self) -> DataFrame:
@@ -214,8 +231,14 @@ class TraceResult:
 
     @cached_property
     def tags(self) -> DataFrame:
-        """Row 24 applied: tags of retained files (Q5), minus ignored files."""
-        return self._stage(X.retained_tags(self.all_tags))
+        """Row 24 applied: tags of retained files (Q5), minus ignored files. Those of source
+        files, which always keep their file, are a stage of their own."""
+        md = X.extract_tags(self._md_lines, extra=self._FLAGS)
+        return self.src_tags.unionByName(self._stage(X.retained_tags(md), "tags"))
+
+    @cached_property
+    def src_tags(self) -> DataFrame:
+        return self._shared(self.of_sources, "src_tags", lambda: self._stage(X.extract_tags(self.src_lines), "src_tags"))
 
     @cached_property
     def types(self):
@@ -234,11 +257,11 @@ class TraceResult:
             V.err_unmatchedfence(L.unmatched_fences(self.md_state)),
         ]
         if self.options.max_line_bytes is not None:
-            src = self._exploded(self.scanned.filter(F.col("kind") == "src"), keep_long=True)
+            src = L.long_lines(self.scanned.filter(F.col("kind") == "src"), self.options.max_line_bytes)
             parts += [L.read_errors(src), L.read_errors(self.md_state.filter(~F.col("file_ignored")))]
         parts.append(V.err_repository(self.inventory, self.repo_urls))
-        # checked with a bounded isEmpty; only written out when reported
-        return V.union_errors(parts)
+        # the gate and the report read the same rows: found once
+        return self._stage(V.union_errors(parts))
 
     # ------------------------------------------------------------- analyze
     @cached_property
@@ -284,7 +307,7 @@ class TraceResult:
             C.err_dupreqid(self.ident),
             C.err_pkgmismatch(self.reg_m, self.footnotes),
         ]
-        return V.union_errors(parts)
+        return self._stage(V.union_errors(parts))
 
     @cached_property
     def coverage_all(self) -> DataFrame:

@@ -26,6 +26,7 @@ from ..sources import inventory as I
 from ..sources import tree as TR
 
 _TRACES: dict = {}
+_SHARED: dict = {}
 
 
 def _bigints(df: DataFrame) -> DataFrame:
@@ -43,7 +44,11 @@ def traced(spark: SparkSession, sf_dir: str, faults: str | None = None, bad_repo
     key = (spark.sparkContext.applicationId, sf_dir, CO.input_identity(spark, sf_dir), faults, bad_repos, tuple(sorted(opts.items())))
     if key not in _TRACES:
         files = CO.corpus(spark, sf_dir, faults)
-        _TRACES[key] = trace(files, CO.repos(spark, bad_repos), **opts)
+        r = trace(files, CO.repos(spark, bad_repos), **opts)
+        # the same corpus under other repositories; other corpora of the same source files
+        r.of_files = _SHARED.setdefault((*key[:4], key[-1]), r.of_files)
+        r.of_sources = _SHARED.setdefault((*key[:3], key[-1]), r.of_sources)
+        _TRACES[key] = r
     return _TRACES[key]
 
 

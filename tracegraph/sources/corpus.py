@@ -413,21 +413,24 @@ def input_identity(spark: SparkSession, sf_dir: str) -> str:
 def corpus(spark: SparkSession, sf_dir: str, faults: str | None = None) -> DataFrame:
     """Materialised corpus for ``sf_dir`` (clean, or with one of ``FAULT_SETS``): written once
     per session to the shared checkpoint folder, partitioned by kind so that a stage that
-    needs Markdown only never reads source text."""
+    needs Markdown only never reads source text. Faults are in Markdown only: the corpora of
+    the same tables have their source files in common, ``kind=src`` beside ``kind=md/<faults>``."""
     if faults is not None and faults not in FAULT_SETS:
         raise ValueError(f"unknown fault set: {faults}")
     key = (spark.sparkContext.applicationId, sf_dir, input_identity(spark, sf_dir), faults)
+    src = (*key[:3], "kind=src")
     if key not in _BUILT:
-        path = checkpoint_dir(spark).rstrip("/") + f"/tracegraph/corpus-{faults}-{uuid.uuid4().hex[:12]}"
+        path = _BUILT[src].rsplit("/", 1)[0] if src in _BUILT else checkpoint_dir(spark).rstrip("/") + f"/tracegraph/corpus-{uuid.uuid4().hex[:12]}"
         tags = _tags_once(spark, sf_dir, key[:3])
         parts = corpus_parts(spark, sf_dir, tag_rows(tags), faults=faults, tasks=tag_tasks(tags))
         # one folder per kind, written directly: writing by a partition column would sort whole texts
         notes = file_kind(parts["notes"])
-        for kind, files in (("md", parts["docs"]), ("src", parts["src"])):
-            rows = files.unionByName(notes.filter(F.col("kind") == kind).drop("kind"))
-            rows.write.parquet(f"{path}/kind={kind}")
-        _BUILT[key] = path
-    return spark.read.parquet(_BUILT[key])
+        for kind, files, of, to in (("src", parts["src"], src, f"{path}/kind=src"), ("md", parts["docs"], key, f"{path}/kind=md/{faults}")):
+            if of not in _BUILT:
+                rows = files.unionByName(notes.filter(F.col("kind") == kind).drop("kind"))
+                rows.write.parquet(to)
+                _BUILT[of] = to
+    return spark.read.option("basePath", _BUILT[src].rsplit("/", 1)[0]).parquet(_BUILT[key], _BUILT[src])
 
 
 def _tags_once(spark: SparkSession, sf_dir: str, key: tuple) -> DataFrame:
